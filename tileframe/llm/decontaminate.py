@@ -12,49 +12,61 @@ Other columns of either table are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tileframe.llm.common import lower_ascii, materialise
+from tileframe.llm.common import materialise
 
-#: Words: runs of digits, lower-case ASCII letters and anything beyond ASCII, once A-Z is lowered.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words are runs of digits, ASCII letters (lowered) and anything beyond ASCII; all other ASCII characters become spaces.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum() and c != 32)
 #: Sides of at most so many rows are broadcast: fingerprints of 8 bytes, windows of about 100.
 BROADCAST_PRINTS = 500_000
 BROADCAST_WINDOWS = 50_000
+BROADCAST_TOUCHED = 200_000
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
-
-
-def gram_hashes(hashes: Column, k: int) -> Column:
-    """Hashes of each k neighbouring word hashes; empty if there are fewer."""
-    n = F.size(hashes)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, k)))).otherwise(F.array().cast("array<bigint>"))
-
-
-def least_in_windows(grams: Column, width: int) -> Column:
-    """The least of each ``width`` neighbours, one for each window position."""
-    n = F.size(grams)
-    return F.when(n >= width, F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), lambda i: F.array_min(F.slice(grams, i, width)))).otherwise(F.array().cast("array<bigint>"))
-
-
-# Lists are exploded with explode_outer: a plain explode would push a filter on the list's size below the steps that make it, and make it twice.
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + BETWEEN, UPPER.lower() + " " * len(BETWEEN))
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def shifted(left: Column, right: Column, by: int, merge: Callable[[Column, Column], Column]) -> Column:
+    """merge(left[i], right[i + by]) for each i that has both."""
+    n = F.greatest(F.least(F.size(left), F.size(right) - by), F.lit(0))
+    return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(by + 1), n), merge)
+
+
+def over_runs(df: DataFrame, col: str, width: int, merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """Replaces the list by one merged value for each ``width`` neighbours, by doubling. merge must be associative up to the choice of steps,
+    which depend on the width alone."""
+    powers = {1: col}
+    have = 1
+    while have * 2 <= width:
+        df = df.withColumn(f"_{col}{have * 2}", shifted(F.col(powers[have]), F.col(powers[have]), have, merge))
+        powers[have * 2] = f"_{col}{have * 2}"
+        have *= 2
+    done, name = have, powers[have]
+    while done < width:
+        step = max(x for x in powers if x <= width - done)
+        df = df.withColumn(f"_{col}_{done + step}", shifted(F.col(name), F.col(powers[step]), done, merge))
+        done, name = done + step, f"_{col}_{done + step}"
+    made = [c for c in df.columns if c.startswith(f"_{col}") and c != name]
+    return df.drop(*made) if name == col else df.drop(*made, col).withColumnRenamed(name, col)
 
 
 def window_prints(df: DataFrame, span: int, gram: int, out: str) -> DataFrame:
     """Adds the winnowed fingerprint of each window of ``span`` words; df has ``words``."""
     k = min(gram, span)
-    steps = df.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
-    steps = steps.withColumn("_g", gram_hashes(F.col("_h"), k))
-    return steps.withColumn(out, least_in_windows(F.col("_g"), span - k + 1)).drop("_h", "_g")
+    df = df.withColumn(out, F.transform("words", lambda w: F.xxhash64(w)))
+    df = over_runs(df, out, k, lambda a, b: F.xxhash64(a, b))
+    return over_runs(df, out, span - k + 1, lambda a, b: F.least(a, b))
 
 
-def contaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", item_text_col: str = "text", span: int = 13, gram: int = 5) -> DataFrame:
+def contaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", item_text_col: str = "text", span: int = 13, gram: int = 6) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted as strings), text_hash: one row for each row of docs."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
     items = items.withColumn("len", F.least(F.size("words"), F.lit(span)))
@@ -63,35 +75,41 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", i
     lengths = [r.len for r in windows.select("len").distinct().collect()]  # at most ``span`` numbers
     sources = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
-    def with_windows(df: DataFrame, length: int) -> DataFrame:
-        return window_prints(df, length, gram, "prints")
-
     prints = []
     for length in lengths:
         own = windows.where(F.col("len") == length).select("window").distinct().select(F.split("window", " ").alias("words"))
-        prints.append(with_windows(own, length).select(F.lit(length).alias("len"), F.explode_outer("prints").alias("print")).distinct())
-    counted = sources.select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_ANY_CASE)).cast("bigint").alias("n_words"), "text_hash")
+        prints.append(window_prints(own, length, gram, "prints").select(F.explode_outer("prints").alias("print")))
+    worded = sources.withColumn("words", words_of(F.col("text")))
     if not lengths:
-        return counted.select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), "text_hash")
-    prints = materialise(reduce(DataFrame.unionByName, prints), "prints")
+        none = F.array().cast("array<string>")
+        return worded.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), none.alias("item_ids"), "text_hash")
+    prints = materialise(reduce(DataFrame.unionByName, prints).where(F.col("print").isNotNull()).distinct(), "prints")
     side = F.broadcast(prints) if prints.count() <= BROADCAST_PRINTS else prints
     named = windows.groupBy("len", "window").agg(F.collect_set("item").alias("items"))
     named = F.broadcast(named) if windows.count() <= BROADCAST_WINDOWS else named
 
-    worded = sources.withColumn("words", words_of(F.col("text")))
-    met = []
-    for length in lengths:
-        own = with_windows(worded, length).select("doc_id", "text_hash", F.explode_outer(F.array_distinct("prints")).alias("print"))
-        met.append(own.join(side.where(F.col("len") == length), "print").select("doc_id", "text_hash", "len", "print"))
-    found = materialise(reduce(DataFrame.unionByName, met).groupBy("doc_id", "text_hash", "len").agg(F.collect_set("print").alias("met")), "met")
+    # One pass over the texts: which documents have a fingerprint of the benchmark. A NULL print stands for the row itself.
+    def all_prints(df: DataFrame) -> DataFrame:
+        for length in lengths:
+            df = window_prints(df, length, gram, f"prints{length}")
+        return df.withColumn("print", F.explode_outer(F.concat(F.array(F.lit(None).cast("bigint")), *[F.array_distinct(f"prints{n}") for n in lengths])))
+
+    own = all_prints(worded.select("doc_id", "text_hash", "words", F.size("words").cast("bigint").alias("n_words"))).select("doc_id", "text_hash", "n_words", "print")
+    own = own.join(side.withColumn("known", F.lit(1)), "print", "left").where(F.col("print").isNull() | F.col("known").isNotNull())
+    found = own.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("print").isNull()).alias("copies"), F.coalesce(F.max("known"), F.lit(0)).alias("known"))
+    found = materialise(found, "found")
 
     # Extend the hits: read the documents met again, and look at their windows that have a fingerprint met.
-    again = sources.distinct().join(found.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).drop("_id", "_hash")
-    again = again.withColumn("words", words_of(F.col("text"))).drop("text")
+    touched = found.where("known = 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    touched = F.broadcast(touched) if touched.count() <= BROADCAST_TOUCHED else touched
+    again = worded.join(touched, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text_hash", "words")
+    again = materialise(again.dropDuplicates(["doc_id", "text_hash"]), "again")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     hits = []
     for length in lengths:
-        own = with_windows(again.where(F.col("len") == length), length)
-        own = own.withColumn("at", F.filter(F.sequence(F.lit(0), F.greatest(F.size("prints") - 1, F.lit(0))), lambda i: F.array_contains("met", F.get("prints", i))))
+        seeds = window_prints(again, length, gram, "prints").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.posexplode_outer("prints").alias("at", "print"))
+        seeds = seeds.join(side, "print").groupBy("_id", "_hash").agg(F.collect_list("at").alias("at"))
+        own = again.join(seeds, same).withColumn("len", F.lit(length))
         texts = F.transform("at", lambda i: F.struct(i.alias("at"), F.array_join(F.slice("words", i + 1, length), " ").alias("window")))
         hits.append(own.select("doc_id", "text_hash", "len", F.explode_outer(texts).alias("w")).select("doc_id", "text_hash", "len", "w.at", "w.window"))
     hits = reduce(DataFrame.unionByName, hits).join(named, ["len", "window"])
@@ -100,5 +118,6 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", i
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("reach"))
     covered = F.aggregate("spans", start, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["at"], s["reach"]))).cast("bigint").alias("n"), F.greatest(s["reach"], x["end"]).alias("reach")), lambda s: s["n"])
     per_doc = materialise(per_doc.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), covered.alias("n_hit"), "item_ids"), "hits")
-    joined = counted.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    joined = each.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "text_hash")
