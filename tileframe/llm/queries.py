@@ -108,5 +108,30 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
 """
 
 
+OP4_SQL = """
+WITH RECURSIVE steps AS (SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i) UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+d AS (SELECT doc_id, coalesce('=' || source, '') AS s, octet_length(encode(coalesce(text, ''))) + 16 AS size, ('0x' || substr(md5(concat_ws(':', '42', doc_id)), 1, 10))::BIGINT AS h,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT)) AS bytes FROM documents),
+c AS (SELECT doc_id, s, size, h, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+f AS (SELECT *, (2 * row_number() OVER (PARTITION BY s ORDER BY h, doc_id) - 1) / (2.0::DOUBLE * count(*) OVER (PARTITION BY s)) AS f FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY f, s, h, doc_id) - 1 AS p, count(*) OVER () AS n FROM f)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(p * 40 // n AS INTEGER) AS shard, CAST(p - (p * 40 // n * n + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
+n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(g) AS t FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
+SELECT doc_id, n AS n_shingles, root AS component_id FROM n JOIN (SELECT node, min(root) AS root FROM r GROUP BY 1) ON node = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_top_k": OP3_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_top_k": OP3_SQL, "op4_shards": OP4_SQL, "op6_ngram_jaccard": OP6_SQL}
