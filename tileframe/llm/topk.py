@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_ROWS = 512
-CHUNK_ROWS = 8192
+QUERY_ROWS = 256
+CHUNK_ROWS = 2048
 
 
 def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -37,6 +37,14 @@ def resolutions(dim: int) -> list[int]:
     return sorted({max(1, min(dim, n)) for n in (4, 8, 16)})
 
 
+def pieces(n: int, size: int = 65_536) -> list[slice]:
+    return [slice(at, at + size) for at in range(0, n, size)]
+
+
+def pair_products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a[i], b[j])
+
+
 def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of queries and rows with their scores: at least the k best of each query (ties with the k-th included)."""
     levels = resolutions(queries.shape[1])
@@ -44,25 +52,21 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, r
     norm_q, norm_r = (queries**2).sum(1), (rows**2).sum(1)
     slack = 1e-9 * (1 + norm_q.max() + norm_r.max())
 
-    def bound(n: int, qi: np.ndarray | None = None, ri: np.ndarray | None = None) -> np.ndarray:
-        # half of (|q|^2 + |r|^2 - lower bound of the squared distance) is the product of the statistics plus what they leave of the norms, which is nothing
-        a, b = segment_statistics(queries, n), segment_statistics(rows, n)
-        return (a @ b.T if qi is None else np.einsum("ij,ij->i", a[qi], b[ri])) + slack
-
-    best = np.where(own, -np.inf, bound(levels[0]))
+    # Half of (|q|^2 + |r|^2 - least squared distance) is the product of the statistics.
+    best = segment_statistics(queries, levels[0]) @ segment_statistics(rows, levels[0]).T + slack
+    best[own] = -np.inf
     m = min(k, len(rows))
     first = np.argpartition(-best, m - 1, axis=1)[:, :m]
     exact = np.einsum("qd,qmd->qm", queries, rows[first])
     exact[np.take_along_axis(own, first, 1)] = -np.inf
     floor = exact.min(1)  # -inf if there are fewer than k candidates
     qi, ri = np.nonzero((best >= floor[:, None]) & ~own)
+    del best
     for n in levels[1:]:
-        keep = bound(n, qi, ri) >= floor[qi]
+        a, b = segment_statistics(queries, n), segment_statistics(rows, n)
+        keep = np.concatenate([pair_products(a, b, qi[s], ri[s]) + slack >= floor[qi[s]] for s in pieces(len(qi))] or [np.empty(0, bool)])
         qi, ri = qi[keep], ri[keep]
-    score = np.empty(len(qi))
-    for at in range(0, len(qi), 65_536):
-        part = slice(at, at + 65_536)
-        score[part] = np.einsum("ij,ij->i", queries[qi[part]], rows[ri[part]])
+    score = np.concatenate([pair_products(queries, rows, qi[s], ri[s]) for s in pieces(len(qi))] or [np.empty(0)])
     order = np.lexsort((row_ids[ri], -score, qi))
     qi, ri, score = qi[order], ri[order], score[order]
     rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
