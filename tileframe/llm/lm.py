@@ -2,7 +2,7 @@
 
 Tokens are ids of a public byte-level BPE vocabulary (its path is a parameter), so the unigram table has at most as many rows as the
 vocabulary and is broadcast under that bound, and a bigram is one exact integer. Bigrams are exploded and pre-aggregated per
-Arrow batch of documents into postings (bigram, documents, counts); postings are dealt by bigram, their counts summed there, and each
+batch of documents into postings (bigram, places in the batch, counts); postings are dealt by bigram, their counts summed there, and each
 posting turned into document terms, which are summed per document.
 
 A table keeps bigrams seen ``min_count`` times or more in all documents. The score of a token after another is
@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 
 from tileframe.llm.bpe import worker_bpe
 from tileframe.llm.common import materialise
+from tileframe.llm.tokens import arrow_texts
 
 #: Ids are below this, so that a bigram is first * BASE + second.
 BASE = 1 << 17
 BATCH_TOKENS = 4_000_000
+#: Marks the row that lists a batch's documents; unigrams are -1 - id.
+OWNERS = -(1 << 40)
 
 
 def lm_scores(docs: DataFrame, tokenizer_path: str, min_count: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,64 +38,71 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, min_count: int = 2, alpha: f
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         bpe = worker_bpe(tokenizer_path)
+        first_batch = TaskContext.get().partitionId() << 20
         unigrams = np.zeros(BASE, "int64")
         held: list[np.ndarray] = []
         owners: list[int] = []
+        flushed = size = 0
+
+        def rows_of(gram, n, batch, docs, times, owned) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(n, pa.int64()), pa.array(np.full(len(gram), batch, "int64")), docs, times, owned], ["gram", "n", "batch", "docs", "times", "owners"])
+
+        def lists(offsets, values, kind) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(np.asarray(offsets, "int32")), pa.array(np.asarray(values), kind))
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
+            nonlocal unigrams
+            batch = first_batch + flushed
             lengths = np.array([len(x) for x in held])
             tokens, doc = np.concatenate(held).astype("int64"), np.repeat(np.arange(len(held)), lengths)
+            unigrams += np.bincount(tokens, minlength=BASE)
             same = doc[:-1] == doc[1:]
-            pair = (tokens[:-1] * BASE + tokens[1:])[same]
-            packed = pair * (1 << 20) + doc[1:][same]
+            packed = (tokens[:-1] * BASE + tokens[1:])[same] << 20 | doc[1:][same]
             packed.sort()
             first = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]])) if len(packed) else np.empty(0, "int64")
             times = np.diff(np.append(first, len(packed)))
             packed = packed[first]
             pair, doc = packed >> 20, packed & ((1 << 20) - 1)
             start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.empty(0, "int64")
-            offsets = pa.array(np.append(start, len(pair)).astype("int32"))
             total = np.add.reduceat(times, start) if len(start) else np.empty(0, "int64")
-            ids = np.array(owners, "int64")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pair[start]), pa.array(total.astype("int64")), pa.ListArray.from_arrays(offsets, pa.array(ids[doc])), pa.ListArray.from_arrays(offsets, pa.array(times.astype("int32")))],
-                ["gram", "n", "rows", "times"],
-            )
-
-        size = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                for row, ids in zip(part.column("row").to_pylist(), bpe.texts(texts), strict=True):
-                    tokens = np.frombuffer(ids, "<i4")
-                    unigrams += np.bincount(tokens, minlength=BASE)
-                    if len(tokens):
-                        held.append(tokens)
-                        owners.append(row)
-                        size += len(tokens)
-                if size > BATCH_TOKENS or len(held) > 1_000_000:
-                    yield from flush()
-                    held, owners, size = [], [], 0
-        yield from flush()
+            offsets = np.append(start, len(pair))
+            none = lists(np.zeros(len(start) + 1), [], pa.int64())
+            yield rows_of(pair[start], total, batch, lists(offsets, doc.astype("int32"), pa.int32()), lists(offsets, times.astype("int32"), pa.int32()), none)
+            # The places of a batch's documents, once for each batch.
+            empty = lists([0, 0], [], pa.int32())
+            yield rows_of([OWNERS], [len(owners)], batch, empty, empty, lists([0, len(owners)], owners, pa.int64()))
+
+        for part, texts in arrow_texts(batches, "text", 256):
+            for row, ids in zip(part.column("row").to_pylist(), bpe.texts(texts), strict=True):
+                tokens = np.frombuffer(ids, "<i4")
+                if len(tokens):
+                    held.append(tokens)
+                    owners.append(row)
+                    size += len(tokens)
+            if size > BATCH_TOKENS or len(held) > 1_000_000:
+                yield from flush()
+                held, owners, size, flushed = [], [], 0, flushed + 1
+        if held:
+            yield from flush()
         used = np.flatnonzero(unigrams)
-        none = pa.ListArray.from_arrays(pa.array(np.zeros(len(used) + 1, "int32")), pa.array(np.empty(0, "int64")))
-        zero = pa.ListArray.from_arrays(pa.array(np.zeros(len(used) + 1, "int32")), pa.array(np.empty(0, "int32")))
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - used), pa.array(unigrams[used]), none, zero], ["gram", "n", "rows", "times"])
+        zero = lists(np.zeros(len(used) + 1), [], pa.int32())
+        yield rows_of(-1 - used, unigrams[used], 0, zero, zero, lists(np.zeros(len(used) + 1), [], pa.int64()))
 
-    made = materialise(rows.select("row", "text").mapInArrow(postings, "gram bigint, n bigint, rows array<bigint>, times array<int>"), "postings")
-    unigrams = materialise(made.where("gram < 0").groupBy((-1 - F.col("gram")).alias("token")).agg(F.sum("n").alias("n")), "unigrams")
+    made = materialise(rows.select("row", "text").mapInArrow(postings, "gram bigint, n bigint, batch bigint, docs array<int>, times array<int>, owners array<bigint>"), "postings")
+    unigrams = materialise(made.where(F.col("gram").between(-BASE, -1)).groupBy((-1 - F.col("gram")).alias("token")).agg(F.sum("n").alias("n")), "unigrams")
     all_tokens = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     table = F.broadcast(unigrams)  # at most as many rows as the vocabulary has
-    grams = made.where("gram >= 0").withColumn("total", F.sum("n").over(Window.partitionBy("gram")))
+    grams = made.where("gram >= 0").drop("owners").withColumn("total", F.sum("n").over(Window.partitionBy("gram")))
     grams = grams.withColumn("first", F.shiftright("gram", 17)).withColumn("second", F.col("gram").bitwiseAND(BASE - 1))
     grams = grams.join(table.select(F.col("token").alias("first"), F.col("n").alias("n_first")), "first").join(table.select(F.col("token").alias("second"), F.col("n").alias("n_second")), "second")
     term = F.when(F.col("total") >= min_count, F.log(F.col("total") / F.col("n_first"))).otherwise(F.log(F.lit(alpha) * F.col("n_second") / F.lit(float(max(1, all_tokens)))))
-    terms = grams.select(F.explode(F.arrays_zip("rows", "times")).alias("p"), term.alias("term")).select(F.col("p.rows").alias("row"), F.col("p.times").alias("times"), "term")
-    sums = terms.groupBy(F.col("row").alias("_row")).agg(F.sum(F.col("times") * F.col("term")).alias("_sum"), F.sum("times").alias("_n"))
+    terms = grams.select("batch", F.explode(F.arrays_zip("docs", "times")).alias("p"), term.alias("term"))
+    sums = terms.groupBy("batch", F.col("p.docs").alias("place")).agg(F.sum(F.col("p.times") * F.col("term")).alias("_sum"), F.sum("p.times").alias("_n"))
+    places = made.where(F.col("gram") == OWNERS).select("batch", F.posexplode("owners").alias("place", "_row"))
+    sums = sums.join(places, ["batch", "place"]).groupBy("_row").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
     copies = rows.groupBy("row").agg(F.count("*").alias("_copies"))
     sums = sums.join(copies, F.col("_row") == F.col("row")).drop("row")
     out = rows.drop("text").join(sums, F.col("row") == F.col("_row"), "left")
