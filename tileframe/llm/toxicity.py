@@ -73,24 +73,28 @@ def fit(rows: list[tuple[str | None, int]], dim: int = 4, epochs: int = 60, rate
 
     Words of fewer than min_texts sample texts teach nothing (when scoring, every word counts).
     """
-    bags = [(Counter(words(text)), int(label)) for text, label in rows]
-    lengths_of = [sum(b.values()) for b, _ in bags]
-    often = Counter(w for b, _ in bags for w in b)
+    # Texts are read twice, so that the bags of rare words are never held.
+    often: Counter = Counter()
+    for text, _ in rows:
+        often.update(set(words(text)))
     least = min(min_texts, max(1, len(rows) // 200))
-    bags = [({w: n / total for w, n in b.items() if often[w] >= least}, y) for (b, y), total in zip(bags, lengths_of, strict=True)]
-    bags = [x for x in bags if x[0]]
-    labels = np.array([y for _, y in bags], "float32")
+    ids = {w: k for k, w in enumerate(sorted(w for w, n in often.items() if n >= least))}
+    del often
+    sizes, columns, shares, classes = [], [], [], []
+    for text, label in rows:
+        found = words(text)
+        bag = Counter(ids[w] for w in found if w in ids)
+        if bag:
+            sizes.append(len(bag))
+            columns.append(np.fromiter(bag, "int64", len(bag)))
+            shares.append(np.fromiter(bag.values(), "float32", len(bag)) / len(found))
+            classes.append(int(label))
+    labels = np.array(classes, "float32")
     total = len(rows)
     prior = math.log((sum(int(y) for _, y in rows) + 0.5) / (total - sum(int(y) for _, y in rows) + 0.5)) if total else math.log(0.05)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, "float32"), prior)
-    ids: dict[bytes, int] = {}
-    for bag, _ in bags:
-        for word in bag:
-            ids.setdefault(word, len(ids))
-    sizes = np.array([len(b) for b, _ in bags])
-    counts = np.concatenate([np.fromiter(b.values(), "float32", len(b)) for b, _ in bags])
-    docs = Rows(sizes, np.concatenate([np.fromiter((ids[w] for w in b), "int64", len(b)) for b, _ in bags]), counts, len(ids))
+    docs = Rows(np.array(sizes), np.concatenate(columns), np.concatenate(shares), len(ids))
     parts = [subwords(w) for w in ids]
     lengths = np.array([len(p) for p in parts])
     bag_of = Rows(lengths, np.concatenate([np.array(p) for p in parts]), np.repeat(1 / lengths, lengths), BUCKETS)
