@@ -290,6 +290,10 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_co
     found = materialise(near_duplicates(docs, width, num, den, id_col, text_col).select("doc_id", "text_hash", "component"), "found")
     best = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.doc_id", "x.text_hash")
     stay = best.unionByName(found.where(F.col("component").isNull()).select("doc_id", "text_hash").distinct()).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    stay = materialise(stay, "stay")
+    stay = F.broadcast(stay) if stay.count() <= BROADCAST_NODES else stay
     hashed = docs.withColumn("__text_hash", F.xxhash64(text_col))
     kept = hashed.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
-    return kept.dropDuplicates([id_col, "__text_hash"]).select(*docs.columns)
+    if not found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "__text_hash"])
+    return kept.select(*docs.columns)
