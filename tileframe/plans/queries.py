@@ -578,3 +578,91 @@ def probability_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalised_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = pixels(spark, sf_dir).groupBy("tile_id").agg(F.avg(normalise(F.col("v"))).alias("mean"), F.count_if(gate(F.col("v"))).alias("d"), F.count("*").alias("n"))
     return g.select("tile_id", F.round("mean", 9).alias("mean"), pct(F.col("d"), F.col("n"), 4).cast("double").alias("dark"))
+
+
+# More of the counting, pairing and governance operators
+
+
+@query(f"WITH {PX} SELECT target AS class_id, count(*) AS pixels, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM px GROUP BY 1")
+def prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.prevalence(pixels(spark, sf_dir)))
+
+
+@query(f"WITH {PX}, {CM} SELECT tile_id, CAST(true_id = 2 AS INTEGER) AS true_id, CAST(pred_id = 2 AS INTEGER) AS pred_id, CAST(sum(n) AS BIGINT) AS n FROM cm GROUP BY ALL")
+def merged_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.merge_classes(metrics.confusion(pixels(spark, sf_dir)), metrics.PORE_VS_MINERAL)
+
+
+@query(f"WITH {METRICS_SQL}, w AS (SELECT *, support / (sum(support) OVER (PARTITION BY tile_id) + 1e-8) AS w FROM (SELECT tile_id, support, tp / (tp + fp + fn + 1e-8) AS iou FROM k)) SELECT tile_id, round(sum(w * iou), 9) AS frequency_iou, round(avg(iou), 9) AS mean_iou FROM w GROUP BY 1")
+def frequency_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.frequency_weighted(metrics.class_metrics(metrics.confusion(pixels(spark, sf_dir)), undefined="eps")))
+
+
+@query(f"WITH {PX}, {SPLITS}, p AS (SELECT series, target AS t, pred AS q FROM px JOIN splits USING (tile_id)), i AS (SELECT series, class_id, coalesce(count(*) FILTER (t = class_id AND q = class_id) / nullif(count(*) FILTER (t = class_id OR q = class_id), 0), 0) AS v FROM p, (SELECT unnest([0, 1]) AS class_id) GROUP BY ALL), g AS (SELECT series, max(v) FILTER (class_id = 0) AS a, max(v) FILTER (class_id = 1) AS b FROM i GROUP BY 1) SELECT round(avg(a), 9) AS c0_iou, round(avg(b), 9) AS c1_iou, round(avg(2 * a * b / (a + b + 1e-8)), 9) AS harmonic_iou, count(*) AS groups FROM g")
+def series_mean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cm = metrics.confusion(pixels(spark, sf_dir)).join(splits(spark, sf_dir).select("tile_id", "series"), "tile_id")
+    return rounded(metrics.group_metrics(cm, "series"))
+
+
+@query("SELECT c_custkey, ordinal FROM (SELECT o_custkey AS c_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS ordinal FROM orders)")
+def order_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
+    return integers(selection.ordinal(o, ["o_orderdate", "o_orderkey"], ["c_custkey"]), ["ordinal"]).select("c_custkey", "ordinal")
+
+
+@query("SELECT o_custkey AS k, CAST(min(o_orderkey % 7) AS BIGINT) AS least, CAST(max(o_orderkey % 7) AS BIGINT) AS most, count(*) AS n FROM orders GROUP BY 1 HAVING min(o_orderkey % 7) <> 1 OR max(o_orderkey % 7) <> count(*) OR count(DISTINCT o_orderkey % 7) <> count(*)")
+def contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 7).alias("ordinal"))
+    return selection.check_contiguous(o, ["k"])
+
+
+@query("WITH s AS (SELECT s_name, row_number() OVER (ORDER BY s_name) - 1 AS k, count(*) OVER () AS t FROM supplier) SELECT s_name FROM s WHERE t <= 5 OR k IN (SELECT floor(i * (t - 1) / 4.0::DOUBLE) FROM range(5) r(i))")
+def spread_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.spread_sample(table(spark, sf_dir, "supplier").select("s_name"), 5, "s_name")
+
+
+@query("""SELECT CASE WHEN b.k IS NULL THEN a.k ELSE b.k END AS name, CASE WHEN a.k IS NULL THEN 'mask only' ELSE 'file only' END AS finding FROM (SELECT DISTINCT p_name AS k FROM part WHERE p_partkey % 2 = 0 AND (p_name LIKE 's%' OR p_name LIKE 'l%')) a FULL JOIN (SELECT DISTINCT p_name AS k FROM part WHERE p_partkey % 3 = 0 AND (p_name LIKE 's%' OR p_name LIKE 'l%')) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
+def held_out_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_partkey")
+    return pairing.discover(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0"), ["s", "l"])
+
+
+@query("SELECT page_id AS path, sha256(html) AS a_sha256, sha256(html || 'x') AS b_sha256 FROM pages WHERE page_id % 9 = 0 AND html IS NOT NULL")
+def byte_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("content"))
+    b = p.withColumn("content", F.when(F.col("path") % 9 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")))
+    return audit.diff_bytes(p, b)
+
+
+@query("""SELECT p_partkey AS k, 'p_size' AS "column", 'not positive' AS finding FROM part WHERE p_size % 7 = 0 UNION ALL SELECT p_partkey, 'p_discount', 'not unit' FROM part WHERE p_retailprice / 1000 NOT BETWEEN 0 AND 1""")
+def record_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 7).alias("p_size"), (F.col("p_retailprice") / 1000).alias("p_discount"), F.col("p_name"))
+    return audit.check_records(p, {"p_size": "positive", "p_discount": "unit", "p_name": "text"}, "k")
+
+
+@query("SELECT p_brand, p_type, count(*) AS copies FROM part GROUP BY 1, 2")
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    return audit.dedupe_by_identity(p, ["p_partkey"]).select("p_brand", "p_type", "copies")
+
+
+@query("SELECT url AS path, 'forbidden path' AS finding FROM pages WHERE url LIKE '%/fr/%' UNION ALL SELECT url, 'unsafe path' FROM pages")
+def path_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_paths(table(spark, sf_dir, "pages"), ["*/fr/*"], path="url")
+
+
+@query("SELECT o_orderpriority AS candidate, count(*) FILTER (o_orderstatus = 'F') AS successes, count(*) FILTER (o_orderstatus <> 'F') AS failures FROM orders GROUP BY 1")
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("candidate"), F.col("o_orderkey").alias("seed"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("failure").alias("outcome"))
+    return selection.outcome_summary(o).drop("failed_seeds")
+
+
+@query()
+def boundary_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(distance.boundary_weights(pixels(spark, sf_dir)).select("tile_id", "y", "x", "boundary_weight", "band"))
+
+
+@query()
+def curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir)
+    return rounded(compare.curriculum(px.select("tile_id").distinct(), compare.difficulty(px), 20, 60))
