@@ -86,17 +86,24 @@ def erode(px: DataFrame, k: int, mask: str = "mask") -> DataFrame:
     return a.withColumn(mask, F.sum("_a").over(_window("y", k)) == k).drop("_a")
 
 
+def _square(px: DataFrame, k: int, value: str, name: str, largest: bool) -> DataFrame:
+    """The greatest or least value of the k x k square. Both orders of passes count, so that no pixel is missed next to a ragged edge."""
+    pick, merge = (F.max, F.greatest) if largest else (F.min, F.least)
+    a = px.withColumns({"_sx": pick(value).over(_window("x", k)), "_sy": pick(value).over(_window("y", k))})
+    a = a.withColumn("_sx", pick("_sx").over(_window("y", k))).withColumn("_sy", pick("_sy").over(_window("x", k)))
+    return a.withColumn(name, merge("_sx", "_sy")).drop("_sx", "_sy")
+
+
 def dilate(px: DataFrame, k: int, mask: str = "mask") -> DataFrame:
-    a = px.withColumn("_a", F.max(F.col(mask).cast("int")).over(_window("x", k)))
-    return a.withColumn(mask, F.max("_a").over(_window("y", k)) == 1).drop("_a")
+    a = _square(px.withColumn("_on", F.col(mask).cast("int")), k, "_on", "_most", True)
+    return a.withColumn(mask, F.col("_most") == 1).drop("_on", "_most")
 
 
 def close(px: DataFrame, k: int, mask: str = "mask") -> DataFrame:
     """Dilation, then erosion that counts what lies outside the tile as set."""
     d = dilate(px, k, mask)
-    for axis in ("x", "y"):
-        d = d.withColumn(mask, F.min(F.col(mask).cast("int")).over(_window(axis, k)) == 1)
-    return d
+    d = _square(d.withColumn("_on", F.col(mask).cast("int")), k, "_on", "_least", False)
+    return d.withColumn(mask, F.col("_least") == 1).drop("_on", "_least")
 
 
 def boundary(px: DataFrame, mask: str, name: str = "boundary") -> DataFrame:
@@ -107,9 +114,7 @@ def boundary(px: DataFrame, mask: str, name: str = "boundary") -> DataFrame:
 
 def extreme(px: DataFrame, k: int, value: str, name: str, largest: bool = True) -> DataFrame:
     """The greatest (or least) value of the k x k square, cut at the tile's edge."""
-    pick = F.max if largest else F.min
-    a = px.withColumn("_a", pick(value).over(_window("x", k)))
-    return a.withColumn(name, pick("_a").over(_window("y", k))).drop("_a")
+    return _square(px, k, value, name, largest)
 
 
 def smoothness(df: DataFrame, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
