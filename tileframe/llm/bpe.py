@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tileframe.llm.common import by_bytes
-from tileframe.llm.tokens import GROUP_CHARS, MEMORY_CHARS, MEMORY_PIECES, arrow_texts
+from tileframe.llm.tokens import GROUP_CHARS, MEMORY_CHARS, arrow_texts
 
 #: The published pre-tokenizer pattern of byte-level BPE (a fixed value).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,6 +33,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(others)) for b in range(256)]
 
 
+#: Distinct pieces, and distinct pretokens, remembered by a worker; when full, a memory starts anew.
+MEMORY_PIECES = 400_000
+
+
 class PairIndexBpe:
     def __init__(self, path: str):
         import regex
@@ -40,12 +44,17 @@ class PairIndexBpe:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab, letters = spec["model"]["vocab"], byte_letters()
-        self.of_byte = [vocab[x] for x in letters]
+        self.of_byte = np.array([vocab[x] for x in letters])
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self.ranks[vocab[left], vocab[right]] = (rank, vocab[left + right])
         self.pairs = list(self.ranks)
+        one = {vocab[x]: b for b, x in enumerate(letters)}
+        self.byte_pair_rank = np.full((256, 256), -1, "int32")
+        for (left, right), (rank, _) in self.ranks.items():
+            if left in one and right in one:
+                self.byte_pair_rank[one[left], one[right]] = rank
         byte_of = {x: b for b, x in enumerate(letters)}
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         size = 1 + max([*vocab.values(), *self.added.values()])
@@ -57,30 +66,30 @@ class PairIndexBpe:
         self.split_added = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.pretokens = regex.compile(PRETOKEN).findall
         self.known: dict[str, bytes] = {}
-
-    def merge_all(self, words: list[str]) -> list[list[int]]:
-        """Ids of each pretoken; the pair occurrence index covers them all."""
-        ranks, of_byte = self.ranks, self.of_byte
-        symbols: list[int] = []
-        ends: list[int] = []
-        index: dict[int, list[int]] = {}
-        after: list[int] = []
-        for word in words:
-            first = len(symbols)
-            symbols += [of_byte[b] for b in word.encode("utf-8", "surrogatepass")]
-            n = len(symbols)
-            after += range(first + 1, n + 1)
-            after[-1] = -1
-            ends.append(n)
-            for i in range(first, n - 1):
-                hit = ranks.get((symbols[i], symbols[i + 1]))
-                if hit is not None:
-                    index.setdefault(hit[0], []).append(i)
-        before = [-1, *range(len(symbols) - 1)]
-        start = 0
-        for end in ends:
-            before[start] = -1
-            start = end
+        self.words: dict[str, bytes] = {}
+
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """Ids of each pretoken as little-endian 32-bit bytes; the pair occurrence index covers them all."""
+        ranks = self.ranks
+        coded = [word.encode("utf-8", "surrogatepass") for word in words]
+        flat = np.frombuffer(b"".join(coded), "uint8")
+        ends = np.cumsum([len(x) for x in coded])
+        last = ends - 1
+        pair_ranks = np.full(len(flat), -1, "int64")
+        pair_ranks[:-1] = self.byte_pair_rank[flat[:-1], flat[1:]]
+        pair_ranks[last] = -1
+        at = np.flatnonzero(pair_ranks >= 0)
+        order = np.argsort(pair_ranks[at], kind="stable")
+        found, starts = np.unique(pair_ranks[at][order], return_index=True)
+        index: dict[int, list[int]] = {int(r): x.tolist() for r, x in zip(found, np.split(at[order], starts[1:]), strict=True)} if len(at) else {}
+        symbols: list[int] = self.of_byte[flat].tolist()
+        places = np.arange(len(flat))
+        after_ = places + 1
+        after_[last] = -1
+        before_ = places - 1
+        before_[ends - [len(x) for x in coded]] = -1
+        after: list[int] = after_.tolist()
+        before: list[int] = before_.tolist()
         active = list(index)
         heapq.heapify(active)
         while active:
@@ -110,17 +119,25 @@ class PairIndexBpe:
                             index[hit[0]] = []
                             heapq.heappush(active, hit[0])
                         index[hit[0]].append(h)
-        out, start = [], 0
-        for end in ends:
-            out.append([x for x in symbols[start:end] if x >= 0])
-            start = end
-        return out
+        done = np.array(symbols, "<i4")
+        left_over = done >= 0
+        whole = done[left_over].tobytes()
+        stops = (np.cumsum(left_over)[last] * 4).tolist()
+        return [whole[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)]
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         cut = [self.pretokens(piece) for piece in pieces]
-        words = list(set().union(*cut))
-        ids = dict(zip(words, (np.array(x, "<i4").tobytes() for x in self.merge_all(words)), strict=True)) if words else {}
-        return [b"".join([ids[x] for x in parts]) for parts in cut]
+        if len(self.words) > MEMORY_PIECES:
+            self.words = {}
+        known = self.words
+        new = [x for x in set().union(*cut) - known.keys() if x]
+        fresh = dict(zip(new, self.merge_all(new), strict=True)) if new else {}
+        known.update(fresh)
+        out = [b"".join([known[x] for x in parts]) for parts in cut]
+        for word in new:
+            if len(word) > MEMORY_CHARS:
+                del known[word]
+        return out
 
     @staticmethod
     def pieces(text: str) -> list[str]:
