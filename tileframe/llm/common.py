@@ -38,10 +38,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo folds; NULL keys go to fold 0 of an empty string."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
