@@ -5,7 +5,7 @@ import math
 import zlib
 
 import corpus_pipeline
-from tests.llm.test_text_operators import SF, brute_components, brute_hits, library
+from tests.llm.test_text_operators import SF, brute_components, brute_hits, library, near_copies
 from tileframe.llm import toxicity
 
 
@@ -44,3 +44,14 @@ def test_pipeline(spark):
             want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest())
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want and len(want) > 100
+
+
+def test_near_copies_at_the_required_similarity(spark):
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("text is not null")
+    docs = given.unionByName(spark.createDataFrame(near_copies(12, 5, 120, 5), "doc_id bigint, text string"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    required = brute_components(rows, 5, 8, 10)
+    want = {c for _, n, c in required if n} | {i for i, n, _ in required if not n}
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert {r.doc_id for r in got} == want and len(got) == len(want)
+    assert want != {c for _, _, c in brute_components(rows, 3, 90, 100)}
