@@ -172,6 +172,19 @@ def test_ngram_jaccard_join(spark, docs, rows, width, num, den, monkeypatch):
     assert len(kept) == len({c for _, n, c in want if n}) + len({(i, x) for (i, x), (_, n, _) in zip([(i, x) for i, x, _ in rows] + more, want, strict=True) if not n})
 
 
+@pytest.mark.parametrize("width,num,den,group", [(3, 90, 100, 16), (5, 8, 10, 16), (5, 8, 10, 256)])
+def test_every_link_counts(spark, docs, rows, width, num, den, group, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP", group)
+    more = near_copies(60, 1) + near_copies(40, 2, 30, 4) + near_copies(30, 3, 8, 2) + [(10**7 + k, f"same line again {k % 3}") for k in range(12)]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    sets = []
+    for i, text in [(i, x) for i, x, _ in rows] + more:
+        w = ascii_words(text, r"[^\x20\x09-\x0D]+")
+        sets.append((i, {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()))
+    want = [(i, sum(bool(a and b) and den * len(a & b) >= num * len(a | b) for k, (_, b) in enumerate(sets) if k != n)) for n, (i, a) in enumerate(sets)]
+    assert bag((r.doc_id, r.n_links) for r in neardup.near_duplicates(every, width, num, den).collect()) == bag(want)
+
+
 def test_near_copies_of_nothing(docs):
     assert neardup.near_duplicates(docs.where("false")).collect() == []
     assert bag(r.n_shingles for r in neardup.near_duplicates(docs.where("text = ''")).collect()) == {0: 1}

@@ -1,15 +1,14 @@
-"""N-gram Jaccard join: links between documents whose word-shingle sets overlap enough, by signature trees.
+"""N-gram Jaccard join: all links between documents whose word-shingle sets overlap enough.
 
 A document's set is its distinct shingles of ``width`` words (A-Z lowered, words between ASCII white space); with fewer words, the
 whole sequence as one; without words or text it is empty and linked with nothing. Sets are compared as 64-bit shingle hashes. Equal sets
 are one node. Two nodes link when den * intersection >= num * union.
 
-Which nodes can link at all comes from an exact filter. Sets that link differ in at most H shingles, a bound by their sizes, so
-if hashes are dealt into H + 2 parts, two parts at least agree. Nodes that share a part (or two empty parts) form blocks. A block's
-sets go into a signature tree: leaves are sets, nodes hold OR-combined bitmaps, size ranges and, where it is one, the component
-found so far. A dual traversal drops node pairs whose largest possible overlap is too small, or that are of one component already.
-Blocks beyond GROUP members are cut into chunks: each is joined in itself, the representatives of what was found are joined, and what
-is still apart from the largest component of its block is held against all its chunks, so no link is lost.
+Which nodes can link at all comes from an exact filter, size class by size class: a pair belongs to the class of its larger set, where
+sets that link differ in at most H shingles. If hashes are dealt into H + 1 + S parts, S + 1 at least agree, so two sets share a part that
+has shingles unless both have more than S empty parts; those share a pair of empty parts. S is chosen so that few sets have as many. Nodes
+that share a key of a class form a block. In a block the overlaps of all pairs are counted exactly; blocks beyond GROUP members are cut
+into chunks, and each pair of chunks is a group of its own, so every link between different sets is found once.
 
 Rows keep their place: one row out for each row in, repeated ids and rows included. component_id is the least id of the rows
 of linked nodes (NULL ids count only where there are no others); for an empty set it is the row's own id.
@@ -17,12 +16,13 @@ of linked nodes (NULL ids count only where there are no others); for an empty se
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tileframe.llm.common import materialise
@@ -31,8 +31,8 @@ from tileframe.llm.components import components
 GROUP = 256
 #: Nodes in blocks, up to this number, are broadcast to pick their texts (24 bytes each); beyond it the join is dealt out.
 BROADCAST_NODES = 1_000_000
-BITS = 2048
-FANOUT = 8
+#: Shingles counted at a time.
+SLAB = 4096
 MEMORY_WORDS = 500_000
 
 
@@ -72,21 +72,30 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 class Classes:
     """Size classes with the number of parts of each, for a similarity of num / den."""
 
-    def __init__(self, num: int, den: int, ratio: float = 1.5):
+    def __init__(self, num: int, den: int, ratio: float = 1.2):
         self.num, self.den = num, den
         self.starts = [1]
         while self.starts[-1] < 1 << 40:
             self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * ratio)))
-        most = [2 * (x - 1) * (den - num) // (den + num) for x in self.starts[1:]]
-        self.parts = [h + 2 if h else 0 for h in most]  # 0: only equal sets link
+        self.parts, self.spare = [], []
+        for low, up in zip(self.starts, self.starts[1:], strict=False):
+            h = 2 * (up - 1) * (den - num) // (den + num)
+            least, spare = -(-low * num // den), 1
+            for _ in range(20):
+                empty = (h + 1 + spare) * math.exp(-least / (h + 1 + spare))
+                spare = min(h + 1, max(spare, math.ceil(empty + 3 * math.sqrt(empty))))
+            self.parts.append(h + 1 + spare if h else 0)  # 0: only equal sets link
+            self.spare.append(spare)
+
+    def home(self, size: int) -> int:
+        return int(np.searchsorted(self.starts, size, "right")) - 1
 
     def of(self, size: int) -> list[int]:
         """The class of a set as the larger one of a pair, then those where it can be the smaller one."""
-        first = int(np.searchsorted(self.starts, size, "right")) - 1
-        last = int(np.searchsorted(self.starts, size * self.den // self.num, "right")) - 1
-        return [c for c in range(first, last + 1) if self.parts[c]]
+        return [c for c in range(self.home(size), self.home(size * self.den // self.num) + 1) if self.parts[c]]
 
     def keys(self, h: np.ndarray) -> np.ndarray:
+        """The last eight bits of a key are its class."""
         out = []
         for c in self.of(len(h)):
             n = self.parts[c]
@@ -94,11 +103,12 @@ class Classes:
             order = np.argsort(dealt, kind="stable")
             full, at = np.unique(dealt[order], return_index=True)
             sums = np.add.reduceat(mix(h + np.uint64(c + 1))[order], at)
-            out.append(mix(sums + mix(np.uint64(c << 32) + full.astype("uint64"))))
-            empty = np.setdiff1d(np.arange(n), full)
-            if len(empty) > 1:
+            found = [mix(sums + mix(np.uint64(c << 32) + full.astype("uint64")))]
+            if n - len(full) > self.spare[c]:
+                empty = np.setdiff1d(np.arange(n), full)
                 i, j = np.triu_indices(len(empty), 1)
-                out.append(mix(mix(np.uint64((c << 32) + 7) + empty[i].astype("uint64")) * np.uint64(3) + empty[j].astype("uint64")))
+                found.append(mix(mix(np.uint64((c << 32) + 7) + empty[i].astype("uint64")) * np.uint64(3) + empty[j].astype("uint64")))
+            out.append(np.concatenate(found) & ~np.uint64(255) | np.uint64(c))
         return np.concatenate(out) if out else np.empty(0, "uint64")
 
 
@@ -127,162 +137,111 @@ def sets_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return with_hash.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node bigint, keys array<bigint>")
 
 
-class SignatureTree:
-    """Sets in order of size; each level groups FANOUT nodes of the one below."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        sizes = np.array([len(x) for x in sets])
-        words = BITS // 64
-        bitmaps = np.zeros((len(sets), words), "uint64")
-        surplus = np.zeros(len(sets), "int64")
-        for k, x in enumerate(sets):
-            bit = np.unique((x >> np.uint64(40)) % np.uint64(BITS))
-            surplus[k] = len(x) - len(bit)
-            np.bitwise_or.at(bitmaps[k], (bit >> np.uint64(6)).astype("int64"), np.uint64(1) << (bit & np.uint64(63)))
-        self.levels = [(bitmaps, sizes, sizes, surplus)]
-        while len(self.levels[-1][1]) > 1:
-            b, low, high, over = self.levels[-1]
-            cut = np.arange(0, len(low), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(over, cut)))
-
-
-class Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-
-def join_sets(sets: list[np.ndarray], groups: list[int], num: int, den: int, query: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links between sets of different groups, enough of them to join all that are linked; with query, only pairs of which one is marked.
-
-    groups: a number of the component that each set is known to be in.
-    """
-    order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), int(sets[k][0]) if len(sets[k]) else 0))
-    tree = SignatureTree([sets[k] for k in order])
-    union, first = Union(len(order)), {}
-    for k, n in enumerate(order):
-        root = first.setdefault(groups[n], k)
-        union.up[k] = union.find(root)
-    marked = np.array([True if query is None else query[n] for n in order])
-    spans = [marked]
-    for _ in tree.levels[1:]:
-        spans.append(np.maximum.reduceat(spans[-1], np.arange(0, len(spans[-1]), FANOUT)))
-    found: list[tuple[int, int]] = []
-    levels = tree.levels
-
-    def one(level: int, k: int) -> int:
-        """The component of all leaves below a node, or -1."""
-        width = FANOUT**level
-        roots = {union.find(x) for x in range(k * width, min(len(order), (k + 1) * width))}
-        return roots.pop() if len(roots) == 1 else -1
-
-    stack = [(len(levels) - 1, 0, 0)]
-    while stack:
-        level, a, b = stack.pop()
-        if a != b or level:
-            left = one(level, a)
-            if left >= 0 and left == (left if a == b else one(level, b)):
-                continue
-        if level == 0:
-            if a != b and (marked[a] or marked[b]):
-                x, y = tree.sets[a], tree.sets[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
-                    union.up[union.find(a)] = union.find(b)
-                    found.append((order[a], order[b]))
+def all_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Whether each two sets link, as a square of booleans; a set isn't linked with itself. Shingles of one set only can't overlap."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), "int64")
+    for at in range(0, int((times > 1).sum()), SLAB):
+        low, high = np.searchsorted(column, [at, at + SLAB])
+        has = np.zeros((len(sets), SLAB), "float32")
+        has[owner[low:high], column[low:high] - at] = 1
+        both += (has @ has.T).astype("int64")
+    links = den * both >= num * (sizes[:, None] + sizes[None, :] - both)
+    np.fill_diagonal(links, False)
+    return links
+
+
+def spanning(links: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that join what the links join, a star for each component."""
+    apart, found = np.ones(len(links), bool), []
+    for root in range(len(links)):
+        if not apart[root]:
             continue
-        bitmaps, low, high, over = levels[level - 1]
-        kids = len(low)
-        ka = np.arange(a * FANOUT, min(kids, (a + 1) * FANOUT))
-        kb = np.arange(b * FANOUT, min(kids, (b + 1) * FANOUT))
-        i, j = (x.ravel() for x in np.meshgrid(ka, kb, indexing="ij"))
-        if a == b:
-            i, j = i[i <= j], j[i <= j]
-        overlap = np.bitwise_count(bitmaps[i] & bitmaps[j]).sum(1).astype("int64") + np.minimum(over[i], over[j])
-        overlap = np.minimum(overlap, np.minimum(high[i], high[j]))
-        fits = (overlap * (den + num) >= num * (low[i] + low[j])) & (high[i] * den >= low[j] * num) & (high[j] * den >= low[i] * num) & (spans[level - 1][i] | spans[level - 1][j])
-        stack += [(level - 1, x, y) for x, y in zip(i[fits].tolist(), j[fits].tolist(), strict=True)]
+        apart[root], ring = False, np.array([root])
+        while len(ring):
+            ring = np.flatnonzero(links[ring].any(0) & apart)
+            apart[ring] = False
+            found += [(root, int(x)) for x in ring]
     return found
 
 
-def link(rows: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """Edges a, b between nodes of each group; rows has keys, node, component, wanted and the set as bytes."""
+def link(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Of each group block, i, j (chunks): edges a, b that join what is linked, and for each node a the rows n of the nodes it links with (b NULL).
+
+    A pair counts in the block of its larger set's class only; between two chunks, only pairs across them count.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node").drop_duplicates("node")
-        nodes = group["node"].tolist()
-        sets = [np.frombuffer(x, "uint64") for x in group["shingles"]]
-        edges = join_sets(sets, group["component"].tolist(), num, den, group["wanted"].tolist())
-        return pd.DataFrame({"a": [nodes[x] for x, _ in edges], "b": [nodes[y] for _, y in edges]}, dtype="int64")
+        nodes, copies, home, chunk = (group[x].to_numpy() for x in ("node", "n_copies", "home", "chunk"))
+        links = all_links([np.frombuffer(x, "uint64") for x in group["shingles"]], num, den)
+        links &= np.maximum(home[:, None], home[None, :]) == group["class"].iloc[0]
+        if group["i"].iloc[0] != group["j"].iloc[0]:
+            links &= chunk[:, None] != chunk[None, :]
+        edges, n = spanning(links), links @ copies
+        some = np.flatnonzero(n)
+        a = np.concatenate([nodes[[x for x, _ in edges]], nodes[some]]) if len(some) else nodes[:0]
+        b = [int(nodes[y]) for _, y in edges] + [None] * len(some)
+        return pd.DataFrame({"a": a, "b": pd.array(b, "Int64"), "n": [0] * len(edges) + n[some].tolist()})
 
-    return rows.select(*keys, "node", "component", "wanted", "shingles").groupBy(*keys).applyInPandas(run, "a bigint, b bigint")
+    return rows.select("block", "i", "j", "class", "chunk", "node", "n_copies", "home", "shingles").groupBy("block", "i", "j").applyInPandas(run, "a bigint, b bigint, n bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies (rows with an equal set), text_hash and component (NULL for an empty set) of each row of docs."""
+    """doc_id, n_shingles, component_id, n_copies (rows with an equal set), n_links (other rows it links with, equal sets included), text_hash and component (NULL for an empty set) of each row of docs."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialise(sets_of(plain, width, num, den), "sets")
     nodes = materialise(sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "text_hash")).alias("first")), "nodes")
 
-    # Blocks: nodes that share a key. Only the least node of a key is linked to, which joins the same nodes.
-    shared = sets.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high"))
-    shared = materialise(shared, "shared")
+    # Blocks: nodes that share a key of a class. Only the least node of a key is linked to, which joins the same nodes.
+    keyed = sets.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high"))
+    shared = materialise(shared.select("key", "low"), "shared")
     if shared.count() <= BROADCAST_NODES:
         shared = F.broadcast(shared)
-    edges = sets.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key")).join(shared.select("key", "low"), "key").where(F.col("node") != F.col("low")).select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    size_class = F.col("key").bitwiseAND(255)
+    met = materialise(keyed.join(shared, "key").select("node", "low", size_class.alias("class")).distinct(), "met")
+    edges = met.where(F.col("node") != F.col("low")).select(F.xxhash64("node", "class").alias("a"), F.xxhash64("low", "class").alias("b"))
     blocks = materialise(components(edges).withColumnRenamed("component", "block"), "blocks")
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("members"))
-    chosen = nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).join(blocks.join(sizes, "block"), "node")
-    chosen = materialise(chosen, "chosen")
+    large = materialise(blocks.groupBy("block").agg(F.count("*").alias("members")).where(F.col("members") > GROUP), "large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_NODES else large
+    placed = met.select("node", "class").distinct().withColumn("at", F.xxhash64("node", "class")).join(blocks.withColumnRenamed("node", "at"), "at").join(large, "block", "left")
+    chunks = F.coalesce(F.ceil(F.col("members") / GROUP), F.lit(1))
+    places = placed.groupBy("node").agg(F.collect_list(F.struct("block", "class", chunks.alias("chunks"))).alias("places"))
+    chosen = materialise(nodes.select("node", "n_copies", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).join(places, "node"), "chosen")
     small_side = F.broadcast(chosen) if chosen.count() <= BROADCAST_NODES else chosen
-    texts = plain.withColumn("text_hash", F.xxhash64("text")).join(small_side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "block", "members", "text")
+    # Rows that share id and text are read once.
+    texts = plain.withColumn("text_hash", F.xxhash64("text")).join(small_side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "n_copies", "places", "text")
+    if not sets.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        texts = texts.dropDuplicates(["node"])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        homes = Classes(num, den)
         for batch in batches:
-            found = [shingles(x, width).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("block"), batch.column("members"), pa.array(found, pa.binary())], ["node", "block", "members", "shingles"])
-
-    members = materialise(texts.mapInArrow(with_sets, "node bigint, block bigint, members bigint, shingles binary"), "members")
-    chunks = F.ceil(F.col("members") / GROUP)
-    members = members.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("component", F.col("node")).withColumn("wanted", F.lit(True))
-    links = [materialise(link(members, ["block", "chunk"], num, den), "links")]
-    large = members.where(F.col("chunks") > 1)
-    while not large.isEmpty():
-        known = components(links[0] if len(links) == 1 else links[0].unionByName(links[1]))
-        known = materialise(large.select("node", "block", "chunk", "chunks").join(known.withColumnRenamed("component", "c"), "node", "left").select("node", "block", "chunk", "chunks", F.coalesce("c", "node").alias("component")), "known")
-        if len(links) == 1:  # representatives of what each chunk has found
-            best = known.groupBy("block", "chunk", "component").agg(F.min("node").alias("node"))
-            few = Window.partitionBy("block", "chunk").orderBy("n_rank")
-            best = best.withColumn("n_rank", F.xxhash64("component")).withColumn("turn", F.floor((F.row_number().over(few) - 1) / 4))
-            rows = large.select("node", "shingles", "wanted").join(best.select("node", "block", "turn", "component"), "node")
-            links.append(materialise(link(rows, ["block", "turn"], num, den), "links"))
-            continue
-        count = known.groupBy("block", "component").agg(F.count("*").alias("n"))
-        most = count.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        apart = known.join(most, "block").where(F.col("component") != F.col("main")).withColumn("slice", F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.lit(1), F.ceil(F.col("chunks") / 4))))
-        slices = apart.select("block", "slice").distinct()
-        sided = large.select("node", "shingles").join(known, "node")
-        left = sided.join(slices, "block").select("block", "slice", "chunk", "node", "component", F.lit(False).alias("wanted"), "shingles")
-        right = large.select("node", "shingles").join(apart, "node").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-        right = right.select("block", "slice", "chunk", "node", "component", F.lit(True).alias("wanted"), "shingles")
-        rows = left.unionByName(right)
-        rows = rows.groupBy("block", "slice", "chunk", "node").agg(F.max("wanted").alias("wanted"), F.first("component").alias("component"), F.first("shingles").alias("shingles"))
-        links.append(materialise(link(rows, ["block", "slice", "chunk"], num, den), "links"))
-        break
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    found = components(every)
+            found = [shingles(x, width) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*map(batch.column, ("node", "n_copies", "places")), pa.array([homes.home(len(x)) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())],
+                ["node", "n_copies", "places", "home", "shingles"],
+            )
+
+    kind = chosen.schema["places"].dataType.simpleString()
+    members = materialise(texts.mapInArrow(with_sets, f"node bigint, n_copies bigint, places {kind}, home bigint, shingles binary"), "members")
+    members = members.select("node", "n_copies", "home", "shingles", F.inline("places")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    each = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    each = each.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    links = materialise(link(each, num, den), "links")
+    n_links = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    found = components(links.where("b is not null").select("a", "b"))
     named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "component").select(F.col("node").alias("_node"), "component_id", "n_copies", "component")
+    named = named.join(least, "component").join(n_links, "node", "left").select(F.col("node").alias("_node"), "component_id", "n_copies", (F.col("n_copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component")
     out = sets.select("doc_id", "n_shingles", "node", "text_hash").join(named, F.col("node") == F.col("_node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), "text_hash", "component")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_hash", "component")
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
