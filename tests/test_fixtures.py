@@ -1,5 +1,7 @@
 """Hand-computed fixtures."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +202,17 @@ def test_markers_and_growth(spark):
     assert r.count() == 288 and r.select("region_id").distinct().count() == 2
 
 
+def test_distances_have_no_bound(spark):
+    off = {(0, 0), (3, 150)}
+    cells = [[255 if (y, x) in off else 0 for x in range(200)] for y in range(9)] + [[0] * 60]
+    px = tile(spark, cells).withColumn("mask", F.col("v") < 100)
+    got = {(r.y, r.x): r.distance for r in distance.distance(px).collect()}
+    assert len(got) == 9 * 200 + 60 and all(abs(d - min(math.hypot(y - a, x - b) for a, b in off)) < 1e-9 for (y, x), d in got.items())
+    assert {r.distance for r in distance.distance(tile(spark, [[0, 0]]).withColumn("mask", F.lit(True))).collect()} == {None}
+    far = labels(spark, [[1 if x < 3 else 2 for x in range(120)] for _ in range(3)], [[1 if x > 116 else 2 for x in range(120)] for _ in range(3)])
+    assert distance.hausdorff(far, 1, 1.0).first().hausdorff == 117.0
+
+
 def test_features_are_finite(spark):
     f = compare.features(tile(spark, [[(9 * y + 7 * x) % 256 for x in range(11)] for y in range(9)]))
     assert f.count() == 99 and compare.features_are_finite(f).count() == 0

@@ -131,7 +131,7 @@ def curriculum(samples: DataFrame, difficulties: DataFrame, epoch: int, epochs:
 
 
 def features(px: DataFrame, t: int = 100) -> DataFrame:
-    """tile_id, y, x and FEATURES of each pixel; distance is scaled by the tile's diagonal and area by its size, both log1p, 0 outside the gate."""
+    """tile_id, y, x and FEATURES of each pixel; distance is scaled by the tile's diagonal (and is that in a tile that is all gate) and area by its size, both log1p, 0 outside the gate."""
     p = px.select(*KEY, (F.col("v") / 255.0).alias("g"), F.col("v"))
     e = Window.partitionBy("tile_id")
     base = p.withColumns({"_n": F.count("*").over(e), "_h": F.max("y").over(e) + 1, "_w": F.max("x").over(e) + 1})
@@ -148,7 +148,7 @@ def features(px: DataFrame, t: int = 100) -> DataFrame:
         out = out.join(part, KEY)
     out = out.join(area, KEY, "left")
     diagonal = F.sqrt((F.col("_h") * F.col("_h") + F.col("_w") * F.col("_w")).cast("double"))
-    scaled = {"distance": F.log1p("distance") / F.log1p(diagonal), "area": F.coalesce(F.log1p("area") / F.log1p(F.col("_n").cast("double")), F.lit(0.0)), "gray": F.col("g")}
+    scaled = {"distance": F.log1p(F.coalesce("distance", diagonal)) / F.log1p(diagonal), "area": F.coalesce(F.log1p("area") / F.log1p(F.col("_n").cast("double")), F.lit(0.0)), "gray": F.col("g")}
     return out.withColumns(scaled).select(*KEY, "v", *FEATURES)
 
 

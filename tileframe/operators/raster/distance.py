@@ -10,28 +10,53 @@ from tileframe.operators.raster.filters import boundary, dilate, extreme
 from tileframe.operators.storage import materialise
 
 KEY = ("tile_id", "y", "x")
+FIRST_RADIUS = 16
 
 
-def distance(px: DataFrame, mask: str = "mask", max_radius: int = 64, name: str = "distance") -> DataFrame:
-    """Adds the Euclidean distance of each pixel of the mask to the nearest pixel outside it, at most max_radius; 0 outside the mask.
+def distance(px: DataFrame, mask: str = "mask", max_radius: int | None = None, name: str = "distance") -> DataFrame:
+    """Adds the Euclidean distance of each pixel of the mask to the nearest pixel outside it; 0 outside the mask.
 
-    Along rows first, then each row's nearest zero is offered to the rows within the radius that it can still improve.
+    Exact at any distance without max_radius, else at most that. A tile without a pixel outside the mask has no distance (NULL; with max_radius, that).
+    Along rows first, then each row's nearest zero is offered to the rows within the radius that it can still improve. Without max_radius,
+    the radius doubles from FIRST_RADIUS for the columns of the pixels that are not yet settled, until all are.
     """
     off = F.when(~F.col(mask).cast("boolean"), F.col("x"))
     row = Window.partitionBy("tile_id", "y").orderBy("x")
     before = F.last(off, ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(off, ignorenulls=True).over(row.rowsBetween(0, Window.unboundedFollowing))
-    g = F.least(F.col("x") - before, after - F.col("x"))
+    g = F.least(F.col("x") - before, after - F.col("x")).cast("bigint")
     one = px.select(*KEY, g.alias("_g"))
-    near = one.where(F.col("_g") <= max_radius)
-    reach = F.floor(F.sqrt(F.lit(max_radius * max_radius) - F.col("_g") * F.col("_g"))).cast("int")
-    offers = near.select("tile_id", "x", "y", "_g", F.explode(F.sequence(-reach, reach)).alias("_d")).select("tile_id", (F.col("y") + F.col("_d")).alias("y"), "x", (F.col("_d") * F.col("_d") + F.col("_g") * F.col("_g")).alias("_q"))
-    best = offers.groupBy(*KEY).agg(F.min("_q").alias("_q"))
+    if max_radius is not None:
+        best = _offers(one.where(F.col("_g") <= max_radius), max_radius)
+    else:
+        one = materialise(one, "distance-rows")
+        some = one.where(F.col("_g").isNotNull()).select("tile_id").distinct()
+        left, parts, r = one.join(some, "tile_id", "left_semi").select(*KEY), [], FIRST_RADIUS
+        while True:
+            # A round's offers: from the columns where pixels are not settled; what is within the radius is exact.
+            near = one.where(F.col("_g") <= r).join(left.select("tile_id", "x").distinct(), ["tile_id", "x"], "left_semi")
+            found = materialise(left.join(_offers(near, r), list(KEY), "left"), "distance-found")
+            parts.append(found.where("_q is not null"))
+            left = found.where("_q is null").select(*KEY)
+            if left.isEmpty():
+                break
+            r *= 2
+        best = parts[0]
+        for more in parts[1:]:
+            best = best.unionByName(more)
     out = px.join(best, list(KEY), "left")
-    return out.withColumn(name, F.when(~F.col(mask).cast("boolean"), 0.0).otherwise(F.coalesce(F.sqrt(F.col("_q").cast("double")), F.lit(float(max_radius))))).drop("_q")
+    far = F.lit(None if max_radius is None else float(max_radius)).cast("double")
+    return out.withColumn(name, F.when(~F.col(mask).cast("boolean"), 0.0).otherwise(F.coalesce(F.sqrt(F.col("_q").cast("double")), far))).drop("_q")
+
+
+def _offers(near: DataFrame, radius: int) -> DataFrame:
+    """KEY and _q, the least squared distance of the zeros within the radius."""
+    reach = F.floor(F.sqrt(F.lit(radius * radius) - F.col("_g") * F.col("_g"))).cast("int")
+    offers = near.select("tile_id", "x", "y", "_g", F.explode(F.sequence(-reach, reach)).alias("_d")).select("tile_id", (F.col("y") + F.col("_d")).alias("y"), "x", (F.col("_d") * F.col("_d") + F.col("_g") * F.col("_g")).alias("_q"))
+    return offers.groupBy(*KEY).agg(F.min("_q").alias("_q"))
 
 
-def markers(px: DataFrame, mask: str = "mask", least: float = 5.0, separation: int = 10, max_radius: int = 64) -> DataFrame:
+def markers(px: DataFrame, mask: str = "mask", least: float = 5.0, separation: int = 10, max_radius: int | None = None) -> DataFrame:
     """tile_id, y, x, marker: peaks of the distance, the greatest within a square of the separation; a component without one gets its deepest pixel."""
     d = materialise(distance(px, mask, max_radius).select(*KEY, F.col(mask).alias("mask"), "distance"), "distance")
     peak = extreme(d.withColumn("_o", F.struct("distance", (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))), 2 * separation + 1, "_o", "_m")
@@ -80,8 +105,8 @@ def boundary_weights(px: DataFrame, weight: float = 3.0, reach: int = 5, label:
     return d.withColumns({"boundary_weight": w, "band": F.col("_p2") & F.col("_m2")}).drop("_pore", "_mineral", "_b", "_away", "_d", "_p2", "_m2")
 
 
-def hausdorff(px: DataFrame, class_id: int, pct: float = 0.95, target: str = "target", pred: str = "pred", max_radius: int = 64) -> DataFrame:
-    """Percentile Hausdorff distance of the class's boundaries by tile, at most max_radius; 0 if either is empty."""
+def hausdorff(px: DataFrame, class_id: int, pct: float = 0.95, target: str = "target", pred: str = "pred", max_radius: int | None = None) -> DataFrame:
+    """Percentile Hausdorff distance of the class's boundaries by tile, at most max_radius if given; 0 if either is empty."""
     p = px.withColumns({"_t": F.col(target) == class_id, "_p": F.col(pred) == class_id})
     b = boundary(boundary(p, "_t", "_bt"), "_p", "_bp")
     b = distance(b.withColumn("_nt", ~F.col("_bt")), "_nt", max_radius, "_dt")

@@ -443,10 +443,17 @@ def gate_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.where("mask").select("tile_id", "y", "x", "distance"))
 
 
+@query(f"""WITH {PX} SELECT a.tile_id, a.y, a.x, round(sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 9) AS distance FROM (SELECT * FROM px WHERE v < 100) a LEFT JOIN (SELECT * FROM px WHERE v >= 100) b ON a.tile_id = b.tile_id GROUP BY ALL""")
+def gate_distance_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gate_distance stops at 8, as its SQL does; this one has no bound."""
+    d = distance.distance(pixels(spark, sf_dir).withColumn("mask", F.col("v") < 100))
+    return rounded(d.where("mask").select("tile_id", "y", "x", "distance"))
+
+
 @query()
 def grown_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir).withColumn("mask", F.col("v") < 100)
-    return distance.seeded_regions(px, distance.markers(px, least=2.0, separation=3, max_radius=16))
+    return distance.seeded_regions(px, distance.markers(px, least=2.0, separation=3))
 
 
 BOUNDARY = f"""{PX}, b0 AS (SELECT tile_id, y, x, target < 2 AS t, pred < 2 AS p FROM px), b1 AS (SELECT a.tile_id, a.y, a.x, a.t AND count(*) FILTER (b.t) < 9 AS bt, a.p AND count(*) FILTER (b.p) < 9 AS bp FROM b0 a JOIN b0 b ON a.tile_id = b.tile_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY a.tile_id, a.y, a.x, a.t, a.p),
@@ -480,7 +487,7 @@ def difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(distance.hausdorff(pixels(spark, sf_dir), 1, max_radius=16))
+    return rounded(distance.hausdorff(pixels(spark, sf_dir), 1))
 
 
 @query(f"""WITH RECURSIVE {PX}, {FLOOD}, e AS (SELECT *, min(y) OVER w AS ya, max(y) OVER w AS yb, min(x) OVER w AS xa, max(x) OVER w AS xb FROM px WINDOW w AS (PARTITION BY tile_id)),
