@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tileframe import functions as fn
 from tileframe.operators import audit, bootstrap, metrics, pairing, sampling, selection
 from tileframe.operators.raster import augment, compare, components, distance, filters, grid
+from tileframe.plans.queries import QUERIES
 from tileframe.sources import audit_json, json_report, metric_csv, read_allowlist, read_coco, read_contract_csv, read_files, read_manifest, read_tiles, synthetic_tiles, write_once
 
 
@@ -284,6 +285,21 @@ def test_leaks_and_json(spark):
     assert {(r.key, r.finding) for r in audit_json(j, "doc", "key").collect()} == {("a", "duplicate key k"), ("b", "constant NaN"), ("c", "root is not an object"), ("d", "not JSON")}
 
 
+def test_leak_scan_all_reports_each_pattern(spark, tmp_path):
+    # Put together here, so that no scan of this file finds them.
+    planted = {
+        "private key": "-----BEGIN RSA PRIVATE" + " KEY-----", "GitHub token": "ghp" + "_" + "a1" * 12, "AWS access key": "AKIA" + "Q7" * 8, "Google API key": "AIza" + "b2" * 18,
+        "Hugging Face token": "hf" + "_" + "c3" * 12, "OpenAI-style key": "sk" + "-" + "d4" * 12, "literal credential assignment": "password" + " = 'correct horse'", "Weights & Biases API key": "WANDB_API_KEY" + "=" + "e5" * 20,
+        "email address": "me" + "@example.org", "macOS home path": "/Users" + "/someone/", "Linux home path": "/home" + "/someone/", "HPC scratch path": "/mnt" + "/scratch/",
+    }
+    assert set(planted) == set(audit.LEAK_PATTERNS)
+    rows = [(k, f"one\ntwo {x} end") for k, x in enumerate(planted.values())] + [(50, "nothing here"), (51, None), (52, "\n".join(planted.values()))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["leak_scan_all"](spark, str(tmp_path)).collect()
+    want = {(k, n, 2, x) for k, (n, x) in enumerate(planted.items())} | {(52, n, k + 1, x) for k, (n, x) in enumerate(planted.items())}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_sinks_and_files(spark, tmp_path):
     df = spark.createDataFrame([(1.5, 0.1), (None, 1e-7), (float("nan"), 123456789.25), (100.0, 1e20)], "a double, b double")
     got = [tuple(r) for r in metric_csv(df, ["a", "b"]).collect()]

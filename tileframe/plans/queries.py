@@ -329,6 +329,12 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.scan_patterns(d, {"email address": audit.LEAK_PATTERNS["email address"]})
 
 
+@query()
+def leak_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leak patterns; leak_scan looks for e-mail addresses, as its SQL does."""
+    return audit.scan_patterns(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
+
+
 @query("""SELECT split_part(url, '/', 3) AS host, count(*) AS files, sha256(string_agg(page_id || chr(0) || octet_length(encode(html)) || chr(0) || sha256(html), chr(10) ORDER BY page_id || chr(0) || octet_length(encode(html)) || chr(0) || sha256(html))) AS digest, sha256(string_agg(CAST(page_id AS VARCHAR), chr(10) ORDER BY CAST(page_id AS VARCHAR))) AS names_digest FROM pages GROUP BY 1""")
 def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), F.col("page_id").cast("string").alias("name"), F.octet_length("html").alias("size"), F.sha2("html", 256).alias("sha256"))
