@@ -219,6 +219,14 @@ def test_features_are_finite(spark):
     assert f.count() == 99 and compare.features_are_finite(f).count() == 0
 
 
+def test_filters_reflect_again_on_short_lines(spark):
+    for n in (1, 5):
+        got = {r.x: r.v for r in filters.convolve(tile(spark, [[3 * x + 1 for x in range(n)]]), [k / 496 for k in range(1, 32)], [1.0]).collect()}
+        for x in range(n):
+            at = [(x + d) % (2 * n) for d in range(-15, 16)]
+            assert abs(got[x] - sum((k + 1) / 496 * (3 * min(a, 2 * n - 1 - a) + 1) for k, a in enumerate(at))) < 1e-9
+
+
 def test_filters(spark):
     px = tile(spark, [[40 if y == x == 2 else 10 for x in range(5)] for y in range(5)])
     assert {round(r.v, 9) for r in filters.box_mean(px, 3).where("y = 1 and x = 1").collect()} == {round(120 / 9, 9)}

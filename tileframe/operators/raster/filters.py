@@ -23,20 +23,20 @@ def gaussian_kernel(sigma: float, order: int = 0) -> list[float]:
 
 
 def _pass(df: DataFrame, axis: str, kernel: Sequence[float], value: str) -> DataFrame:
-    """Each pixel adds its value to the places that read it, by the kernel's offsets and the reflections at either end."""
+    """Each pixel adds its value to the places that read it, by the kernel's offsets and the reflections at either end, repeated with a period of two lines."""
     other = "x" if axis == "y" else "y"
     r = len(kernel) // 2
     line = Window.partitionBy("tile_id", other)
     n = df.withColumn("_n", F.max(axis).over(line) + 1)
     taps = [(d - r, float(w)) for d, w in enumerate(kernel) if w]
     pos = F.col(axis)
-    places = F.array(*[F.struct(p.cast("int").alias("at"), F.lit(w).alias("w")) for d, w in taps for p in (pos - d, -1 - pos - d, 2 * F.col("_n") - 1 - pos - d)])
+    places = F.array(*[F.struct(F.pmod(p, 2 * F.col("_n")).cast("int").alias("at"), F.lit(w).alias("w")) for d, w in taps for p in (pos - d, -1 - pos - d)])
     spread = n.select("tile_id", other, F.explode(places).alias("t"), F.col(value).alias("_v"), "_n").where(F.col("t.at").between(0, F.col("_n") - 1))
     return spread.groupBy("tile_id", F.col("t.at").alias(axis), other).agg(F.sum(F.col("t.w") * F.col("_v")).alias(value)).select("tile_id", "y", "x", value)
 
 
 def convolve(px: DataFrame, kx: Sequence[float], ky: Sequence[float], value: str = "v") -> DataFrame:
-    """tile_id, y, x and the filtered value. Kernels are not longer than a line; ragged lines reflect at their own end."""
+    """tile_id, y, x and the filtered value. Ragged lines reflect at their own end, and again where kernels are longer."""
     one = px.select("tile_id", "y", "x", F.col(value).cast("double").alias(value))
     return _pass(_pass(one, "x", kx, value), "y", ky, value)
 
