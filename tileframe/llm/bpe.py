@@ -19,8 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tileframe.llm.common import by_bytes
-from tileframe.llm.tokens import GROUP_CHARS, MEMORY_CHARS, arrow_texts
+from tileframe.llm.common import by_bytes, slices
 
 #: The published pre-tokenizer pattern of byte-level BPE (a fixed value).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -33,8 +32,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(others)) for b in range(256)]
 
 
-#: Distinct pieces, and distinct pretokens, remembered by a worker; when full, a memory starts anew.
-MEMORY_PIECES = 400_000
+#: Characters of text handled at a time.
+GROUP_CHARS = 2_000_000
+#: Distinct pieces, and distinct pretokens, remembered by a worker; when full, a memory starts anew. Longer ones aren't remembered.
+MEMORY_PIECES = 200_000
+MEMORY_CHARS = 64
+
+
+def arrow_texts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Arrow batches in slices of few bytes, with their texts; NULL becomes empty."""
+    for part in slices(batches, text_col, GROUP_CHARS):
+        yield part, [x or "" for x in part.column(text_col).to_pylist()]
 
 
 class PairIndexBpe:

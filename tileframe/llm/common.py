@@ -6,6 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,15 @@ def by_bytes(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
         size += len(text)
     if group:
         yield group
+
+
+def slices(batches: Iterable[pa.RecordBatch], text_col: str, limit: int, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of about ``limit`` bytes of text and at most ``rows`` rows; a longer text is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(text_col)).fill_null(0).to_numpy().astype("int64"))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + limit, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop

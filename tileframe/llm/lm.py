@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tileframe.llm.bpe import worker_bpe
+from tileframe.llm.bpe import arrow_texts, worker_bpe
 from tileframe.llm.common import materialise
-from tileframe.llm.tokens import arrow_texts
 
 #: Ids are below this, so that a bigram is first * BASE + second.
 BASE = 1 << 17
@@ -75,7 +74,7 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, min_count: int = 2, alpha: f
             empty = lists([0, 0], [], pa.int32())
             yield rows_of([OWNERS], [len(owners)], batch, empty, empty, lists([0, len(owners)], owners, pa.int64()))
 
-        for part, texts in arrow_texts(batches, "text", 256):
+        for part, texts in arrow_texts(batches, "text"):
             for row, ids in zip(part.column("row").to_pylist(), bpe.texts(texts), strict=True):
                 tokens = np.frombuffer(ids, "<i4")
                 if len(tokens):

@@ -15,22 +15,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tileframe.llm.tokens import arrow_texts, worker_pieces
+from tileframe.llm.common import slices
+from tileframe.llm.tokens import GROUP_BYTES, worker_pieces
 
+#: Files of one output at most.
+MOST_PARTS = 200_000
 FILE_SCHEMA = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
 
 
+def parts_for(docs: DataFrame, part_bytes: int) -> int:
+    """At least spark.sql.shuffle.partitions, and more where the planner's size of the input asks for it."""
+    planned = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-planned // part_bytes)))
+
+
 def write_token_files(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-    partitions: int | None = None, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10,
+    partitions: int | None = None, part_bytes: int = 256 << 20, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10,
 ) -> None:
     """Range-partition by id, encode each range in order and write it. Each part's rows lie in one file, in order."""
-    spark = docs.sparkSession
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    n = partitions or parts_for(picked, part_bytes)
     ordered = picked.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,13 +46,12 @@ def write_token_files(
 
         part_id, start = TaskContext.get().partitionId(), 0
         pieces = worker_pieces(tokenizer_path, False)
-        end = np.array([end_id], "<u4").tobytes()
-        for part, texts in arrow_texts(batches, "text"):
-            rows = [x + end for x in pieces.texts(texts)]
-            offsets = np.cumsum([0, *[len(x) // 4 for x in rows]], dtype="int64")
-            ids = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+        for part in slices(batches, "text", GROUP_BYTES):
+            found = pieces.texts(part.column("text"))
+            flat = np.insert(found.flat, np.cumsum(found.lengths), end_id)
+            offsets = np.cumsum(np.concatenate([[0], found.lengths + 1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(rows), part_id, "int32")), part.column("doc_id"), pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), ids],
+                [pa.array(np.full(part.num_rows, part_id, "int32")), part.column("doc_id"), pa.array(start + offsets[:-1]), pa.array(found.lengths + 1), pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(flat))],
                 ["part", "doc_id", "local_start", "n_tokens", "ids"],
             )
             start += int(offsets[-1])
@@ -61,10 +68,10 @@ def write_token_files(
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and, if asked for, ids. Starts come from the metadata columns alone."""
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
+    # One row for each part, of which there are at most MOST_PARTS: a running sum over so few is one small task.
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    later = totals.select(F.col("part").alias("from_part"), "total")
-    # One row for each part, at most the number of files: small enough to sum all before each.
-    sums = totals.select("part").join(F.broadcast(later), F.col("from_part") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("before"))
+    before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = totals.select("part", before.alias("before"))
     out = files.join(F.broadcast(sums), "part").withColumn("start", F.col("before") + F.col("local_start"))
     return out.select("doc_id", "start", "n_tokens", *(["ids"] if with_ids else []))
 
