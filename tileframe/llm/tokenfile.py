@@ -28,7 +28,7 @@ FILE_SCHEMA = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids
 
 def parts_for(docs: DataFrame, part_bytes: int) -> int:
     """At least spark.sql.shuffle.partitions, and more where the planner's size of the input asks for it."""
-    planned = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    planned = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-planned // part_bytes)))
 
 
