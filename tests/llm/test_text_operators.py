@@ -249,14 +249,52 @@ def test_toxicity(spark):
     assert toxicity.fit([]).bias < 0 and toxicity.fit([("a b", 0)]).word(b"a") == 0
 
 
-def test_lm_scores(docs, rows):
-    t = library("byte_bpe_50k.json")
-    ids = [t.encode(x or "", add_special_tokens=False).ids for _, x, _ in rows]
-    one, two = bag(x for s in ids for x in s), bag(p for s in ids for p in zip(s, s[1:], strict=False))
-    n = sum(one.values())
+@pytest.mark.parametrize("leave_out", [True, False])
+def test_lm_scores(docs, rows, leave_out, monkeypatch):
+    """Against the formula of the docstring, token by token, with counts of tuples in dictionaries."""
+    monkeypatch.setattr(lm, "BATCH_DOCS", 30)  # so that n-grams lie in several batches
+    t = library("word_bpe_49k.json")
+    more = [(3 * 10**6 + k, "a text that is there twice and nowhere else: zebra quince vortex") for k in range(2)]
+    every = docs.select("doc_id", "text", "word").unionByName(docs.sparkSession.createDataFrame(more, "doc_id bigint, text string").withColumn("word", F.lit("clash")))
+    texts = [(i, x) for i, x, _ in rows] + more
+    ids = [t.encode(x or "", add_special_tokens=False).ids for _, x in texts]
+
+    def grams(s):
+        return bag(tuple(s[k : k + n]) for n in (1, 2, 3) for k in range(len(s) - n + 1))
+
+    whole = sum(map(grams, ids), collections.Counter())
+    total = sum(map(len, ids))
     want = []
-    for (i, _, _), s in zip(rows, ids, strict=True):
-        logs = [math.log(two[p] / one[p[0]]) if two[p] >= 2 else math.log(0.4 * one[p[1]] / n) for p in zip(s, s[1:], strict=False)]
-        want.append((str(i), len(logs), round(sum(logs), 5) if logs else None))
-    got = lm.lm_scores(docs, queries.tokenizer("byte_bpe_50k.json")).collect()
-    assert bag((str(r.doc_id), r.n_scored, None if r.log_score is None else round(r.log_score, 5)) for r in got) == bag(want)
+    for (i, _), s in zip(texts, ids, strict=True):
+        own = grams(s) if leave_out else collections.Counter()
+        logs = []
+        for k in range(len(s)):
+            factor = 1.0
+            for n in range(min(3, k + 1), 0, -1):
+                gram = tuple(s[k - n + 1 : k + 1])
+                count = whole[gram] - own[gram]
+                if n == 1:
+                    logs.append(math.log(factor * max(1, count) / max(1, total - (len(s) if leave_out else 0))))
+                elif count:
+                    logs.append(math.log(factor * count / (whole[gram[:-1]] - own[gram[:-1]])))
+                    break
+                factor *= 0.4
+        want.append((str(i), len(logs), f"{sum(logs):.6g}" if logs else None))
+    got = lm.lm_scores(every, queries.tokenizer("word_bpe_49k.json"), leave_out=leave_out).collect()
+    assert bag((str(r.doc_id), r.n_scored, None if r.log_score is None else f"{r.log_score:.6g}") for r in got) == bag(want)
+    assert all((r.lm_score is None) == (r.n_scored == 0) and (r.n_scored == 0 or math.isclose(r.lm_score, r.log_score / r.n_scored)) for r in got)
+    if leave_out:
+        twice, rest = [r.lm_score for r in got if r.doc_id in dict(more)], [r.lm_score for r in got if r.lm_score is not None and r.doc_id not in dict(more)]
+        assert min(twice) > np.quantile(rest, 0.5)
+
+
+def test_lm_scores_of_nothing(docs):
+    assert lm.lm_scores(docs.where("false"), queries.tokenizer("word_bpe_49k.json")).collect() == []
+    only = lm.lm_scores(docs.where("doc_id in (1000001, 1000002)"), queries.tokenizer("word_bpe_49k.json")).collect()
+    assert [(r.n_scored, r.log_score, r.lm_score) for r in only] == [(0, None, None)] * 2
+
+
+def test_a_batch_with_wide_keys():
+    """Where a key and its place don't fit in one integer, another sort gives the same order."""
+    keys = np.array([5, 1, 5, 0, 1])
+    assert lm.in_order(keys, 5).tolist() == lm.in_order(keys, 1 << 62).tolist() == [3, 1, 4, 0, 2]

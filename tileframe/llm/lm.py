@@ -1,16 +1,18 @@
-"""Language-model scores with stupid backoff, computed relationally over all documents.
+"""Language-model scores with stupid backoff over the n-grams of all documents, n = 1 to 3.
 
-Tokens are ids of a public byte-level BPE vocabulary (its path is a parameter), so the unigram table has at most as many rows as the
-vocabulary and is broadcast under that bound, and a bigram is one exact integer. Bigrams are exploded and pre-aggregated per
-batch of documents into postings (bigram, places in the batch, counts); postings are dealt by bigram, their counts summed there, and each
-posting turned into document terms, which are summed per document.
+Tokens are ids of a public word vocabulary (its path is a parameter), so an n-gram is one exact integer. Documents are encoded once and kept
+as batches of token ids. Each batch's distinct bigrams and trigrams with their counts are dealt by hash into buckets; a bucket adds
+up the counts of all batches (its part of the count tables) and gives each batch the totals of its own n-grams, in their order.
+A batch then looks up each position's n-grams in its totals and sums the logs for each document. Since a batch sends an n-gram
+once, however often it has it, no n-gram weighs more in a bucket than there are batches. Unigram counts are a table bounded by the vocabulary.
 
-A table keeps bigrams seen ``min_count`` times or more in all documents. The score of a token after another is
-count(pair) / count(first) where the table has the pair, else alpha * count(token) / count of all tokens. A document's score is the sum of
-the natural logs over its tokens but the first, lm_score the mean of them. The first token has no context and isn't scored.
+A document is scored by the other rows: its own counts are taken off every count (``leave_out``; copies in other rows stay). For a token c
+after a and b the score is count(abc) / count(ab) if count(abc) > 0, else alpha * count(bc) / count(b) if count(bc) > 0, else
+alpha^2 * max(1, count(c)) / max(1, count of all tokens). The second token starts at its bigram and the first at its unigram, without an
+alpha for the missing words. log_score is the sum of the natural logs over the document's tokens, lm_score their mean.
 
-NULL and empty texts and those of one token have n_scored 0 and a NULL mean. Repeated rows count as often as they occur; rows that share
-an id are told apart by their text, and equal rows get equal scores. An empty table gives no rows.
+NULL and empty texts have n_scored 0, log_score and lm_score NULL. Rows are told apart, so a text that is there twice is scored
+by its copy; rows that share an id keep a result each. An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,92 +21,222 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tileframe.llm.bpe import arrow_texts, worker_bpe
-from tileframe.llm.common import materialise
+from tileframe.llm.common import materialise, slices
+from tileframe.llm.tokens import GROUP_BYTES, load_tokenizer, worker_pieces
+
+#: A batch is closed when it has so many tokens or documents (a longer document makes a larger one).
+BATCH_TOKENS = 3_000_000
+BATCH_DOCS = 200_000
+#: Distinct n-grams of all batches that a bucket should get, about.
+BUCKET_GRAMS = 1_500_000
+
+
+def in_order(keys: np.ndarray, largest: int) -> np.ndarray:
+    """The places of keys (0 to largest) in ascending order, equal keys by place: one sort of plain integers where both fit."""
+    bits = max(1, len(keys)).bit_length()
+    if largest.bit_length() + bits > 63:
+        return np.argsort(keys, kind="stable")
+    packed = keys << bits
+    packed |= np.arange(len(keys))
+    packed.sort()
+    packed &= (1 << bits) - 1
+    return packed.astype("int32") if bits < 32 else packed
+
+
+class Grams:
+    """The n-grams of one order of a batch: for each place that has one, its rank among the distinct ones."""
+
+    def __init__(self, keys: np.ndarray, largest: int):
+        self.order = in_order(keys, largest)
+        ordered = keys[self.order]
+        self.first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.empty(0, "int64")
+        self.counts = np.diff(np.append(self.first, len(keys)))
+        self.rank = np.empty(len(keys), self.order.dtype)
+        self.rank[self.order] = np.repeat(np.arange(len(self.first), dtype=self.order.dtype), self.counts)
+
+    def own(self, doc: np.ndarray) -> np.ndarray:
+        """How often each place's n-gram is in its own document; documents lie one after the other."""
+        doc, rank = doc[self.order], self.rank[self.order]
+        start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rank[1:] != rank[:-1])])) if len(doc) else np.empty(0, "int64")
+        times = np.diff(np.append(start, len(doc)))
+        out = np.empty(len(doc), self.order.dtype)
+        out[self.order] = np.repeat(times.astype(out.dtype), times)
+        return out
+
+
+class Batch:
+    """Tokens of consecutive documents. Bigrams and trigrams are named by the place of their last token."""
+
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, size: int):
+        self.tokens, self.lengths, self.size = tokens, lengths, size
+        small = "int32" if len(tokens) < 1 << 31 else "int64"
+        self.doc = np.repeat(np.arange(len(lengths), dtype=small), lengths)
+        since = np.arange(len(tokens), dtype=small) - np.repeat((np.cumsum(lengths) - lengths).astype(small), lengths)
+        self.at2, self.at3 = np.flatnonzero(since >= 1).astype(small), np.flatnonzero(since >= 2).astype(small)
+        self.two = Grams(self.pairs(self.at2), size * size)
+        # Pairs by their rank, so that a trigram fits beside its place in one integer.
+        place = np.zeros(len(tokens), "int64")
+        place[self.at2] = self.two.rank
+        self.three = Grams(place[self.at3 - 1] * size + self.tokens[self.at3], max(1, len(self.two.first)) * size)
+
+    def pairs(self, at: np.ndarray) -> np.ndarray:
+        return self.tokens[at - 1].astype("int64") * self.size + self.tokens[at]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct bigrams (as -1 - key), then trigrams, with their counts."""
+        two, at = self.two, self.at3[self.three.order[self.three.first]]
+        pairs = self.pairs(self.at2[two.order[two.first]])
+        three = self.pairs(at - 1) * self.size + self.tokens[at]
+        return np.concatenate([-1 - pairs, three]), np.concatenate([two.counts, self.three.counts])
+
+    def scores(self, totals: np.ndarray, unigrams: np.ndarray, alpha: float, leave_out: bool) -> np.ndarray:
+        """The log score of each token; totals are those of keys()."""
+        own = (lambda grams, doc: grams.own(doc)) if leave_out else (lambda grams, doc: 0)
+        one = Grams(self.tokens.astype("int64"), self.size)
+        count1 = unigrams[self.tokens] - own(one, self.doc)
+        n2 = len(self.two.first)
+        count2 = np.zeros(len(self.tokens), "int64")
+        count2[self.at2] = totals[:n2][self.two.rank] - own(self.two, self.doc[self.at2])
+        count3 = np.zeros(len(self.tokens), "int64")
+        count3[self.at3] = totals[n2:][self.three.rank] - own(self.three, self.doc[self.at3])
+        everything = unigrams.sum() - (self.lengths[self.doc] if leave_out else 0)
+        log = np.log(np.maximum(count1, 1) / np.maximum(everything, 1))
+        log[self.at2] += np.log(alpha)
+        log[self.at3] += np.log(alpha)
+        seen2 = self.at2[count2[self.at2] > 0]
+        # The second token of a document starts at its bigram; later ones have backed off to it.
+        log[seen2] = np.log(count2[seen2] / count1[seen2 - 1])
+        is3 = np.zeros(len(self.tokens), bool)
+        is3[self.at3] = True
+        log[seen2] += np.where(is3[seen2], np.log(alpha), 0.0)
+        seen3 = self.at3[count3[self.at3] > 0]
+        log[seen3] = np.log(count3[seen3] / count2[seen3 - 1])
+        return log
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    x = keys.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(31))) % np.uint64(buckets)).astype("int64")
+
+
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of keys by bucket, and how many each bucket has."""
+    bucket = bucket_of(keys, buckets)
+    return in_order(bucket, buckets), np.bincount(bucket, minlength=buckets)
+
+
+def batches_of(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
+    """batch, ids (of its documents, in order), lengths and tokens (little-endian, 2 or 4 bytes each)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    wide = load_tokenizer(tokenizer_path).get_vocab_size() > 1 << 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-#: Ids are below this, so that a bigram is first * BASE + second.
-BASE = 1 << 17
-BATCH_TOKENS = 4_000_000
-#: Marks the row that lists a batch's documents; unigrams are -1 - id.
-OWNERS = -(1 << 40)
+        pieces, number = worker_pieces(tokenizer_path, False), TaskContext.get().partitionId() << 24
+        held: list[tuple] = []
+
+        def closed() -> pa.RecordBatch:
+            ids = pa.concat_arrays([x for x, _, _ in held])
+            lengths = np.concatenate([x for _, x, _ in held]).astype("int32")
+            flat = np.concatenate([x for _, _, x in held])
+            whole = pa.array([0, len(ids)], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, pa.array(lengths)), pa.array([flat.tobytes()], pa.binary())], ["batch", "ids", "lengths", "tokens"])
+
+        for part in slices(batches, "text", GROUP_BYTES):
+            found = pieces.texts(part.column("text"))
+            held.append((part.column("doc_id"), found.lengths, found.flat.astype("<u4" if wide else "<u2")))
+            if sum(len(x) for _, _, x in held) >= BATCH_TOKENS or sum(len(x) for _, x, _ in held) >= BATCH_DOCS:
+                yield closed()
+                number += 1
+                held.clear()
+        if held:
+            yield closed()
 
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"batch bigint, ids array<{kind}>, lengths array<int>, tokens binary")
 
-def lm_scores(docs: DataFrame, tokenizer_path: str, min_count: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_scored, log_score and lm_score for each row of docs."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        bpe = worker_bpe(tokenizer_path)
-        first_batch = TaskContext.get().partitionId() << 20
-        unigrams = np.zeros(BASE, "int64")
-        held: list[np.ndarray] = []
-        owners: list[int] = []
-        flushed = size = 0
-
-        def rows_of(gram, n, batch, docs, times, owned) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(n, pa.int64()), pa.array(np.full(len(gram), batch, "int64")), docs, times, owned], ["gram", "n", "batch", "docs", "times", "owners"])
-
-        def lists(offsets, values, kind) -> pa.ListArray:
-            return pa.ListArray.from_arrays(pa.array(np.asarray(offsets, "int32")), pa.array(np.asarray(values), kind))
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal unigrams
-            batch = first_batch + flushed
-            lengths = np.array([len(x) for x in held])
-            tokens, doc = np.concatenate(held).astype("int64"), np.repeat(np.arange(len(held)), lengths)
-            unigrams += np.bincount(tokens, minlength=BASE)
-            same = doc[:-1] == doc[1:]
-            packed = (tokens[:-1] * BASE + tokens[1:])[same] << 20 | doc[1:][same]
-            packed.sort()
-            first = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]])) if len(packed) else np.empty(0, "int64")
-            times = np.diff(np.append(first, len(packed)))
-            packed = packed[first]
-            pair, doc = packed >> 20, packed & ((1 << 20) - 1)
-            start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.empty(0, "int64")
-            total = np.add.reduceat(times, start) if len(start) else np.empty(0, "int64")
-            offsets = np.append(start, len(pair))
-            none = lists(np.zeros(len(start) + 1), [], pa.int64())
-            yield rows_of(pair[start], total, batch, lists(offsets, doc.astype("int32"), pa.int32()), lists(offsets, times.astype("int32"), pa.int32()), none)
-            # The places of a batch's documents, once for each batch.
-            empty = lists([0, 0], [], pa.int32())
-            yield rows_of([OWNERS], [len(owners)], batch, empty, empty, lists([0, len(owners)], owners, pa.int64()))
-
-        for part, texts in arrow_texts(batches, "text"):
-            for row, ids in zip(part.column("row").to_pylist(), bpe.texts(texts), strict=True):
-                tokens = np.frombuffer(ids, "<i4")
-                if len(tokens):
-                    held.append(tokens)
-                    owners.append(row)
-                    size += len(tokens)
-            if size > BATCH_TOKENS or len(held) > 1_000_000:
-                yield from flush()
-                held, owners, size, flushed = [], [], 0, flushed + 1
-        if held:
-            yield from flush()
-        used = np.flatnonzero(unigrams)
-        zero = lists(np.zeros(len(used) + 1), [], pa.int32())
-        yield rows_of(-1 - used, unigrams[used], 0, zero, zero, lists(np.zeros(len(used) + 1), [], pa.int64()))
-
-    made = materialise(rows.select("row", "text").mapInArrow(postings, "gram bigint, n bigint, batch bigint, docs array<int>, times array<int>, owners array<bigint>"), "postings")
-    unigrams = materialise(made.where(F.col("gram").between(-BASE, -1)).groupBy((-1 - F.col("gram")).alias("token")).agg(F.sum("n").alias("n")), "unigrams")
-    all_tokens = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    table = F.broadcast(unigrams)  # at most as many rows as the vocabulary has
-    grams = made.where("gram >= 0").drop("owners").withColumn("total", F.sum("n").over(Window.partitionBy("gram")))
-    grams = grams.withColumn("first", F.shiftright("gram", 17)).withColumn("second", F.col("gram").bitwiseAND(BASE - 1))
-    grams = grams.join(table.select(F.col("token").alias("first"), F.col("n").alias("n_first")), "first").join(table.select(F.col("token").alias("second"), F.col("n").alias("n_second")), "second")
-    term = F.when(F.col("total") >= min_count, F.log(F.col("total") / F.col("n_first"))).otherwise(F.log(F.lit(alpha) * F.col("n_second") / F.lit(float(max(1, all_tokens)))))
-    terms = grams.select("batch", F.explode(F.arrays_zip("docs", "times")).alias("p"), term.alias("term"))
-    sums = terms.groupBy("batch", F.col("p.docs").alias("place")).agg(F.sum(F.col("p.times") * F.col("term")).alias("_sum"), F.sum("p.times").alias("_n"))
-    places = made.where(F.col("gram") == OWNERS).select("batch", F.posexplode("owners").alias("place", "_row"))
-    sums = sums.join(places, ["batch", "place"]).groupBy("_row").agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
-    copies = rows.groupBy("row").agg(F.count("*").alias("_copies"))
-    sums = sums.join(copies, F.col("_row") == F.col("row")).drop("row")
-    out = rows.drop("text").join(sums, F.col("row") == F.col("_row"), "left")
-    n = F.coalesce(F.col("_n") / F.col("_copies"), F.lit(0)).cast("bigint")
-    score = F.col("_sum") / F.col("_copies")
-    return out.select("doc_id", n.alias("n_scored"), score.alias("log_score"), F.try_divide(score, n).alias("lm_score"))
+def lm_scores(docs: DataFrame, tokenizer_path: str, alpha: float = 0.4, leave_out: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_scored, log_score and lm_score for each row of docs."""
+    spark = docs.sparkSession
+    size = load_tokenizer(tokenizer_path).get_vocab_size()
+    if size**3 >= 1 << 63:
+        raise ValueError("a trigram of this vocabulary doesn't fit in 63 bits")
+    width = "<u4" if size > 1 << 16 else "<u2"
+    kept = materialise(batches_of(docs, tokenizer_path, id_col, text_col), "batches")
+
+    def one(batch: pa.RecordBatch, row: int) -> Batch:
+        return Batch(np.frombuffer(batch.column("tokens")[row].as_py(), width), batch.column("lengths")[row].values.to_numpy().astype("int64"), size)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, "int64")
+        for batch in batches:
+            for x in batch.column("tokens"):
+                total += np.bincount(np.frombuffer(x.as_py(), width), minlength=size)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["token", "n"])
+
+    # At most as many rows as the vocabulary has.
+    unigrams = np.zeros(size, "int64")
+    for row in kept.select("tokens").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
+        unigrams[row.token] = row.n
+    known = spark.sparkContext.broadcast(unigrams)
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(unigrams.sum()) // (3 * BUCKET_GRAMS))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                keys, n = one(batch, row).keys()
+                place, sizes = dealt(keys, buckets)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(keys[place])), pa.ListArray.from_arrays(offsets, pa.array(n[place].astype("int32")))]
+                number = pa.array(np.full(buckets, batch.column("batch")[row].as_py()))
+                yield pa.RecordBatch.from_arrays([number, pa.array(np.arange(buckets)), *lists], ["batch", "bucket", "keys", "n"]).filter(pa.array(sizes > 0))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows of some buckets: the counts of each n-gram over all batches, for each row in its own order."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        keys = np.concatenate([b.column("keys").flatten().to_numpy() for b in held])
+        n = np.concatenate([b.column("n").flatten().to_numpy() for b in held])
+        order = np.argsort(keys)
+        ordered = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        sums = np.add.reduceat(n[order].astype("int64"), first)
+        totals = np.empty(len(keys), "int64")
+        totals[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
+        at = 0
+        for b in held:
+            lengths = pc.list_value_length(b.column("keys")).to_numpy()
+            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            mine = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(totals[at : at + offsets[-1]]))
+            at += int(offsets[-1])
+            yield pa.RecordBatch.from_arrays([b.column("batch"), b.column("bucket"), mine], ["batch", "bucket", "totals"])
+
+    sent = kept.select("batch", "lengths", "tokens").mapInArrow(send, "batch bigint, bucket bigint, keys array<bigint>, n array<int>")
+    totals = sent.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(add, "batch bigint, bucket bigint, totals array<bigint>")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.combine_chunks()
+        rows = left.to_batches()[0]
+        batch = one(rows, 0)
+        ids, lengths = rows.column("ids")[0].values, batch.lengths
+        keys, _ = batch.keys()
+        place, _ = dealt(keys, buckets)
+        right = right.sort_by("bucket")
+        mine = np.empty(len(keys), "int64")
+        if len(keys):
+            mine[place] = pc.list_flatten(right.column("totals")).to_numpy()
+        log = batch.scores(mine, known.value, alpha, leave_out)
+        sums = np.bincount(batch.doc, log, len(lengths)).astype("float64")
+        some = lengths > 0
+        mean = sums / np.maximum(lengths, 1)
+        return pa.table([ids, pa.array(lengths), pa.array(sums, mask=~some), pa.array(mean, mask=~some)], names=["doc_id", "n_scored", "log_score", "lm_score"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return kept.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(score, f"doc_id {kind}, n_scored bigint, log_score double, lm_score double")
