@@ -235,18 +235,70 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in language.predict_language(docs, {}, ["doc_id"]).collect()} == {"und"}
 
 
-def test_toxicity(spark):
+def brute_score(model, text):
+    """The forward pass, word by word and n-gram by n-gram, with Python integers."""
+    values = []
+    for piece in re.split("[ \t-\r]+", text or ""):
+        word = piece.lower().strip(toxicity.PUNCTUATION)
+        if word:
+            marked = f"<{word}>"
+            grams = [(0, marked)] + [(n, marked[i : i + n]) for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+            total = 0.0
+            for n, gram in grams:
+                code = 0
+                for c in gram:
+                    code = (code * 0x100000001B3 + ord(c)) % 2**64
+                code = (code + (n << 56)) % 2**64
+                code = (code ^ code >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                code = (code ^ code >> 27) * 0x94D049BB133111EB % 2**64
+                total += float(model.subword[(code ^ code >> 31) % toxicity.BUCKETS])
+            values.append(total / len(grams))
+    logit = model.bias + (sum(values) / len(values) if values else 0.0)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))
+
+
+def test_toxicity(spark, docs, rows):
     random.seed(3)
     vocabulary = ["".join(random.choices("abcdefghij", k=5)) for _ in range(300)]
-    texts = [(i, " ".join(random.choices(vocabulary, k=40) + (["horrible", "dreadful"] if i % 5 == 0 else []))) for i in range(600)]
-    model = toxicity.fit([(t, int(i % 5 == 0)) for i, t in texts[:400]])
-    df = spark.createDataFrame([*texts[400:], (9000, " ".join(vocabulary[:40] + ["horrlble", "dreadfull"])), (9001, None), (9002, ""), (9003, "...")], "doc_id bigint, text string").withColumn("score", F.lit("clash"))
-    got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, model, ["doc_id"]).collect()}
-    bad, fine = [got[i] for i, _ in texts[400:] if i % 5 == 0], [got[i] for i, _ in texts[400:] if i % 5]
+    texts = [(i, " ".join(random.choices(vocabulary, k=40) + (["horrible", "Dreadful!"] if i % 5 == 0 else []))) for i in range(600)]
+    odd = [(9000, " ".join(vocabulary[:40] + ["horrlble", "dreadfull"])), (9001, None), (9002, ""), (9003, "..."), (9004, "ΟΔΟΣ, Straße <b>"), (None, texts[0][1])]
+    df = spark.createDataFrame([*texts, *odd, texts[500], texts[500]], "doc_id bigint, text string").withColumn("score", F.lit("clash")).withColumn("row", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)] + [(0, 0), (None, 1), (7, None)], "doc_id bigint, toxic int")
+    model = toxicity.fit_toxicity(df, labels)
+    scored = toxicity.score_toxicity(df, model, ["doc_id", "text", "row"]).collect()
+    assert len(scored) == 608 and all(math.isclose(r.score, brute_score(model, r.text), rel_tol=1e-6) for r in scored)
+    got = {r.doc_id: r.score for r in scored}
+    bad, fine = [got[i] for i in range(400, 600) if i % 5 == 0], [got[i] for i in range(400, 600) if i % 5]
     assert np.mean([x > y for x in bad for y in fine]) > 0.9
-    assert got[9000] > np.median([got[i] for i, _ in texts[400:] if i % 5])
-    assert got[9001] == got[9002] == got[9003] and 0 <= got[9001] <= 1
-    assert toxicity.fit([]).bias < 0 and toxicity.fit([("a b", 0)]).word(b"a") == 0
+    assert got[9000] > np.median(fine)
+    assert got[9001] == got[9002] == got[9003]
+    long = toxicity.score_toxicity(docs, model, ["doc_id", "text"]).collect()
+    assert all(math.isclose(r.score, brute_score(model, r.text), rel_tol=1e-6) for r in long) and len(long) == len(rows)
+    assert toxicity.score_toxicity(df.where("false"), model, ["doc_id"]).collect() == []
+    none = toxicity.fit_toxicity(df, labels.where("false"))
+    assert none.bias < 0 and not none.subword.any() and not toxicity.fit_toxicity(df.where("false"), labels).subword.any()
+    with pytest.raises(ValueError):
+        toxicity.score_toxicity(df, model, ["score"])
+
+
+def test_toxicity_gradients():
+    """Against differences of the loss."""
+    rng = np.random.default_rng(1)
+    bag_of = toxicity.Rows(np.array([2, 1, 3]), np.array([0, 2, 3, 1, 2, 4]), np.array([0.5, 0.5, 1, 0.2, 0.3, 0.5]), 5)
+    docs = toxicity.Rows(np.array([2, 1, 2]), np.array([0, 1, 2, 0, 2]), np.array([0.4, 0.6, 1, 0.7, 0.3]), 3)
+    for x in (bag_of, docs):
+        x.weights, x.back_weights = x.weights.astype("float64"), x.back_weights.astype("float64")
+    labels = np.array([1.0, 0.0, 1.0])
+    parts = [rng.normal(size=(5, 2)), rng.normal(size=(2, 1)), rng.normal(size=1)]
+    _, grads = toxicity.gradients(docs, bag_of, labels, *parts, 2.0)
+    for x, g in zip(parts, grads, strict=True):
+        for at in np.ndindex(*x.shape):
+            x[at] += 1e-6
+            up = toxicity.gradients(docs, bag_of, labels, *parts, 2.0)[0]
+            x[at] -= 2e-6
+            down = toxicity.gradients(docs, bag_of, labels, *parts, 2.0)[0]
+            x[at] += 1e-6
+            assert math.isclose((up - down) / 2e-6, g[at], abs_tol=1e-7)
 
 
 @pytest.mark.parametrize("leave_out", [True, False])

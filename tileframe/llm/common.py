@@ -46,6 +46,13 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser with good avalanche, on arrays of unsigned integers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def by_bytes(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
     """Consecutive groups of texts, each of about ``limit`` characters; a longer text is a group of its own."""
     group: list[str] = []

@@ -7,7 +7,8 @@ to the first language by name.
 
 Profiles are fitted on a bounded sample of labelled rows (``max_rows_per_language``, chosen by hash). Whole texts are used.
 A NULL text, or one without a letter, is ``und`` with score 0; so is every text when there are no labelled rows. The score
-is the relative gap between the best and the second distance, from 0 to 1. Rows are independent; repeated rows stay.
+is the relative gap between the best and the second distance, from 0 to 1. Rows are independent; repeated rows stay. An empty table
+gives no rows and no profiles. Columns of the input are carried only if asked for (``keep``), which may not hold the names of the results.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tileframe.llm.common import slices
+
 UNKNOWN = "und"
+#: Bytes of text turned into Python strings at a time.
+SLICE_BYTES = 4 << 20
 PROFILE = 400
 
 
@@ -71,7 +76,7 @@ def fit_profiles(docs: DataFrame, train: Column, id_col: str = "doc_id", text_co
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list] = {}
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE_BYTES):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found.setdefault(lang, []).append(grams(text))
         for lang, both in found.items():
@@ -112,11 +117,13 @@ class Ranks:
 
 def predict_language(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], text_col: str = "text", size: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` with the language and the score, under ``names``. Nothing but the text is looked at."""
+    if clash := {*names, "__text"} & {*keep}:
+        raise ValueError(f"{sorted(clash)} are names of results: give them other names")
     picked = docs.select(*[F.col(x).alias(x) for x in keep], F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = Ranks(profiles, size)
-        for batch in batches:
+        for batch in slices(batches, "__text", SLICE_BYTES):
             found = [ranks.predict(x) for x in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in keep] + [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*keep, *names])
 

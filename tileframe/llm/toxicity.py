@@ -5,36 +5,57 @@ the vectors of its hashed character n-grams (3 to 5, word ends marked) and of th
 its words. Both the vectors and the softmax on top are learned. An unseen misspelling shares most n-grams with the words it
 comes from. As the model is linear after the mean, a worker remembers one number per distinct word.
 
-The model is fitted on a bounded sample of labelled rows (``max_rows``, chosen by hash). Every text is scored whole. NULL texts,
-texts without words, and all texts when there is no labelled row of either class get the prior alone. Rows are independent.
+The model is fitted on a bounded sample of labelled rows (``max_rows``, chosen by hash of the id); of these only bags of words that
+``min_texts`` of them share come to the driver, no texts. Every text is scored whole. NULL texts, texts without words, and all texts when
+there is no labelled row of either class get the prior alone. An id that is labelled twice has the larger label; NULL ids and labels
+teach nothing; equal rows teach once and are each scored. An empty table gives no rows. Columns of the input are carried
+only if asked for (``keep``), which may not hold the names of the results.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 17
-PUNCTUATION = b".,;:!?\"'()[]{}<>-_*"
-MEMORY_WORDS = 500_000
-
-
-def words(text: str | None) -> list[bytes]:
-    return [x for y in (text or "").lower().encode("utf-8", "replace").split() if (x := y.strip(PUNCTUATION))]
+from tileframe.llm.common import materialise, mix, slices
+from tileframe.llm.ragged import Lists, Memory
 
-
-def subwords(word: bytes) -> list[int]:
-    marked = f"<{word.decode('utf-8', 'replace')}>"
-    parts = {marked, *(marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1))}
-    return sorted({zlib.crc32(x.encode()) % BUCKETS for x in parts})
+BUCKETS = 1 << 17
+PUNCTUATION = ".,;:!?\"'()[]{}<>-_*"
+SLICE_BYTES = 4 << 20
+#: The multiplier of the n-gram hash, a polynomial over code points.
+STEP = np.uint64(0x100000001B3)
+
+
+def clean(piece: str) -> str:
+    """The word of a piece without white space; empty if there is none."""
+    return piece.lower().strip(PUNCTUATION)
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For the n-grams of all words: the place of the word, and the bucket."""
+    points = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype("uint64")
+    sizes = np.fromiter(map(len, words), "int64", len(words)) + 2
+    ends, owner = np.cumsum(sizes), np.repeat(np.arange(len(words)), sizes)
+    left = ends[owner] - np.arange(len(points))
+    powers = np.cumprod(np.concatenate([np.ones(1, "uint64"), np.full(int(sizes.max(initial=1)), STEP)]))
+    owners, codes = [np.arange(len(words))], [np.add.reduceat(points * powers[left - 1], ends - sizes) if len(words) else points]
+    code = np.zeros(len(points), "uint64")
+    for n in (1, 2, 3, 4, 5):
+        code = code[: max(0, len(points) - n + 1)] * STEP + points[n - 1 :]
+        if n > 2:
+            whole = left[: len(code)] >= n
+            owners.append(owner[: len(code)][whole])
+            codes.append(code[whole] + np.uint64(n << 56))
+    return np.concatenate(owners), (mix(np.concatenate(codes)) % np.uint64(BUCKETS)).astype("int64")
 
 
 @dataclass
@@ -44,8 +65,9 @@ class Model:
     subword: np.ndarray
     bias: float
 
-    def word(self, word: bytes) -> float:
-        return float(self.subword[subwords(word)].mean())
+    def words(self, words: list[str]) -> np.ndarray:
+        owner, bucket = subwords(words)
+        return np.bincount(owner, self.subword[bucket], len(words)) / np.maximum(1, np.bincount(owner, minlength=len(words)))
 
 
 class Rows:
@@ -68,36 +90,33 @@ class Rows:
         return np.add.reduceat(g[self.back_rows] * self.back_weights, self.back_starts, axis=0)
 
 
-def fit(rows: list[tuple[str | None, int]], dim: int = 4, epochs: int = 60, rate: float = 0.05, scale: float = 40.0, decay: float = 2e-5, min_texts: int = 5, seed: int = 7) -> Model:
+def gradients(docs: Rows, bag_of: Rows, labels: np.ndarray, table: np.ndarray, top: np.ndarray, bias: np.ndarray, scale: float) -> tuple[float, list[np.ndarray]]:
+    """The mean log loss, and its gradients by the used rows of the table, by the softmax weights and by the bias."""
+    mean = docs.times(bag_of.times(table)) * scale
+    logit = np.clip((mean @ top)[:, 0] + bias, -30, 30)
+    loss = float(np.mean(np.log1p(np.exp(-logit)) + (1 - labels) * logit))
+    wrong = ((1 / (1 + np.exp(-logit)) - labels) / len(labels))[:, None].astype(table.dtype)
+    to_words = np.zeros((bag_of.n, table.shape[1]), table.dtype)
+    to_words[docs.used] = docs.back(wrong @ top.T * scale)
+    return loss, [bag_of.back(to_words), mean.T @ wrong, wrong.sum(0)]
+
+
+def fit(labels: np.ndarray, lengths: np.ndarray, bags: pd.DataFrame, words: list[str], dim: int = 4, epochs: int = 60, rate: float = 0.05, scale: float = 40.0, decay: float = 2e-5, seed: int = 7) -> Model:
     """Adam over the whole sample at each step; logits are softmax differences of the two classes.
 
-    Words of fewer than min_texts sample texts teach nothing (when scoring, every word counts).
+    Each text has a label and its number of words; ``bags`` has the columns text, word (places in ``labels`` and ``words``) and n, by text.
     """
-    # Texts are read twice, so that the bags of rare words are never held.
-    often: Counter = Counter()
-    for text, _ in rows:
-        often.update(set(words(text)))
-    least = min(min_texts, max(1, len(rows) // 200))
-    ids = {w: k for k, w in enumerate(sorted(w for w, n in often.items() if n >= least))}
-    del often
-    sizes, columns, shares, classes = [], [], [], []
-    for text, label in rows:
-        found = words(text)
-        bag = Counter(ids[w] for w in found if w in ids)
-        if bag:
-            sizes.append(len(bag))
-            columns.append(np.fromiter(bag, "int64", len(bag)))
-            shares.append(np.fromiter(bag.values(), "float32", len(bag)) / len(found))
-            classes.append(int(label))
-    labels = np.array(classes, "float32")
-    total = len(rows)
-    prior = math.log((sum(int(y) for _, y in rows) + 0.5) / (total - sum(int(y) for _, y in rows) + 0.5)) if total else math.log(0.05)
+    positive = float(labels.sum())
+    prior = math.log((positive + 0.5) / (len(labels) - positive + 0.5)) if len(labels) else math.log(0.05)
+    texts, starts = np.unique(bags["text"].to_numpy(), return_index=True)
+    labels = labels[texts].astype("float32")
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, "float32"), prior)
-    docs = Rows(np.array(sizes), np.concatenate(columns), np.concatenate(shares), len(ids))
-    parts = [subwords(w) for w in ids]
-    lengths = np.array([len(p) for p in parts])
-    bag_of = Rows(lengths, np.concatenate([np.array(p) for p in parts]), np.repeat(1 / lengths, lengths), BUCKETS)
+    docs = Rows(np.diff(np.append(starts, len(bags))), bags["word"].to_numpy(), bags["n"].to_numpy() / lengths[bags["text"].to_numpy()], len(words))
+    owner, bucket = subwords(words)
+    order = np.argsort(owner, kind="stable")
+    lengths = np.bincount(owner, minlength=len(words))
+    bag_of = Rows(lengths, bucket[order], np.repeat(1 / lengths, lengths), BUCKETS)
     random = np.random.default_rng(seed)
     table = (random.normal(0, 0.1, (BUCKETS, dim))).astype("float32")
     top, bias = random.normal(0, 0.5, (dim, 1)).astype("float32"), np.array([prior], "float32")
@@ -105,12 +124,9 @@ def fit(rows: list[tuple[str | None, int]], dim: int = 4, epochs: int = 60, rate
     used = table[bag_of.used]
     for step in range(1, epochs + 1):
         table[bag_of.used] = used
-        mean = docs.times(bag_of.times(table)) * scale
-        logit = (mean @ top)[:, 0] + bias
-        wrong = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) / len(labels))[:, None].astype("float32")
-        to_words = np.zeros((len(ids), dim), "float32")
-        to_words[docs.used] = docs.back(wrong @ top.T * scale)
-        grads = [bag_of.back(to_words) + decay * used, mean.T @ wrong + 1e-5 * top, wrong.sum(0)]
+        _, grads = gradients(docs, bag_of, labels, table, top, bias, scale)
+        grads[0] += decay * used
+        grads[1] += 1e-5 * top
         for k, (x, g) in enumerate(zip((used, top, bias), grads, strict=True)):
             m, v = moments[k]
             m *= 0.9
@@ -124,35 +140,78 @@ def fit(rows: list[tuple[str | None, int]], dim: int = 4, epochs: int = 60, rate
     return Model(np.where(seen, (table @ top)[:, 0] * scale, 0).astype("float32"), float(bias[0]))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000) -> Model:
-    """Fit on at most about ``max_rows`` labelled documents (the caller filters held-out ids from ``labels``)."""
-    wanted = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
+def bags_of(docs: DataFrame) -> DataFrame:
+    """Of columns row, y and text: row, y, n_words, word, n, a row for each distinct word; texts without words have one with a NULL word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES):
+            pieces, owner = split(batch.column("text"))
+            coded = pieces.dictionary_encode()
+            words = pa.array([clean(x) for x in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+            found = words.indices.to_numpy()[coded.indices.to_numpy()] if len(pieces) else np.empty(0, "int64")
+            real = pc.binary_length(words.dictionary).to_numpy()[found] > 0 if len(found) else np.empty(0, bool)
+            pair, n = np.unique(owner[real].astype("int64") << 32 | found[real], return_counts=True)
+            n_words = np.bincount(owner[real], minlength=batch.num_rows)
+            none = np.flatnonzero(n_words == 0)
+            rows = np.concatenate([pair >> 32, none])
+            word = pa.concat_arrays([words.dictionary.take(pa.array(pair & 0xFFFFFFFF)), pa.nulls(len(none), pa.string())])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(rows)), batch.column("y").take(pa.array(rows)), pa.array(n_words[rows]), word, pa.array(np.concatenate([n, np.zeros(len(none), n.dtype)]))], ["row", "y", "n_words", "word", "n"])
+
+    return docs.select("row", "y", "text").mapInArrow(run, "row bigint, y int, n_words bigint, word string, n bigint")
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces between ASCII white space (some may be empty), and the place of each one's text."""
+    cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    return cut.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(cut).to_numpy())
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000, min_texts: int = 5) -> Model:
+    """Fit on at most about ``max_rows`` labelled documents (the caller filters held-out ids from ``labels``).
+
+    Words of fewer than min_texts sample texts teach nothing (when scoring, every word counts).
+    """
+    wanted = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     n = max(1, wanted.count())
     chosen = wanted.where(F.pmod(F.xxhash64(F.lit("toxicity"), "__id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / n)))
     # At most about max_rows ids and labels: a bounded table.
-    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__text", "__y")
-    rows = sorted((tuple(x) for x in sample.collect()), key=lambda x: (x[0], x[1] or ""))
-    return fit([(text, label) for _, text, label in rows])
+    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").select(F.xxhash64("__id", "text").alias("row"), "y", "text")
+    bags = materialise(bags_of(sample).dropDuplicates(["row", "word"]), "bags")
+    texts = bags.groupBy("row").agg(F.first("y").alias("y"), F.first("n_words").alias("n_words")).toPandas().sort_values("row", ignore_index=True)
+    least = min(min_texts, max(1, len(texts) // 200))
+    often = bags.where("word is not null").groupBy("word").agg(F.count("*").alias("texts")).where(F.col("texts") >= least).select("word")
+    words = sorted(r.word for r in often.collect())
+    # At most max_rows bags of the words that texts share.
+    ids = pd.Series(np.arange(len(words)), index=words)
+    shared = bags.where("word is not null").join(often, "word").select("row", "word", "n").toPandas()
+    held = pd.DataFrame({"text": np.searchsorted(texts["row"].to_numpy(), shared["row"].to_numpy()), "word": ids.reindex(shared["word"]).to_numpy(), "n": shared["n"].to_numpy()})
+    return fit(texts["y"].to_numpy(), texts["n_words"].to_numpy(), held.sort_values(["text", "word"], ignore_index=True), words)
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
     """The columns ``keep`` with the score, from 0 to 1, under ``name``. Nothing but the text is looked at."""
+    if clash := {name, "__text"} & {*keep}:
+        raise ValueError(f"{sorted(clash)} are names of results: give them other names")
     picked = docs.select(*[F.col(x).alias(x) for x in keep], F.col(text_col).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
-        for batch in batches:
-            out = []
-            for text in batch.column("__text").to_pylist():
-                found = words(text)
-                for word in set(found).difference(known):
-                    known[word] = model.word(word)
-                logit = model.bias + (sum(map(known.__getitem__, found)) / len(found) if found else 0.0)
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))))
-                if len(known) > MEMORY_WORDS:
-                    known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(x) for x in keep] + [pa.array(out, pa.float64())], [*keep, name])
+        model = shared.value
+
+        def encode(pieces: pa.Array) -> Lists:
+            words = [clean(x) for x in pieces.to_pylist()]
+            real = np.array([bool(x) for x in words], bool)
+            return Lists(real.astype("int64"), model.words([x for x in words if x]))
+
+        known = Memory(encode, Lists(np.empty(0, "int64"), np.empty(0)))
+        for batch in slices(batches, "__text", SLICE_BYTES):
+            pieces, owner = split(batch.column("__text"))
+            coded = pieces.dictionary_encode()
+            found = known.get(coded.dictionary).take(coded.indices.to_numpy())
+            n = np.bincount(owner, found.lengths, batch.num_rows)
+            logit = model.bias + np.bincount(np.repeat(owner, found.lengths), found.flat, batch.num_rows) / np.maximum(1, n)
+            out = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            yield pa.RecordBatch.from_arrays([batch.column(x) for x in keep] + [pa.array(out)], [*keep, name])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields if f.name != "__text")
     return picked.mapInArrow(run, schema + f"`{name}` double")
