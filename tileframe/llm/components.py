@@ -17,9 +17,9 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     now = materialise(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Large star: u goes to the least neighbour of its lower end v. All edges of a hub v meet one row of a written table.
+        least = materialise(now.groupBy("u").agg(F.min("v").alias("m")), "least").select(F.col("u").alias("at"), "m")
+        large = now.join(least, F.col("v") == F.col("at"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).unionByName(lower.select("u", F.col("m").alias("v"))).distinct()
         now = materialise(small, "edges")
