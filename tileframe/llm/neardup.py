@@ -7,10 +7,12 @@ are one node. Two nodes link when den * intersection >= num * union.
 Which nodes can link at all comes from an exact filter, size class by size class: a pair belongs to the class of its larger set, where
 sets that link differ in at most H shingles. If hashes are dealt into H + 1 + S parts, S + 1 at least agree, so two sets share a part that
 has shingles unless both have more than S empty parts; those share a pair of empty parts. S is chosen so that few sets have as many. Nodes
-that share a key of a class form a block. In a block the overlaps of all pairs are counted exactly; blocks beyond GROUP members are cut
-into chunks, and each pair of chunks is a group of its own, so every link between different sets is found once.
+that share a key of a class form a block. Blocks beyond GROUP members are cut into chunks, and each pair of chunks is a group of its own. In a
+group a signature tree, gone down against itself, tells which pairs can overlap enough; their overlaps are counted
+exactly, so every link between different sets is found once.
 
-Rows keep their place: one row out for each row in, repeated ids and rows included. component_id is the least id of the rows
+Rows keep their place: one row out for each row in, repeated ids and rows included; an empty table gives no rows. Other columns are not
+read, whatever their names (``keep_one`` takes __id, __hash and __text_hash for itself). component_id is the least id of the rows
 of linked nodes (NULL ids count only where there are no others); for an empty set it is the row's own id.
 """
 
@@ -22,51 +24,49 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tileframe.llm.common import materialise
+from tileframe.llm.common import materialise, mix, slices
 from tileframe.llm.components import components
 
 GROUP = 256
 #: Nodes in blocks, up to this number, are broadcast to pick their texts (24 bytes each); beyond it the join is dealt out.
 BROADCAST_NODES = 1_000_000
-#: Shingles counted at a time.
+#: Shingles, and pairs of nodes, handled at a time.
 SLAB = 4096
-MEMORY_WORDS = 500_000
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser with good avalanche, on unsigned integers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < MEMORY_WORDS:
-            self[word] = value
-        return value
-
-
-_HASH = WordHash()
-
-
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """The sorted distinct shingle hashes."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, "uint64")
-    h = np.fromiter(map(_HASH.__getitem__, found), "uint64", len(found))
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, len(h) if len(h) < width else width, "uint64")
-    for k in range(min(width, len(h))):
+#: 64-bit words of a token bitmap, and children of a node of the signature tree.
+WORDS = 64
+FANOUT = 4
+#: Bytes of text handled at a time.
+SLICE_BYTES = 4 << 20
+
+
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    import xxhash
+
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    coded = cut.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    codes = coded.indices.to_numpy()
+    real = np.array([bool(x) for x in words], bool)[codes]
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(cut).to_numpy())
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), "uint64", len(words))[codes[real]]
+    sizes = np.bincount(owner[real], minlength=len(texts))
+    starts = np.cumsum(sizes) - sizes
+    runs = rolled(h, width)
+    return [np.unique(runs[at : at + n - width + 1] if n >= width else rolled(h[at : at + n], n)) if n else np.empty(0, "uint64") for at, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+
+
+def rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """One hash for each ``width`` neighbours."""
+    n = max(0, len(h) - width + 1)
+    out = np.full(n, width, "uint64")
+    for k in range(width):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(out)
+    return out
 
 
 class Classes:
@@ -117,30 +117,86 @@ def sets_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     classes = Classes(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                sizes, nodes, keys = [], [], []
-                for text in batch.column("text").to_pylist():
-                    h = shingles(text, width)
-                    sizes.append(len(h))
-                    nodes.append(int(mix(np.add.reduce(mix(h ^ np.uint64(0x5DEECE66D))) + np.uint64(len(h)))[()].astype("int64")) if len(h) else None)
-                    keys.append(classes.keys(h).view("int64") if len(h) else np.empty(0, "int64"))
-                offsets = pa.array(np.cumsum([0, *map(len, keys)], dtype="int32"))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))],
-                    ["doc_id", "text_hash", "n_shingles", "node", "keys"],
-                )
+        for batch in slices(batches, "text", SLICE_BYTES, 1000):
+            found = shingle_sets(batch.column("text"), width)
+            sizes = np.array([len(h) for h in found])
+            sums = np.array([np.add.reduce(mix(h ^ np.uint64(0x5DEECE66D))) for h in found], "uint64")
+            nodes = mix(sums + sizes.astype("uint64")).view("int64")
+            keys = [classes.keys(h).view("int64") if len(h) else np.empty(0, "int64") for h in found]
+            offsets = pa.array(np.cumsum([0, *map(len, keys)], dtype="int32"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))],
+                ["doc_id", "text_hash", "n_shingles", "node", "keys"],
+            )
 
     with_hash = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return with_hash.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node bigint, keys array<bigint>")
 
 
+class SignatureTree:
+    """Sets under nodes of FANOUT children. A node has the OR of its members' token bitmaps, the range of their sizes, and
+    ``spare``: by how much the size of a member exceeds the bits of its bitmap at most."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        sizes = np.array([len(x) for x in sets])
+        # Near copies share their least hashes: sets in this order lie beside their like, and bitmaps of nodes stay thin.
+        self.order = np.lexsort([np.array([x[min(k, len(x) - 1)] for x in sets]) for k in (2, 1, 0)])
+        bits = np.zeros((len(sets), WORDS), "uint64")
+        owner, token = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+        place = (token >> np.uint64(40)) % np.uint64(64 * WORDS)
+        np.bitwise_or.at(bits, (owner, (place >> np.uint64(6)).astype("int64")), np.uint64(1) << (place & np.uint64(63)))
+        spare = sizes - np.bitwise_count(bits).sum(1, dtype="int64")
+        self.levels = [tuple(x[self.order] for x in (bits, sizes, sizes, spare))]
+        while len(self.levels[-1][1]) > 1:
+            bits, low, high, spare = self.levels[-1]
+            at = np.arange(0, len(low), FANOUT)
+            self.levels.append((np.bitwise_or.reduceat(bits, at, 0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(spare, at)))
+
+    def survivors(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of sets that may link: both trees (here one with itself) are gone down together, level by level.
+
+        Shared tokens of two members lie on bits that both nodes have, and no set has more tokens than bits by more than its spare, so
+        the most that two members can share is the number of common bits and the lesser spare. A node pair whose
+        bound is too low for its smallest sizes, or whose sizes lie too far apart, goes with all pairs below it.
+        """
+        a = b = np.zeros(1, "int64")
+        for depth in range(len(self.levels) - 1, -1, -1):
+            bits, low, high, spare = self.levels[depth]
+            keep = [np.empty(0, bool)]
+            for at in range(0, len(a), SLAB):
+                x, y = a[at : at + SLAB], b[at : at + SLAB]
+                most = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype="int64") + np.minimum(spare[x], spare[y])
+                most = np.minimum(most, np.minimum(high[x], high[y]))
+                keep.append(((num + den) * most >= num * (low[x] + low[y])) & (den * high[x] >= num * low[y]) & (den * high[y] >= num * low[x]))
+            keep = np.concatenate(keep)
+            a, b = a[keep], b[keep]
+            if depth:
+                n = len(self.levels[depth - 1][1])
+                i, j = np.divmod(np.arange(FANOUT * FANOUT), FANOUT)
+                a, b = (a[:, None] * FANOUT + i).ravel(), (b[:, None] * FANOUT + j).ravel()
+                real = (a < n) & (b < n) & (a <= b)
+                a, b = a[real], b[real]
+        a, b = a[a != b], b[a != b]
+        return self.order[a], self.order[b]
+
+
 def all_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Whether each two sets link, as a square of booleans; a set isn't linked with itself. Shingles of one set only can't overlap."""
-    sizes = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    """Whether each two sets link, as a square of booleans; a set isn't linked with itself. What the tree leaves is counted exactly."""
+    links = np.zeros((len(sets), len(sets)), bool)
+    a, b = SignatureTree(sets).survivors(num, den)
+    if len(a):
+        some = np.unique(np.concatenate([a, b]))
+        both = overlaps([sets[k] for k in some])[np.searchsorted(some, a), np.searchsorted(some, b)]
+        sizes = np.array([len(x) for x in sets])
+        found = den * both >= num * (sizes[a] + sizes[b] - both)
+        links[a[found], b[found]] = links[b[found], a[found]] = True
+    return links
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share. Shingles of one set only can't overlap."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times[column] > 1
     owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
@@ -152,9 +208,7 @@ def all_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         has = np.zeros((len(sets), SLAB), "float32")
         has[owner[low:high], column[low:high] - at] = 1
         both += (has @ has.T).astype("int64")
-    links = den * both >= num * (sizes[:, None] + sizes[None, :] - both)
-    np.fill_diagonal(links, False)
-    return links
+    return both
 
 
 def spanning(links: np.ndarray) -> list[tuple[int, int]]:
@@ -222,8 +276,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         homes = Classes(num, den)
-        for batch in batches:
-            found = [shingles(x, width) for x in batch.column("text").to_pylist()]
+        for batch in slices(batches, "text", SLICE_BYTES, 1000):
+            found = shingle_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_arrays(
                 [*map(batch.column, ("node", "n_copies", "places")), pa.array([homes.home(len(x)) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())],
                 ["node", "n_copies", "places", "home", "shingles"],
