@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -101,18 +100,18 @@ def gradients(docs: Rows, bag_of: Rows, labels: np.ndarray, table: np.ndarray, t
     return loss, [bag_of.back(to_words), mean.T @ wrong, wrong.sum(0)]
 
 
-def fit(labels: np.ndarray, lengths: np.ndarray, bags: pd.DataFrame, words: list[str], dim: int = 4, epochs: int = 60, rate: float = 0.05, scale: float = 40.0, decay: float = 2e-5, seed: int = 7) -> Model:
+def fit(labels: np.ndarray, lengths: np.ndarray, text: np.ndarray, word: np.ndarray, n: np.ndarray, words: list[str], dim: int = 4, epochs: int = 60, rate: float = 0.05, scale: float = 40.0, decay: float = 2e-5, seed: int = 7) -> Model:
     """Adam over the whole sample at each step; logits are softmax differences of the two classes.
 
-    Each text has a label and its number of words; ``bags`` has the columns text, word (places in ``labels`` and ``words``) and n, by text.
+    Each text has a label and its number of words; text and word (places in ``labels`` and ``words``) and n are the bags, by text.
     """
     positive = float(labels.sum())
     prior = math.log((positive + 0.5) / (len(labels) - positive + 0.5)) if len(labels) else math.log(0.05)
-    texts, starts = np.unique(bags["text"].to_numpy(), return_index=True)
+    texts, starts = np.unique(text, return_index=True)
     labels = labels[texts].astype("float32")
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, "float32"), prior)
-    docs = Rows(np.diff(np.append(starts, len(bags))), bags["word"].to_numpy(), bags["n"].to_numpy() / lengths[bags["text"].to_numpy()], len(words))
+    docs = Rows(np.diff(np.append(starts, len(text))), word, n / lengths[text], len(words))
     owner, bucket = subwords(words)
     order = np.argsort(owner, kind="stable")
     lengths = np.bincount(owner, minlength=len(words))
@@ -177,15 +176,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     # At most about max_rows ids and labels: a bounded table.
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").select(F.xxhash64("__id", "text").alias("row"), "y", "text")
     bags = materialise(bags_of(sample).dropDuplicates(["row", "word"]), "bags")
-    texts = bags.groupBy("row").agg(F.first("y").alias("y"), F.first("n_words").alias("n_words")).toPandas().sort_values("row", ignore_index=True)
-    least = min(min_texts, max(1, len(texts) // 200))
+    texts = bags.groupBy("row").agg(F.first("y").alias("y"), F.first("n_words").alias("n_words")).orderBy("row").toArrow()
+    row, y, n_words = (texts.column(x).to_numpy() for x in ("row", "y", "n_words"))
+    least = min(min_texts, max(1, len(row) // 200))
     often = bags.where("word is not null").groupBy("word").agg(F.count("*").alias("texts")).where(F.col("texts") >= least).select("word")
-    words = sorted(r.word for r in often.collect())
-    # At most max_rows bags of the words that texts share.
-    ids = pd.Series(np.arange(len(words)), index=words)
-    shared = bags.where("word is not null").join(often, "word").select("row", "word", "n").toPandas()
-    held = pd.DataFrame({"text": np.searchsorted(texts["row"].to_numpy(), shared["row"].to_numpy()), "word": ids.reindex(shared["word"]).to_numpy(), "n": shared["n"].to_numpy()})
-    return fit(texts["y"].to_numpy(), texts["n_words"].to_numpy(), held.sort_values(["text", "word"], ignore_index=True), words)
+    # At most max_rows bags of the words that texts share, as Arrow columns.
+    held = bags.where("word is not null").join(often, "word").select("row", "word", "n").toArrow()
+    coded = held.column("word").combine_chunks().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    rank = np.empty(len(words), "int64")
+    rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+    text, word, n = np.searchsorted(row, held.column("row").to_numpy()), rank[coded.indices.to_numpy()], held.column("n").to_numpy()
+    order = np.lexsort([word, text])
+    return fit(y, n_words, text[order], word[order], n[order], sorted(words))
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
