@@ -29,12 +29,25 @@ from tileframe.llm.common import materialise, slices
 from tileframe.llm.tokens import GROUP_BYTES, load_tokenizer, worker_pieces
 
 #: A batch is closed when it has so many tokens or documents (a longer document makes a larger one).
-BATCH_TOKENS = 3_000_000
+BATCH_TOKENS = 2_000_000
 BATCH_DOCS = 200_000
 #: Distinct n-grams of all batches that a bucket should get, about.
 BUCKET_GRAMS = 1_500_000
 
 
+def pack(x: np.ndarray) -> bytes:
+    """An array of integers, byte by byte of their size, under zstd: high bytes are nearly always 0."""
+    return pa.compress(np.ascontiguousarray(x.view("uint8").reshape(len(x), -1).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def unpack(data: bytes, n: int, kind: str) -> np.ndarray:
+    if not n:
+        return np.empty(0, kind)
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * width, codec="zstd"), "uint8").reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def in_order(keys: np.ndarray, largest: int) -> np.ndarray:
     """The places of keys (0 to largest) in ascending order, equal keys by place: one sort of plain integers where both fit."""
     bits = max(1, len(keys)).bit_length()
@@ -130,7 +143,7 @@ def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batches_of(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
-    """batch, ids (of its documents, in order), lengths and tokens (little-endian, 2 or 4 bytes each)."""
+    """batch, ids (of its documents, in order), lengths and tokens (packed, 2 or 4 bytes each)."""
     kind = docs.schema[id_col].dataType.simpleString()
     wide = load_tokenizer(tokenizer_path).get_vocab_size() > 1 << 16
 
@@ -145,7 +158,7 @@ def batches_of(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str)
             lengths = np.concatenate([x for _, x, _ in held]).astype("int32")
             flat = np.concatenate([x for _, _, x in held])
             whole = pa.array([0, len(ids)], pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, pa.array(lengths)), pa.array([flat.tobytes()], pa.binary())], ["batch", "ids", "lengths", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, pa.array(lengths)), pa.array([pack(flat)], pa.binary())], ["batch", "ids", "lengths", "tokens"])
 
         for part in slices(batches, "text", GROUP_BYTES):
             found = pieces.texts(part.column("text"))
@@ -170,19 +183,21 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, alpha: float = 0.4, leave_ou
     kept = materialise(batches_of(docs, tokenizer_path, id_col, text_col), "batches")
 
     def one(batch: pa.RecordBatch, row: int) -> Batch:
-        return Batch(np.frombuffer(batch.column("tokens")[row].as_py(), width), batch.column("lengths")[row].values.to_numpy().astype("int64"), size)
+        lengths = batch.column("lengths")[row].values.to_numpy().astype("int64")
+        return Batch(unpack(batch.column("tokens")[row].as_py(), int(lengths.sum()), width), lengths, size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, "int64")
         for batch in batches:
-            for x in batch.column("tokens"):
-                total += np.bincount(np.frombuffer(x.as_py(), width), minlength=size)
+            for row in range(batch.num_rows):
+                n = pc.sum(batch.column("lengths")[row].values).as_py()
+                total += np.bincount(unpack(batch.column("tokens")[row].as_py(), n or 0, width), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["token", "n"])
 
     # At most as many rows as the vocabulary has.
     unigrams = np.zeros(size, "int64")
-    for row in kept.select("tokens").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
+    for row in kept.select("lengths", "tokens").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
         unigrams[row.token] = row.n
     known = spark.sparkContext.broadcast(unigrams)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(unigrams.sum()) // (3 * BUCKET_GRAMS))
@@ -192,47 +207,55 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, alpha: float = 0.4, leave_ou
             for row in range(batch.num_rows):
                 keys, n = one(batch, row).keys()
                 place, sizes = dealt(keys, buckets)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(keys[place])), pa.ListArray.from_arrays(offsets, pa.array(n[place].astype("int32")))]
-                number = pa.array(np.full(buckets, batch.column("batch")[row].as_py()))
-                yield pa.RecordBatch.from_arrays([number, pa.array(np.arange(buckets)), *lists], ["batch", "bucket", "keys", "n"]).filter(pa.array(sizes > 0))
+                stops = np.cumsum(sizes)
+                some = np.flatnonzero(sizes)
+                runs = [(keys[place[stop - k : stop]], n[place[stop - k : stop]]) for stop, k in zip(stops[some].tolist(), sizes[some].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(some), batch.column("batch")[row].as_py())), pa.array(some.astype("int32")), pa.array(sizes[some]),
+                        pa.array([pack(np.diff(x, prepend=0)) for x, _ in runs], pa.binary()), pa.array([pack(x) for _, x in runs], pa.binary()),
+                    ],
+                    ["batch", "bucket", "size", "keys", "n"],
+                )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All rows of some buckets: the counts of each n-gram over all batches, for each row in its own order."""
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        keys = np.concatenate([b.column("keys").flatten().to_numpy() for b in held])
-        n = np.concatenate([b.column("n").flatten().to_numpy() for b in held])
+        sizes = [b.column("size").to_pylist() for b in held]
+        keys = np.concatenate([np.cumsum(unpack(x.as_py(), k, "int64")) for b, s in zip(held, sizes, strict=True) for x, k in zip(b.column("keys"), s, strict=True)])
+        n = np.concatenate([unpack(x.as_py(), k, "int64") for b, s in zip(held, sizes, strict=True) for x, k in zip(b.column("n"), s, strict=True)])
         order = np.argsort(keys)
         ordered = keys[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        sums = np.add.reduceat(n[order].astype("int64"), first)
-        totals = np.empty(len(keys), "int64")
-        totals[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
+        others = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(keys))))
+        more = np.empty(len(keys), "int64")
+        more[order] = others
+        more -= n
         at = 0
-        for b in held:
-            lengths = pc.list_value_length(b.column("keys")).to_numpy()
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            mine = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(totals[at : at + offsets[-1]]))
-            at += int(offsets[-1])
-            yield pa.RecordBatch.from_arrays([b.column("batch"), b.column("bucket"), mine], ["batch", "bucket", "totals"])
+        for b, s in zip(held, sizes, strict=True):
+            mine = []
+            for k in s:
+                mine.append(pack(more[at : at + k]))
+                at += k
+            yield pa.RecordBatch.from_arrays([b.column("batch"), b.column("bucket"), b.column("size"), pa.array(mine, pa.binary())], ["batch", "bucket", "size", "more"])
 
-    sent = kept.select("batch", "lengths", "tokens").mapInArrow(send, "batch bigint, bucket bigint, keys array<bigint>, n array<int>")
-    totals = sent.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(add, "batch bigint, bucket bigint, totals array<bigint>")
+    sent = kept.select("batch", "lengths", "tokens").mapInArrow(send, "batch bigint, bucket int, size bigint, keys binary, n binary")
+    # How often the other batches have each n-gram.
+    totals = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(add, "batch bigint, bucket int, size bigint, more binary")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.combine_chunks()
         rows = left.to_batches()[0]
         batch = one(rows, 0)
         ids, lengths = rows.column("ids")[0].values, batch.lengths
-        keys, _ = batch.keys()
+        keys, own = batch.keys()
         place, _ = dealt(keys, buckets)
         right = right.sort_by("bucket")
-        mine = np.empty(len(keys), "int64")
         if len(keys):
-            mine[place] = pc.list_flatten(right.column("totals")).to_numpy()
-        log = batch.scores(mine, known.value, alpha, leave_out)
+            own[place] += np.concatenate([unpack(x.as_py(), k.as_py(), "int64") for x, k in zip(right.column("more"), right.column("size"), strict=True)])
+        log = batch.scores(own, known.value, alpha, leave_out)
         sums = np.bincount(batch.doc, log, len(lengths)).astype("float64")
         some = lengths > 0
         mean = sums / np.maximum(lengths, 1)
