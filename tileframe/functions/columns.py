@@ -106,11 +106,12 @@ def ring_counts(df: DataFrame, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
 
 
 def check_grayscale(df: DataFrame, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
-    """Whether all pixels of a tile have equal channels and, where there is one, a full alpha."""
+    """Whether a tile has one channel (v), or equal channels r, g, b and, where there is an alpha, a full one, at all of its pixels."""
+    one = F.col("v").isNotNull() if "v" in df.columns else F.lit(False)
     fine = (F.col("r") == F.col("g")) & (F.col("g") == F.col("b"))
     if "a" in df.columns:
         fine = fine & (F.coalesce(F.col("a"), F.lit(255)) == 255)
-    return df.groupBy(*keys).agg(F.bool_and(F.coalesce(fine, F.lit(False))).alias("is_grayscale"))
+    return df.groupBy(*keys).agg(F.bool_and(F.when(one & F.col("r").isNull(), True).otherwise(F.coalesce(fine, F.lit(False)))).alias("is_grayscale"))
 
 
 def is_safe_path(path: Column, prefix: str | None = None, suffix: str | None = None, top_level: bool = False) -> Column:
@@ -166,16 +167,20 @@ def parse_float(text: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
-def run_name(path: Column, depth: int = 1) -> Column:
-    """The folder that holds a file, or one further up."""
-    return F.try_element_at(F.split(path, "/"), F.lit(-1 - depth))
+def run_name(path: Column) -> Column:
+    """The folder that holds a file; of one that begins with run_, what follows its third underscore (or the last, if there are fewer)."""
+    parent = F.try_element_at(F.split(path, "/"), F.lit(-2))
+    return F.when(parent.startswith("run_"), F.element_at(F.split(parent, "_", 4), -1)).otherwise(parent)
 
 
-def run_group(path: Column, root: str = "outputs") -> Column:
-    """The folder just below ``root``; NULL where the path has none."""
+def run_group(path: Column) -> Column:
+    """candidate below a folder candidates; else the folder below ablation; else patch_training if it is a part of the path; else other."""
     parts = F.split(path, "/")
-    at = F.array_position(parts, root)
-    return F.when(at > 0, F.get(parts, at.cast("int")))
+    at = F.array_position(parts, "ablation")
+    return (
+        F.when(F.array_contains(parts, "candidates"), "candidate").when(at > 0, F.coalesce(F.get(parts, at.cast("int")), F.lit("ablation")))
+        .when(F.array_contains(parts, "patch_training"), "patch_training").otherwise("other")
+    )
 
 
 def colourise(df: DataFrame, label: str, colours: Sequence[tuple[int, int, int]] = ((255, 0, 0), (0, 255, 0), (0, 0, 255))) -> DataFrame:

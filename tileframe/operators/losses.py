@@ -44,36 +44,55 @@ def soft_dice(df: DataFrame, keys: Sequence[str] = (), smooth: float = 1.0) -> D
     return d.unionByName(d.groupBy(*keys).agg(F.avg("dice").alias("dice")).withColumn("class_id", F.lit(-1)))
 
 
-def tversky(df: DataFrame, keys: Sequence[str] = ("tile_id",), alpha: float = 0.7, beta: float = 0.3, gamma: float = 0.75, smooth: float = 1.0, adaptive: bool = False, weights: Sequence[float] | None = None) -> DataFrame:
-    """Tversky index and focal Tversky loss, weighted over classes. Adaptive: rarer classes (below 1 %, below 20 %) weigh misses more."""
+def tversky(df: DataFrame, keys: Sequence[str] = ("tile_id",), alpha: float = 0.7, beta: float = 0.3, gamma: float = 2.0, smooth: float = 1e-6, adaptive: bool = False, weights: Sequence[float] | None = None) -> DataFrame:
+    """Tversky index and focal Tversky loss, weighted over classes: alpha weighs false positives, beta false negatives.
+
+    Adaptive: a class of under 1 % of the pixels has 0.7 and 0.3, under 20 % 0.6 and 0.4, else 0.3 and 0.7.
+    """
     o = _overlaps(df, keys).withColumn("share", F.col("t") / F.col("n"))
-    a = F.when(F.col("share") < 0.01, 0.8).when(F.col("share") < 0.2, 0.7).otherwise(0.5) if adaptive else F.lit(alpha)
-    b = F.when(F.col("share") < 0.01, 0.2).when(F.col("share") < 0.2, 0.3).otherwise(0.5) if adaptive else F.lit(beta)
+    a = F.when(F.col("share") < 0.01, 0.7).when(F.col("share") < 0.2, 0.6).otherwise(0.3) if adaptive else F.lit(alpha)
+    b = F.when(F.col("share") < 0.01, 0.3).when(F.col("share") < 0.2, 0.4).otherwise(0.7) if adaptive else F.lit(beta)
     fn, fp = F.col("t") - F.col("tp"), F.col("p") - F.col("tp")
-    o = o.withColumn("index", (F.col("tp") + smooth) / (F.col("tp") + a * fn + b * fp + smooth))
+    o = o.withColumn("index", (F.col("tp") + smooth) / (F.col("tp") + a * fp + b * fn + smooth))
     w = _pick(weights, F.col("class_id")) if weights else F.lit(1.0)
     return o.groupBy(*keys).agg((F.sum(w * F.col("index")) / F.sum(w)).alias("tversky"), (F.sum(w * F.pow(F.greatest(1 - F.col("index"), F.lit(0.0)), gamma)) / F.sum(w)).alias("focal_tversky"))
 
 
-def hierarchical_score(df: DataFrame, keys: Sequence[str] = (), smooth: float = 1.0, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """region_dice (all classes), pore_union_dice, conditional_dice (C0 against C1 within pores), and their weighted mean."""
+def hierarchical_score(df: DataFrame, pore_counts: tuple[int, int], keys: Sequence[str] = (), smooth: float = 1e-6, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), ignore: int = -100) -> DataFrame:
+    """Soft Dice losses of all classes, of the union of pores, and of C0 against C1 within true pores, and their weighted mean.
+
+    The last weighs its classes by the inverse square roots of their shares in ``pore_counts``, the training pixels of C0 and C1. Pixels
+    with the ignored or no target don't count; keys without any other are left out.
+    """
     p, t = lambda k: F.get("probs", F.lit(k)), lambda k: (F.col("target") == k).cast("double")
     pore, is_pore = p(0) + p(1), t(0) + t(1)
-    c0 = F.coalesce(p(0) / F.nullif(pore, F.lit(0.0)), F.lit(0.0)) * is_pore
-    c1 = F.coalesce(p(1) / F.nullif(pore, F.lit(0.0)), F.lit(0.0)) * is_pore
-    dice = lambda a, b: (2 * F.sum(a * b) + smooth) / (F.sum(a) + F.sum(b) + smooth)
-    out = df.groupBy(*keys).agg(((dice(p(0), t(0)) + dice(p(1), t(1)) + dice(p(2), t(2))) / 3).alias("region_dice"), dice(pore, is_pore).alias("pore_union_dice"), ((dice(c0, t(0)) + dice(c1, t(1))) / 2).alias("conditional_dice"))
-    a, b, c = weights
-    return out.withColumn("score", (a * F.col("region_dice") + b * F.col("pore_union_dice") + c * F.col("conditional_dice")) / (a + b + c))
-
-
-def sparse_score(df: DataFrame, keys: Sequence[str] = ("tile_id",), gamma: float = 2.0, error_weight: float = 2.0, expected: float = 0.13) -> DataFrame:
-    """Focal loss that weighs wrong pixels more, times 1 + 10 * excess where more pores are predicted than expected."""
-    wrong = (F.array_position("probs", F.array_max("probs")) - 1) != F.col("target")
+    within = lambda k: F.coalesce(p(k) / F.nullif(pore, F.lit(0.0)), F.lit(0.0)) * is_pore
+    lost = lambda a, b: 1 - (2 * F.sum(a * b) + smooth) / (F.sum(a) + F.sum(b) + smooth)
+    rarity = [(sum(pore_counts) / n) ** 0.5 for n in pore_counts]
+    c0, c1 = (r / sum(rarity) for r in rarity)
+    valid = df.where(F.col("target").isNotNull() & (F.col("target") != ignore))
+    out = valid.groupBy(*keys).agg(
+        ((lost(p(0), t(0)) + lost(p(1), t(1)) + lost(p(2), t(2))) / 3).alias("region"), lost(pore, is_pore).alias("pore_union"),
+        (c0 * lost(within(0), t(0)) + c1 * lost(within(1), t(1))).alias("conditional"),
+    )
+    a, b, c = (w / sum(weights) for w in weights)
+    return out.withColumn("loss", a * F.col("region") + b * F.col("pore_union") + c * F.col("conditional"))
+
+
+def sparse_score(
+    df: DataFrame, keys: Sequence[str] = ("tile_id",), gamma: float = 2.0, false_pore: float = 10.0, true_pore: float = 3.0, rest: float = 1.0, expected: float = 0.15, ignore: int = -100
+) -> DataFrame:
+    """Focal loss that weighs pores predicted on mineral and pores of the right class more, times 1 + 10 * excess where more pores than expected are predicted.
+
+    Pixels with the ignored or no target don't count; keys without any other have a loss of 0.
+    """
+    found = F.array_position("probs", F.array_max("probs")) - 1
+    valid = F.col("target").isNotNull() & (F.col("target") != ignore)
     p = _true_p()
-    term = F.when(wrong, F.lit(error_weight)).otherwise(1.0) * F.pow(1 - p, gamma) * -F.log(p)
-    pore = F.avg(F.when((F.array_position("probs", F.array_max("probs")) - 1) < 2, 1.0).otherwise(0.0))
-    s = df.groupBy(*keys).agg(F.avg(term).alias("focal"), pore.alias("pore_ratio"))
+    weight = F.when((found < 2) & (F.col("target") == 2), F.lit(false_pore)).when((found < 2) & (found == F.col("target")), F.lit(true_pore)).when((found == 2) & (F.col("target") == 2), F.lit(rest)).otherwise(1.0)
+    term = F.when(valid, weight * F.pow(1 - p, gamma) * -F.log(p))
+    pore = F.when(valid, F.when(found < 2, 1.0).otherwise(0.0))
+    s = df.groupBy(*keys).agg(F.coalesce(F.avg(term), F.lit(0.0)).alias("focal"), F.coalesce(F.avg(pore), F.lit(0.0)).alias("pore_ratio"))
     return s.withColumn("score", F.col("focal") * F.when(F.col("pore_ratio") > expected, 1 + 10 * (F.col("pore_ratio") - expected)).otherwise(1.0))
 
 

@@ -205,3 +205,30 @@ def corpus_digest(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     entry = F.concat_ws("\u0000", "name", F.col("size").cast("string"), "sha256")
     return files.groupBy(*keys).agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("digest"), F.sha2(F.array_join(F.array_sort(F.collect_list("name")), "\n"), 256).alias("names_digest"))
+
+
+def byte_digest(files: DataFrame, keys: Sequence[str], max_bytes: int = 1 << 30) -> DataFrame:
+    """files, image_digest and names_digest of the files (name, content) of each bounded scope, in one pass over the bytes.
+
+    image_digest: SHA-256 over name, NUL, content, NUL of each file by name; names_digest: that of the compact JSON list of names. A scope's bytes
+    meet in one group, so one of more than max_bytes is an error: take corpus_digest there.
+    """
+    import hashlib
+    import json
+
+    import pandas as pd
+
+    size = F.sum(F.octet_length("content").cast("bigint")).over(Window.partitionBy(*keys))
+    kept = files.select(*keys, "name", F.col("content").cast("binary").alias("content"), size.alias("_size"))
+    kept = kept.withColumn("content", F.when(F.col("_size") > max_bytes, F.raise_error(F.lit("a scope is too large for a byte digest")).cast("binary")).otherwise(F.col("content"))).drop("_size")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.assign(_key=[x.encode() for x in group["name"]]).sort_values("_key")
+        names, digest = group["name"].tolist(), hashlib.sha256()
+        for name, content in zip(group["_key"], group["content"], strict=True):
+            digest.update(name + b"\0" + (content or b"") + b"\0")
+        listed = hashlib.sha256(json.dumps(names, separators=(",", ":")).encode()).hexdigest()
+        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "files": [len(names)], "image_digest": [digest.hexdigest()], "names_digest": [listed]})
+
+    schema = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
+    return kept.groupBy(*keys).applyInPandas(run, f"{schema}, files bigint, image_digest string, names_digest string")

@@ -45,7 +45,10 @@ def pairs(px: DataFrame, seed: int) -> DataFrame:
 
 def _joined(px: DataFrame, seed: int) -> DataFrame:
     b = px.select(F.col("tile_id").alias("other"), "y", "x", F.col("v").alias("v2"), F.col("target").alias("t2"))
-    return px.join(pairs(px, seed), "tile_id").join(b, ["other", "y", "x"])
+    # Ragged tiles: a pixel without a partner meets itself.
+    j = px.join(pairs(px, seed), "tile_id").join(b, ["other", "y", "x"], "left")
+    alone = F.col("t2").isNull() & F.col("v2").isNull()
+    return j.withColumns({"v2": F.when(alone, F.col("v")).otherwise(F.col("v2")), "t2": F.when(alone, F.col("target")).otherwise(F.col("t2"))})
 
 
 def mixup(px: DataFrame, seed: int, lam: float, minority: int | None = None) -> DataFrame:

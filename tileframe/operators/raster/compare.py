@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tileframe.operators.bootstrap import diagnostics_of_sums
 from tileframe.operators.raster.components import components
 from tileframe.operators.raster.distance import distance
-from tileframe.operators.raster.filters import boundary, box_mean, dilate, gaussian, laplacian_of_gaussian, local_std, sobel
+from tileframe.operators.raster.filters import boundary, by_tile, dilate, filtered, gaussian_kernel, log_of, mean_and_std, sobel_of
 from tileframe.operators.storage import materialise
 
 KEY = ["tile_id", "y", "x"]
@@ -110,46 +111,55 @@ def difficulty(px: DataFrame, label: str = "target", small: int = 100) -> DataFr
     return out.withColumn("difficulty", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
-def curriculum_threshold(epoch: int, epochs: int, warmup: int, strategy: str = "progressive", stages: int = 4) -> float:
-    """The share of difficulty admitted at an epoch: all after a progressive ramp, or stage by stage."""
+#: The difficulty percentiles of the stages of a curriculum.
+PERCENTILES = (0.3, 0.6, 0.9, 1.0)
+
+
+def curriculum_percentile(epoch: int, epochs: int, warmup: int, strategy: str = "progressive", percentiles: Sequence[float] = PERCENTILES) -> float | None:
+    """The percentile of difficulty that is admitted at an epoch: the first in the warm-up, then one after the other. Without a strategy, NULL: all below 1."""
+    if strategy not in ("progressive", "staged", "none"):
+        raise ValueError("strategy is progressive, staged or none")
+    last = len(percentiles) - 1
     if epoch < warmup:
-        return 0.3
+        return percentiles[0]
     if strategy == "progressive":
-        return min(1.0, 0.3 + 0.7 * (epoch - warmup) / max(1, epochs - warmup))
+        return percentiles[min(last, (epoch - warmup) * len(percentiles) // (epochs - warmup))]
     if strategy == "staged":
-        stage = min(stages - 1, (epoch - warmup) // max(1, (epochs - warmup) // stages))
-        return (0.3, 0.6, 0.9, 1.0)[min(3, stage)]
-    raise ValueError("strategy is progressive or staged")
+        return percentiles[min(last, (epoch - warmup) // ((epochs - warmup) // len(percentiles)))]
+    return None
 
 
 def curriculum(samples: DataFrame, difficulties: DataFrame, epoch: int, epochs: int, warmup: int = 5, strategy: str = "progressive") -> DataFrame:
-    """Samples up to the difficulty percentile of the epoch, with weight 1 + difficulty; samples of unknown difficulty stay, with weight 1."""
-    q = curriculum_threshold(epoch, epochs, warmup, strategy)
-    limit = difficulties.agg(F.percentile("difficulty", F.lit(q)).alias("_limit"))
+    """Samples up to the epoch's difficulty, with weight 1 - difficulty / 2 in the warm-up and 1 + difficulty * progress after it; samples of unknown difficulty stay, with weight 1."""
+    q = curriculum_percentile(epoch, epochs, warmup, strategy)
+    limit = difficulties.agg((F.percentile("difficulty", F.lit(q)) if q is not None else F.lit(1.0)).alias("_limit"))
     j = samples.join(difficulties.select("tile_id", "difficulty"), "tile_id", "left").join(F.broadcast(limit))
-    return j.where(F.col("difficulty").isNull() | (F.col("difficulty") <= F.col("_limit"))).withColumn("weight", F.coalesce(1 + F.col("difficulty"), F.lit(1.0))).drop("_limit")
+    weight = 1 - F.col("difficulty") / 2 if epoch < warmup else 1 + F.col("difficulty") * ((epoch - warmup) / (epochs - warmup))
+    return j.where(F.col("difficulty").isNull() | (F.col("difficulty") <= F.col("_limit"))).withColumn("weight", F.coalesce(weight, F.lit(1.0))).drop("_limit")
 
 
 def features(px: DataFrame, t: int = 100) -> DataFrame:
     """tile_id, y, x and FEATURES of each pixel; distance is scaled by the tile's diagonal (and is that in a tile that is all gate) and area by its size, both log1p, 0 outside the gate."""
-    p = px.select(*KEY, (F.col("v") / 255.0).alias("g"), F.col("v"))
-    e = Window.partitionBy("tile_id")
-    base = p.withColumns({"_n": F.count("*").over(e), "_h": F.max("y").over(e) + 1, "_w": F.max("x").over(e) + 1})
-    d = distance(p.withColumn("mask", F.col("v") < t), "mask").select(*KEY, "distance")
-    c = components(p.select(*KEY, (F.col("v") < t).alias("mask")))
-    area = c.withColumn("area", F.count("*").over(Window.partitionBy("tile_id", "region_id"))).select(*KEY, "area")
-    parts = [
-        gaussian(p, 1, "g").withColumnRenamed("g", "gaussian_1"), gaussian(p, 3, "g").withColumnRenamed("g", "gaussian_3"),
-        local_std(p, 7, "g").withColumnsRenamed({"mean": "mean_7", "std": "std_7"}), local_std(p, 31, "g").withColumnsRenamed({"mean": "mean_31", "std": "std_31"}),
-        sobel(p, "g"), laplacian_of_gaussian(p, 1.0, "g").withColumnRenamed("log", "log_1"), d, box_mean(p.withColumn("dark", (F.col("v") < t).cast("double")), 15, "dark").withColumnRenamed("dark", "dark_15"),
-    ]
-    out = base
-    for part in parts:
-        out = out.join(part, KEY)
-    out = out.join(area, KEY, "left")
-    diagonal = F.sqrt((F.col("_h") * F.col("_h") + F.col("_w") * F.col("_w")).cast("double"))
-    scaled = {"distance": F.log1p(F.coalesce("distance", diagonal)) / F.log1p(diagonal), "area": F.coalesce(F.log1p("area") / F.log1p(F.col("_n").cast("double")), F.lit(0.0)), "gray": F.col("g")}
-    return out.withColumns(scaled).select(*KEY, "v", *FEATURES)
+    p = px.select(*KEY, "v")
+    size = px.groupBy("tile_id").agg(F.count("*").alias("_n"), F.hypot((F.max("y") + 1).cast("double"), (F.max("x") + 1).cast("double")).alias("_diagonal"))
+    gate = p.select(*KEY, (F.col("v") < t).alias("mask"))
+    d = distance(gate, "mask").select(*KEY, "distance")
+    c = components(gate)
+    areas = c.groupBy("tile_id", "region_id").agg(F.count("*").alias("area"))
+    area = c.join(areas, ["tile_id", "region_id"]).select(*KEY, "area")
+
+    def made(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+        g, g1, g3 = v / 255.0, gaussian_kernel(1), gaussian_kernel(3)
+        mean7, std7 = mean_and_std(g, y, x, 7)
+        mean31, std31 = mean_and_std(g, y, x, 31)
+        return {
+            "v": v, "gray": g, "gaussian_1": filtered(g, y, x, g1, g1), "gaussian_3": filtered(g, y, x, g3, g3), "mean_7": mean7, "std_7": std7, "mean_31": mean31, "std_31": std31,
+            "sobel": sobel_of(g, y, x), "log_1": log_of(g, y, x, 1.0), "dark_15": filtered((v < t).astype("float64"), y, x, [1 / 15] * 15, [1 / 15] * 15),
+        }
+
+    out = by_tile(p, {"v": F.col("v")}, made).withColumn("v", F.col("v").cast(px.schema["v"].dataType)).join(d, KEY).join(area, KEY, "left").join(size, "tile_id")
+    out = out.withColumns({"distance": F.log1p(F.coalesce("distance", "_diagonal")) / F.log1p("_diagonal"), "area": F.coalesce(F.log1p("area") / F.log1p(F.col("_n").cast("double")), F.lit(0.0))})
+    return out.select(*KEY, "v", *FEATURES)
 
 
 def features_are_finite(f: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:

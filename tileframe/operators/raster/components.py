@@ -1,9 +1,11 @@
-"""Connected regions: rows are run-length encoded, runs of neighbouring rows joined, and run labels settled by alternating stars."""
+"""Connected regions: within a band of a tile's rows by union of row runs in one Arrow group, across bands by alternating stars over the regions that meet there."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from tileframe.operators.metrics import confusion, group_metrics
 from tileframe.operators.selection import select_cutoff
 from tileframe.operators.storage import materialise
 
-#: Columns meet in stripes of this width, so that long rows don't pair all their runs.
-STRIPE = 64
+#: Rows of a tile that are labelled in one group.
+BAND = 1024
 KEY_BITS = 24
 
 
@@ -49,23 +51,60 @@ def with_runs(px: DataFrame, mask: str, within: Sequence[str] = ()) -> DataFrame
     return on.withColumn("x0", F.min("x").over(Window.partitionBy("tile_id", *within, "y", "_g"))).drop("_g")
 
 
+def label_runs(y: np.ndarray, x: np.ndarray, reach: int) -> np.ndarray:
+    """For each pixel, the least pixel key of its region. Runs of one row touch those of the next that overlap them within the reach."""
+    order = np.lexsort([x, y])
+    y, x = y[order].astype("int64"), x[order].astype("int64")
+    begins = np.append(True, (y[1:] != y[:-1]) | (x[1:] > x[:-1] + 1)) if len(y) else np.empty(0, bool)
+    first = np.flatnonzero(begins)
+    row, x0, x1 = y[first], x[first], x[np.append(first[1:], len(y)) - 1]
+    width = int(x.max(initial=0)) + 3
+    low = np.searchsorted(row * width + x1, (row + 1) * width + x0 - reach)
+    count = np.maximum(np.searchsorted(row * width + x0, (row + 1) * width + x1 + reach, "right") - low, 0)
+    a = np.repeat(np.arange(len(first)), count)
+    b = np.arange(len(a)) + np.repeat(low - (np.cumsum(count) - count), count)
+    label = np.arange(len(first))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    out = np.empty(len(y), "int64")
+    out[order] = (row[label] << KEY_BITS | x0[label])[np.cumsum(begins) - 1]
+    return out
+
+
 def components(px: DataFrame, mask: str = "mask", connectivity: int = 8, within: Sequence[str] = ()) -> DataFrame:
-    """The mask's pixels with region_id, the least pixel key of their region. ``within`` keeps regions apart by more columns, such as the class."""
+    """The mask's pixels with region_id, the least pixel key of their region. ``within`` keeps regions apart by more columns, such as the class.
+
+    A group holds at most BAND rows of a tile; tiles of more rows are put together along the seams.
+    """
     if connectivity not in (4, 8):
         raise ValueError("connectivity is 4 or 8")
-    reach = 1 if connectivity == 8 else 0
-    marked = with_runs(px, mask, within)
-    runs = materialise(marked.groupBy("tile_id", *within, "y", "x0").agg(F.max("x").alias("x1")), "runs")
-    stripes = lambda a, b: F.explode(F.sequence(F.floor((a) / STRIPE), F.floor((b) / STRIPE)))
-    upper = runs.select("tile_id", *within, (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), stripes(F.col("x0") - reach, F.col("x1") + reach).alias("s"))
-    lower = runs.select("tile_id", *within, "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"), stripes(F.col("x0"), F.col("x1")).alias("s"))
-    touching = upper.join(lower, ["tile_id", *within, "y", "s"]).where((F.col("b0") <= F.col("a1") + reach) & (F.col("b1") >= F.col("a0") - reach))
-    names = ["tile_id", *within]
-    node = lambda y, x: F.struct(*names, pixel_key(y, F.col(x)).alias("key"))
-    edges = touching.select(node(F.col("y") - 1, "a0").alias("a"), node(F.col("y"), "b0").alias("b")).distinct()
-    labels = star_components(edges).select(*[F.col(f"node.{n}").alias(n) for n in names], F.col("node.key").alias("_run"), F.col("root.key").alias("_root"))
-    out = marked.withColumn("_run", pixel_key(F.col("y"), F.col("x0"))).join(labels, [*names, "_run"], "left")
-    return out.withColumn("region_id", F.coalesce("_root", "_run")).drop("_run", "_root", "x0")
+    reach, names = (1 if connectivity == 8 else 0), ["tile_id", *within]
+    on = px.where(F.col(mask).cast("boolean"))
+
+    def label(table: pa.Table) -> pa.Table:
+        found = label_runs(table.column("y").to_numpy(), table.column("x").to_numpy(), reach)
+        return table.drop_columns(["_band"]).append_column("region_id", pa.array(found))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in on.schema.fields)
+    labelled = on.withColumn("_band", F.floor(F.col("y") / BAND)).groupBy(*names, "_band").applyInArrow(label, f"{fields}, region_id bigint")
+    if on.where(F.col("y") >= BAND).isEmpty():
+        return labelled
+    labelled = materialise(labelled, "regions")
+    node = lambda region: F.struct(*names, F.col(region).alias("key"))
+    above = labelled.where(F.col("y") % BAND == BAND - 1).select(*names, (F.col("y") + 1).alias("y"), F.explode(F.sequence(F.col("x") - reach, F.col("x") + reach)).alias("x"), F.col("region_id").alias("_other"))
+    below = labelled.where(F.col("y") % BAND == 0).select(*names, "y", "x", "region_id")
+    edges = above.join(below, [*names, "y", "x"]).select(node("region_id").alias("a"), node("_other").alias("b")).distinct()
+    roots = star_components(edges).select(*[F.col(f"node.{n}").alias(n) for n in names], F.col("node.key").alias("region_id"), F.col("root.key").alias("_root"))
+    out = labelled.join(roots, [*names, "region_id"], "left").withColumn("region_id", F.coalesce("_root", "region_id")).drop("_root")
+    return out.select(*labelled.columns)
 
 
 def component_stats(c: DataFrame, keys: Sequence[str] = ("tile_id",)) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,23 +24,49 @@ def gaussian_kernel(sigma: float, order: int = 0) -> list[float]:
     return w if order == 0 else [x * (d * d / sigma**4 - 1 / sigma**2) for d, x in zip(range(-r, r + 1), w, strict=True)]
 
 
-def _pass(df: DataFrame, axis: str, kernel: Sequence[float], value: str) -> DataFrame:
-    """Each pixel adds its value to the places that read it, by the kernel's offsets and the reflections at either end, repeated with a period of two lines."""
-    other = "x" if axis == "y" else "y"
-    r = len(kernel) // 2
-    line = Window.partitionBy("tile_id", other)
-    n = df.withColumn("_n", F.max(axis).over(line) + 1)
-    taps = [(d - r, float(w)) for d, w in enumerate(kernel) if w]
-    pos = F.col(axis)
-    places = F.array(*[F.struct(F.pmod(p, 2 * F.col("_n")).cast("int").alias("at"), F.lit(w).alias("w")) for d, w in taps for p in (pos - d, -1 - pos - d)])
-    spread = n.select("tile_id", other, F.explode(places).alias("t"), F.col(value).alias("_v"), "_n").where(F.col("t.at").between(0, F.col("_n") - 1))
-    return spread.groupBy("tile_id", F.col("t.at").alias(axis), other).agg(F.sum(F.col("t.w") * F.col("_v")).alias(value)).select("tile_id", "y", "x", value)
+def lines(at: np.ndarray, along: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of pixels by line and place (0, 1, ... in each), and for each pixel in that order where its line starts and how long it is."""
+    order = np.lexsort([along, at])
+    n = np.unique(at, return_counts=True)[1]
+    return order, np.repeat(np.cumsum(n) - n, n), np.repeat(n, n)
+
+
+def weighed(values: np.ndarray, at: np.ndarray, along: np.ndarray, kernel: Sequence[float]) -> np.ndarray:
+    """Each pixel's kernel sum along its line, which is reflected at either end (edge pixels twice), again and again where the kernel is longer."""
+    order, start, n = lines(at, along)
+    place, ordered, total = np.arange(len(values)) - start, values[order], np.zeros(len(values))
+    for d, w in enumerate(kernel, -(len(kernel) // 2)):
+        if w:
+            to = (place + d) % (2 * n)
+            total += w * ordered[start + np.minimum(to, 2 * n - 1 - to)]
+    out = np.empty(len(values))
+    out[order] = total
+    return out
+
+
+def filtered(values: np.ndarray, y: np.ndarray, x: np.ndarray, kx: Sequence[float], ky: Sequence[float]) -> np.ndarray:
+    """Along rows, then along columns."""
+    return weighed(weighed(values, y, x, kx), x, y, ky)
+
+
+def by_tile(px: DataFrame, columns: dict[str, Column], made: Callable[..., dict[str, np.ndarray]]) -> DataFrame:
+    """tile_id, y, x and what ``made`` gives, as doubles, for y, x and the columns of one whole tile: one Arrow group and one shuffle."""
+    names = list(columns)
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x, *values = (table.column(n).to_numpy() for n in ("y", "x", *names))
+        out = made(y, x, *values)
+        return pa.table([table.column(n) for n in ("tile_id", "y", "x")] + [pa.array(v) for v in out.values()], names=["tile_id", "y", "x", *out])
+
+    picked = px.select("tile_id", "y", "x", *[c.cast("double").alias(n) for n, c in columns.items()])
+    kinds = dict(picked.dtypes)
+    outs = made(np.zeros(1, "int64"), np.zeros(1, "int64"), *[np.zeros(1)] * len(names))  # the names
+    return picked.groupBy("tile_id").applyInArrow(run, ", ".join([f"`{n}` {kinds[n]}" for n in ("tile_id", "y", "x")] + [f"`{n}` double" for n in outs]))
 
 
 def convolve(px: DataFrame, kx: Sequence[float], ky: Sequence[float], value: str = "v") -> DataFrame:
     """tile_id, y, x and the filtered value. Ragged lines reflect at their own end, and again where kernels are longer."""
-    one = px.select("tile_id", "y", "x", F.col(value).cast("double").alias(value))
-    return _pass(_pass(one, "x", kx, value), "y", ky, value)
+    return by_tile(px, {value: F.col(value)}, lambda y, x, v: {value: filtered(v, y, x, kx, ky)})
 
 
 def box_mean(px: DataFrame, size: int, value: str = "v") -> DataFrame:
@@ -50,29 +78,33 @@ def gaussian(px: DataFrame, sigma: float, value: str = "v") -> DataFrame:
     return convolve(px, k, k, value)
 
 
-def _named(df: DataFrame, value: str, name: str) -> DataFrame:
-    return df.withColumnRenamed(value, name)
+def sobel_of(v: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.hypot(filtered(v, y, x, SOBEL_STEP, SOBEL_SMOOTH), filtered(v, y, x, SOBEL_SMOOTH, SOBEL_STEP))
+
+
+def log_of(v: np.ndarray, y: np.ndarray, x: np.ndarray, sigma: float) -> np.ndarray:
+    g, d = gaussian_kernel(sigma), gaussian_kernel(sigma, 2)
+    return filtered(v, y, x, d, g) + filtered(v, y, x, g, d)
+
+
+def mean_and_std(v: np.ndarray, y: np.ndarray, x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    box = [1 / size] * size
+    mean, square = filtered(v, y, x, box, box), filtered(v * v, y, x, box, box)
+    return mean, np.sqrt(np.maximum(square - mean * mean, 0.0))
 
 
 def sobel(px: DataFrame, value: str = "v") -> DataFrame:
     """sobel: the gradient magnitude."""
-    gx = _named(convolve(px, SOBEL_STEP, SOBEL_SMOOTH, value), value, "gx")
-    gy = _named(convolve(px, SOBEL_SMOOTH, SOBEL_STEP, value), value, "gy")
-    return gx.join(gy, ["tile_id", "y", "x"]).select("tile_id", "y", "x", F.hypot("gx", "gy").alias("sobel"))
+    return by_tile(px, {"v": F.col(value)}, lambda y, x, v: {"sobel": sobel_of(v, y, x)})
 
 
 def laplacian_of_gaussian(px: DataFrame, sigma: float = 1.0, value: str = "v") -> DataFrame:
-    g, d = gaussian_kernel(sigma), gaussian_kernel(sigma, 2)
-    a = _named(convolve(px, d, g, value), value, "a")
-    b = _named(convolve(px, g, d, value), value, "b")
-    return a.join(b, ["tile_id", "y", "x"]).select("tile_id", "y", "x", (F.col("a") + F.col("b")).alias("log"))
+    return by_tile(px, {"v": F.col(value)}, lambda y, x, v: {"log": log_of(v, y, x, sigma)})
 
 
 def local_std(px: DataFrame, size: int, value: str = "v") -> DataFrame:
     """mean and std of the square neighbourhood, the variance clamped at 0."""
-    p = px.select("tile_id", "y", "x", F.col(value).cast("double").alias("m"), (F.col(value).cast("double") * F.col(value)).alias("q"))
-    m, q = box_mean(p, size, "m"), box_mean(p, size, "q")
-    return m.join(q, ["tile_id", "y", "x"]).select("tile_id", "y", "x", F.col("m").alias("mean"), F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))).alias("std"))
+    return by_tile(px, {"v": F.col(value)}, lambda y, x, v: dict(zip(("mean", "std"), mean_and_std(v, y, x, size), strict=True)))
 
 
 def _window(axis: str, k: int) -> Window:
@@ -118,12 +150,13 @@ def extreme(px: DataFrame, k: int, value: str, name: str, largest: bool = True)
 
 
 def smoothness(df: DataFrame, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
-    """Mean absolute difference of class probabilities to the pixel above, plus that to the pixel on the left."""
+    """Mean absolute difference of the two pore probabilities to the pixel above, plus that to the pixel on the left."""
     up = F.lag("probs").over(Window.partitionBy("tile_id", "x").orderBy("y"))
     left = F.lag("probs").over(Window.partitionBy("tile_id", "y").orderBy("x"))
 
     def gap(other: Column) -> Column:
-        return F.when(other.isNotNull(), F.aggregate(F.zip_with("probs", other, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v) / F.size("probs"))
+        pores = F.zip_with(F.slice("probs", 1, 2), F.slice(other, 1, 2), lambda a, b: F.abs(a - b))
+        return F.when(other.isNotNull(), F.aggregate(pores, F.lit(0.0), lambda s, v: s + v) / 2)
 
     d = df.withColumns({"_u": up, "_l": left}).withColumns({"_dy": gap(F.col("_u")), "_dx": gap(F.col("_l"))})
     return d.groupBy(*keys).agg((F.coalesce(F.avg("_dy"), F.lit(0.0)) + F.coalesce(F.avg("_dx"), F.lit(0.0))).alias("smoothness"))

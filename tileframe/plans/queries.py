@@ -214,21 +214,42 @@ def asymmetric_focal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(losses.asymmetric_focal(scored(spark, sf_dir), ["tile_id"]))
 
 
-@query(f"""WITH {SC}, o AS (SELECT tile_id, CAST(target = c AS DOUBLE) AS t, p, c FROM (SELECT tile_id, target, unnest(probs) AS p, unnest([0, 1, 2]) AS c FROM sc)), s AS (SELECT tile_id, c, sum(p * t) AS tp, sum(p) AS p, sum(t) AS t FROM o GROUP BY 1, 2), i AS (SELECT tile_id, (tp + 1) / (tp + 0.7::DOUBLE * (t - tp) + 0.3::DOUBLE * (p - tp) + 1) AS i FROM s)
-SELECT tile_id, round(avg(i), 9) AS tversky, round(avg(greatest(1 - i, 0) ** 0.75), 9) AS focal_tversky FROM i GROUP BY 1""")
+@query(f"""WITH {SC}, o AS (SELECT tile_id, CAST(target = c AS DOUBLE) AS t, p, c FROM (SELECT tile_id, target, unnest(probs) AS p, unnest([0, 1, 2]) AS c FROM sc)), s AS (SELECT tile_id, c, sum(p * t) AS tp, sum(p) AS p, sum(t) AS t FROM o GROUP BY 1, 2), i AS (SELECT tile_id, (tp + 1e-6) / (tp + 0.7::DOUBLE * (p - tp) + 0.3::DOUBLE * (t - tp) + 1e-6) AS i FROM s)
+SELECT tile_id, round(avg(i), 9) AS tversky, round(avg(greatest(1 - i, 0) ** 2), 9) AS focal_tversky FROM i GROUP BY 1""")
 def tversky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(losses.tversky(scored(spark, sf_dir)))
 
 
-@query(f"""WITH {SC}, w AS (SELECT tile_id, target, probs, list_position(probs, list_max(probs)) - 1 AS a, greatest(probs[target + 1], 1e-7) AS p FROM sc), g AS (SELECT tile_id, avg(CASE WHEN a <> target THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * (1 - p) ** 2 * -ln(p)) AS focal, avg(CASE WHEN a < 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS r FROM w GROUP BY 1)
-SELECT tile_id, round(focal, 9) AS focal, round(r, 9) AS pore_ratio, round(focal * CASE WHEN r > 0.13::DOUBLE THEN 1 + 10 * (r - 0.13::DOUBLE) ELSE 1 END, 9) AS score FROM g""")
+OVERLAP = f"""{SC}, o AS (SELECT tile_id, CAST(target = c AS DOUBLE) AS t, p, c FROM (SELECT tile_id, target, unnest(probs) AS p, unnest([0, 1, 2]) AS c FROM sc)),
+s AS (SELECT tile_id, c, sum(p * t) AS tp, sum(p) AS p, sum(t) AS t, sum(t) / count(*) AS share FROM o GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {OVERLAP}, i AS (SELECT tile_id, c, (tp + 1e-6) / (tp + CASE WHEN share < 0.01 THEN 0.7::DOUBLE WHEN share < 0.2 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END * (p - tp) + CASE WHEN share < 0.01 THEN 0.3::DOUBLE WHEN share < 0.2 THEN 0.4::DOUBLE ELSE 0.7::DOUBLE END * (t - tp) + 1e-6) AS i, [100, 10, 1][c + 1] AS w FROM s)
+SELECT tile_id, round(sum(w * i) / sum(w), 9) AS tversky, round(sum(w * greatest(1 - i, 0) ** 2) / sum(w), 9) AS focal_tversky FROM i GROUP BY 1""")
+def adaptive_tversky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(losses.tversky(scored(spark, sf_dir), adaptive=True, weights=[100, 10, 1]))
+
+
+def with_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh pixel has the ignored target."""
+    return scored(spark, sf_dir).withColumn("target", F.when(F.col("pixel") % 7 == 0, -100).otherwise(F.col("target")))
+
+
+@query(f"""WITH {SC}, w AS (SELECT tile_id, target, list_position(probs, list_max(probs)) - 1 AS a, greatest(probs[target + 1], 1e-7) AS p FROM sc WHERE pixel % 7 <> 0),
+g AS (SELECT tile_id, avg(CASE WHEN a < 2 AND target = 2 THEN 10.0::DOUBLE WHEN a < 2 AND a = target THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END * (1 - p) ** 2 * -ln(p)) AS focal, avg(CASE WHEN a < 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS r FROM w GROUP BY 1)
+SELECT tile_id, round(focal, 9) AS focal, round(r, 9) AS pore_ratio, round(focal * CASE WHEN r > 0.15::DOUBLE THEN 1 + 10 * (r - 0.15::DOUBLE) ELSE 1 END, 9) AS score FROM g""")
 def sparse_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(losses.sparse_score(scored(spark, sf_dir)))
+    return rounded(losses.sparse_score(with_ignored(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {SC}, p AS (SELECT tile_id, probs[1] AS p0, probs[2] AS p1, probs[3] AS p2, CAST(target = 0 AS DOUBLE) AS t0, CAST(target = 1 AS DOUBLE) AS t1, CAST(target = 2 AS DOUBLE) AS t2 FROM sc WHERE pixel % 7 <> 0),
+q AS (SELECT *, p0 + p1 AS u, t0 + t1 AS v, p0 / (p0 + p1) * (t0 + t1) AS c0, p1 / (p0 + p1) * (t0 + t1) AS c1 FROM p),
+d AS (SELECT tile_id, 1 - (2 * sum(p0 * t0) + 1e-6) / (sum(p0) + sum(t0) + 1e-6) AS l0, 1 - (2 * sum(p1 * t1) + 1e-6) / (sum(p1) + sum(t1) + 1e-6) AS l1, 1 - (2 * sum(p2 * t2) + 1e-6) / (sum(p2) + sum(t2) + 1e-6) AS l2,
+  1 - (2 * sum(u * v) + 1e-6) / (sum(u) + sum(v) + 1e-6) AS lu, 1 - (2 * sum(c0 * t0) + 1e-6) / (sum(c0) + sum(t0) + 1e-6) AS k0, 1 - (2 * sum(c1 * t1) + 1e-6) / (sum(c1) + sum(t1) + 1e-6) AS k1 FROM q GROUP BY 1),
+w AS (SELECT 1 / sqrt(0.04::DOUBLE) AS w0, 1 / sqrt(0.96::DOUBLE) AS w1), e AS (SELECT tile_id, (l0 + l1 + l2) / 3 AS region, lu AS pore_union, (w0 * k0 + w1 * k1) / (w0 + w1) AS conditional FROM d, w)
+SELECT tile_id, round(region, 9) AS region, round(pore_union, 9) AS pore_union, round(conditional, 9) AS conditional, round(0.5::DOUBLE * region + 0.25::DOUBLE * pore_union + 0.25::DOUBLE * conditional, 9) AS loss FROM e""")
 def hierarchical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(losses.hierarchical_score(scored(spark, sf_dir), ["tile_id"]))
+    return rounded(losses.hierarchical_score(with_ignored(spark, sf_dir), (4, 96), ["tile_id"], weights=(2.0, 1.0, 1.0)))
 
 
 @query("""WITH u AS (SELECT vec_id, vec_id // 64 AS block, label % 4 AS label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(e, e)) AS l FROM u),
@@ -341,6 +362,13 @@ def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.corpus_digest(p, ["host"])
 
 
+@query("""SELECT split_part(url, '/', 3) AS host, count(*) AS files, sha256(string_agg(page_id || chr(0) || html || chr(0), '' ORDER BY CAST(page_id AS VARCHAR))) AS image_digest, sha256('["' || string_agg(CAST(page_id AS VARCHAR), '","' ORDER BY CAST(page_id AS VARCHAR)) || '"]') AS names_digest FROM pages GROUP BY 1""")
+def host_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the bytes of each host's pages."""
+    p = table(spark, sf_dir, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), F.col("page_id").cast("string").alias("name"), F.col("html").alias("content"))
+    return metrics.byte_digest(p, ["host"])
+
+
 @query("""SELECT DISTINCT 'brand-' || substr(sha256('{"p_brand":"' || p_brand || '","p_size":' || p_size || '}'), 1, 16) AS id, p_brand, p_size FROM part""")
 def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_brand", "p_size").distinct()
@@ -443,17 +471,16 @@ def region_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.annotations(pixels(spark, sf_dir), 4).select("tile_id", "annotation_id", "category_id", "area", F.to_json("bbox").alias("bbox"), F.size("runs").alias("n_runs"))
 
 
-@query(f"""WITH {PX} SELECT a.tile_id, a.y, a.x, round(coalesce(sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 8), 9) AS distance FROM (SELECT * FROM px WHERE v < 100) a LEFT JOIN (SELECT * FROM px WHERE v >= 100) b ON a.tile_id = b.tile_id AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 64 GROUP BY ALL""")
+@query(f"""WITH {PX} SELECT a.tile_id, a.y, a.x, round(sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 9) AS distance FROM (SELECT * FROM px WHERE v < 100) a LEFT JOIN (SELECT * FROM px WHERE v >= 100) b ON a.tile_id = b.tile_id GROUP BY ALL""")
 def gate_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = distance.distance(pixels(spark, sf_dir).withColumn("mask", F.col("v") < 100), max_radius=8)
+    d = distance.distance(pixels(spark, sf_dir).withColumn("mask", F.col("v") < 100))
     return rounded(d.where("mask").select("tile_id", "y", "x", "distance"))
 
 
-@query(f"""WITH {PX} SELECT a.tile_id, a.y, a.x, round(sqrt(min((a.y - b.y) ** 2 + (a.x - b.x) ** 2)), 9) AS distance FROM (SELECT * FROM px WHERE v < 100) a LEFT JOIN (SELECT * FROM px WHERE v >= 100) b ON a.tile_id = b.tile_id GROUP BY ALL""")
+@query(ORACLES["gate_distance"])
 def gate_distance_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gate_distance stops at 8, as its SQL does; this one has no bound."""
-    d = distance.distance(pixels(spark, sf_dir).withColumn("mask", F.col("v") < 100))
-    return rounded(d.where("mask").select("tile_id", "y", "x", "distance"))
+    """The name that gate_distance had while it stopped at 8."""
+    return gate_distance(spark, sf_dir)
 
 
 @query()
@@ -509,8 +536,8 @@ def smart_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grid.smart_crop(pixels(spark, sf_dir), 8, 0.2))
 
 
-@query(f"""WITH {SC}, d AS (SELECT tile_id, pixel, probs, pixel // 20 AS i FROM sc), q AS (SELECT tile_id, i // 5 AS y, i % 5 AS x, probs FROM d), u AS (SELECT a.tile_id, (abs(a.probs[1] - b.probs[1]) + abs(a.probs[2] - b.probs[2]) + abs(a.probs[3] - b.probs[3])) / 3 AS g FROM q a JOIN q b ON a.tile_id = b.tile_id AND a.x = b.x AND a.y = b.y + 1),
-l AS (SELECT a.tile_id, (abs(a.probs[1] - b.probs[1]) + abs(a.probs[2] - b.probs[2]) + abs(a.probs[3] - b.probs[3])) / 3 AS g FROM q a JOIN q b ON a.tile_id = b.tile_id AND a.y = b.y AND a.x = b.x + 1)
+@query(f"""WITH {SC}, d AS (SELECT tile_id, pixel, probs, pixel // 20 AS i FROM sc), q AS (SELECT tile_id, i // 5 AS y, i % 5 AS x, probs FROM d), u AS (SELECT a.tile_id, (abs(a.probs[1] - b.probs[1]) + abs(a.probs[2] - b.probs[2])) / 2 AS g FROM q a JOIN q b ON a.tile_id = b.tile_id AND a.x = b.x AND a.y = b.y + 1),
+l AS (SELECT a.tile_id, (abs(a.probs[1] - b.probs[1]) + abs(a.probs[2] - b.probs[2])) / 2 AS g FROM q a JOIN q b ON a.tile_id = b.tile_id AND a.y = b.y AND a.x = b.x + 1)
 SELECT t.tile_id, round(coalesce((SELECT avg(g) FROM u WHERE u.tile_id = t.tile_id), 0) + coalesce((SELECT avg(g) FROM l WHERE l.tile_id = t.tile_id), 0), 9) AS smoothness FROM (SELECT DISTINCT tile_id FROM q) t""")
 def smoothness(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir).withColumn("i", F.floor(F.col("pixel") / 20))

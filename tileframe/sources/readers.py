@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,14 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tileframe.functions import parse_float, run_group, run_name
+
 COCO_SCHEMA = (
     "images array<struct<id: bigint, file_name: string, width: int, height: int>>, "
     "annotations array<struct<id: bigint, image_id: bigint, category_id: bigint, segmentation: array<array<double>>, area: double, bbox: array<double>, iscrowd: int>>, "
     "categories array<struct<id: bigint, name: string>>"
 )
-SUMMARY_SCHEMA = (
-    "model string, loss string, epochs int, best_epoch int, best_score double, c0_iou double, c1_iou double, c2_iou double, mean_iou double, accuracy double, "
-    "f1 double, validation_loss double, train_loss double, seconds double"
+#: Column, section and key of each number of a run summary (fixed names).
+SUMMARY_NUMBERS = (
+    ("epochs_trained", "training_config", "epochs_trained"), ("batch_size", "training_config", "batch_size"), ("learning_rate", "training_config", "learning_rate"),
+    ("best_val_loss", "final_metrics", "best_val_loss"), ("best_pore_iou", "final_metrics", "best_pore_iou"), ("final_mean_iou", "final_metrics", "final_mean_iou"),
+    ("final_pore_iou", "final_metrics", "final_pore_iou"), ("final_background_iou", "final_metrics", "final_background_iou"), ("final_val_acc", "final_metrics", "final_val_acc"),
+    ("total_training_time_s", "final_metrics", "total_training_time"),
 )
 
 
@@ -75,10 +81,17 @@ def read_manifest(spark: SparkSession, path: str, splits: Sequence[str] = ("trai
 
 
 def read_run_summaries(spark: SparkSession, path: str, name: str = "training_summary.json") -> DataFrame:
-    """Typed columns of all run summaries below a folder, with their path; files that aren't JSON objects are left out."""
-    schema = T.StructType.fromDDL(SUMMARY_SCHEMA).add("_corrupt_record", "string")
-    read = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", name).json(path)
-    return read.select("*", F.col("_metadata.file_path").alias("path")).where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    """run_name, group, summary_path, early_stopped and the numbers of all run summaries below a folder; files that aren't JSON objects are left out.
+
+    A summary has the objects final_metrics and training_config; a number that is absent, not finite or no number is NULL, and numbers may be text.
+    """
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name).select("value", F.col("_metadata.file_path").alias("summary_path"))
+    section = lambda x: F.from_json(F.try_element_at("m", F.lit(x)), "map<string, string>")
+    read = files.select("summary_path", F.from_json("value", "map<string, string>").alias("m")).where("m is not null")
+    read = read.withColumns({x: section(x) for x in ("final_metrics", "training_config")})
+    numbers = [parse_float(F.try_element_at(part, F.lit(key))).alias(column) for column, part, key in SUMMARY_NUMBERS]
+    stopped = F.coalesce(F.lower(F.try_element_at("training_config", F.lit("early_stopped"))) == "true", F.lit(False))
+    return read.select(run_name(F.col("summary_path")).alias("run_name"), run_group(F.col("summary_path")).alias("group"), "summary_path", stopped.alias("early_stopped"), *numbers)
 
 
 def read_contract_csv(spark: SparkSession, path: str, schema: str, exact: Sequence[str] | None = None, required: Sequence[str] = (), allowed: Sequence[str] | None = None) -> DataFrame:
@@ -109,8 +122,8 @@ def json_faults(text: str | None) -> list[str]:
     faults = []
 
     def pairs(items: list) -> dict:
-        names = [k for k, _ in items]
-        faults.extend(f"duplicate key {k}" for k in sorted({k for k in names if names.count(k) > 1}))
+        times = Counter(k for k, _ in items)
+        faults.extend(f"duplicate key {k}" for k in sorted(k for k, n in times.items() if n > 1))
         return dict(items)
 
     try:
