@@ -119,6 +119,20 @@ def test_decontamination(spark, docs, rows, extra):
     assert any(x[2] for x in want)
 
 
+def test_decontamination_with_joins_dealt_out(spark, docs, rows, monkeypatch):
+    """Beyond the bounds of broadcasts: no partition gets all rows that have no hit."""
+    for name in ("BROADCAST_PRINTS", "BROADCAST_WINDOWS", "BROADCAST_TOUCHED"):
+        monkeypatch.setattr(decontaminate, name, -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+        got = decontaminate.contaminate(docs, bench).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = bag(brute_hits([(i, x) for i, x, _ in rows], [(r.item_id, r.text) for r in bench.collect()]))
+    assert bag((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in got) == want
+
+
 def test_decontamination_with_empty_tables(docs):
     none = docs.where("false").select(F.col("doc_id").alias("item_id"), "text")
     assert {(r.n_hit, tuple(r.item_ids)) for r in decontaminate.contaminate(docs, none).collect()} == {(0, ())}

@@ -88,15 +88,18 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", i
     named = windows.groupBy("len", "window").agg(F.collect_set("item").alias("items"))
     named = F.broadcast(named) if windows.count() <= BROADCAST_WINDOWS else named
 
-    # One pass over the texts: which documents have a fingerprint of the benchmark. A NULL print stands for the row itself.
+    # One pass over the texts: which documents have a fingerprint of the benchmark. The first place is for the row itself, under a hash of
+    # its own, so that rows without a hit are dealt out evenly too.
     def all_prints(df: DataFrame) -> DataFrame:
         for length in lengths:
             df = window_prints(df, length, gram, f"prints{length}")
-        return df.withColumn("print", F.explode_outer(F.concat(F.array(F.lit(None).cast("bigint")), *[F.array_distinct(f"prints{n}") for n in lengths])))
+        itself = F.array(F.xxhash64("doc_id", "text_hash"))
+        return df.select("doc_id", "text_hash", "n_words", F.posexplode(F.concat(itself, *[F.array_distinct(f"prints{n}") for n in lengths])).alias("at", "print"))
 
-    own = all_prints(worded.select("doc_id", "text_hash", "words", F.size("words").cast("bigint").alias("n_words"))).select("doc_id", "text_hash", "n_words", "print")
-    own = own.join(side.withColumn("known", F.lit(1)), "print", "left").where(F.col("print").isNull() | F.col("known").isNotNull())
-    found = own.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("print").isNull()).alias("copies"), F.coalesce(F.max("known"), F.lit(0)).alias("known"))
+    own = all_prints(worded.select("doc_id", "text_hash", "words", F.size("words").cast("bigint").alias("n_words")))
+    itself = F.col("at") == 0
+    own = own.join(side.withColumn("known", F.lit(1)), "print", "left").where(itself | F.col("known").isNotNull())
+    found = own.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.count_if(itself).alias("copies"), F.coalesce(F.max(F.when(~itself, F.col("known"))), F.lit(0)).alias("known"))
     found = materialise(found, "found")
 
     # Extend the hits: read the documents met again, and look at their windows that have a fingerprint met.
