@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from tileframe.llm.common import materialise, mix, slices
 from tileframe.llm.components import components
 
-GROUP = 256
+#: Members of a chunk of a block; a group has at most two chunks.
+GROUP = 128
 #: Nodes in blocks, up to this number, are broadcast to pick their texts (24 bytes each); beyond it the join is dealt out.
 BROADCAST_NODES = 1_000_000
 #: Shingles, and pairs of nodes, handled at a time.
