@@ -29,7 +29,7 @@ from tileframe.llm.common import materialise, slices
 from tileframe.llm.tokens import GROUP_BYTES, load_tokenizer, worker_pieces
 
 #: A batch is closed when it has so many tokens or documents (a longer document makes a larger one).
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
 BATCH_DOCS = 200_000
 #: Distinct n-grams of all batches that a bucket should get, about.
 BUCKET_GRAMS = 1_500_000
@@ -109,8 +109,7 @@ class Batch:
     def scores(self, totals: np.ndarray, unigrams: np.ndarray, alpha: float, leave_out: bool) -> np.ndarray:
         """The log score of each token; totals are those of keys()."""
         own = (lambda grams, doc: grams.own(doc)) if leave_out else (lambda grams, doc: 0)
-        one = Grams(self.tokens.astype("int64"), self.size)
-        count1 = unigrams[self.tokens] - own(one, self.doc)
+        count1 = unigrams[self.tokens] - own(Grams(self.tokens.astype("int64"), self.size), self.doc)
         n2 = len(self.two.first)
         count2 = np.zeros(len(self.tokens), "int64")
         count2[self.at2] = totals[:n2][self.two.rank] - own(self.two, self.doc[self.at2])
@@ -160,7 +159,7 @@ def batches_of(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str)
             whole = pa.array([0, len(ids)], pa.int32())
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, pa.array(lengths)), pa.array([pack(flat)], pa.binary())], ["batch", "ids", "lengths", "tokens"])
 
-        for part in slices(batches, "text", GROUP_BYTES):
+        for part in slices(batches, "text", GROUP_BYTES // 4):
             found = pieces.texts(part.column("text"))
             held.append((part.column("doc_id"), found.lengths, found.flat.astype("<u4" if wide else "<u2")))
             if sum(len(x) for _, _, x in held) >= BATCH_TOKENS or sum(len(x) for _, x, _ in held) >= BATCH_DOCS:
