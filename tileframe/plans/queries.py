@@ -384,17 +384,17 @@ def json_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Raster
 
 
-@query(f"""WITH {PX}, t AS (SELECT tile_id, max(y) + 1 AS h, 24 AS w FROM px GROUP BY 1 HAVING max(y) + 1 >= 10), yy AS (SELECT tile_id, w, h, unnest(list_sort(list_distinct(list_append(range(0, h - 10 + 1, 7), h - 10)))) AS y0 FROM t), xx AS (SELECT *, unnest(list_sort(list_distinct(list_append(range(0, w - 10 + 1, 7), w - 10)))) AS x0 FROM yy)
+@query(f"""WITH {PX}, t AS (SELECT tile_id, max(y) + 1 AS h, 24 AS w FROM px GROUP BY 1), yy AS (SELECT tile_id, w, h, unnest(list_sort(list_distinct(list_append(range(0, h - 10 + 1, 7), h - 10)))) AS y0 FROM t), xx AS (SELECT *, unnest(list_sort(list_distinct(list_append(range(0, w - 10 + 1, 7), w - 10)))) AS x0 FROM yy)
 SELECT tile_id, CAST(dense_rank() OVER (PARTITION BY tile_id ORDER BY y0) - 1 AS INTEGER) AS "row", CAST(dense_rank() OVER (PARTITION BY tile_id ORDER BY x0) - 1 AS INTEGER) AS col, CAST(y0 AS INTEGER) AS y0, CAST(x0 AS INTEGER) AS x0 FROM xx""")
 def patch_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = pixels(spark, sf_dir).groupBy("tile_id").agg((F.max("y") + 1).alias("height")).where("height >= 10").withColumn("width", F.lit(24))
+    t = pixels(spark, sf_dir).groupBy("tile_id").agg((F.max("y") + 1).alias("height")).withColumn("width", F.lit(24))
     return grid.patch_grid(t, 10, 3).select("tile_id", "row", "col", "y0", "x0")
 
 
 @query()
 def stitched_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir)
-    t = px.groupBy("tile_id").agg((F.max("y") + 1).alias("height")).where("height >= 10").withColumn("width", F.lit(24))
+    t = px.groupBy("tile_id").agg((F.max("y") + 1).alias("height")).withColumn("width", F.lit(24))
     c = grid.cut(px, grid.patch_grid(t, 10, 3)).withColumn("value", (F.col("patch_row") * 1000 + F.col("patch_col")).cast("int"))
     return grid.stitch(c)
 
