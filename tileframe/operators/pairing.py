@@ -59,7 +59,7 @@ def assign_series(files: DataFrame, series: DataFrame) -> DataFrame:
     """
     parts = F.split("stem", "_")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "_"))
-    tried = files.select("stem", F.explode(F.array_distinct(prefixes)).alias("series"))
+    tried = files.select("stem").distinct().select("stem", F.explode(F.array_distinct(prefixes)).alias("series"))
     hits = tried.join(series.select("series").distinct(), "series").groupBy("stem").agg(F.min("series").alias("series"), F.count("*").alias("matches"))
     return files.select("stem").distinct().join(hits, "stem", "left").select("stem", F.when(F.col("matches") == 1, F.col("series")).alias("series"), F.coalesce("matches", F.lit(0)).alias("matches"))
 

@@ -1,3 +1,3 @@
 """Registered queries over the given tables, and the same in DuckDB SQL."""
 
-from tileframe.plans import more, queries  # noqa: F401
+from tileframe.plans import contracts, more, queries  # noqa: F401
