@@ -8,11 +8,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tileframe.llm import bpe, decontaminate, language, lm, neardup, queries, shards, tokenfile, tokens, topk, toxicity
-from tileframe.llm.common import new_path
+from tileframe.llm.common import new_path, slices
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
@@ -174,6 +175,30 @@ def near_copies(n, seed, words=120, most=14):
     return out
 
 
+@pytest.mark.parametrize("nulls", [True, False])
+def test_slices_of_batches(nulls):
+    """A slice of a larger batch gives what the rows alone give: shingles, tokens, toxicity's pieces and the cuts themselves."""
+    texts = [None, "", "One two", "a B c d E f g", LONG, "x y Z é ÉCOLE ...", "tail of it"] * 3
+    texts = [x for x in texts if nulls or x is not None]
+    whole = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    pieces = tokens.Pieces(queries.tokenizer("word_bpe_49k.json"), False)
+    parts = list(slices([whole], "text", 1000, 2))
+    assert [x for p in parts for x in p.column("text").to_pylist()] == texts and len(parts) > 10
+    for width in (1, 3, 5):
+        got = [x.tolist() for p in parts for x in neardup.shingle_sets(p.column("text"), width)]
+        alone = [neardup.shingle_sets(pa.array([x], pa.string()), width)[0].tolist() for x in texts]
+        assert got == alone
+        sizes = [len({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))}) if (w := ascii_words(x, r"[^\x20\x09-\x0D]+")) else 0 for x in texts]
+        assert [len(x) for x in got] == sizes
+    t = library("word_bpe_49k.json")
+    assert [i for p in parts for i in pieces.texts(p.column("text")).flat.tolist()] == [i for x in texts for i in t.encode(x or "", add_special_tokens=False).ids]
+    cut = []
+    for p in parts:
+        found, owner = toxicity.split(p.column("text"))
+        cut += [[x for x, o in zip(found.to_pylist(), owner, strict=True) if o == k and x] for k in range(len(p.column("text")))]
+    assert cut == [(x or "").split() for x in texts]
+
+
 @pytest.mark.parametrize("width,num,den", [(3, 90, 100), (5, 8, 10)])
 def test_ngram_jaccard_join(spark, docs, rows, width, num, den, monkeypatch):
     monkeypatch.setattr(neardup, "GROUP", 16)  # so that large blocks are cut

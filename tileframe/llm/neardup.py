@@ -48,9 +48,10 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     import xxhash
 
-    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    cut = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
     coded = cut.flatten().dictionary_encode()
-    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    # Lowered here, A-Z only: Arrow's own lowering misreads a slice of a larger array.
+    words = [x.lower() for x in coded.dictionary.cast(pa.large_binary()).to_pylist()]
     codes = coded.indices.to_numpy()
     real = np.array([bool(x) for x in words], bool)[codes]
     owner = np.repeat(np.arange(len(texts)), pc.list_value_length(cut).to_numpy())
