@@ -6,7 +6,8 @@ adjacent pair to all its positions; ranks that occur are applied in ascending or
 to right, and the lists of the pairs that this makes or breaks are updated. Results per piece are remembered by the worker.
 
 NULL and empty texts have no ids and decode to an empty text. Strings of added tokens inside a text become their ids, as the
-library does. Bytes that aren't UTF-8 decode to U+FFFD. Rows are independent: repeated rows give repeated results.
+library does. Bytes that aren't UTF-8 decode to U+FFFD. Rows are independent: repeated rows give repeated results. An empty table gives
+no rows. Columns that aren't asked for are not read; id_cols may not hold the names of results.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 
 def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte: itself for visible Latin-1 bytes, else the next from U+0100 on."""
+    """Fixed values of the published byte-level form: the printable letter that stands for each byte: itself for visible Latin-1 bytes, else the next from U+0100 on."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = iter(range(256, 512))
     return [chr(b) if b in visible else chr(next(others)) for b in range(256)]
@@ -213,6 +214,8 @@ def _schema(df: DataFrame, without: str) -> str:
 
 def encode(df: DataFrame, path: str, id_cols: list[str], text_col: str = "text", decoded: str | None = None) -> DataFrame:
     """id_cols, ``ids`` array<int>, and with ``decoded`` a column of that name: the ids decoded again."""
+    if clash := {"ids", decoded} & {*id_cols}:
+        raise ValueError(f"{sorted(clash)} are names of results: give them other names")
     picked = df.select(*id_cols, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
