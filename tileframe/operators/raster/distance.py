@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tileframe.operators.raster.components import components, pixel_key
@@ -10,50 +14,53 @@ from tileframe.operators.raster.filters import boundary, dilate, extreme
 from tileframe.operators.storage import materialise
 
 KEY = ("tile_id", "y", "x")
-FIRST_RADIUS = 16
 
 
-def distance(px: DataFrame, mask: str = "mask", max_radius: int | None = None, name: str = "distance") -> DataFrame:
+def append_by_tile(df: DataFrame, name: str, kind: str, made: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """df with one more column, worked out for one whole tile at a time in an Arrow group."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(table: pa.Table) -> pa.Table:
+        return table.append_column(name, pa.array(made(table), from_pandas=True))
+
+    return df.groupBy("tile_id").applyInArrow(run, f"{fields}, `{name}` {kind}")
+
+
+def distances(y: np.ndarray, x: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """The exact Euclidean distance of each pixel to the nearest that is not on; NaN if there is none.
+
+    Along rows first; then rows at ever greater distance are tried, until none can be nearer than what is found.
+    """
+    far = np.int64(1) << 30
+    height, width = int(y.max()) + 1, int(x.max()) + 1
+    zero = np.zeros((height, width), bool)
+    zero[y[~on], x[~on]] = True
+    if not zero.any():
+        return np.full(len(y), np.nan)
+    columns = np.arange(width)
+    before = np.maximum.accumulate(np.where(zero, columns, -far), axis=1)
+    after = np.minimum.accumulate(np.where(zero, columns, far)[:, ::-1], axis=1)[:, ::-1]
+    row = np.minimum(np.minimum(columns - before, after - columns), far)
+    square = row * row
+    wanted = np.zeros((height, width), bool)
+    wanted[y[on], x[on]] = True
+    best = square.copy()
+    step = 1
+    while step < height and (best[wanted] > step * step).any():
+        best[step:] = np.minimum(best[step:], square[:-step] + step * step)
+        best[:-step] = np.minimum(best[:-step], square[step:] + step * step)
+        step += 1
+    return np.sqrt(best[y, x].astype("float64"))
+
+
+def distance(px: DataFrame, mask: str = "mask", max_radius: float | None = None, name: str = "distance") -> DataFrame:
     """Adds the Euclidean distance of each pixel of the mask to the nearest pixel outside it; 0 outside the mask.
 
-    Exact at any distance without max_radius, else at most that. A tile without a pixel outside the mask has no distance (NULL; with max_radius, that).
-    Along rows first, then each row's nearest zero is offered to the rows within the radius that it can still improve. Without max_radius,
-    the radius doubles from FIRST_RADIUS for the columns of the pixels that are not yet settled, until all are.
+    Exact at any distance; with max_radius at most that. A tile without a pixel outside the mask has no distance (NULL; with max_radius, that).
     """
-    off = F.when(~F.col(mask).cast("boolean"), F.col("x"))
-    row = Window.partitionBy("tile_id", "y").orderBy("x")
-    before = F.last(off, ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(off, ignorenulls=True).over(row.rowsBetween(0, Window.unboundedFollowing))
-    g = F.least(F.col("x") - before, after - F.col("x")).cast("bigint")
-    one = px.select(*KEY, g.alias("_g"))
-    if max_radius is not None:
-        best = _offers(one.where(F.col("_g") <= max_radius), max_radius)
-    else:
-        one = materialise(one, "distance-rows")
-        some = one.where(F.col("_g").isNotNull()).select("tile_id").distinct()
-        left, parts, r = one.join(some, "tile_id", "left_semi").select(*KEY), [], FIRST_RADIUS
-        while True:
-            # A round's offers: from the columns where pixels are not settled; what is within the radius is exact.
-            near = one.where(F.col("_g") <= r).join(left.select("tile_id", "x").distinct(), ["tile_id", "x"], "left_semi")
-            found = materialise(left.join(_offers(near, r), list(KEY), "left"), "distance-found")
-            parts.append(found.where("_q is not null"))
-            left = found.where("_q is null").select(*KEY)
-            if left.isEmpty():
-                break
-            r *= 2
-        best = parts[0]
-        for more in parts[1:]:
-            best = best.unionByName(more)
-    out = px.join(best, list(KEY), "left")
-    far = F.lit(None if max_radius is None else float(max_radius)).cast("double")
-    return out.withColumn(name, F.when(~F.col(mask).cast("boolean"), 0.0).otherwise(F.coalesce(F.sqrt(F.col("_q").cast("double")), far))).drop("_q")
-
-
-def _offers(near: DataFrame, radius: int) -> DataFrame:
-    """KEY and _q, the least squared distance of the zeros within the radius."""
-    reach = F.floor(F.sqrt(F.lit(radius * radius) - F.col("_g") * F.col("_g"))).cast("int")
-    offers = near.select("tile_id", "x", "y", "_g", F.explode(F.sequence(-reach, reach)).alias("_d")).select("tile_id", (F.col("y") + F.col("_d")).alias("y"), "x", (F.col("_d") * F.col("_d") + F.col("_g") * F.col("_g")).alias("_q"))
-    return offers.groupBy(*KEY).agg(F.min("_q").alias("_q"))
+    plain = px.withColumn("_on", F.col(mask).cast("boolean"))
+    found = append_by_tile(plain, name, "double", lambda t: distances(t.column("y").to_numpy(), t.column("x").to_numpy(), t.column("_on").to_numpy())).drop("_on")
+    return found if max_radius is None else found.withColumn(name, F.least(F.col(name), F.lit(float(max_radius))))
 
 
 def markers(px: DataFrame, mask: str = "mask", least: float = 5.0, separation: int = 10, max_radius: int | None = None) -> DataFrame:
@@ -68,30 +75,33 @@ def markers(px: DataFrame, mask: str = "mask", least: float = 5.0, separation: i
     return peaks.unionByName(fallback).withColumn("marker", pixel_key(F.col("y"), F.col("x")))
 
 
-def seeded_regions(px: DataFrame, seeds: DataFrame, mask: str = "mask", max_steps: int = 4096) -> DataFrame:
-    """The mask's pixels with region_id, their nearest marker within the mask by 8-neighbour steps, ties to the lower marker.
-
-    Grows by one ring a round, for as many rounds as the longest way from a marker; labels at ridges may differ from a priority flood.
+def grow(y: np.ndarray, x: np.ndarray, marker: np.ndarray) -> np.ndarray:
+    """The marker that reaches each pixel first by 8-neighbour steps, the lower of several; NaN markers are unset, and stay so where none comes."""
+    height, width = int(y.max()) + 3, int(x.max()) + 3
+    none = np.iinfo("int64").max
+    label = np.full(height * width, -1)  # outside
+    at = (y.astype("int64") + 1) * width + x + 1
+    label[at] = np.where(np.isnan(marker), none, np.nan_to_num(marker).astype("int64"))
+    ring = at[~np.isnan(marker)]
+    around = [dy * width + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+    while len(ring):
+        to = np.concatenate([ring + d for d in around])
+        free = label[to] == none
+        to, by = to[free], np.tile(label[ring], 8)[free]
+        np.minimum.at(label, to, by)
+        ring = np.unique(to)
+    found = label[at]
+    return np.where(found == none, np.nan, found.astype("float64"))
+
+
+def seeded_regions(px: DataFrame, seeds: DataFrame, mask: str = "mask") -> DataFrame:
+    """The mask's pixels with region_id, their nearest marker within the mask by 8-neighbour steps, ties to the lower marker; pixels that no marker reaches are left out.
+
+    Labels at ridges may differ from a priority flood.
     """
-    free = materialise(px.where(F.col(mask).cast("boolean")).select(*KEY), "free")
-    ring = seeds.select(*KEY, F.col("marker").alias("region_id")).join(free, list(KEY), "left_semi")
-    done = ring = materialise(ring, "ring")
-    around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
-    rings = [ring]
-    for _ in range(max_steps):
-        next_to = ring.select("tile_id", "y", "x", "region_id", F.explode(around).alias("o")).select("tile_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "region_id")
-        # Only the last two rings border on new pixels.
-        grown = next_to.groupBy(*KEY).agg(F.min("region_id").alias("region_id")).join(free, list(KEY), "left_semi")
-        for old in rings[-2:]:
-            grown = grown.join(old.select(*KEY), list(KEY), "left_anti")
-        ring = materialise(grown, "ring")
-        if ring.isEmpty():
-            break
-        rings.append(ring)
-        done = done.unionByName(ring)
-    else:
-        raise RuntimeError(f"regions still grow after {max_steps} steps")
-    return done
+    free = px.where(F.col(mask).cast("boolean")).select(*KEY).join(seeds.select(*KEY, F.col("marker").cast("double").alias("_m")), list(KEY), "left")
+    grown = append_by_tile(free, "_r", "double", lambda t: grow(t.column("y").to_numpy(), t.column("x").to_numpy(), t.column("_m").to_numpy(zero_copy_only=False)))
+    return grown.where("_r is not null").select(*KEY, F.col("_r").cast("bigint").alias("region_id"))
 
 
 def boundary_weights(px: DataFrame, weight: float = 3.0, reach: int = 5, label: str = "target") -> DataFrame:
