@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tileframe.operators.metrics import class_metrics, summary_metrics
+from tileframe.operators.ranks import ranked_by_value
 
 
 def numbered(tiles: DataFrame, tile: str = "tile_id") -> DataFrame:
     """Tiles with numbers from 0 in order: one row per tile, not per pixel."""
-    return tiles.select(tile).distinct().withColumn("k", F.row_number().over(Window.orderBy(tile)) - 1)
+    return ranked_by_value(tiles.select(tile).distinct(), tile).select(tile, (F.col("_k") - 1).alias("k"))
 
 
 def draws(tiles: DataFrame, reps: int, seed: int, tile: str = "tile_id") -> DataFrame:

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tileframe.operators.ranks import ranked_by_hash
 from tileframe.operators.raster.components import components
 
 KEY = ["tile_id", "y", "x"]
 
 
+def digest(seed: int, *cols: str | Column) -> Column:
+    """Twelve hexadecimal digits of a hash of seed and columns."""
+    key = F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
+    return F.substring(F.md5(key.cast("binary")), 1, 12)
+
+
 def draw(seed: int, *cols: str | Column) -> Column:
     """A uniform number from 0 to 1 of seed and columns."""
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]).cast("binary"))
-    return F.conv(F.substring(key, 1, 12), 16, 10).cast("bigint") / float(1 << 48)
+    return F.conv(digest(seed, *cols), 16, 10).cast("bigint") / float(1 << 48)
 
 
 def extent(px: DataFrame) -> DataFrame:
@@ -37,10 +46,9 @@ def augment_symmetry(px: DataFrame, seed: int) -> DataFrame:
 
 def pairs(px: DataFrame, seed: int) -> DataFrame:
     """Each tile with the next in hash order of the same size, the last with the first: one row per tile."""
-    e = extent(px).withColumn("_d", draw(seed, "tile_id"))
-    w = Window.partitionBy("h", "w").orderBy("_d", "tile_id")
-    first = F.first("tile_id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return e.select("tile_id", F.coalesce(F.lead("tile_id").over(w), first).alias("other"), "h", "w")
+    e = ranked_by_hash(extent(px), digest(seed, "tile_id"), ["tile_id"], ["h", "w"])
+    following = e.select(F.col("tile_id").alias("other"), "h", "w", F.col("_k").alias("_next"))
+    return e.withColumn("_next", F.col("_k") % F.col("_t") + 1).join(following, ["h", "w", "_next"]).select("tile_id", "other", "h", "w")
 
 
 def _joined(px: DataFrame, seed: int) -> DataFrame:
@@ -71,12 +79,14 @@ def cutmix(px: DataFrame, seed: int, lam: float) -> DataFrame:
 
 
 def mosaic(px: DataFrame, size: int, seed: int, minority: int = 0) -> DataFrame:
-    """Four tiles at a time in hash order as quadrants of a size x size tile, richest in the minority first, nearest neighbour. A last group of fewer is left out."""
+    """Four tiles at a time in hash order as quadrants of a size x size tile, richest in the minority first, nearest neighbour. A last group of fewer is filled up from the first tiles; fewer than four tiles in all leave quadrants empty."""
     half = size // 2
     e = px.groupBy("tile_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.count_if(F.col("target") == minority).alias("m"))
-    e = e.withColumn("_r", F.row_number().over(Window.orderBy(draw(seed, "tile_id"), "tile_id")) - 1).withColumn("mosaic_id", F.floor(F.col("_r") / 4))
-    g = Window.partitionBy("mosaic_id")
-    e = e.withColumn("q", F.row_number().over(g.orderBy(F.desc("m"), "tile_id")) - 1).withColumn("_n", F.count("*").over(g)).where("_n = 4")
+    e = ranked_by_hash(e, digest(seed, "tile_id"), ["tile_id"]).withColumn("mosaic_id", F.floor((F.col("_k") - 1) / 4))
+    # The first tiles in hash order fill up a last group of fewer than four.
+    spare = F.when((F.col("_t") % 4 > 0) & (F.col("_k") <= F.pmod(-F.col("_t"), F.lit(4))), F.floor((F.col("_t") - 1) / 4))
+    e = e.withColumn("mosaic_id", F.explode(F.array_distinct(F.array_compact(F.array("mosaic_id", spare)))))
+    e = e.withColumn("q", F.row_number().over(Window.partitionBy("mosaic_id").orderBy(F.desc("m"), "tile_id")) - 1)
     side = F.sequence(F.lit(0), F.lit(half - 1))
     out = e.withColumn("oy", F.explode(side)).withColumn("ox", F.explode(side))
     out = out.select("mosaic_id", "tile_id", (F.col("oy") + F.floor(F.col("q") / 2) * half).cast("int").alias("my"), (F.col("ox") + F.col("q") % 2 * half).cast("int").alias("mx"), F.floor(F.col("oy") * F.col("h") / half).cast("int").alias("y"), F.floor(F.col("ox") * F.col("w") / half).cast("int").alias("x"))
@@ -102,3 +112,15 @@ def copy_paste(px: DataFrame, seed: int, minority: int = 0) -> DataFrame:
     good = free.join(bad, ["tile_id", "region_id"], "left_anti").groupBy("tile_id", F.col("ny").alias("y"), F.col("nx").alias("x")).agg(F.min_by(F.struct("v", "target"), "region_id").alias("_new"))
     out = px.join(good, KEY, "left")
     return out.withColumns({"v": F.coalesce(F.col("_new.v"), F.col("v")), "target": F.coalesce(F.col("_new.target"), F.col("target")), "pasted": F.col("_new").isNotNull()}).drop("_new")
+
+
+def augment_tiles(px: DataFrame, augmentor: Callable[[pd.DataFrame], pd.DataFrame], schema: str | None = None) -> DataFrame:
+    """A caller's augmentor on each tile: a pandas frame of its pixels in row order to one of any pixels, by default with the same columns.
+
+    A tile is one group. Columns that the augmentor adds have to be in ``schema``.
+    """
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        return augmentor(tile.sort_values(["y", "x"], ignore_index=True))
+
+    return px.groupBy("tile_id").applyInPandas(run, schema or px.schema)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tileframe.operators.metrics import confusion, group_metrics
+from tileframe.operators.ranks import ranked_by_hash
 
 
 def draw_key(seed: int, *cols: str) -> Column:
@@ -20,16 +21,17 @@ def draw_key(seed: int, *cols: str) -> Column:
 
 def stratified_sample(df: DataFrame, n: int, seed: int, strata: Sequence[str] = ("tile_id", "target"), pixel: Sequence[str] = ("y", "x")) -> DataFrame:
     """At most n rows of each stratum without replacement, with weight N / n. A stratum is a tile's class, so its size is bounded by the tile."""
-    w = Window.partitionBy(*strata)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(draw_key(seed, *strata, *pixel), *pixel))).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_r") <= n).withColumn("weight", F.col("_n") / F.least(F.col("_n"), F.lit(n))).drop("_r", "_n")
+    # Counted apart, so that the ranked side can be cut before it is shuffled.
+    sizes = df.groupBy(*strata).agg(F.count("*").alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(draw_key(seed, *strata, *pixel), *pixel))
+    kept = df.withColumn("_r", rank).where(F.col("_r") <= n)
+    return kept.join(sizes, list(strata)).withColumn("weight", F.col("_n") / F.least(F.col("_n"), F.lit(n))).select(*df.columns, "weight")
 
 
 def random_split(images: DataFrame, val: float = 0.1, test: float = 0.1, seed: int = 42, unit: str = "id") -> DataFrame:
     """unit and split: whole units (images or series) in hash order, rounded shares with at least one each for val and test, the rest for train."""
     u = images.select(unit).distinct()
-    w = Window.orderBy(draw_key(seed, unit), unit)  # one row for each unit
-    r = u.withColumn("_k", F.row_number().over(w)).withColumn("_t", F.count("*").over(Window.partitionBy(F.lit(0))))
+    r = ranked_by_hash(u, draw_key(seed, unit), [unit])
     a, b = F.greatest(F.lit(1), F.round(F.col("_t") * test)), F.greatest(F.lit(1), F.round(F.col("_t") * val))
     return r.select(unit, F.when(F.col("_k") <= a, "test").when(F.col("_k") <= a + b, "val").otherwise("train").alias("split"))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tileframe.operators.ranks import ranked_by_value
+
 
 def ordinal(df: DataFrame, order: Sequence[str], keys: Sequence[str], name: str = "ordinal") -> DataFrame:
     """Numbers from 1 within keys."""
@@ -37,9 +39,8 @@ def early_stop(log: DataFrame, patience: int, run: str = "run_id") -> DataFrame:
 
 
 def spread_sample(df: DataFrame, n: int, order: str) -> DataFrame:
-    """n rows evenly spaced in order, both ends included; all rows if there are n or fewer. Meant for name lists."""
-    w = Window.orderBy(order)
-    k = df.withColumn("_k", F.row_number().over(w) - 1).withColumn("_t", F.count("*").over(Window.partitionBy(F.lit(0))))
+    """n rows evenly spaced in order, both ends included; all rows if there are n or fewer."""
+    k = ranked_by_value(df, order).withColumn("_k", F.col("_k") - 1)
     picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("_t") - 1) / F.lit(float(max(1, n - 1)))))
     return k.where((F.col("_t") <= n) | F.array_contains(picks, F.col("_k").cast("bigint"))).drop("_k", "_t")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tileframe.functions import canonical_json, category_id, check_grayscale, colourise, compose_labels, compose_probs, compose_target, content_id, is_sha256, mask_violations, normalise_category, parse_float, recode_mask, ring_counts, ring_predicates, run_group, run_name, softmax
 from tileframe.operators import audit, bootstrap, curves, metrics, pairing, sampling, selection
-from tileframe.operators.raster import compare, components, filters
+from tileframe.operators.raster import augment, compare, components, filters
 from tileframe.plans.more import flood
 from tileframe.plans.queries import IOUS, PX, SC, SEEDED, SPLITS, query, rounded, seed_values, seeded_confusion
 from tileframe.plans.tables import pixels, scored, splits, table
@@ -162,6 +162,17 @@ def series_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.assign_series(files, series)
 
 
+def darkened(tile):
+    """A caller's augmentor: mirrored along x within each line, at half the value."""
+    last = tile.groupby("y")["x"].transform("max")
+    return tile.assign(x=(last - tile["x"]).astype("int32"), v=(tile["v"] // 2).astype("int32"))
+
+
+@query(f"WITH {PX} SELECT tile_id, y, CAST(max(x) OVER (PARTITION BY tile_id, y) - x AS INTEGER) AS x, CAST(v // 2 AS INTEGER) AS v, target FROM px")
+def augmented_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return augment.augment_tiles(pixels(spark, sf_dir).select("tile_id", "y", "x", "v", "target"), darkened)
+
+
 # Metrics, curves and selection
 
 
