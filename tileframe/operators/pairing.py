@@ -46,10 +46,9 @@ def map_annotations(annotations: DataFrame, images: DataFrame, categories: DataF
 
 
 def assign_patches(px: DataFrame, patches: DataFrame) -> DataFrame:
-    """Pixels of each patch (half-open y0, x0, y1, x1): each row and then each column of a patch meets its pixels by equality."""
+    """Pixels of each patch (half-open y0, x0, y1, x1): each row of a patch meets the pixels of that row by equality, and its columns are cut out."""
     rows = patches.withColumn("y", F.explode(F.expr("sequence(y0, y1 - 1)"))).select("tile_id", "patch_id", F.col("row").alias("patch_row"), F.col("col").alias("patch_col"), "y0", "x0", "x1", "y")
-    cells = rows.withColumn("x", F.explode(F.expr("sequence(x0, x1 - 1)"))).drop("x1")
-    return px.join(cells, ["tile_id", "y", "x"])
+    return px.join(rows, ["tile_id", "y"]).where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))).drop("x1").select("tile_id", "y", "x", *[c for c in px.columns if c not in ("tile_id", "y", "x")], "patch_id", "patch_row", "patch_col", "y0", "x0")
 
 
 def assign_series(files: DataFrame, series: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tileframe.operators.raster.filters import gaussian_kernel
-from tileframe.plans.queries import BOUNDARY, ORACLES, PX, SPLITS
+from tileframe.plans.queries import BOUNDARY, DRAWS, ORACLES, PX, SEEDED, SPLITS
 
 # Windows in SQL: each pixel meets the taps of a kernel; places are reflected with a period of two lines.
 
@@ -123,3 +123,14 @@ dd AS (SELECT *, greatest(0, least(1, 0.15::DOUBLE * pd + 0.25::DOUBLE * ci + 0.
 ORACLES["difficulty"] = f"WITH RECURSIVE {DIFFICULTY} SELECT tile_id, round(pd, 9) AS pore_density, round(ci, 9) AS class_imbalance, round(dr, 9) AS disconnected_ratio, round(bc, 9) AS boundary_complexity, round(sc, 9) AS small_component_ratio, round(dif, 9) AS difficulty FROM dd"
 #: Epoch 20 of 60 with a warm-up of 5 is in the second of four stages, 15 / 55 of the way.
 ORACLES["curriculum"] = f"WITH RECURSIVE {DIFFICULTY}, q AS (SELECT quantile_cont(dif, 0.6) AS q FROM dd) SELECT tile_id, round(dif, 9) AS difficulty, round(1 + dif * 15 / 55.0::DOUBLE, 9) AS weight FROM dd, q WHERE dif <= q"
+
+ORACLES["json_audit"] = """SELECT CAST(event_id AS VARCHAR) AS key, 'duplicate key k' AS finding FROM events WHERE event_id % 50 = 0 UNION ALL SELECT CAST(event_id AS VARCHAR), CASE WHEN props IS NULL OR NOT json_valid(props) THEN 'not JSON' ELSE 'root is not an object' END FROM events
+WHERE event_id % 50 <> 0 AND (props IS NULL OR NOT json_valid(props) OR json_type(props) <> 'OBJECT')"""
+ORACLES["paired_bootstrap"] = f"""WITH {SEEDED}, {DRAWS.replace("'77:'", "'19:'").replace('range(200)', 'range(100)')}, s AS (SELECT method_id, seed, rep, true_id, pred_id, sum(n * times) AS n FROM scm JOIN dr USING (tile) GROUP BY ALL),
+k AS (SELECT method_id, seed, rep, class_id, CAST(sum(n) FILTER (true_id = class_id AND pred_id = class_id) AS DOUBLE) AS tp, CAST(sum(n) FILTER (true_id <> class_id AND pred_id = class_id) AS DOUBLE) AS fp, CAST(sum(n) FILTER (true_id = class_id AND pred_id <> class_id) AS DOUBLE) AS fn FROM s, (SELECT unnest([0, 1, 2]) AS class_id) GROUP BY ALL),
+i AS (SELECT *, tp / nullif(tp + fp + fn, 0) AS iou FROM k), r AS (SELECT method_id, seed, rep, class_id, unnest(['iou', 'dice', 'precision', 'recall']) AS metric, unnest([iou, 2 * tp / nullif(2 * tp + fp + fn, 0), tp / nullif(tp + fp, 0), tp / nullif(tp + fn, 0)]) AS value FROM i
+UNION ALL SELECT method_id, seed, rep, -1, unnest(['macro_iou', 'accuracy', 'harmonic_iou']), unnest([m, a, 2 * c0 * c1 / (c0 + c1 + 1e-8)]) FROM (SELECT method_id, seed, rep, avg(iou) AS m, sum(tp) / nullif(sum(tp + fn), 0) AS a, max(iou) FILTER (class_id = 0) AS c0, max(iou) FILTER (class_id = 1) AS c1 FROM i GROUP BY ALL)),
+f AS (SELECT * FROM r WHERE method_id = 'A'), m AS (SELECT rep, class_id, metric, CASE WHEN count(*) = count(value) THEN avg(value) END AS ref FROM f GROUP BY ALL),
+b AS (SELECT r.method_id, r.rep, r.class_id, r.metric, f.value - r.value AS d FROM r JOIN f ON r.method_id <> 'A' AND r.seed = f.seed AND r.rep = f.rep AND r.class_id = f.class_id AND r.metric = f.metric UNION ALL SELECT r.method_id, r.rep, r.class_id, r.metric, m.ref - r.value FROM r JOIN m ON r.seed IS NULL AND r.method_id <> 'A' AND r.rep = m.rep AND r.class_id = m.class_id AND r.metric = m.metric),
+p AS (SELECT method_id, rep, class_id, metric, CASE WHEN count(*) = count(d) THEN avg(d) END AS d FROM b GROUP BY ALL)
+SELECT method_id, class_id, metric, CASE WHEN count(d) = count(*) THEN round(quantile_cont(d, 0.025), 9) END AS low, CASE WHEN count(d) = count(*) THEN round(quantile_cont(d, 0.975), 9) END AS high, count(d) AS n_finite, count(*) AS n_reps FROM p GROUP BY ALL"""
