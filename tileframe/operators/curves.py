@@ -46,6 +46,18 @@ def roc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: st
     return area.where("n_pos > 0 and n_neg > 0").select(*keys, "n_pos", "n_neg", (F.col("area") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
+def roc_points(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
+    """threshold, tp, fp, tpr and fpr at each distinct score, from the highest down, and the start at 0, 0 (threshold NULL); keys with one class only are left out."""
+    steps = df.groupBy(*keys, score).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+    upto = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    totals = steps.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")).where("n_pos > 0 and n_neg > 0")
+    points = steps.select(*keys, F.col(score).alias("threshold"), F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp"))
+    start = totals.select(*keys, F.lit(None).cast(df.schema[score].dataType).alias("threshold"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"))
+    both = points.unionByName(start)
+    whole = both.join(totals, list(keys)) if keys else both.join(F.broadcast(totals))  # one row
+    return whole.select(*keys, "threshold", "tp", "fp", (F.col("tp") / F.col("n_pos")).alias("tpr"), (F.col("fp") / F.col("n_neg")).alias("fpr"))
+
+
 def lovasz(df: DataFrame, keys: Sequence[str] = ("tile_id",), k: int = 3, weights: Sequence[float] | None = None) -> DataFrame:
     """Lovasz-softmax score: for each class present, errors in descending order times the steps of the Jaccard index; mean over classes.
 

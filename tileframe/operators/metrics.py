@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tileframe.functions import pct
+from tileframe.functions import pct, is_close
 
 EPS = 1e-8
 
@@ -181,13 +181,27 @@ def score_histogram(df: DataFrame, bins: int = 4096, keys: Sequence[str] = ()) -
     return one.groupBy(*keys, "class_id", bin_id.alias("bin_id")).agg(F.count_if(F.col("target") == F.col("class_id")).alias("pos"), F.count_if(F.col("target") != F.col("class_id")).alias("neg"))
 
 
+def complete_histogram(h: DataFrame, bins: int = 4096, k: int = 3) -> DataFrame:
+    """Every class and bin, with zeros where nothing was counted, and the bins' edges score_lower and score_upper."""
+    grid = h.sparkSession.range(k * bins).select(F.floor(F.col("id") / bins).cast("int").alias("class_id"), (F.col("id") % bins).cast("int").alias("bin_id"))
+    filled = grid.join(h.select("class_id", "bin_id", "pos", "neg"), ["class_id", "bin_id"], "left").fillna(0, ["pos", "neg"])
+    return filled.withColumns({"score_lower": F.col("bin_id") / float(bins), "score_upper": (F.col("bin_id") + 1) / float(bins)})
+
+
 def check_histogram(h: DataFrame, cm: DataFrame, bins: int = 4096, k: int = 3) -> DataFrame:
-    """Findings: bins outside the grid, repeated cells, positives other than the support, negatives other than the rest."""
+    """Findings by class: bins outside the grid, missing or repeated bins, edges (where h has them) off the grid, positives other than the support, negatives other than the rest."""
     support = cm.groupBy(F.col("true_id").alias("class_id")).agg(F.sum("n").alias("support"))
     total = cm.agg(F.sum("n").alias("total"))
-    sums = h.groupBy("class_id").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count_if(~F.col("bin_id").between(0, bins - 1)).alias("outside"), (F.count("*") - F.count_distinct("bin_id")).alias("repeated"))
+    edges = F.lit(False)
+    if "score_lower" in h.columns:
+        edges = ~is_close(F.col("score_lower"), F.col("bin_id") / float(bins)) | ~is_close(F.col("score_upper"), (F.col("bin_id") + 1) / float(bins))
+    inside = F.col("bin_id").between(0, bins - 1)
+    sums = h.groupBy("class_id").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count_if(~inside).alias("outside"), F.count_distinct(F.when(inside, F.col("bin_id"))).alias("seen"), (F.count("*") - F.count_distinct("bin_id")).alias("repeated"), F.count_if(edges).alias("edges"))
     both = support.join(sums, "class_id", "full_outer").join(F.broadcast(total))
-    checks = {"bin outside the grid": F.col("outside") > 0, "repeated bin": F.col("repeated") > 0, "positives differ from support": ~F.col("pos").eqNullSafe(F.col("support")), "negatives differ from the rest": ~F.col("neg").eqNullSafe(F.col("total") - F.col("support")), "class outside the grid": ~F.col("class_id").between(0, k - 1)}
+    checks = {
+        "bin outside the grid": F.col("outside") > 0, "missing bin": F.coalesce(F.col("seen"), F.lit(0)) < bins, "repeated bin": F.col("repeated") > 0, "edges off the grid": F.col("edges") > 0,
+        "positives differ from support": ~F.col("pos").eqNullSafe(F.col("support")), "negatives differ from the rest": ~F.col("neg").eqNullSafe(F.col("total") - F.col("support")), "class outside the grid": ~F.col("class_id").between(0, k - 1),
+    }
     return both.select("class_id", F.explode(F.filter(F.array(*[F.when(c, n) for n, c in checks.items()]), lambda x: x.isNotNull())).alias("finding"))
 
 

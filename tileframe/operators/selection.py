@@ -50,6 +50,11 @@ def rank_runs(df: DataFrame, first: str, second: str, n: int = 20, places: int =
     return df.orderBy(F.desc_nulls_last(first), F.desc_nulls_last(second), *[c for c in df.columns if c not in (first, second)]).limit(n).withColumns({first: F.round(first, places), second: F.round(second, places)})
 
 
+def best_runs(df: DataFrame, metric: str, n: int = 15, tie: str = "run_name") -> DataFrame:
+    """The n best runs of those that have the metric."""
+    return df.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), tie).limit(n)
+
+
 def hard_examples(df: DataFrame, k: int, sample: str = "tile_id") -> DataFrame:
     """The k samples of the greatest mean cross-entropy; df has target and probs."""
     p = F.greatest(F.get("probs", F.col("target").cast("int")), F.lit(1e-7))

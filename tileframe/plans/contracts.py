@@ -182,18 +182,32 @@ def full_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.full_area_metrics(seeded_confusion(spark, sf_dir), sources={"C": "rule"}))
 
 
-@query("SELECT 1 AS class_id, 'positives differ from support' AS finding UNION ALL SELECT 2, 'negatives differ from the rest' UNION ALL SELECT 0, 'repeated bin'")
+@query(f"""WITH {SC}, t AS (SELECT count(*) AS t FROM sc) SELECT 1 AS class_id, 'positives differ from support' AS finding FROM t WHERE t > 0 UNION ALL SELECT 2, 'negatives differ from the rest' FROM t WHERE t > 0 UNION ALL SELECT 0, 'repeated bin' FROM t WHERE t > 0 UNION ALL SELECT 1, 'missing bin' FROM t WHERE t > 0 UNION ALL SELECT 2, 'edges off the grid' FROM t WHERE t > 0""")
 def histogram_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A histogram with a wrong positive in class 1, a wrong negative in class 2 and a cell of class 0 cut in two."""
+    """A whole histogram with bin 0 twice in class 0, a positive too many and no bin 4095 in class 1, a negative too many and one wrong edge in class 2."""
     s = scored(spark, sf_dir)
-    h = metrics.score_histogram(s)
-    at = h.groupBy("class_id").agg(F.max_by("bin_id", F.struct("pos", "neg", "bin_id")).alias("at"))
-    h = h.join(at, "class_id")
-    hit = F.col("bin_id") == F.col("at")
-    h = h.withColumns({"pos": F.col("pos") + (hit & (F.col("class_id") == 1)).cast("int"), "neg": F.col("neg") + (hit & (F.col("class_id") == 2)).cast("int")})
-    halves = F.when(hit & (F.col("class_id") == 0), F.array(F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg")), F.struct("pos", "neg"))).otherwise(F.array(F.struct("pos", "neg")))
-    h = h.select("class_id", "bin_id", F.explode(halves).alias("c")).select("class_id", "bin_id", "c.*")
-    return metrics.check_histogram(h, metrics.confusion(s.withColumn("pred", F.col("target")), []))
+    h = metrics.complete_histogram(metrics.score_histogram(s))
+    first = F.col("bin_id") == 0
+    h = h.withColumns({"pos": F.col("pos") + (first & (F.col("class_id") == 1)).cast("int"), "neg": F.col("neg") + (first & (F.col("class_id") == 2)).cast("int"), "score_upper": F.col("score_upper") + (first & (F.col("class_id") == 2)).cast("double")})
+    last = h.where("class_id = 1 and bin_id = 4095").select(F.lit(1).alias("class_id"), F.lit(4094).alias("bin_id"), F.col("pos").alias("_p"), F.col("neg").alias("_n"))
+    h = h.where("not (class_id = 1 and bin_id = 4095)").join(last, ["class_id", "bin_id"], "left").withColumns({"pos": F.col("pos") + F.coalesce("_p", F.lit(0)), "neg": F.col("neg") + F.coalesce("_n", F.lit(0))}).drop("_p", "_n")
+    again = h.where("class_id = 0 and bin_id = 0").withColumns({"pos": F.lit(0).cast("bigint"), "neg": F.lit(0).cast("bigint")})
+    return metrics.check_histogram(h.unionByName(again), metrics.confusion(s.withColumn("pred", F.col("target")), []))
+
+
+@query(f"""WITH {SC}, b AS (SELECT tile_id, round(probs[1], 2) AS s, CAST(target = 0 AS INTEGER) AS l FROM sc), g AS (SELECT tile_id, s, sum(l) AS pos, sum(1 - l) AS neg FROM b GROUP BY 1, 2), n AS (SELECT tile_id, sum(pos) AS p, sum(neg) AS q FROM g GROUP BY 1 HAVING sum(pos) > 0 AND sum(neg) > 0),
+c AS (SELECT tile_id, s, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM g WINDOW w AS (PARTITION BY tile_id ORDER BY s DESC ROWS UNBOUNDED PRECEDING) UNION ALL SELECT tile_id, NULL, 0, 0 FROM n)
+SELECT tile_id, round(s, 9) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(tp / p, 9) AS tpr, round(fp / q, 9) AS fpr FROM c JOIN n USING (tile_id)""")
+def exact_roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scored(spark, sf_dir).select("tile_id", F.round(F.get("probs", F.lit(0)), 2).alias("score"), (F.col("target") == 0).cast("int").alias("label"))
+    return rounded(curves.roc_points(s, ["tile_id"]))
+
+
+@query("SELECT c_name AS run_name, c_acctbal FROM (SELECT c_name, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS c_acctbal FROM customer) WHERE c_acctbal IS NOT NULL ORDER BY c_acctbal DESC, c_name LIMIT 15")
+def best_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as runs, of which a quarter has no metric."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("run_name"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal")).alias("c_acctbal"))
+    return selection.best_runs(c, "c_acctbal")
 
 
 @query(f"""WITH {SC}, m AS (SELECT target, probs, CASE WHEN pixel % 2 = 0 THEN 'A' ELSE 'B' END AS method_id FROM sc), o AS (SELECT method_id, target, unnest(probs) AS p, unnest([0, 1, 2]) AS class_id FROM m), h AS (SELECT method_id, class_id, CAST(least(floor(p * 64), 63) AS INTEGER) AS bin_id, count(*) FILTER (target = class_id) AS pos, count(*) FILTER (target <> class_id) AS neg FROM o GROUP BY 1, 2, 3)
