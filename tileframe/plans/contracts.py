@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tileframe.functions import canonical_json, category_id, check_grayscale, colourise, compose_labels, compose_probs, compose_target, content_id, is_sha256, mask_violations, normalise_category, parse_float, recode_mask, ring_counts, ring_predicates, run_group, run_name, softmax
+from tileframe.functions import category_id, check_grayscale, colourise, compose_labels, compose_probs, compose_target, content_id, is_sha256, mask_violations, normalise_category, parse_float, recode_mask, ring_counts, ring_predicates, run_group, run_name, softmax
 from tileframe.operators import audit, bootstrap, curves, metrics, pairing, sampling, selection
 from tileframe.operators.raster import augment, compare, components, filters
 from tileframe.plans.more import flood
-from tileframe.plans.queries import IOUS, PX, SC, SEEDED, SPLITS, query, rounded, seed_values, seeded_confusion
-from tileframe.plans.tables import pixels, scored, splits, table
+from tileframe.plans.queries import IOUS, PX, SC, SEEDED, query, rounded, seed_values, seeded_confusion
+from tileframe.plans.tables import pixels, scored, table
 
 # Recodes and checks of pixels
 
