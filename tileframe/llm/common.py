@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -67,6 +69,15 @@ def by_bytes(texts: Iterable[str], limit: int) -> Iterator[list[str]]:
         yield group
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers are reused, and what they keep counts beside later stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text_col: str, limit: int, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     """Arrow batches in slices of about ``limit`` bytes of text and at most ``rows`` rows; a longer text is a slice of its own."""
     for batch in batches:
@@ -77,3 +88,4 @@ def slices(batches: Iterable[pa.RecordBatch], text_col: str, limit: int, rows: i
             stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + limit, "right"))))
             yield batch.slice(at, stop - at)
             at = stop
+        release()

@@ -24,7 +24,7 @@ from tileframe.llm.common import slices
 
 UNKNOWN = "und"
 #: Bytes of text turned into Python strings at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 PROFILE = 400
 
 

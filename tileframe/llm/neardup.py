@@ -41,7 +41,7 @@ SLAB = 4096
 WORDS = 64
 FANOUT = 4
 #: Bytes of text handled at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:

@@ -29,7 +29,7 @@ from tileframe.llm.ragged import Lists, Memory
 
 BUCKETS = 1 << 17
 PUNCTUATION = ".,;:!?\"'()[]{}<>-_*"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: The multiplier of the n-gram hash, a polynomial over code points.
 STEP = np.uint64(0x100000001B3)
 
