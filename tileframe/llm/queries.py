@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tileframe.llm import bpe, decontaminate, language, lm, neardup, shards, tokenfile, tokens, topk, toxicity
+from tileframe.llm import bpe, decontaminate, language, lm, neardup, shards, tokenfile, tokens, topk, toxicity, vectorcodes
 from tileframe.llm.common import fold, new_path, table
 
 TOXIC_AT = 0.3
@@ -81,8 +81,15 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vectorcodes.fit_codebooks(vectors)
+    coded = vectorcodes.encode(vectors, books, {"vec_id": F.col("vec_id"), "label": F.col("label")})
+    return vectorcodes.with_group_sum(coded, "label", "error", "label_error").select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_top_k, op4_shards, op5_bpe_round_trip, op6_ngram_jaccard, op7_language, op8_toxicity, op9_token_files, op10_lm_scores)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_top_k, op4_shards, op5_bpe_round_trip, op6_ngram_jaccard, op7_language, op8_toxicity, op9_token_files, op10_lm_scores, op11_vector_codes)}
 
 
 OP1_SQL = r"""
@@ -132,6 +139,32 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT u.b, r.root FROM
 SELECT doc_id, n AS n_shingles, root AS component_id FROM n JOIN (SELECT node, min(root) AS root FROM r GROUP BY 1) ON node = doc_id
 """
 
+OP11_HEAD = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (SELECT r, p, x[p * (len(x) // 16) + 1:(p + 1) * (len(x) // 16)] AS x FROM v, range(16) t(p)),
+e0 AS MATERIALIZED (SELECT p, k, x FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS k FROM v) USING (r) WHERE k < 64),
+"""
+
+#: Assigns parts to the entries of a round: the least of 64 * distance + index.
+OP11_NEAREST = """
+a{i} AS MATERIALIZED (SELECT p.r, p.p, min(64 * CAST(list_sum(list_transform(list_zip(p.x, e.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) + e.k) AS m, any_value(p.x) AS x FROM p JOIN e{i} e ON p.p = e.p GROUP BY 1, 2),
+"""
+
+OP11_MOVED = """
+m{i} AS MATERIALIZED (SELECT p, k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS x FROM (
+    SELECT p, m % 64 AS k, j, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, m, unnest(x) AS y, generate_subscripts(x, 1) AS j FROM a{i}) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+e{j} AS MATERIALIZED (SELECT p, k, coalesce(m.x, e.x) AS x FROM e{i} e LEFT JOIN m{i} m USING (p, k)),
+"""
+
+OP11_TAIL = """
+c AS (SELECT r, string_agg(printf('%02x', m % 64), '' ORDER BY p) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) AS h FROM e2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM v JOIN c USING (r), h
+"""
+
+OP11_SQL = OP11_HEAD + OP11_NEAREST.format(i=0) + OP11_MOVED.format(i=0, j=1) + OP11_NEAREST.format(i=1) + OP11_MOVED.format(i=1, j=2) + OP11_NEAREST.format(i=2) + OP11_TAIL
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_top_k": OP3_SQL, "op4_shards": OP4_SQL, "op6_ngram_jaccard": OP6_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_top_k": OP3_SQL, "op4_shards": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op11_vector_codes": OP11_SQL}
