@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tileframe.llm import bpe, decontaminate, language, lm, neardup, shards, tokenfile, tokens, topk, toxicity, vectorcodes
+from tileframe.llm import bpe, decontaminate, htmltext, language, lm, neardup, shards, tokenfile, tokens, topk, toxicity, vectorcodes
 from tileframe.llm.common import fold, new_path, table
 
 TOXIC_AT = 0.3
@@ -88,8 +88,14 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.with_group_sum(coded, "label", "error", "label_error").select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = htmltext.extract_text(pages, htmltext.fit_weights(pages), ["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_top_k, op4_shards, op5_bpe_round_trip, op6_ngram_jaccard, op7_language, op8_toxicity, op9_token_files, op10_lm_scores, op11_vector_codes)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_top_k, op4_shards, op5_bpe_round_trip, op6_ngram_jaccard, op7_language, op8_toxicity, op9_token_files, op10_lm_scores, op11_vector_codes, op12_html_text)}
 
 
 OP1_SQL = r"""
@@ -165,6 +171,15 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 OP11_SQL = OP11_HEAD + OP11_NEAREST.format(i=0) + OP11_MOVED.format(i=0, j=1) + OP11_NEAREST.format(i=1) + OP11_MOVED.format(i=1, j=2) + OP11_NEAREST.format(i=2) + OP11_TAIL
 
+#: For pages whose article stands in one article element of headings, paragraphs, bold print and line breaks.
+OP12_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<br>', ' ', 'g'), '</?(?:h1|p)>'),
+  lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS b FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_top_k": OP3_SQL, "op4_shards": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op11_vector_codes": OP11_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_top_k": OP3_SQL, "op4_shards": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op11_vector_codes": OP11_SQL, "op12_html_text": OP12_SQL}
