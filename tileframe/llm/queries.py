@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tileframe.llm import bpe, decontaminate, htmltext, language, lm, neardup, shards, tokenfile, tokens, topk, toxicity, vectorcodes
+from tileframe.llm import bpe, decontaminate, htmltext, language, lm, neardup, shards, tokenfile, tokens, topk, toxicity, variants, vectorcodes
 from tileframe.llm.common import fold, new_path, table
 
 TOXIC_AT = 0.3
@@ -94,8 +94,12 @@ def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.vocabulary(table(spark, sf_dir, "documents"), every=97))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_top_k, op4_shards, op5_bpe_round_trip, op6_ngram_jaccard, op7_language, op8_toxicity, op9_token_files, op10_lm_scores, op11_vector_codes, op12_html_text)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_top_k, op4_shards, op5_bpe_round_trip, op6_ngram_jaccard, op7_language, op8_toxicity, op9_token_files, op10_lm_scores, op11_vector_codes, op12_html_text, op13_spelling_variants)}
 
 
 OP1_SQL = r"""
@@ -180,6 +184,22 @@ t AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), ch
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE steps AS (SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i) UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+r AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents) GROUP BY 1, 2 HAVING length(w) >= 5),
+b AS (SELECT w, n, list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)), '..'), lambda b: CAST('0x' || b AS BIGINT)) AS bytes FROM r),
+h AS (SELECT w, n, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM b, crc),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, n FROM h) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (SELECT d.word AS a, v.word AS b FROM d JOIN v ON d.cut = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.cut = v.word UNION SELECT x.word, y.word FROM d x JOIN d y ON x.cut = y.cut AND x.i = y.i AND x.word <> y.word),
+q AS (SELECT a AS word, count(*) AS n_near, min(struct_pack(m := -v.n, w := b)) AS best FROM p JOIN v ON v.word = b GROUP BY 1),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * v.n THEN best.w END AS form, CASE WHEN -best.m >= 2 * v.n THEN -best.m END AS form_n FROM v LEFT JOIN q USING (word)),
+g AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT g.word, f.form, k + 1 FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f JOIN (SELECT word, arg_max(root, k) AS root FROM g GROUP BY 1) USING (word)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op3_top_k": OP3_SQL, "op4_shards": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op11_vector_codes": OP11_SQL, "op12_html_text": OP12_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op3_top_k": OP3_SQL, "op4_shards": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op11_vector_codes": OP11_SQL, "op12_html_text": OP12_SQL, "op13_spelling_variants": OP13_SQL}
