@@ -241,12 +241,24 @@ def test_shards(docs, rows):
         assert all(abs(per[k] - n / 7) <= 2 for k in range(7))
     by_source = collections.defaultdict(list)
     for i, x, s in rows:
-        by_source[s].append((int(hashlib.md5(("42" + (f":{i}" if i is not None else "")).encode()).hexdigest()[:10], 16), i))
-    order = sorted(((2 * k + 1) / (2.0 * len(v)), "" if s is None else f"={s}", h, -1 if i is None else i) for s, v in by_source.items() for k, (h, i) in enumerate(sorted(v, key=lambda z: (z[0], z[1] or -1))))
+        digest = hashlib.md5(("42" + (f":{i}" if i is not None else "")).encode()).hexdigest()
+        by_source[s].append((int(digest[:10], 16), i, int(digest[10:20], 16)))
+    order = sorted(((k + 1 - u / 2.0**40) / len(v), h, "" if s is None else f"={s}", -1 if i is None else i) for s, v in by_source.items() for k, (h, i, u) in enumerate(sorted(v, key=lambda z: (z[0], z[1] or -1))))
     assert [r.doc_id for r in sorted(got, key=lambda r: r.place)] == [None if x[3] == -1 else x[3] for x in order]
     assert shards.interleave(docs.where("false"), 3).collect() == []
 
 
+def test_shards_of_many_sources(spark):
+    """20,000 sources of one row each: none of the buckets that rows are ranked in has many of them, and shards share them out."""
+    tail = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.col("id").cast("string").alias("source"))
+    head = spark.range(20_000, 30_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("host").alias("source"))
+    got = shards.interleave(tail.unionByName(head), 10).groupBy("shard").agg(F.count("*").alias("n"), F.count_if(F.col("source") == "host").alias("hosts")).collect()
+    assert [r.n for r in got] == [3000] * 10 and all(900 < r.hosts < 1100 for r in got)
+    u = [int(hashlib.md5(f"42:{i}".encode()).hexdigest()[10:20], 16) / 2.0**40 for i in range(20_000)]
+    buckets = bag(int((1 - x) * 173) for x in u)  # as many as the square root of the rows
+    assert max(buckets.values()) < 200
+
+
 def test_top_k(spark):
     random.seed(5)
     vectors = [(i, [random.gauss(0, 0.3) for _ in range(24)]) for i in range(600)] + [(700, None), (701, [1.0, float("nan")] + [0.0] * 22), (750, [float("inf")] * 24), (702, [None] + [0.0] * 23), (703, []), (800, [0.0] * 24), (801, [0.0] * 24), (850, [0.5] * 3), (851, [0.5] * 3)]

@@ -129,11 +129,11 @@ OP4_SQL = """
 WITH RECURSIVE steps AS (SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i) UNION ALL
   SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
 crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
-d AS (SELECT doc_id, coalesce('=' || source, '') AS s, octet_length(encode(coalesce(text, ''))) + 16 AS size, ('0x' || substr(md5(concat_ws(':', '42', doc_id)), 1, 10))::BIGINT AS h,
+d AS (SELECT doc_id, coalesce('=' || source, '') AS s, octet_length(encode(coalesce(text, ''))) + 16 AS size, ('0x' || substr(md5(concat_ws(':', '42', doc_id)), 1, 10))::BIGINT AS h, ('0x' || substr(md5(concat_ws(':', '42', doc_id)), 11, 10))::BIGINT AS u,
   list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT)) AS bytes FROM documents),
-c AS (SELECT doc_id, s, size, h, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc),
-f AS (SELECT *, (2 * row_number() OVER (PARTITION BY s ORDER BY h, doc_id) - 1) / (2.0::DOUBLE * count(*) OVER (PARTITION BY s)) AS f FROM c),
-p AS (SELECT *, row_number() OVER (ORDER BY f, s, h, doc_id) - 1 AS p, count(*) OVER () AS n FROM f)
+c AS (SELECT doc_id, s, size, h, u, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+f AS (SELECT *, (row_number() OVER (PARTITION BY s ORDER BY h, doc_id) - u / 1099511627776::DOUBLE) / (count(*) OVER (PARTITION BY s))::DOUBLE AS f FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY f, h, s, doc_id) - 1 AS p, count(*) OVER () AS n FROM f)
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(p * 40 // n AS INTEGER) AS shard, CAST(p - (p * 40 // n * n + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
 """
 
