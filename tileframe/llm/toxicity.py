@@ -5,11 +5,11 @@ the vectors of its hashed character n-grams (3 to 5, word ends marked) and of th
 its words. Both the vectors and the softmax on top are learned. An unseen misspelling shares most n-grams with the words it
 comes from. As the model is linear after the mean, a worker remembers one number per distinct word.
 
-The model is fitted on a bounded sample of labelled rows (``max_rows``, chosen by hash of the id); of these only bags of words that
-``min_texts`` of them share come to the driver, no texts. Every text is scored whole. NULL texts, texts without words, and all texts when
-there is no labelled row of either class get the prior alone. An id that is labelled twice has the larger label; NULL ids and labels
-teach nothing; equal rows teach once and are each scored. An empty table gives no rows. Columns of the input are carried
-only if asked for (``keep``), which may not hold the names of the results.
+The model is fitted on a bounded sample of labelled rows (``max_rows`` ids, chosen by hash, and one text of each); of these only bags of
+words come to the driver, as numbers, with each distinct word once. Every text is scored whole. NULL texts, texts without words,
+and all texts when there is no labelled row of either class get the prior alone. An id that is labelled twice has the larger label, an id
+with several texts teaches the one of least hash; NULL ids and labels teach nothing; equal rows teach once and are each scored. An empty
+table gives no rows. Columns of the input are carried only if asked for (``keep``), which may not hold the names of the results.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from tileframe.llm.ragged import Lists, Memory
 BUCKETS = 1 << 17
 PUNCTUATION = ".,;:!?\"'()[]{}<>-_*"
 SLICE_BYTES = 2 << 20
+#: Entries of a sparse matrix, and words, that are gone through at a time.
+PIECE = 1 << 18
 #: The multiplier of the n-gram hash, a polynomial over code points.
 STEP = np.uint64(0x100000001B3)
 
@@ -70,23 +72,42 @@ class Model:
 
 
 class Rows:
-    """A sparse matrix by rows, with its product and transposed product; entries of a row are averaged with given weights."""
+    """A sparse matrix by rows (none empty), with its product and transposed product; weights None: entries of a row are averaged.
 
-    def __init__(self, lengths: np.ndarray, columns: np.ndarray, weights: np.ndarray, n_columns: int):
-        self.n, self.columns, self.weights = len(lengths), columns, weights.astype("float32")[:, None]
-        self.starts = np.cumsum(lengths) - lengths
-        row = np.repeat(np.arange(self.n), lengths)
-        order = np.argsort(columns, kind="stable")
-        self.back_rows, self.back_weights = row[order], self.weights[order]
-        self.used, self.back_starts = np.unique(columns[order], return_index=True)
-        self.n_columns = n_columns
+    Both products go through the entries a piece at a time, so that they hold little more than their results.
+    """
+
+    def __init__(self, lengths: np.ndarray, columns: np.ndarray, weights: np.ndarray | None, n_columns: int):
+        self.n, self.n_columns, self.columns = len(lengths), n_columns, columns.astype("int32")
+        self.share = np.ones(self.n, "float32") if weights is not None else (1 / lengths).astype("float32")
+        self.weights = None if weights is None else weights.astype("float32")
+        self.starts = np.append(0, np.cumsum(lengths))
+        order = np.argsort(self.columns, kind="stable")
+        self.back_rows = np.repeat(np.arange(self.n, dtype="int32"), lengths)[order]
+        self.back_weights = None if weights is None else self.weights[order]
+        self.used, at = np.unique(self.columns[order], return_index=True)
+        self.back_starts = np.append(at, len(columns))
+
+    @staticmethod
+    def sums(x: np.ndarray, at: np.ndarray, weights: np.ndarray | None, starts: np.ndarray) -> np.ndarray:
+        """The sum of x[at] * weights from each start to the next."""
+        out, low = np.empty((len(starts) - 1, x.shape[1]), x.dtype), 0
+        while low < len(out):
+            high = max(low + 1, int(np.searchsorted(starts, starts[low] + PIECE, "right")) - 1)
+            some = slice(starts[low], starts[high])
+            values = x[at[some]]
+            if weights is not None:
+                values *= weights[some, None]
+            out[low:high] = np.add.reduceat(values, starts[low:high] - starts[low], axis=0)
+            low = high
+        return out
 
     def times(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x[self.columns] * self.weights, self.starts, axis=0)
+        return self.sums(x, self.columns, self.weights, self.starts) * self.share[:, None].astype(x.dtype)
 
     def back(self, g: np.ndarray) -> np.ndarray:
         """Of the used columns only."""
-        return np.add.reduceat(g[self.back_rows] * self.back_weights, self.back_starts, axis=0)
+        return self.sums(g * self.share[:, None].astype(g.dtype), self.back_rows, self.back_weights, self.back_starts)
 
 
 def gradients(docs: Rows, bag_of: Rows, labels: np.ndarray, table: np.ndarray, top: np.ndarray, bias: np.ndarray, scale: float) -> tuple[float, list[np.ndarray]]:
@@ -112,10 +133,12 @@ def fit(labels: np.ndarray, lengths: np.ndarray, text: np.ndarray, word: np.ndar
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS, "float32"), prior)
     docs = Rows(np.diff(np.append(starts, len(text))), word, n / lengths[text], len(words))
-    owner, bucket = subwords(words)
-    order = np.argsort(owner, kind="stable")
-    lengths = np.bincount(owner, minlength=len(words))
-    bag_of = Rows(lengths, bucket[order], np.repeat(1 / lengths, lengths), BUCKETS)
+    some = []
+    for at in range(0, len(words), PIECE // 16):
+        owner, bucket = subwords(words[at : at + PIECE // 16])
+        some.append((np.bincount(owner), bucket[np.argsort(owner, kind="stable")].astype("int32")))
+    bag_of = Rows(np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some]), None, BUCKETS)
+    del some
     random = np.random.default_rng(seed)
     table = (random.normal(0, 0.1, (BUCKETS, dim))).astype("float32")
     top, bias = random.normal(0, 0.5, (dim, 1)).astype("float32"), np.array([prior], "float32")
@@ -165,30 +188,33 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return cut.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(cut).to_numpy())
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000, min_texts: int = 5) -> Model:
-    """Fit on at most about ``max_rows`` labelled documents (the caller filters held-out ids from ``labels``).
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
+    """row, y and text of at most max_rows labelled ids, the ones of least hash, with one text each (equal rows are not told apart yet)."""
+    labelled = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    held = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash")).join(labelled, "__id").groupBy("__id").agg(F.min("__hash").alias("__hash"), F.first("y").alias("y"))
+    chosen = materialise(held.orderBy(F.xxhash64(F.lit("toxicity"), "__id"), "__id").limit(max_rows), "sample")
+    # At most max_rows ids, hashes and labels: a bounded table.
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("__hash")).join(F.broadcast(chosen), ["__id", "__hash"])
+    return texts.select(F.xxhash64("__id", "__hash").alias("row"), "y", "text")
 
-    Words of fewer than min_texts sample texts teach nothing (when scoring, every word counts).
-    """
-    wanted = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    n = max(1, wanted.count())
-    chosen = wanted.where(F.pmod(F.xxhash64(F.lit("toxicity"), "__id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / n)))
-    # At most about max_rows ids and labels: a bounded table.
-    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").select(F.xxhash64("__id", "text").alias("row"), "y", "text")
-    bags = materialise(bags_of(sample).dropDuplicates(["row", "word"]), "bags")
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000) -> Model:
+    """Fit on at most ``max_rows`` labelled documents (the caller filters held-out ids from ``labels``)."""
+    bags = bags_of(sampled(docs, labels, id_col, text_col, label_col, max_rows)).dropDuplicates(["row", "word"]).withColumn("key", F.xxhash64("word"))
+    bags = materialise(bags, "bags")
     texts = bags.groupBy("row").agg(F.first("y").alias("y"), F.first("n_words").alias("n_words")).orderBy("row").toArrow()
     row, y, n_words = (texts.column(x).to_numpy() for x in ("row", "y", "n_words"))
-    least = min(min_texts, max(1, len(row) // 200))
-    often = bags.where("word is not null").groupBy("word").agg(F.count("*").alias("texts")).where(F.col("texts") >= least).select("word")
-    # At most max_rows bags of the words that texts share, as Arrow columns.
-    held = bags.where("word is not null").join(often, "word").select("row", "word", "n").toArrow()
-    coded = held.column("word").combine_chunks().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    rank = np.empty(len(words), "int64")
-    rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
-    text, word, n = np.searchsorted(row, held.column("row").to_numpy()), rank[coded.indices.to_numpy()], held.column("n").to_numpy()
+    # Each distinct word once, then at most max_rows bags of numbers.
+    named = bags.where("word is not null").groupBy("word", "key").agg(F.lit(1)).select("word", "key").orderBy("word").toArrow()
+    words, keys = named.column("word").to_pylist(), named.column("key").to_numpy()
+    del named
+    held = bags.where("word is not null").select("row", "key", F.col("n").cast("int").alias("n")).toArrow()
+    order = np.argsort(keys, kind="stable")
+    word = order[np.searchsorted(keys[order], held.column("key").to_numpy())].astype("int32")
+    text, n = np.searchsorted(row, held.column("row").to_numpy()).astype("int32"), held.column("n").to_numpy()
+    del held
     order = np.lexsort([word, text])
-    return fit(y, n_words, text[order], word[order], n[order], sorted(words))
+    return fit(y, n_words, text[order], word[order], n[order], words)
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
