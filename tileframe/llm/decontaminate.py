@@ -85,8 +85,8 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", i
         return worded.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), none.alias("item_ids"), "text_hash")
     prints = materialise(reduce(DataFrame.unionByName, prints).where(F.col("print").isNotNull()).distinct(), "prints")
     side = F.broadcast(prints) if prints.count() <= BROADCAST_PRINTS else prints
-    named = windows.groupBy("len", "window").agg(F.collect_set("item").alias("items"))
-    named = F.broadcast(named) if windows.count() <= BROADCAST_WINDOWS else named
+    few = windows.count() <= BROADCAST_WINDOWS
+    distinct = windows.select("len", "window").distinct()
 
     # One pass over the texts: which documents have a fingerprint of the benchmark. The first place is for the row itself, under a hash of
     # its own, so that rows without a hit are dealt out evenly too.
@@ -115,9 +115,13 @@ def contaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", i
         own = again.join(seeds, same).withColumn("len", F.lit(length))
         texts = F.transform("at", lambda i: F.struct(i.alias("at"), F.array_join(F.slice("words", i + 1, length), " ").alias("window")))
         hits.append(own.select("doc_id", "text_hash", "len", F.explode_outer(texts).alias("w")).select("doc_id", "text_hash", "len", "w.at", "w.window"))
-    hits = reduce(DataFrame.unionByName, hits).join(named, ["len", "window"])
+    hits = materialise(reduce(DataFrame.unionByName, hits).join(F.broadcast(distinct) if few else distinct, ["len", "window"]), "spans")
     spans = F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("len")).alias("end"))))
-    per_doc = hits.groupBy("doc_id", "text_hash").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+    per_doc = hits.groupBy("doc_id", "text_hash").agg(spans.alias("spans"))
+    # Items are rows until they are a document's own: a window that many items share is met once a document, whatever its places.
+    met = hits.select("doc_id", "text_hash", "len", "window").distinct().join(F.broadcast(windows) if few else windows, ["len", "window"]).select("doc_id", "text_hash", "item").distinct()
+    met = met.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")).agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
+    per_doc = per_doc.join(met, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_text")))
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("reach"))
     covered = F.aggregate("spans", start, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["at"], s["reach"]))).cast("bigint").alias("n"), F.greatest(s["reach"], x["end"]).alias("reach")), lambda s: s["n"])
     per_doc = materialise(per_doc.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), covered.alias("n_hit"), "item_ids"), "hits")
