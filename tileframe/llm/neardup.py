@@ -12,7 +12,7 @@ group a signature tree, gone down against itself, tells which pairs can overlap
 exactly, so every link between different sets is found once.
 
 Rows keep their place: one row out for each row in, repeated ids and rows included; an empty table gives no rows. Other columns are not
-read, whatever their names (``keep_one`` takes __id, __hash and __text_hash for itself). component_id is the least id of the rows
+read, whatever their names (``keep_one`` takes __id, __hash, __text_hash and __row for itself). component_id is the least id of the rows
 of linked nodes (NULL ids count only where there are no others); for an empty set it is the row's own id.
 """
 
@@ -28,11 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tileframe.llm.common import materialise, mix, slices
+from tileframe.llm.common import materialise, mix, release, slices
 from tileframe.llm.components import components
 
 #: Members of a chunk of a block; a group has at most two chunks.
 GROUP = 128
+#: Keys that a bucket gets, about, and that a worker gathers before it deals them out.
+BUCKET_KEYS = 1_000_000
+HELD_KEYS = 1_000_000
 #: Nodes in blocks, up to this number, are broadcast to pick their texts (24 bytes each); beyond it the join is dealt out.
 BROADCAST_NODES = 1_000_000
 #: Shingles, and pairs of nodes, handled at a time.
@@ -114,26 +117,99 @@ class Classes:
         return np.concatenate(out) if out else np.empty(0, "uint64")
 
 
+def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """64 bits of each set; of no meaning for empty ones."""
+    sums = np.array([np.add.reduce(mix(h ^ np.uint64(0x5DEECE66D))) for h in sets], "uint64")
+    return mix(sums + np.array([len(h) for h in sets], "uint64")).view("int64")
+
+
 def sets_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node (64 bits of the set; NULL if empty) and keys, of columns doc_id and text."""
+    """doc_id, text_hash, n_shingles, node (NULL for an empty set) and n_keys (about), of columns doc_id and text."""
     classes = Classes(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES, 1000):
             found = shingle_sets(batch.column("text"), width)
             sizes = np.array([len(h) for h in found])
-            sums = np.array([np.add.reduce(mix(h ^ np.uint64(0x5DEECE66D))) for h in found], "uint64")
-            nodes = mix(sums + sizes.astype("uint64")).view("int64")
-            keys = [classes.keys(h).view("int64") if len(h) else np.empty(0, "int64") for h in found]
-            offsets = pa.array(np.cumsum([0, *map(len, keys)], dtype="int32"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), pa.array(nodes, mask=sizes == 0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))],
-                ["doc_id", "text_hash", "n_shingles", "node", "keys"],
-            )
+            keys = pa.array([sum(classes.parts[c] for c in classes.of(n)) if n else 0 for n in sizes.tolist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), pa.array(nodes_of(found), mask=sizes == 0), keys], ["doc_id", "text_hash", "n_shingles", "node", "n_keys"])
 
     with_hash = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_hash.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node bigint, keys array<bigint>")
+    return with_hash.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node bigint, n_keys bigint")
+
+
+def nodes_that_meet(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
+    """node, low and class, distinct: nodes that share a key of the class with a lesser node low."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, held, n = Classes(num, den), {}, 0
+
+        def packed() -> pa.RecordBatch:
+            keys = np.concatenate([*held.values(), np.empty(0, "uint64")])
+            nodes = np.repeat(np.fromiter(held, "int64", len(held)), [len(x) for x in held.values()])
+            bucket = ((keys >> np.uint64(8)) % np.uint64(buckets)).astype("int32")
+            order = np.argsort(bucket, kind="stable")
+            some, at = np.unique(bucket[order], return_index=True)
+            at = np.append(at, len(order))
+            cut = [order[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+            # Keys of one node are neighbours, so that nodes take little room.
+            columns = [pa.array(some), pa.array([keys[x].tobytes() for x in cut], pa.binary()), pa.array([pa.compress(nodes[x].tobytes(), codec="zstd", asbytes=True) for x in cut], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "nodes"])
+
+        for batch in slices(batches, "text", SLICE_BYTES, 1000):
+            found = shingle_sets(batch.column("text"), width)
+            for node, h in zip(nodes_of(found).tolist(), found, strict=True):
+                if len(h) and node not in held:
+                    held[node] = classes.keys(h)
+                    n += len(held[node])
+            if n >= HELD_KEYS:
+                yield packed()
+                held, n = {}, 0
+        yield packed()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, centre = np.empty(0, "uint64"), np.empty(0, "int64")
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def folded() -> pa.RecordBatch:
+            """Adds what is held to the known keys; a key keeps the centre it has, and what comes later meets that."""
+            nonlocal known, centre
+            keys, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort([nodes, keys])
+            keys, nodes = keys[order], nodes[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+            own = nodes[first].copy()
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys[first]), len(known) - 1)
+                old = known[at] == keys[first]
+                own[old] = centre[at[old]]
+                new = first[~old]
+                place = np.searchsorted(known, keys[new])
+                known, centre = np.insert(known, place, keys[new]), np.insert(centre, place, nodes[new])
+            else:
+                known, centre = keys[first], nodes[first]
+            low = np.repeat(own, np.diff(np.append(first, len(keys))))
+            apart = low != nodes
+            found = np.unique(np.stack([np.maximum(nodes, low)[apart], np.minimum(nodes, low)[apart], (keys[apart] & np.uint64(255)).astype("int64")], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], ["node", "low", "class"])
+
+        n = 0
+        for batch in batches:
+            for keys, nodes in zip(batch.column("keys"), batch.column("nodes"), strict=True):
+                x = np.frombuffer(keys.as_py(), "uint64")
+                held.append((x, np.frombuffer(pa.decompress(nodes.as_py(), x.nbytes, codec="zstd", asbytes=True), "int64")))
+                n += len(x)
+                if n >= BUCKET_KEYS:
+                    yield folded()
+                    n = 0
+        if held:
+            yield folded()
+        release()
+
+    sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, nodes binary")
+    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "node bigint, low bigint, class bigint").distinct()
 
 
 class SignatureTree:
@@ -254,19 +330,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
     sets = materialise(sets_of(plain, width, num, den), "sets")
     nodes = materialise(sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "text_hash")).alias("first")), "nodes")
 
-    # Blocks: nodes that share a key of a class. Only the least node of a key is linked to, which joins the same nodes.
-    keyed = sets.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where(F.col("low") != F.col("high"))
-    shared = materialise(shared.select("key", "low"), "shared")
-    if shared.count() <= BROADCAST_NODES:
-        shared = F.broadcast(shared)
-    size_class = F.col("key").bitwiseAND(255)
-    met = materialise(keyed.join(shared, "key").select("node", "low", size_class.alias("class")).distinct(), "met")
-    edges = met.where(F.col("node") != F.col("low")).select(F.xxhash64("node", "class").alias("a"), F.xxhash64("low", "class").alias("b"))
+    # Blocks: nodes that share a key of a class.
+    n_keys = sets.groupBy("node").agg(F.max("n_keys").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_keys // BUCKET_KEYS)
+    met = materialise(nodes_that_meet(plain, width, num, den, buckets), "met")
+    edges = met.select(F.xxhash64("node", "class").alias("a"), F.xxhash64("low", "class").alias("b"))
     blocks = materialise(components(edges).withColumnRenamed("component", "block"), "blocks")
     large = materialise(blocks.groupBy("block").agg(F.count("*").alias("members")).where(F.col("members") > GROUP), "large")
     large = F.broadcast(large) if large.count() <= BROADCAST_NODES else large
-    placed = met.select("node", "class").distinct().withColumn("at", F.xxhash64("node", "class")).join(blocks.withColumnRenamed("node", "at"), "at").join(large, "block", "left")
+    both = met.select("node", "class").unionByName(met.select(F.col("low").alias("node"), "class")).distinct()
+    placed = both.withColumn("at", F.xxhash64("node", "class")).join(blocks.withColumnRenamed("node", "at"), "at").join(large, "block", "left")
     chunks = F.coalesce(F.ceil(F.col("members") / GROUP), F.lit(1))
     places = placed.groupBy("node").agg(F.collect_list(F.struct("block", "class", chunks.alias("chunks"))).alias("places"))
     chosen = materialise(nodes.select("node", "n_copies", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).join(places, "node"), "chosen")
@@ -301,7 +374,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, of which the least id and text of each component and every empty set stay; equal rows become one."""
+    """The rows of docs, all columns, of which the least id and text of each component and every empty set stay. Rows with one id and text
+    become one: of those that differ in other columns, the one of least hash of all columns as JSON."""
     found = materialise(near_duplicates(docs, width, num, den, id_col, text_col).select("doc_id", "text_hash", "component"), "found")
     best = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.doc_id", "x.text_hash")
     stay = best.unionByName(found.where(F.col("component").isNull()).select("doc_id", "text_hash").distinct()).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
@@ -310,5 +384,6 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_co
     hashed = docs.withColumn("__text_hash", F.xxhash64(text_col))
     kept = hashed.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
     if not found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, "__text_hash"])
+        whole = F.struct(*[F.col(c) for c in docs.columns])
+        kept = kept.groupBy(id_col, "__text_hash").agg(F.min_by(whole, F.struct(F.xxhash64(F.to_json(whole)), F.to_json(whole))).alias("__row")).select("__row.*")
     return kept.select(*docs.columns)
