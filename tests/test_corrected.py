@@ -115,10 +115,10 @@ def test_regions_across_bands(spark, monkeypatch):
     assert {(r.y, r.x, r.region_id) for r in components.components(px).collect()} == found
 
 
-def test_growth_takes_the_nearer_and_then_the_lower_marker(spark):
+def test_the_deeper_marker_floods_first(spark):
     px = spark.createDataFrame([(1, 0, x, x != 7) for x in range(12)], "tile_id int, y int, x int, mask boolean")
     seeds = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 6, 6)], "tile_id int, y int, x int, marker bigint")
-    assert {(r.x, r.region_id) for r in distance.seeded_regions(px, seeds).collect()} == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 6), (5, 6), (6, 6)}
+    assert {(r.x, r.region_id) for r in distance.seeded_regions(px, seeds).collect()} == {*((x, 0) for x in range(6)), (6, 6)}
 
 
 def test_mixes_keep_every_pixel(spark):

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tileframe.operators.bootstrap import diagnostics_of_sums
-from tileframe.operators.raster.components import components
-from tileframe.operators.raster.distance import distance
-from tileframe.operators.raster.filters import boundary, by_tile, dilate, filtered, gaussian_kernel, log_of, mean_and_std, sobel_of
+from tileframe.operators.raster.components import components, label_runs
+from tileframe.operators.raster.distance import distances
+from tileframe.operators.raster.filters import filtered, gaussian_kernel, log_of, mean_and_std, sobel_of
+from tileframe.operators.raster.tiles import Box, append_by_tile, dilated, edge_of, numbers
 from tileframe.operators.storage import materialise
 
 KEY = ["tile_id", "y", "x"]
@@ -20,13 +22,35 @@ KEY = ["tile_id", "y", "x"]
 FEATURES = ("gray", "gaussian_1", "gaussian_3", "mean_7", "std_7", "mean_31", "std_31", "sobel", "log_1", "distance", "dark_15", "area")
 
 
+def one_row_by_tile(px: DataFrame, columns: Sequence[str], schema: str, made: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], list[tuple]]) -> DataFrame:
+    """tile_id and the rows that made gives for y, x and the columns (as doubles, NULL as NaN) of one whole tile: one shuffle. Pixels without coordinates are left out."""
+    kinds = [f.split()[1] for f in schema.split(", ")]
+    arrow = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = made(table.column("y").to_numpy().astype("int64"), table.column("x").to_numpy().astype("int64"), [numbers(table.column(f"_{k}")) for k in range(len(columns))])
+        out = [pa.array([r[k] for r in rows], arrow[kind]) for k, kind in enumerate(kinds)]
+        return pa.table([pa.repeat(table.column("tile_id")[0], len(rows)), *out], names=["tile_id", *names])
+
+    picked = px.where("y is not null and x is not null").select(*KEY, *[F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate(columns)])
+    return picked.groupBy("tile_id").applyInArrow(run, f"tile_id {dict(picked.dtypes)['tile_id']}, {schema}")
+
+
+def met_boundaries(box: Box, t: np.ndarray, p: np.ndarray, tol: int) -> tuple[int, int, int, int]:
+    """Boundary pixels of p, those near the other's, and the same of t, for masks given by pixel."""
+    bt, bp = (edge_of(box.spread(m, False)) for m in (t, p))
+    k = 2 * tol + 1
+    return int(bp.sum()), int((bp & dilated(bt, k)).sum()), int(bt.sum()), int((bt & dilated(bp, k)).sum())
+
+
+BOUNDARIES = "boundary_pred bigint, boundary_pred_hit bigint, boundary_true bigint, boundary_true_hit bigint"
+
+
 def boundary_counts(px: DataFrame, class_id: int | None = None, tol: int = 2, target: str = "target", pred: str = "pred") -> DataFrame:
     """Per tile: boundary pixels of each side, and those within Chebyshev distance tol of the other's. class_id None takes both pore classes."""
-    of = lambda c: F.col(c).isin(0, 1) if class_id is None else F.col(c) == class_id
-    b = boundary(boundary(px.withColumns({"_t": of(target), "_p": of(pred)}), "_t", "_bt"), "_p", "_bp")
-    b = dilate(b.withColumn("_nt", F.col("_bt")), 2 * tol + 1, "_nt")
-    b = dilate(b.withColumn("_np", F.col("_bp")), 2 * tol + 1, "_np")
-    return b.groupBy("tile_id").agg(F.count_if("_bp").alias("boundary_pred"), F.count_if(F.col("_bp") & F.col("_nt")).alias("boundary_pred_hit"), F.count_if("_bt").alias("boundary_true"), F.count_if(F.col("_bt") & F.col("_np")).alias("boundary_true_hit"))
+    of = lambda v: (v == 0) | (v == 1) if class_id is None else v == class_id
+    return one_row_by_tile(px, [target, pred], BOUNDARIES, lambda y, x, v: [met_boundaries(Box(y, x), of(v[0]), of(v[1]), tol)])
 
 
 def boundary_f1(px: DataFrame, class_id: int | None = None, tol: int = 2, target: str = "target", pred: str = "pred") -> DataFrame:
@@ -39,21 +63,23 @@ def boundary_f1(px: DataFrame, class_id: int | None = None, tol: int = 2, target
     return c.withColumn("f1", F.when(p + r == 0, 0.0).otherwise(2 * p * r / F.nullif(p + r, F.lit(0.0))))
 
 
-def region_counts(px: DataFrame, label: str, class_id: int) -> DataFrame:
-    """Regions of a class by tile, and the largest of them."""
-    c = components(px.select(*KEY, (F.col(label) == class_id).alias("mask")))
-    return c.groupBy("tile_id", "region_id").agg(F.count("*").alias("a")).groupBy("tile_id").agg(F.count("*").alias("regions"), F.max("a").alias("largest"))
+def sizes_of(y: np.ndarray, x: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """The sizes of the 8-connected regions of the pixels that are on."""
+    return np.unique(label_runs(y[on], x[on], 1), return_counts=True)[1] if on.any() else np.empty(0, "int64")
 
 
 def tile_statistics(px: DataFrame, tol: int = 2, target: str = "target", pred: str = "pred") -> DataFrame:
-    """The sufficient statistics of a tile's diagnostics: areas, C0 regions, largest C1 region, boundary counts."""
-    n = lambda c, k: F.count_if(F.col(c) == k)
-    out = px.groupBy("tile_id").agg(F.count("*").alias("pixels"), n(target, 0).alias("c0_true"), n(pred, 0).alias("c0_pred"), n(target, 1).alias("c1_true"), n(pred, 1).alias("c1_pred"))
-    for side, col in (("true", target), ("pred", pred)):
-        out = out.join(region_counts(px, col, 0).select("tile_id", F.col("regions").alias(f"components_{side}")), "tile_id", "left")
-        out = out.join(region_counts(px, col, 1).select("tile_id", F.col("largest").alias(f"largest_{side}")), "tile_id", "left")
-    names = [f"{x}_{s}" for x in ("components", "largest") for s in ("true", "pred")]
-    return out.fillna(0, names).join(boundary_counts(px, None, tol, target, pred), "tile_id")
+    """The sufficient statistics of a tile's diagnostics: areas, C0 regions, largest C1 region, boundary counts. All in one group of the tile."""
+    names = ["pixels", "c0_true", "c0_pred", "c1_true", "c1_pred", "components_true", "largest_true", "components_pred", "largest_pred"]
+
+    def made(y: np.ndarray, x: np.ndarray, v: list[np.ndarray]) -> list[tuple]:
+        regions = []
+        for side in v:
+            regions += [len(sizes_of(y, x, side == 0)), int(sizes_of(y, x, side == 1).max(initial=0))]
+        t, p = ((side == 0) | (side == 1) for side in v)
+        return [(len(y), *[int((side == k).sum()) for k in (0, 1) for side in v], *regions, *met_boundaries(Box(y, x), t, p, tol))]
+
+    return one_row_by_tile(px, [target, pred], ", ".join(f"{n} bigint" for n in names) + ", " + BOUNDARIES, made)
 
 
 def tile_diagnostics(px: DataFrame, tol: int = 2, target: str = "target", pred: str = "pred") -> DataFrame:
@@ -65,15 +91,15 @@ def topology_diff(px: DataFrame, class_id: int, least: int = 10, fragmentation:
 
     Without regions in the target the histogram error is 0, with none in the prediction only it is 1.
     """
-    sizes = []
-    for side, col in (("t", target), ("p", pred)):
-        for kind, is_on in (("fg", F.col(col) == class_id), ("bg", F.col(col) != class_id)):
-            c = components(px.select(*KEY, is_on.alias("mask")))
-            sizes.append(c.groupBy("tile_id", "region_id").agg(F.count("*").alias("a")).select("tile_id", F.lit(side).alias("side"), F.lit(kind).alias("kind"), "a"))
-    every = sizes[0]
-    for s in sizes[1:]:
-        every = every.unionByName(s)
-    every = materialise(every, "sizes")
+
+    def made(y: np.ndarray, x: np.ndarray, v: list[np.ndarray]) -> list[tuple]:
+        rows: list[tuple] = [("t", "any", 0), ("p", "any", 0)]
+        for side, values in zip("tp", v, strict=True):
+            for kind, on in (("fg", values == class_id), ("bg", (values != class_id) & ~np.isnan(values))):
+                rows += [(side, kind, int(n)) for n in sizes_of(y, x, on)]
+        return rows
+
+    every = materialise(one_row_by_tile(px, [target, pred], "side string, kind string, a bigint", made), "sizes")
     n = lambda side, kind: F.count_if((F.col("side") == side) & (F.col("kind") == kind))
     counts = every.groupBy("tile_id").agg(n("t", "fg").alias("nt"), n("p", "fg").alias("np"), n("t", "bg").alias("bt"), n("p", "bg").alias("bp"))
     big = every.where((F.col("kind") == "fg") & (F.col("a") >= least)).withColumn("top", F.max("a").over(Window.partitionBy("tile_id")))
@@ -81,7 +107,7 @@ def topology_diff(px: DataFrame, class_id: int, least: int = 10, fragmentation:
     w = Window.partitionBy("tile_id", "side")
     share = bins.withColumn("m", F.count("*").over(w)).groupBy("tile_id", "bin", "top").agg(*[F.coalesce(F.sum(F.when(F.col("side") == s, 1 / (F.col("m") * F.col("top") / 19.0))), F.lit(0.0)).alias(s) for s in ("t", "p")])
     error = share.groupBy("tile_id").agg(F.sum(F.abs(F.col("t") - F.col("p"))).alias("l1"), F.sum("t").alias("st"), F.sum("p").alias("sp"))
-    out = px.select("tile_id").distinct().join(counts, "tile_id", "left").join(error, "tile_id", "left").fillna(0)
+    out = counts.join(error, "tile_id", "left").fillna(0)
     out = out.withColumn("component_diff", F.abs(F.col("np") - F.col("nt")) / F.greatest(F.col("nt"), F.lit(1)))
     out = out.withColumn("size_error", F.when(F.col("st") == 0, 0.0).when(F.col("sp") == 0, 1.0).otherwise(F.col("l1")))
     out = out.withColumn("euler_diff", F.abs((F.col("np") - F.col("bp")) - (F.col("nt") - F.col("bt"))))
@@ -139,27 +165,26 @@ def curriculum(samples: DataFrame, difficulties: DataFrame, epoch: int, epochs:
 
 
 def features(px: DataFrame, t: int = 100) -> DataFrame:
-    """tile_id, y, x and FEATURES of each pixel; distance is scaled by the tile's diagonal (and is that in a tile that is all gate) and area by its size, both log1p, 0 outside the gate."""
-    p = px.select(*KEY, "v")
-    size = px.groupBy("tile_id").agg(F.count("*").alias("_n"), F.hypot((F.max("y") + 1).cast("double"), (F.max("x") + 1).cast("double")).alias("_diagonal"))
-    gate = p.select(*KEY, (F.col("v") < t).alias("mask"))
-    d = distance(gate, "mask").select(*KEY, "distance")
-    c = components(gate)
-    areas = c.groupBy("tile_id", "region_id").agg(F.count("*").alias("area"))
-    area = c.join(areas, ["tile_id", "region_id"]).select(*KEY, "area")
-
-    def made(y: np.ndarray, x: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-        g, g1, g3 = v / 255.0, gaussian_kernel(1), gaussian_kernel(3)
+    """tile_id, y, x, v and FEATURES of each pixel, all in one group of the tile; distance is scaled by the tile's diagonal (and is that in a tile that
+    is all gate) and area by its size, both log1p, 0 outside the gate. Pixels without a value or coordinates have NULL features and don't count."""
+
+    def made(y: np.ndarray, x: np.ndarray, table: pa.Table) -> dict[str, np.ndarray]:
+        v = numbers(table.column("v"))
+        g, g1, g3, gate, box = v / 255.0, gaussian_kernel(1), gaussian_kernel(3), v < t, Box(y, x)
         mean7, std7 = mean_and_std(g, y, x, 7)
         mean31, std31 = mean_and_std(g, y, x, 31)
-        return {
-            "v": v, "gray": g, "gaussian_1": filtered(g, y, x, g1, g1), "gaussian_3": filtered(g, y, x, g3, g3), "mean_7": mean7, "std_7": std7, "mean_31": mean31, "std_31": std31,
-            "sobel": sobel_of(g, y, x), "log_1": log_of(g, y, x, 1.0), "dark_15": filtered((v < t).astype("float64"), y, x, [1 / 15] * 15, [1 / 15] * 15),
-        }
-
-    out = by_tile(p, {"v": F.col("v")}, made).withColumn("v", F.col("v").cast(px.schema["v"].dataType)).join(d, KEY).join(area, KEY, "left").join(size, "tile_id")
-    out = out.withColumns({"distance": F.log1p(F.coalesce("distance", "_diagonal")) / F.log1p("_diagonal"), "area": F.coalesce(F.log1p("area") / F.log1p(F.col("_n").cast("double")), F.lit(0.0))})
-    return out.select(*KEY, "v", *FEATURES)
+        diagonal = math.hypot(y.max() + 1, x.max() + 1)
+        away = np.nan_to_num(distances(box, gate), nan=diagonal)
+        area = np.zeros(len(v))
+        if gate.any():
+            _, region, size = np.unique(label_runs(y[gate], x[gate], 1), return_inverse=True, return_counts=True)
+            area[gate] = np.log1p(size[region]) / math.log1p(len(v))
+        return dict(zip(FEATURES, (
+            g, filtered(g, y, x, g1, g1), filtered(g, y, x, g3, g3), mean7, std7, mean31, std31, sobel_of(g, y, x), log_of(g, y, x, 1.0),
+            np.log1p(away) / math.log1p(diagonal), filtered(gate.astype("float64"), y, x, [1 / 15] * 15, [1 / 15] * 15), area,
+        ), strict=True))
+
+    return append_by_tile(px.select(*KEY, "v"), dict.fromkeys(FEATURES, "double"), made, needs=["v"])
 
 
 def features_are_finite(f: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:

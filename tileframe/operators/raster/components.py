@@ -80,14 +80,14 @@ def label_runs(y: np.ndarray, x: np.ndarray, reach: int) -> np.ndarray:
 
 
 def components(px: DataFrame, mask: str = "mask", connectivity: int = 8, within: Sequence[str] = ()) -> DataFrame:
-    """The mask's pixels with region_id, the least pixel key of their region. ``within`` keeps regions apart by more columns, such as the class.
+    """The mask's pixels (those with coordinates) with region_id, the least pixel key of their region. ``within`` keeps regions apart by more columns, such as the class.
 
     A group holds at most BAND rows of a tile; tiles of more rows are put together along the seams.
     """
     if connectivity not in (4, 8):
         raise ValueError("connectivity is 4 or 8")
     reach, names = (1 if connectivity == 8 else 0), ["tile_id", *within]
-    on = px.where(F.col(mask).cast("boolean"))
+    on = px.where(F.col(mask).cast("boolean") & F.col("y").isNotNull() & F.col("x").isNotNull())
 
     def label(table: pa.Table) -> pa.Table:
         found = label_runs(table.column("y").to_numpy(), table.column("x").to_numpy(), reach)

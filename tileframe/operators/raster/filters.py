@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tileframe.operators.raster.tiles import Box, append_by_tile, closed, dilated, edge_of, eroded, flags, numbers, square_extremes
+
 #: Common kernels, lists centred on their middle (fixed values).
 SOBEL_SMOOTH = (1.0, 2.0, 1.0)
 SOBEL_STEP = (-1.0, 0.0, 1.0)
@@ -49,33 +51,34 @@ def filtered(values: np.ndarray, y: np.ndarray, x: np.ndarray, kx: Sequence[floa
     return weighed(weighed(values, y, x, kx), x, y, ky)
 
 
-def by_tile(px: DataFrame, columns: dict[str, Column], made: Callable[..., dict[str, np.ndarray]]) -> DataFrame:
-    """tile_id, y, x and what ``made`` gives, as doubles, for y, x and the columns of one whole tile: one Arrow group and one shuffle."""
-    names = list(columns)
-
-    def run(table: pa.Table) -> pa.Table:
-        y, x, *values = (table.column(n).to_numpy() for n in ("y", "x", *names))
-        out = made(y, x, *values)
-        return pa.table([table.column(n) for n in ("tile_id", "y", "x")] + [pa.array(v) for v in out.values()], names=["tile_id", "y", "x", *out])
+def by_tile(px: DataFrame, columns: dict[str, Column], made: Callable[..., dict[str, np.ndarray]], band: int | None = None, halo: int = 0) -> DataFrame:
+    """tile_id, y, x and what ``made`` gives, as doubles, for y, x and the columns of one whole tile (or a band of it, ``append_by_tile``).
 
-    picked = px.select("tile_id", "y", "x", *[c.cast("double").alias(n) for n, c in columns.items()])
-    kinds = dict(picked.dtypes)
+    A pixel without one of the values is as if it weren't there, and has NULL results.
+    """
+    picked = px.select("tile_id", "y", "x", *[c.cast("double").alias(f"_{n}") for n, c in columns.items()])
+    picked = picked.withColumns({f"_{n}": F.nullif(F.col(f"_{n}"), F.lit(float("nan"))) for n in columns})
+    names = [f"_{n}" for n in columns]
     outs = made(np.zeros(1, "int64"), np.zeros(1, "int64"), *[np.zeros(1)] * len(names))  # the names
-    return picked.groupBy("tile_id").applyInArrow(run, ", ".join([f"`{n}` {kinds[n]}" for n in ("tile_id", "y", "x")] + [f"`{n}` double" for n in outs]))
+    run = lambda y, x, t: made(y, x, *[numbers(t.column(n)) for n in names])
+    return append_by_tile(picked, dict.fromkeys(outs, "double"), run, band=band, halo=halo, needs=names).select("tile_id", "y", "x", *outs)
+
 
+def convolve(px: DataFrame, kx: Sequence[float], ky: Sequence[float], value: str = "v", band: int | None = None) -> DataFrame:
+    """tile_id, y, x and the filtered value. Ragged lines reflect at their own end, and again where kernels are longer.
 
-def convolve(px: DataFrame, kx: Sequence[float], ky: Sequence[float], value: str = "v") -> DataFrame:
-    """tile_id, y, x and the filtered value. Ragged lines reflect at their own end, and again where kernels are longer."""
-    return by_tile(px, {value: F.col(value)}, lambda y, x, v: {value: filtered(v, y, x, kx, ky)})
+    band: so many rows of a tile are a group's, beside a halo of the kernel's reach; columns must have no gaps then.
+    """
+    return by_tile(px, {value: F.col(value)}, lambda y, x, v: {value: filtered(v, y, x, kx, ky)}, band, len(ky) // 2)
 
 
-def box_mean(px: DataFrame, size: int, value: str = "v") -> DataFrame:
-    return convolve(px, [1 / size] * size, [1 / size] * size, value)
+def box_mean(px: DataFrame, size: int, value: str = "v", band: int | None = None) -> DataFrame:
+    return convolve(px, [1 / size] * size, [1 / size] * size, value, band)
 
 
-def gaussian(px: DataFrame, sigma: float, value: str = "v") -> DataFrame:
+def gaussian(px: DataFrame, sigma: float, value: str = "v", band: int | None = None) -> DataFrame:
     k = gaussian_kernel(sigma)
-    return convolve(px, k, k, value)
+    return convolve(px, k, k, value, band)
 
 
 def sobel_of(v: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -93,60 +96,60 @@ def mean_and_std(v: np.ndarray, y: np.ndarray, x: np.ndarray, size: int) -> tupl
     return mean, np.sqrt(np.maximum(square - mean * mean, 0.0))
 
 
-def sobel(px: DataFrame, value: str = "v") -> DataFrame:
+def sobel(px: DataFrame, value: str = "v", band: int | None = None) -> DataFrame:
     """sobel: the gradient magnitude."""
-    return by_tile(px, {"v": F.col(value)}, lambda y, x, v: {"sobel": sobel_of(v, y, x)})
+    return by_tile(px, {"v": F.col(value)}, lambda y, x, v: {"sobel": sobel_of(v, y, x)}, band, 1)
 
 
-def laplacian_of_gaussian(px: DataFrame, sigma: float = 1.0, value: str = "v") -> DataFrame:
-    return by_tile(px, {"v": F.col(value)}, lambda y, x, v: {"log": log_of(v, y, x, sigma)})
+def laplacian_of_gaussian(px: DataFrame, sigma: float = 1.0, value: str = "v", band: int | None = None) -> DataFrame:
+    return by_tile(px, {"v": F.col(value)}, lambda y, x, v: {"log": log_of(v, y, x, sigma)}, band, int(4 * sigma + 0.5))
 
 
-def local_std(px: DataFrame, size: int, value: str = "v") -> DataFrame:
+def local_std(px: DataFrame, size: int, value: str = "v", band: int | None = None) -> DataFrame:
     """mean and std of the square neighbourhood, the variance clamped at 0."""
-    return by_tile(px, {"v": F.col(value)}, lambda y, x, v: dict(zip(("mean", "std"), mean_and_std(v, y, x, size), strict=True)))
+    return by_tile(px, {"v": F.col(value)}, lambda y, x, v: dict(zip(("mean", "std"), mean_and_std(v, y, x, size), strict=True)), band, size // 2)
 
 
-def _window(axis: str, k: int) -> Window:
-    other = "x" if axis == "y" else "y"
-    return Window.partitionBy("tile_id", other).orderBy(axis).rangeBetween(-(k // 2), k - 1 - k // 2)
+def _reshaped(px: DataFrame, mask: str, name: str, made: Callable[[np.ndarray, np.ndarray], np.ndarray], band: int | None, halo: int) -> DataFrame:
+    """px with a mask made from the mask and the pixels there are, both dense. A NULL mask is not set."""
 
+    def run(y: np.ndarray, x: np.ndarray, table: pa.Table) -> dict[str, np.ndarray]:
+        box = Box(y, x)
+        return {"_new": box.read(made(box.spread(flags(table.column(mask)), False), box.spread(np.ones(len(y), bool), False)))}
 
-def erode(px: DataFrame, k: int, mask: str = "mask") -> DataFrame:
-    """A pixel stays if its whole k x k square is set; outside the tile nothing is."""
-    a = px.withColumn("_a", (F.sum(F.col(mask).cast("int")).over(_window("x", k)) == k).cast("int"))
-    return a.withColumn(mask, F.sum("_a").over(_window("y", k)) == k).drop("_a")
+    found = append_by_tile(px, {"_new": "boolean"}, run, band=band, halo=halo)
+    return found.withColumn(name, F.col("_new")).drop("_new")
 
 
-def _square(px: DataFrame, k: int, value: str, name: str, largest: bool) -> DataFrame:
-    """The greatest or least value of the k x k square. Both orders of passes count, so that no pixel is missed next to a ragged edge."""
-    pick, merge = (F.max, F.greatest) if largest else (F.min, F.least)
-    a = px.withColumns({"_sx": pick(value).over(_window("x", k)), "_sy": pick(value).over(_window("y", k))})
-    a = a.withColumn("_sx", pick("_sx").over(_window("y", k))).withColumn("_sy", pick("_sy").over(_window("x", k)))
-    return a.withColumn(name, merge("_sx", "_sy")).drop("_sx", "_sy")
+def erode(px: DataFrame, k: int, mask: str = "mask", band: int | None = None) -> DataFrame:
+    """A pixel stays if its whole k x k square is set; outside the tile nothing is. band: rows of a tile in a group, beside a halo."""
+    return _reshaped(px, mask, mask, lambda on, _: eroded(on, k), band, k // 2)
 
 
-def dilate(px: DataFrame, k: int, mask: str = "mask") -> DataFrame:
-    a = _square(px.withColumn("_on", F.col(mask).cast("int")), k, "_on", "_most", True)
-    return a.withColumn(mask, F.col("_most") == 1).drop("_on", "_most")
+def dilate(px: DataFrame, k: int, mask: str = "mask", band: int | None = None) -> DataFrame:
+    return _reshaped(px, mask, mask, lambda on, _: dilated(on, k), band, k // 2)
 
 
-def close(px: DataFrame, k: int, mask: str = "mask") -> DataFrame:
+def close(px: DataFrame, k: int, mask: str = "mask", band: int | None = None) -> DataFrame:
     """Dilation, then erosion that counts what lies outside the tile as set."""
-    d = dilate(px, k, mask)
-    d = _square(d.withColumn("_on", F.col(mask).cast("int")), k, "_on", "_least", False)
-    return d.withColumn(mask, F.col("_least") == 1).drop("_on", "_least")
+    return _reshaped(px, mask, mask, lambda on, inside: closed(on, inside, k), band, 2 * (k // 2) + 1)
 
 
-def boundary(px: DataFrame, mask: str, name: str = "boundary") -> DataFrame:
+def boundary(px: DataFrame, mask: str, name: str = "boundary", band: int | None = None) -> DataFrame:
     """Adds whether a pixel of the mask is not in its 3 x 3 erosion."""
-    e = erode(px.withColumn("_e", F.col(mask).cast("boolean")), 3, "_e")
-    return e.withColumn(name, F.col(mask).cast("boolean") & ~F.col("_e")).drop("_e")
+    return _reshaped(px, mask, name, lambda on, _: edge_of(on), band, 1)
+
+
+def extreme(px: DataFrame, k: int, value: str, name: str, largest: bool = True, band: int | None = None) -> DataFrame:
+    """The greatest (or least) value of the k x k square, cut at the tile's edge; NULL values are passed over."""
+    sign = 1.0 if largest else -1.0
 
+    def run(y: np.ndarray, x: np.ndarray, table: pa.Table) -> dict[str, np.ndarray]:
+        box, v = Box(y, x), sign * numbers(table.column(value))
+        found = box.read(square_extremes(box.spread(np.where(np.isnan(v), -np.inf, v), -np.inf), k, -np.inf))
+        return {name: np.where(np.isinf(found), np.nan, sign * found)}
 
-def extreme(px: DataFrame, k: int, value: str, name: str, largest: bool = True) -> DataFrame:
-    """The greatest (or least) value of the k x k square, cut at the tile's edge."""
-    return _square(px, k, value, name, largest)
+    return append_by_tile(px, {name: "double"}, run, band=band, halo=k // 2 + 1)
 
 
 def smoothness(df: DataFrame, keys: Sequence[str] = ("tile_id",)) -> DataFrame:

@@ -477,16 +477,17 @@ def gate_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.where("mask").select("tile_id", "y", "x", "distance"))
 
 
-@query(ORACLES["gate_distance"])
-def gate_distance_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The name that gate_distance had while it stopped at 8."""
-    return gate_distance(spark, sf_dir)
-
-
 @query()
 def grown_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir).withColumn("mask", F.col("v") < 100)
-    return distance.seeded_regions(px, distance.markers(px, least=2.0, separation=3))
+    return distance.seeded_regions(px, distance.markers(px, least=1.0, separation=3))
+
+
+@query()
+def watershed_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers, flood, the region-size rule and its metrics: per tile and pooled."""
+    rated = distance.classify_by_watershed(pixels(spark, sf_dir), 12, least=1.0, separation=3)
+    return rounded(metrics.tile_and_pooled(metrics.confusion(rated)))
 
 
 BOUNDARY = f"""{PX}, b0 AS (SELECT tile_id, y, x, target < 2 AS t, pred < 2 AS p FROM px), b1 AS (SELECT a.tile_id, a.y, a.x, a.t AND count(*) FILTER (b.t) < 9 AS bt, a.p AND count(*) FILTER (b.p) < 9 AS bp FROM b0 a JOIN b0 b ON a.tile_id = b.tile_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY a.tile_id, a.y, a.x, a.t, a.p),
