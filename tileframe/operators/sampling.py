@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tileframe.operators.extratrees import ExtraTrees, fit_extra_trees, predict
 from tileframe.operators.metrics import confusion, group_metrics
 from tileframe.operators.ranks import ranked_by_hash
 
@@ -42,35 +41,23 @@ def assemble_samples(px: DataFrame, n: int, seed: int, t: int = 100, evaluation:
     return stratified_sample(inside, n, seed)
 
 
-def fit_forest(df: DataFrame, features: Sequence[str], label: str = "target", weight: str | None = "weight", trees: int = 128, depth: int = 24, leaf: int = 8, seed: int = 20260821) -> RandomForestClassificationModel:
-    """A random forest with balanced class weights, square-root features and no bootstrap."""
-    totals = df.groupBy(label).agg(F.sum(F.col(weight) if weight else F.lit(1.0)).alias("_c"))
-    k = F.count("*").over(Window.partitionBy(F.lit(0)))
-    balance = totals.withColumn("_b", F.sum("_c").over(Window.partitionBy(F.lit(0))) / (k * F.col("_c"))).select(label, "_b")
-    rows = df.join(F.broadcast(balance), label).withColumn("_w", F.col("_b") * (F.col(weight) if weight else F.lit(1.0)))
-    vec = VectorAssembler(inputCols=list(features), outputCol="_features").transform(rows)
-    return RandomForestClassifier(featuresCol="_features", labelCol=label, weightCol="_w", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", bootstrap=False, seed=seed, maxMemoryInMB=512).fit(vec)
+def fit_forest(df: DataFrame, features: Sequence[str], label: str = "target", weight: str | None = "weight", trees: int = 128, depth: int = 24, leaf: int = 8, seed: int = 20260821, leave_out: str | None = None) -> ExtraTrees:
+    """Extremely randomised trees with balanced class weights, square-root features and no bootstrap."""
+    return fit_extra_trees(df, features, label, weight, trees, depth, leaf, seed, leave_out=leave_out)
 
 
-def predict_gated(model: RandomForestClassificationModel, px: DataFrame, features: Sequence[str], t: int = 100) -> DataFrame:
-    """pred: the model's class inside the gate, mineral outside."""
-    inside = px.where(F.col("v") < t)
-    vec = VectorAssembler(inputCols=list(features), outputCol="_features").transform(inside)
-    scored = model.transform(vec).withColumn("pred", F.when(F.col("prediction").isin(0.0, 1.0), F.col("prediction").cast("int")).otherwise(F.raise_error(F.lit("only pore classes may be predicted inside the gate")).cast("int")))
-    return scored.select(*px.columns, "pred").unionByName(px.where((F.col("v") >= t) | F.col("v").isNull()).withColumn("pred", F.lit(2)))
+def predict_gated(model: ExtraTrees, px: DataFrame, t: int = 100) -> DataFrame:
+    """pred: the model's class inside the gate, mineral outside (and where v is NULL). px has v and the model's features."""
+    inside = predict(model, px.where(F.col("v") < t), "pred")
+    sure = F.when(F.col("pred").isin(0, 1), F.col("pred")).otherwise(F.raise_error(F.lit("only pore classes may be predicted inside the gate")).cast("int"))
+    return inside.withColumn("pred", sure).unionByName(px.where((F.col("v") >= t) | F.col("v").isNull()).withColumn("pred", F.lit(2)))
 
 
 def group_cv(df: DataFrame, group: str, features: Sequence[str], label: str = "target", weight: str = "weight", **forest) -> tuple[DataFrame, DataFrame]:
-    """Leave-one-group-out: weighted confusion of each fold, and the mean metrics. One fit for each of few groups."""
-    folds = []
-    for row in df.select(group).distinct().orderBy(group).collect():  # series, not rows
-        model = fit_forest(df.where(F.col(group) != row[0]), features, label, weight, **forest)
-        vec = VectorAssembler(inputCols=list(features), outputCol="_features").transform(df.where(F.col(group) == row[0]))
-        folds.append(model.transform(vec).select(group, label, weight, F.col("prediction").cast("int").alias("pred")))
-    every = folds[0]
-    for f in folds[1:]:
-        every = every.unionByName(f)
-    cm = confusion(every, [group], 3, label, "pred", weight=weight)
+    """Leave-one-group-out: weighted confusion of each fold, and the mean metrics. The forests of all folds grow in the same passes."""
+    model = fit_forest(df, features, label, weight, leave_out=group, **forest)
+    scored = predict(model, df.select(group, label, weight, *features), "pred", fold_of=group).where("pred is not null")
+    cm = confusion(scored, [group], 3, label, "pred", weight=weight)
     return cm, group_metrics(cm, group)
 
 

@@ -565,12 +565,24 @@ def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def forest_group_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = pixels(spark, sf_dir).join(splits(spark, sf_dir).select("tile_id", (F.col("series") % 3).alias("group")), "tile_id")
-    rows = sampling.stratified_sample(px.where("v < 100 and target < 2"), 20, 5).withColumns({"v": F.col("v").cast("double"), "y": F.col("y").cast("double"), "x": F.col("x").cast("double")})
-    _, means = sampling.group_cv(rows, "group", ["v", "y", "x"], trees=8, depth=5)
+    """The twelve features of sampled gate pixels, and forests of default size, each without one series."""
+    px = pixels(spark, sf_dir)
+    f = compare.features(px).join(px.select("tile_id", "y", "x", "target"), ["tile_id", "y", "x"]).join(splits(spark, sf_dir).select("tile_id", "series"), "tile_id")
+    rows = sampling.assemble_samples(f, 10, 20260821)
+    _, means = sampling.group_cv(rows, "series", compare.FEATURES)
     return rounded(means)
 
 
+@query()
+def forest_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest of the training tiles' samples, its classes inside the gate of the test tiles, and their confusion."""
+    px = pixels(spark, sf_dir)
+    f = compare.features(px).join(px.select("tile_id", "y", "x", "target"), ["tile_id", "y", "x"]).join(splits(spark, sf_dir).select("tile_id", "split"), "tile_id")
+    model = sampling.fit_forest(sampling.assemble_samples(f.where("split = 'train'"), 10, 20260821), compare.FEATURES)
+    rated = sampling.predict_gated(model, f.where("split = 'test'"))
+    return metrics.confusion(rated)
+
+
 # Augmentation
 
 
