@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tileframe import functions as fn
 from tileframe.operators import audit, bootstrap, metrics, pairing, sampling, selection
-from tileframe.operators.raster import augment, compare, components, distance, filters, grid
+from tileframe.operators.raster import augment, compare, components, contours, distance, filters, grid
 from tileframe.plans.queries import QUERIES
 from tileframe.sources import audit_json, json_report, metric_csv, read_allowlist, read_coco, read_contract_csv, read_files, read_manifest, read_tiles, synthetic_tiles, write_once
 
@@ -98,7 +98,7 @@ def test_axis_errors(spark):
 def test_polygon_edges_are_inside(spark):
     polys = spark.createDataFrame([("t", 1, 0, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]), ("t", 2, 1, [(0.0, 0.0), (1.0, 1.0)])], "tile_id string, order int, class_id int, points array<struct<x: double, y: double>>")
     tiles = spark.createDataFrame([("t", 3, 3)], "tile_id string, height int, width int")
-    assert {(r.y, r.x) for r in grid.rasterise(polys, tiles).collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert {(r.y, r.x) for r in contours.rasterise(polys, tiles).collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
 
 
 def test_categories_and_masks(spark):

@@ -1,11 +1,14 @@
-"""Patch grids, cutting and stitching, and polygons."""
+"""Patch grids, cutting and stitching, and crops."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tileframe.operators.pairing import assign_patches
+from tileframe.operators.raster.tiles import Box, summed
 
 
 def axis_positions(length: Column, patch: int, overlap: int = 0) -> Column:
@@ -35,45 +38,30 @@ def stitch(df: DataFrame, value: str = "value") -> DataFrame:
     return df.groupBy("tile_id", "y", "x").agg(F.max_by(value, F.struct("patch_row", "patch_col")).alias(value))
 
 
-def rasterise(polys: DataFrame, tiles: DataFrame) -> DataFrame:
-    """tile_id, y, x, class_id: pixels in or on the edge of polygons, later ones on top; rings of fewer than three points are ignored.
+def smart_crop(px: DataFrame, size: int, threshold: float, minority: int = 0, label: str = "target") -> DataFrame:
+    """tile_id, y0, x0, ratio: the window (stride size // 4) richest in the minority class, first on a tie; below the threshold one by hash.
 
-    polys has tile_id, order, class_id and points (array of x, y structs); tiles height and width. Only the rows and columns of a polygon's
-    bounding box are looked at.
+    Windows are counted by four look-ups in the tile's summed-area table: one pass over its pixels.
     """
-    p = polys.where(F.size("points") >= 3).join(tiles.select("tile_id", "height", "width"), "tile_id").withColumn("poly", F.monotonically_increasing_id())
-    ys, xs = F.transform("points", lambda q: q["y"]), F.transform("points", lambda q: q["x"])
-    low = lambda a: F.greatest(F.lit(0), F.ceil(F.array_min(a))).cast("int")
-    rows = p.select("*", low(ys).alias("ya"), F.least(F.col("height") - 1, F.floor(F.array_max(ys))).cast("int").alias("yb"), low(xs).alias("xa"), F.least(F.col("width") - 1, F.floor(F.array_max(xs))).cast("int").alias("xb")).where("ya <= yb and xa <= xb")
-    rows = rows.withColumn("y", F.explode(F.sequence("ya", "yb")))
-    cells = rows.withColumn("x", F.explode(F.sequence("xa", "xb")))
-    edges = F.zip_with("points", F.concat(F.slice("points", 2, 100_000_000), F.slice("points", 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    y, x = F.col("y"), F.col("x")
-
-    def crossing(e: Column) -> Column:
-        ay, by = e["a"]["y"], e["b"]["y"]
-        return F.when((ay > y) != (by > y), (x < (e["b"]["x"] - e["a"]["x"]) * (y - ay) / F.nullif(by - ay, F.lit(0.0)) + e["a"]["x"]).cast("int")).otherwise(0)
+    stride = max(1, size // 4)
 
-    def on_edge(e: Column) -> Column:
-        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
-        line = F.abs(dx * (y - e["a"]["y"]) - dy * (x - e["a"]["x"])) < 1e-9
-        return line & x.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"])) & y.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"]))
+    def run(table: pa.Table) -> pa.Table:
+        y, x = (table.column(c).to_numpy().astype("int64") for c in ("y", "x"))
+        box, minor = Box(y, x), table.column("m").to_numpy(zero_copy_only=False).astype("int64")
+        starts = [np.arange(0, n + low - size + 1, stride) for n, low in zip(box.shape, (box.y0, box.x0), strict=True)]
+        ends = [(np.clip(s - low, 0, n), np.clip(s - low + size, 0, n)) for s, n, low in zip(starts, box.shape, (box.y0, box.x0), strict=True)]
 
-    hit = (F.aggregate(F.transform(edges, crossing), F.lit(0), lambda s, v: s + v) % 2 == 1) | F.exists(edges, on_edge)
-    return cells.where(hit).groupBy("tile_id", "y", "x").agg(F.max_by("class_id", "order").alias("class_id"))
+        def counted(dense: np.ndarray) -> np.ndarray:
+            area = summed(dense)
+            (a, b), (c, d) = ends
+            return area[np.ix_(b, d)] - area[np.ix_(a, d)] - area[np.ix_(b, c)] + area[np.ix_(a, c)]
 
+        n, i = counted(box.spread(minor)), np.nonzero(counted(box.spread(np.ones(len(y), "int64"))))
+        columns = [pa.array(starts[0][i[0]]), pa.array(starts[1][i[1]]), pa.array(n[i] / float(size * size))]
+        return pa.table([pa.repeat(table.column("tile_id")[0], len(i[0])), *columns], names=["tile_id", "y0", "x0", "ratio"])
 
-def smart_crop(px: DataFrame, size: int, threshold: float, minority: int = 0, label: str = "target") -> DataFrame:
-    """tile_id, y0, x0, ratio: the window (stride size // 4) richest in the minority class, first on a tie; below the threshold one by hash.
-
-    Each pixel adds to the windows that hold it, which are few: (size / stride)^2.
-    """
-    stride = max(1, size // 4)
-    e = px.groupBy("tile_id").agg((F.max("y") - size + 1).alias("ym"), (F.max("x") - size + 1).alias("xm"))
-    p = px.select("tile_id", "y", "x", (F.col(label) == minority).cast("int").alias("m")).join(e, "tile_id").where("ym >= 0 and xm >= 0")
-    starts = lambda c, top: F.explode(F.filter(F.sequence(F.lit(0), F.floor(F.col(c) / stride).cast("int")), lambda k: (k * stride > F.col(c) - size) & (k * stride <= F.col(top))))
-    p = p.withColumn("wy", starts("y", "ym")).withColumn("wx", starts("x", "xm"))
-    w = p.groupBy("tile_id", (F.col("wy") * stride).alias("y0"), (F.col("wx") * stride).alias("x0")).agg((F.sum("m") / float(size * size)).alias("ratio"))
+    picked = px.where("y is not null and x is not null").select("tile_id", "y", "x", F.coalesce(F.col(label) == minority, F.lit(False)).cast("int").alias("m"))
+    w = picked.groupBy("tile_id").applyInArrow(run, f"tile_id {dict(picked.dtypes)['tile_id']}, y0 bigint, x0 bigint, ratio double")
     best = Window.partitionBy("tile_id").orderBy(F.desc("ratio"), "y0", "x0")
     drawn = Window.partitionBy("tile_id").orderBy(F.md5(F.concat_ws(":", F.col("tile_id").cast("string"), "y0", "x0").cast("binary")))
     w = w.withColumns({"_b": F.row_number().over(best), "_d": F.row_number().over(drawn), "_m": F.max("ratio").over(Window.partitionBy("tile_id"))})

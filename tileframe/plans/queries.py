@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tileframe.functions import argmax_class, canonical_json, check_probs, error_category, gate, normalise, pct, quantise, worst_class
 from tileframe.operators import audit, bootstrap, curves, losses, metrics, pairing, sampling, selection
-from tileframe.operators.raster import augment, compare, components, distance, filters, grid
+from tileframe.operators.raster import augment, compare, components, contours, distance, filters, grid
 from tileframe.plans.tables import epoch_log, pixels, scored, splits, table
 from tileframe.sources import audit_json
 
@@ -532,7 +532,33 @@ def context_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.context_audit(pixels(spark, sf_dir), 8)
 
 
+RINGS = """ring AS (SELECT p_partkey AS "order", CAST(p_size AS BIGINT) AS tile_id, CAST(p_partkey % 3 AS INTEGER) AS class_id, list_transform(range(6), lambda k: {'x': p_partkey * (7 * k + 3) % 23, 'y': p_partkey * (5 * k + 1) % 19}) AS points FROM part),
+edge AS (SELECT "order", tile_id, class_id, unnest(list_transform(range(1, 7), lambda k: {'ax': points[k].x::DOUBLE, 'ay': points[k].y::DOUBLE, 'qx': points[k % 6 + 1].x::DOUBLE, 'qy': points[k % 6 + 1].y::DOUBLE}), recursive := true) FROM ring)"""
+
+
+@query(f"""WITH {RINGS}, cell AS (SELECT e.*, y, x FROM edge e, range(19) a(y), range(23) b(x)),
+hit AS (SELECT "order", tile_id, class_id, y, x, count(*) FILTER (WHERE (ay > y) <> (qy > y) AND x < (qx - ax) * (y - ay) / nullif(qy - ay, 0) + ax) % 2 = 1
+  OR bool_or(abs((qx - ax) * (y - ay) - (qy - ay) * (x - ax)) < 1e-9 AND x BETWEEN least(ax, qx) AND greatest(ax, qx) AND y BETWEEN least(ay, qy) AND greatest(ay, qy)) AS h FROM cell GROUP BY ALL)
+SELECT tile_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, arg_max(class_id, "order") AS class_id FROM hit WHERE h GROUP BY 1, 2, 3""")
+def filled_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings that cross themselves, one of each part, filled one over the other on the raster of its size."""
+    key = F.col("p_partkey").cast("bigint")
+    point = lambda k: F.struct((key * (7 * k + 3) % 23).alias("x"), (key * (5 * k + 1) % 19).alias("y"))
+    rings = table(spark, sf_dir, "part").select(F.col("p_size").cast("bigint").alias("tile_id"), key.alias("order"), (key % 3).cast("int").alias("class_id"), F.array(*[point(k) for k in range(6)]).alias("points"))
+    tiles = rings.select("tile_id").distinct().select("tile_id", F.lit(19).alias("height"), F.lit(23).alias("width"))
+    return contours.rasterise(rings, tiles)
+
+
 @query()
+def region_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outlines of the pore regions as simplified polygons."""
+    return contours.polygons(pixels(spark, sf_dir), (0, 1), 2.0).select("tile_id", "annotation_id", "category_id", "region_id", "area", F.to_json("bbox").alias("bbox"), F.to_json("segmentation").alias("segmentation"))
+
+
+@query(f"""WITH {PX}, e AS (SELECT tile_id, max(y) - 7 AS ym, max(x) - 7 AS xm FROM px GROUP BY 1), w AS (SELECT tile_id, y0 * 2 AS y0, x0 * 2 AS x0 FROM e, range(400) a(y0), range(12) b(x0) WHERE y0 * 2 <= ym AND x0 * 2 <= xm),
+r AS (SELECT w.tile_id, w.y0, w.x0, count(*) FILTER (target = 0) / 64.0::DOUBLE AS ratio FROM w JOIN px p ON p.tile_id = w.tile_id AND p.y BETWEEN w.y0 AND w.y0 + 7 AND p.x BETWEEN w.x0 AND w.x0 + 7 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY ratio DESC, y0, x0) AS b, row_number() OVER (PARTITION BY tile_id ORDER BY md5(concat_ws(':', tile_id, y0, x0))) AS d, max(ratio) OVER (PARTITION BY tile_id) AS m FROM r)
+SELECT tile_id, y0, x0, ratio FROM k WHERE CASE WHEN m >= 0.2 THEN b ELSE d END = 1""")
 def smart_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grid.smart_crop(pixels(spark, sf_dir), 8, 0.2))
 

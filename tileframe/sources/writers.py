@@ -42,6 +42,11 @@ def write_json_report(df: DataFrame, path: str) -> None:
     json_report(df).write.text(path)
 
 
+def write_coco(documents: DataFrame, path: str) -> None:
+    """COCO documents (a column ``json``), one a file."""
+    documents.select("json").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def write_once(df: DataFrame, path: str) -> None:
     """Refuses an output that exists."""
     df.write.mode("errorifexists").parquet(path)
