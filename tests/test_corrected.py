@@ -94,8 +94,20 @@ def test_byte_digest(spark):
     got = {r.scope: r for r in metrics.byte_digest(df, ["scope"]).collect()}
     assert got["s"].image_digest == hashlib.sha256(b"a.png\0\0" + "b/é.png".encode() + b"\0two\0").hexdigest()
     assert got["s"].names_digest == hashlib.sha256(json.dumps(["a.png", "b/é.png"], separators=(",", ":")).encode()).hexdigest() and got["t"].files == 1
-    with pytest.raises(Exception, match="too large"):
-        metrics.byte_digest(df, ["scope"], max_bytes=2).collect()
+    assert metrics.byte_digest(df.where("false"), ["scope"]).collect() == []
+    # Lengths and sizes in eight bytes, names in order, one stream for all files and one for each scope.
+    sized = df.select("scope", "name", F.octet_length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+    def tree(files):
+        stream = b"public-snapshot-tree-v1\0"
+        for name, content in sorted(files):
+            stream += len(name.encode()).to_bytes(8, "big") + name.encode() + len(content).to_bytes(8, "big") + hashlib.sha256(content).digest()
+        return hashlib.sha256(stream).hexdigest()
+
+    assert {r.scope: (r.files, r.tree_digest) for r in metrics.tree_digest(sized, ["scope"]).collect()} == {k: (sum(r[0] == k for r in rows), tree([r[1:] for r in rows if r[0] == k])) for k in "st"}
+    many = [(f"d{k % 7}/{k}.bin", str(k).encode() * 3) for k in range(500)]
+    whole = spark.createDataFrame([(n, bytearray(c)) for n, c in many], "name string, content binary").select("name", F.octet_length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("sha256"))
+    assert [(r.files, r.tree_digest) for r in metrics.tree_digest(whole.repartition(9)).collect()] == [(500, tree(many))]
 
 
 def test_regions_across_bands(spark, monkeypatch):

@@ -1,6 +1,7 @@
 """Whole-tile percentile bootstraps from sufficient statistics; pixels are never read again.
 
-Replicate r draws tile ``md5(seed:r:slot) mod T`` for each of T slots. Draws are reduced to multiplicities before they meet the tiles.
+``by="splits"``: draws are counted by seeded binomials where the tiles are (``resampling``), and no draw is a row: for any number of tiles.
+``by="hash"``: replicate r draws tile ``md5(seed:r:slot) mod T`` for each of T slots, which SQL can repeat; it makes replicates x T rows.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tileframe.operators.metrics import class_metrics, summary_metrics
 from tileframe.operators.ranks import ranked_by_value
+from tileframe.operators.resampling import replicate_sums
 
 
 def numbered(tiles: DataFrame, tile: str = "tile_id") -> DataFrame:
@@ -29,6 +31,15 @@ def draws(tiles: DataFrame, reps: int, seed: int, tile: str = "tile_id") -> Data
     return slots.groupBy("rep", pick.alias("k")).agg(F.count("*").alias("times")).join(order, "k").select("rep", tile, "times")
 
 
+def resampled(df: DataFrame, reps: int, seed: int, keys: Sequence[str], values: Sequence[str], tile: str, by: str) -> DataFrame:
+    """keys, rep and the sums of values over each replicate's tiles."""
+    if by == "splits":
+        return replicate_sums(df, reps, seed, keys, values, tile)
+    if by != "hash":
+        raise ValueError("draws are made by splits or by hash")
+    return df.join(draws(df, reps, seed, tile), tile).groupBy(*keys, "rep").agg(*[F.sum(F.col(v) * F.col("times")).alias(v) for v in values])
+
+
 def interval(value: str, conf: float) -> list[Column]:
     """Linear-interpolated percentiles of the finite values, their number, and the number of replicates."""
     v = F.when(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")), F.col(value))
@@ -36,9 +47,9 @@ def interval(value: str, conf: float) -> list[Column]:
     return [F.percentile(v, F.lit(a)).alias("low"), F.percentile(v, F.lit(1 - a)).alias("high"), F.count(v).alias("n_finite"), F.count("*").alias("n_reps")]
 
 
-def replicate_metrics(cm: DataFrame, d: DataFrame, keys: Sequence[str], tile: str = "tile_id", k: int = 3) -> DataFrame:
+def replicate_metrics(cm: DataFrame, reps: int, seed: int, keys: Sequence[str], tile: str = "tile_id", k: int = 3, by: str = "splits") -> DataFrame:
     """Tidy metrics (keys, rep, class_id or -1 for summaries, metric, value) of each replicate's summed matrix."""
-    sums = cm.join(d, tile).groupBy(*keys, "rep", "true_id", "pred_id").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    sums = resampled(cm, reps, seed, [*keys, "true_id", "pred_id"], ["n"], tile, by)
     m = class_metrics(sums, [*keys, "rep"], k)
     names = ("iou", "dice", "precision", "recall")
     per = m.select(*keys, "rep", "class_id", F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in names])).alias("x")).select(*keys, "rep", "class_id", "x.*")
@@ -48,19 +59,19 @@ def replicate_metrics(cm: DataFrame, d: DataFrame, keys: Sequence[str], tile: st
     return per.unionByName(s)
 
 
-def bootstrap(cm: DataFrame, reps: int = 5000, seed: int = 20260820, conf: float = 0.95, keys: Sequence[str] = (), tile: str = "tile_id") -> DataFrame:
+def bootstrap(cm: DataFrame, reps: int = 5000, seed: int = 20260820, conf: float = 0.95, keys: Sequence[str] = (), tile: str = "tile_id", by: str = "splits") -> DataFrame:
     """low, high, n_finite and n_reps of each metric of confusion counts by tile."""
-    r = replicate_metrics(cm, draws(cm, reps, seed, tile), keys, tile)
+    r = replicate_metrics(cm, reps, seed, keys, tile, by=by)
     return r.groupBy(*keys, "class_id", "metric").agg(*interval("value", conf))
 
 
-def paired_bootstrap(cm: DataFrame, reference: str, reps: int = 5000, seed: int = 20260820, conf: float = 0.95, tile: str = "tile_id") -> DataFrame:
+def paired_bootstrap(cm: DataFrame, reference: str, reps: int = 5000, seed: int = 20260820, conf: float = 0.95, tile: str = "tile_id", by: str = "splits") -> DataFrame:
     """Intervals of reference less method under shared draws; cm has method_id and seed (NULL for methods without one).
 
     Seeded methods are paired by seed and averaged within the replicate; others meet the reference's mean. An interval is given only where
     every replicate is defined.
     """
-    r = replicate_metrics(cm, draws(cm, reps, seed, tile), ["method_id", "seed"], tile)
+    r = replicate_metrics(cm, reps, seed, ["method_id", "seed"], tile, by=by)
     ref = r.where(F.col("method_id") == reference)
     on = ["rep", "class_id", "metric"]
     means = ref.groupBy(*on).agg(F.when(F.count("*") == F.count("value"), F.avg("value")).alias("ref"))
@@ -102,9 +113,8 @@ def pool_diagnostics(tiles: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return diagnostics_of_sums(tiles.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in STATISTICS]), keys)
 
 
-def bootstrap_diagnostics(tiles: DataFrame, reps: int = 5000, seed: int = 20260820, conf: float = 0.95, tile: str = "tile_id") -> DataFrame:
-    d = draws(tiles, reps, seed, tile)
-    s = tiles.join(d, tile).groupBy("rep").agg(*[F.sum(F.col(x) * F.col("times")).alias(x) for x in STATISTICS])
+def bootstrap_diagnostics(tiles: DataFrame, reps: int = 5000, seed: int = 20260820, conf: float = 0.95, tile: str = "tile_id", by: str = "splits") -> DataFrame:
+    s = resampled(tiles, reps, seed, [], STATISTICS, tile, by)
     m = diagnostics_of_sums(s, ["rep"])
     names = [c for c in m.columns if c != "rep"]
     long = m.select("rep", F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in names])).alias("x")).select("rep", "x.*")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tileframe.operators.ranks import running_sums
+
 
 def curve_points(h: DataFrame, keys: Sequence[str] = (), bins: int = 4096) -> DataFrame:
     """Cumulative tp and fp from the top bin down, threshold, tpr, fpr, precision (1 where nothing is predicted) and recall."""
@@ -36,26 +38,36 @@ def pooled_curves(h: DataFrame, method: str = "method_id", bins: int = 4096) ->
     return curve_points(h.groupBy(method, "class_id", "bin_id").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), [method], bins)
 
 
+def cumulated(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
+    """keys, score, pos and neg of each distinct score, tp and fp from the highest down, n_pos and n_neg; keys with one class only are left out.
+
+    Without keys, ranges of scores are summed apart; a key's scores are one group's.
+    """
+    steps = df.groupBy(*keys, score).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+    if keys:
+        every = Window.partitionBy(*keys)
+        upto = every.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+        s = steps.withColumns({"tp": F.sum("pos").over(upto), "fp": F.sum("neg").over(upto), "n_pos": F.sum("pos").over(every), "n_neg": F.sum("neg").over(every)})
+    else:
+        s = running_sums(steps, score, ["pos", "neg"], descending=True).withColumnsRenamed({"pos_upto": "tp", "neg_upto": "fp", "pos_all": "n_pos", "neg_all": "n_neg"})
+    return s.where("n_pos > 0 and n_neg > 0")
+
+
 def roc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """Exact ROC AUC of 0/1 labels, equal scores as one step; keys with one class only are left out."""
-    steps = df.groupBy(*keys, score).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    down = Window.partitionBy(*keys).orderBy(F.desc(score))
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    s = steps.withColumn("tp", F.sum("pos").over(upto))
-    area = s.groupBy(*keys).agg(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("area"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return area.where("n_pos > 0 and n_neg > 0").select(*keys, "n_pos", "n_neg", (F.col("area") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+    s = cumulated(df, keys, score, label)
+    area = s.groupBy(*keys).agg(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("area"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"))
+    return area.where("n_pos is not null").select(*keys, "n_pos", "n_neg", (F.col("area") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
 def roc_points(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """threshold, tp, fp, tpr and fpr at each distinct score, from the highest down, and the start at 0, 0 (threshold NULL); keys with one class only are left out."""
-    steps = df.groupBy(*keys, score).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    upto = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    totals = steps.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")).where("n_pos > 0 and n_neg > 0")
-    points = steps.select(*keys, F.col(score).alias("threshold"), F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp"))
-    start = totals.select(*keys, F.lit(None).cast(df.schema[score].dataType).alias("threshold"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"))
-    both = points.unionByName(start)
-    whole = both.join(totals, list(keys)) if keys else both.join(F.broadcast(totals))  # one row
-    return whole.select(*keys, "threshold", "tp", "fp", (F.col("tp") / F.col("n_pos")).alias("tpr"), (F.col("fp") / F.col("n_neg")).alias("fpr"))
+    s = cumulated(df, keys, score, label)
+    points = s.select(*keys, F.col(score).alias("threshold"), "tp", "fp", (F.col("tp") / F.col("n_pos")).alias("tpr"), (F.col("fp") / F.col("n_neg")).alias("fpr"))
+    zero = [F.lit(0).cast("bigint").alias(c) for c in ("tp", "fp")] + [F.lit(0.0).alias(c) for c in ("tpr", "fpr")]
+    # One row for each key, where there are points.
+    start = s.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 0").select(*keys, F.lit(None).cast(df.schema[score].dataType).alias("threshold"), *zero)
+    return points.unionByName(start)
 
 
 def lovasz(df: DataFrame, keys: Sequence[str] = ("tile_id",), k: int = 3, weights: Sequence[float] | None = None) -> DataFrame:

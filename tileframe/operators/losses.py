@@ -26,10 +26,15 @@ def log_losses(df: DataFrame, keys: Sequence[str] = (), gamma: float = 2.0, alph
     return d.groupBy(*keys).agg(F.avg(ce).alias("cross_entropy"), F.avg(focal).alias("focal"), (F.sum(w * ce) / F.sum(w)).alias("weighted_cross_entropy"), F.count("*").alias("pixels"))
 
 
-def asymmetric_focal(df: DataFrame, keys: Sequence[str] = (), gamma_pos: float = 1.0, gamma_neg: float = 4.0, edge: float = 1e-7) -> DataFrame:
-    """Mean over pixels of the sum over classes of the positive or the negative term."""
-    one = F.transform("probs", lambda p, k: F.when(k == F.col("target"), -F.pow(1 - F.least(F.greatest(p, F.lit(edge)), F.lit(1 - edge)), gamma_pos) * F.log(F.least(F.greatest(p, F.lit(edge)), F.lit(1 - edge)))).otherwise(-F.pow(F.least(F.greatest(p, F.lit(edge)), F.lit(1 - edge)), gamma_neg) * F.log(1 - F.least(F.greatest(p, F.lit(edge)), F.lit(1 - edge)))))
-    return df.groupBy(*keys).agg(F.avg(F.aggregate(one, F.lit(0.0), lambda s, x: s + x)).alias("asymmetric_focal"))
+def asymmetric_focal(df: DataFrame, keys: Sequence[str] = (), gamma_pos: float = 2.0, gamma_neg: float = 4.0, alpha_pos: Sequence[float] | None = None, alpha_neg: Sequence[float] | None = None, edge: float = 1e-7) -> DataFrame:
+    """Mean over pixels of the sum over classes of the positive term of the target and the negative terms of the others, each weighted by class."""
+
+    def term(p: Column, k: Column) -> Column:
+        pos = -F.pow(1 - p, gamma_pos) * F.log(F.greatest(p, F.lit(edge)))
+        neg = -F.pow(p, gamma_neg) * F.log(F.greatest(1 - p, F.lit(edge)))
+        return F.when(k == F.col("target"), pos * _pick(alpha_pos, k) if alpha_pos else pos).otherwise(neg * _pick(alpha_neg, k) if alpha_neg else neg)
+
+    return df.groupBy(*keys).agg(F.avg(F.aggregate(F.transform("probs", term), F.lit(0.0), lambda s, x: s + x)).alias("asymmetric_focal"))
 
 
 def _overlaps(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,7 +5,12 @@ An undefined ratio is NULL by default, 0 with undefined="zero", and n / (d + 1e-
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -221,28 +226,80 @@ def corpus_digest(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return files.groupBy(*keys).agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("digest"), F.sha2(F.array_join(F.array_sort(F.collect_list("name")), "\n"), 256).alias("names_digest"))
 
 
-def byte_digest(files: DataFrame, keys: Sequence[str], max_bytes: int = 1 << 30) -> DataFrame:
-    """files, image_digest and names_digest of the files (name, content) of each bounded scope, in one pass over the bytes.
-
-    image_digest: SHA-256 over name, NUL, content, NUL of each file by name; names_digest: that of the compact JSON list of names. A scope's bytes
-    meet in one group, so one of more than max_bytes is an error: take corpus_digest there.
+def streamed_digests(files: DataFrame, keys: Sequence[str], columns: Sequence[str], begin: Callable[[], Any], add: Callable[..., None], end: Callable[[Any], tuple], schema: str) -> DataFrame:
+    """One row for each key, made by taking its files in order of their names, one after the other: nothing of a key is held but the state."""
+    named = [f"_k{i}" for i in range(len(keys))]
+    picked = files.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], *columns)
+    # A hash goes through a key's files in turn, so they pass through one task; they are sorted before and never meet in memory.
+    dealt = picked.repartition(*named) if keys else picked.repartition(1)
+    kinds = [picked.schema[n].dataType.simpleString() for n in named]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, done = None, None, []
+
+        def flush() -> pa.RecordBatch:
+            rows = [list(x) for x in zip(*done, strict=True)]
+            done.clear()
+            kinds_of = [batch.schema.field(n).type for n in named] + [pa.int64() if part.split()[1] == "bigint" else pa.string() for part in schema.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds_of, strict=True)], [*named, *[part.split()[0] for part in schema.split(", ")]])
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                key = row[: len(named)]
+                if state is None or key != at:
+                    if state is not None:
+                        done.append((*at, *end(state)))
+                    at, state = key, begin()
+                add(state, *row[len(named) :])
+            if len(done) > 1000:
+                yield flush()
+        if state is not None:
+            done.append((*at, *end(state)))
+            yield flush()
+
+    out = dealt.sortWithinPartitions(*named, "name").mapInArrow(run, "".join(f"{n} {kind}, " for n, kind in zip(named, kinds, strict=True)) + schema)
+    return out.toDF(*keys, *[part.split()[0] for part in schema.split(", ")])
+
+
+def byte_digest(files: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """files, image_digest and names_digest of the files (name, content) of each scope, in one pass over the bytes.
+
+    image_digest: SHA-256 over name, NUL, content, NUL of each file by name; names_digest: that of the compact JSON list of names. NULL
+    contents are empty.
     """
-    import hashlib
-    import json
 
-    import pandas as pd
+    def begin() -> dict:
+        return {"n": 0, "bytes": hashlib.sha256(), "names": hashlib.sha256(b"[")}
+
+    def add(state: dict, name: str, content: bytes | None) -> None:
+        state["bytes"].update(name.encode() + b"\0")
+        state["bytes"].update(content or b"")
+        state["bytes"].update(b"\0")
+        state["names"].update((("," if state["n"] else "") + json.dumps(name)).encode())
+        state["n"] += 1
+
+    def end(state: dict) -> tuple:
+        state["names"].update(b"]")
+        return state["n"], state["bytes"].hexdigest(), state["names"].hexdigest()
+
+    kept = files.select(*keys, "name", F.col("content").cast("binary").alias("content"))
+    return streamed_digests(kept, keys, ["name", "content"], begin, add, end, "files bigint, image_digest string, names_digest string")
 
-    size = F.sum(F.octet_length("content").cast("bigint")).over(Window.partitionBy(*keys))
-    kept = files.select(*keys, "name", F.col("content").cast("binary").alias("content"), size.alias("_size"))
-    kept = kept.withColumn("content", F.when(F.col("_size") > max_bytes, F.raise_error(F.lit("a scope is too large for a byte digest")).cast("binary")).otherwise(F.col("content"))).drop("_size")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(_key=[x.encode() for x in group["name"]]).sort_values("_key")
-        names, digest = group["name"].tolist(), hashlib.sha256()
-        for name, content in zip(group["_key"], group["content"], strict=True):
-            digest.update(name + b"\0" + (content or b"") + b"\0")
-        listed = hashlib.sha256(json.dumps(names, separators=(",", ":")).encode()).hexdigest()
-        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "files": [len(names)], "image_digest": [digest.hexdigest()], "names_digest": [listed]})
+#: The first bytes of a tree digest (a fixed value).
+TREE_HEADER = b"public-snapshot-tree-v1\0"
+
+
+def tree_digest(files: DataFrame, keys: Sequence[str] = (), header: bytes = TREE_HEADER) -> DataFrame:
+    """files and tree_digest: SHA-256 of the header, then of each file by name: the length of the name and the name, the size, and the SHA-256
+    of the content, lengths and sizes in eight bytes, the largest first. No lengths are left to guess, so no two trees have one stream.
+
+    files has name (a relative path), size and sha256 (hexadecimal, made where the content lies); a NULL among them is an error.
+    """
+
+    def add(state: dict, name: str, size: int, digest: str) -> None:
+        path = name.encode()
+        state["tree"].update(len(path).to_bytes(8, "big") + path + size.to_bytes(8, "big") + bytes.fromhex(digest))
+        state["n"] += 1
 
-    schema = ", ".join(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in keys)
-    return kept.groupBy(*keys).applyInPandas(run, f"{schema}, files bigint, image_digest string, names_digest string")
+    return streamed_digests(files, keys, ["name", "size", "sha256"], lambda: {"n": 0, "tree": hashlib.sha256(header)}, add, lambda state: (state["n"], state["tree"].hexdigest()), "files bigint, tree_digest string")

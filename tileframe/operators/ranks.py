@@ -30,3 +30,17 @@ def ranked_by_value(df: DataFrame, order: str) -> DataFrame:
     """Adds _k and _t in the order of a column: ranges of it are the buckets."""
     ranged = materialise(df.repartitionByRange(F.col(order)).withColumn("_b", F.spark_partition_id()), "ranges")
     return _with_offsets(ranged, (), [order])
+
+
+def running_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = False) -> DataFrame:
+    """Adds <value>_upto and <value>_all: sums of integers up to each row (with its equals in the order) and over all rows. Ranges of the
+    order are summed apart; the sums of the ranges before, one row a range, are added."""
+    way = F.desc_nulls_last(order) if descending else F.asc_nulls_first(order)
+    ranged = materialise(df.repartitionByRange(way).withColumn("_b", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_b").agg(*[F.sum(v).alias(f"_s{k}") for k, v in enumerate(values)])
+    line = Window.partitionBy(F.lit(0))
+    before = [F.coalesce(F.sum(f"_s{k}").over(line.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_o{k}") for k in range(len(values))]
+    offsets = sums.select("_b", *before, *[F.sum(f"_s{k}").over(line).alias(f"{v}_all") for k, v in enumerate(values)])
+    upto = Window.partitionBy("_b").orderBy(way).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.withColumns({f"_u{k}": F.sum(v).over(upto) for k, v in enumerate(values)}).join(offsets, "_b")
+    return out.withColumns({f"{v}_upto": F.col(f"_u{k}") + F.col(f"_o{k}") for k, v in enumerate(values)}).select(*df.columns, *[f"{v}_{x}" for v in values for x in ("upto", "all")])

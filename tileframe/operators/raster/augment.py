@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tileframe.functions.beta import beta_from_uniform
 from tileframe.operators.ranks import ranked_by_hash
 from tileframe.operators.raster.components import components
 
@@ -59,23 +60,34 @@ def _joined(px: DataFrame, seed: int) -> DataFrame:
     return j.withColumns({"v2": F.when(alone, F.col("v")).otherwise(F.col("v2")), "t2": F.when(alone, F.col("target")).otherwise(F.col("t2"))})
 
 
-def mixup(px: DataFrame, seed: int, lam: float, minority: int | None = None) -> DataFrame:
-    """v mixed as lam * a + (1 - lam) * b, target of the heavier side; with a minority class, its pixels in either tile stay as they are."""
-    p = _joined(px, seed)
-    v, t = lam * F.col("v") + (1 - lam) * F.col("v2"), F.col("target") if lam >= 0.5 else F.col("t2")
+def _with_share(p: DataFrame, px: DataFrame, seed: int, lam: float | None, alpha: float) -> DataFrame:
+    """Adds lam: the given share, or one for each pair from a beta distribution of twice alpha, told by a hash (one row a tile)."""
+    if lam is not None:
+        return p.withColumn("lam", F.lit(float(lam)))
+    shares = px.select("tile_id").distinct().select("tile_id", beta_from_uniform(draw(seed, F.lit("lam"), "tile_id"), alpha, alpha).alias("lam"))
+    return p.join(shares, "tile_id")
+
+
+def mixup(px: DataFrame, seed: int, lam: float | None = None, minority: int | None = None, alpha: float = 1.0) -> DataFrame:
+    """v mixed as lam * a + (1 - lam) * b, target of the heavier side (the second at one half), and lam; with a minority class, its pixels in either tile stay as they are."""
+    p = _with_share(_joined(px, seed), px, seed, lam, alpha)
+    lam = F.col("lam")
+    v, t = lam * F.col("v") + (1 - lam) * F.col("v2"), F.when(lam > 0.5, F.col("target")).otherwise(F.col("t2"))
     if minority is not None:
         v = F.when(F.col("target") == minority, F.col("v").cast("double")).when(F.col("t2") == minority, F.col("v2").cast("double")).otherwise(v)
         t = F.when(F.col("target") == minority, F.col("target")).when(F.col("t2") == minority, F.col("t2")).otherwise(t)
-    return p.select("tile_id", "other", "y", "x", v.alias("v"), t.alias("target"))
+    return p.select("tile_id", "other", "y", "x", v.alias("v"), t.alias("target"), "lam")
 
 
-def cutmix(px: DataFrame, seed: int, lam: float) -> DataFrame:
-    """A hash-placed rectangle of about (1 - lam) of the tile comes from the paired tile."""
-    side = (1 - lam) ** 0.5
-    p = _joined(px, seed).withColumns({"_rh": F.floor(F.col("h") * side), "_rw": F.floor(F.col("w") * side)})
+def cutmix(px: DataFrame, seed: int, lam: float | None = None, alpha: float = 1.0) -> DataFrame:
+    """A hash-placed rectangle of about (1 - lam) of the tile comes from the paired tile; lam becomes the share that is left of the tile's own."""
+    p = _with_share(_joined(px, seed), px, seed, lam, alpha)
+    side = F.sqrt(1 - F.col("lam"))
+    p = p.withColumns({"_rh": F.floor(F.col("h") * side), "_rw": F.floor(F.col("w") * side)})
     p = p.withColumns({"_y0": F.floor(draw(seed, F.lit("y"), "tile_id") * (F.col("h") - F.col("_rh") + 1)), "_x0": F.floor(draw(seed, F.lit("x"), "tile_id") * (F.col("w") - F.col("_rw") + 1))})
     inside = (F.col("y") >= F.col("_y0")) & (F.col("y") < F.col("_y0") + F.col("_rh")) & (F.col("x") >= F.col("_x0")) & (F.col("x") < F.col("_x0") + F.col("_rw"))
-    return p.select("tile_id", "other", "y", "x", F.when(inside, F.col("v2")).otherwise(F.col("v")).alias("v"), F.when(inside, F.col("t2")).otherwise(F.col("target")).alias("target"))
+    left = 1 - F.col("_rh") * F.col("_rw") / (F.col("h") * F.col("w")).cast("double")
+    return p.select("tile_id", "other", "y", "x", F.when(inside, F.col("v2")).otherwise(F.col("v")).alias("v"), F.when(inside, F.col("t2")).otherwise(F.col("target")).alias("target"), left.alias("lam"))
 
 
 def mosaic(px: DataFrame, size: int, seed: int, minority: int = 0) -> DataFrame:

@@ -260,7 +260,7 @@ def pooled_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def diagnostics_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bootstrap.bootstrap_diagnostics(compare.tile_statistics(pixels(spark, sf_dir)), 500))
+    return rounded(bootstrap.bootstrap_diagnostics(compare.tile_statistics(pixels(spark, sf_dir))))
 
 
 # Contracts

@@ -109,6 +109,8 @@ SELECT tile_id, y, x, CASE WHEN gone AND rare = 0 THEN 0 ELSE v END AS v, gone A
 PAIRED = f"""{PX}, {EXTENT}, o AS (SELECT *, {draw_sql("'5'", 'tile_id')} AS d FROM e), n AS (SELECT tile_id, h, w, coalesce(lead(tile_id) OVER g, first_value(tile_id) OVER g) AS other FROM o WINDOW g AS (PARTITION BY h, w ORDER BY d, tile_id)),
 j AS (SELECT a.*, n.other, n.h, n.w, coalesce(b.v, a.v) AS v2, coalesce(b.target, a.target) AS t2 FROM px a JOIN n USING (tile_id) LEFT JOIN px b ON b.tile_id = n.other AND b.y = a.y AND b.x = a.x)"""
 ORACLES["mixed_up"] = f"""WITH {PAIRED} SELECT tile_id, other, y, x, round(CASE WHEN target = 0 THEN CAST(v AS DOUBLE) WHEN t2 = 0 THEN CAST(v2 AS DOUBLE) ELSE 0.6::DOUBLE * v + (1 - 0.6::DOUBLE) * v2 END, 9) AS v, CASE WHEN target = 0 OR t2 = 0 THEN 0 ELSE target END AS target FROM j"""
+ORACLES["beta_mixed"] = f"""WITH {PAIRED}, q AS (SELECT *, sin(pi() / 2 * {draw_sql("'5'", "'lam'", 'tile_id')}) ** 2 AS lam FROM j)
+SELECT tile_id, other, y, x, round(lam * v + (1 - lam) * v2, 6) AS v, CASE WHEN lam > 0.5 THEN target ELSE t2 END AS target, round(lam, 6) AS lam FROM q"""
 ORACLES["cut_mixed"] = f"""WITH {PAIRED}, r AS (SELECT *, floor(h * sqrt(1 - 0.6::DOUBLE)) AS rh, floor(w * sqrt(1 - 0.6::DOUBLE)) AS rw FROM j), q AS (SELECT *, floor({draw_sql("'5'", "'y'", 'tile_id')} * (h - rh + 1)) AS y0, floor({draw_sql("'5'", "'x'", 'tile_id')} * (w - rw + 1)) AS x0 FROM r),
 i AS (SELECT *, y >= y0 AND y < y0 + rh AND x >= x0 AND x < x0 + rw AS inside FROM q) SELECT tile_id, other, y, x, CASE WHEN inside THEN v2 ELSE v END AS v, CASE WHEN inside THEN t2 ELSE target END AS target FROM i"""
 ORACLES["smart_crop"] = f"""WITH {PX}, {EXTENT}, s AS (SELECT tile_id, y0, x0 FROM (SELECT *, unnest(range(0, h - 8 + 1, 2)) AS y0 FROM e WHERE h >= 8 AND w >= 8), (SELECT unnest(range(0, 24, 2)) AS x0) WHERE x0 <= w - 8),

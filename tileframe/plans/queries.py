@@ -209,9 +209,9 @@ def focal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(losses.log_losses(scored(spark, sf_dir), ["tile_id"], alpha=[0.5, 0.3, 0.2]))
 
 
-@query(f"""WITH {SC}, o AS (SELECT tile_id, CASE WHEN target = c THEN -(1 - p) * ln(p) ELSE -(p ** 4) * ln(1 - p) END AS t, pixel FROM (SELECT tile_id, pixel, target, least(greatest(unnest(probs), 1e-7), 1 - 1e-7) AS p, unnest([0, 1, 2]) AS c FROM sc)) SELECT tile_id, round(sum(t) / count(DISTINCT pixel), 9) AS asymmetric_focal FROM o GROUP BY 1""")
+@query(f"""WITH {SC}, o AS (SELECT tile_id, CASE WHEN target = c THEN -[0.5, 0.3, 0.2][c + 1]::DOUBLE * (1 - p) ** 2 * ln(greatest(p, 1e-7)) ELSE -[1.0, 2.0, 0.5][c + 1]::DOUBLE * p ** 4 * ln(greatest(1 - p, 1e-7)) END AS t, pixel FROM (SELECT tile_id, pixel, target, unnest(probs) AS p, unnest([0, 1, 2]) AS c FROM sc)) SELECT tile_id, round(sum(t) / count(DISTINCT pixel), 9) AS asymmetric_focal FROM o GROUP BY 1""")
 def asymmetric_focal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(losses.asymmetric_focal(scored(spark, sf_dir), ["tile_id"]))
+    return rounded(losses.asymmetric_focal(scored(spark, sf_dir), ["tile_id"], alpha_pos=[0.5, 0.3, 0.2], alpha_neg=[1.0, 2.0, 0.5]))
 
 
 @query(f"""WITH {SC}, o AS (SELECT tile_id, CAST(target = c AS DOUBLE) AS t, p, c FROM (SELECT tile_id, target, unnest(probs) AS p, unnest([0, 1, 2]) AS c FROM sc)), s AS (SELECT tile_id, c, sum(p * t) AS tp, sum(p) AS p, sum(t) AS t FROM o GROUP BY 1, 2), i AS (SELECT tile_id, (tp + 1e-6) / (tp + 0.7::DOUBLE * (p - tp) + 0.3::DOUBLE * (t - tp) + 1e-6) AS i FROM s)
@@ -271,13 +271,24 @@ dr AS (SELECT rep, tile, count(*) AS times FROM (SELECT rep, ('0x' || substr(md5
 i AS (SELECT rep, class_id, sum(n) FILTER (true_id = class_id AND pred_id = class_id) / nullif(sum(n) FILTER (true_id = class_id OR pred_id = class_id), 0) AS value FROM s, (SELECT unnest([0,1,2]) AS class_id) GROUP BY ALL)
 SELECT class_id, 'iou' AS metric, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high, count(value) AS n_finite, count(*) AS n_reps FROM i GROUP BY 1""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bootstrap.bootstrap(metrics.confusion(pixels(spark, sf_dir)), 200, 77)
+    b = bootstrap.bootstrap(metrics.confusion(pixels(spark, sf_dir)), 200, 77, by="hash")
     return rounded(b.where("metric = 'iou'").withColumns({"low": F.col("low"), "high": F.col("high")}))
 
 
+@query()
+def bootstrap_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics, 5,000 replicates, draws by splits."""
+    return rounded(bootstrap.bootstrap(metrics.confusion(pixels(spark, sf_dir))))
+
+
+@query()
+def paired_bootstrap_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bootstrap.paired_bootstrap(seeded_confusion(spark, sf_dir), "A", tile="tile"))
+
+
 @query()
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bootstrap.paired_bootstrap(seeded_confusion(spark, sf_dir), "A", 100, 19, tile="tile"))
+    return rounded(bootstrap.paired_bootstrap(seeded_confusion(spark, sf_dir), "A", 100, 19, tile="tile", by="hash"))
 
 
 # Selection
@@ -629,12 +640,18 @@ def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mixed_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(augment.mixup(pixels(spark, sf_dir), 5, 0.6, 0))
+    return rounded(augment.mixup(pixels(spark, sf_dir), 5, 0.6, 0).drop("lam"))
 
 
 @query()
 def cut_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return augment.cutmix(pixels(spark, sf_dir), 5, 0.6)
+    return augment.cutmix(pixels(spark, sf_dir), 5, 0.6).drop("lam")
+
+
+@query()
+def beta_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of each pair from the arcsine law."""
+    return rounded(augment.mixup(pixels(spark, sf_dir), 5, alpha=0.5), 6)
 
 
 @query()
