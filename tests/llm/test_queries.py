@@ -29,7 +29,7 @@ def given(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cur = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in cur.description]
