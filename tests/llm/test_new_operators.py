@@ -280,8 +280,8 @@ def test_keys_meet_in_pieces(spark, monkeypatch):
             texts.append((len(texts), " ".join([*words[:-1], f"end{k}x{c}"])))
     df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(6)
     whole = {(x.doc_id, x.component_id, x.n_links) for x in neardup.near_duplicates(df, 3, 90, 100).collect()}
-    monkeypatch.setattr(neardup, "BUCKET_KEYS", 50)
-    monkeypatch.setattr(neardup, "HELD_KEYS", 100)
+    for name, n in (("BUCKET_KEYS", 50), ("FOLDED_KEYS", 60), ("HELD_KEYS", 100)):
+        monkeypatch.setattr(neardup, name, n)
     assert {(x.doc_id, x.component_id, x.n_links) for x in neardup.near_duplicates(df, 3, 90, 100).collect()} == whole
     sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in texts}
     links = {i: sum(j != i and 100 * len(a & b) >= 90 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}

@@ -33,8 +33,9 @@ from tileframe.llm.components import components
 
 #: Members of a chunk of a block; a group has at most two chunks.
 GROUP = 128
-#: Keys that a bucket gets, about, and that a worker gathers before it deals them out.
-BUCKET_KEYS = 1_000_000
+#: Keys that a bucket gets, about, that are looked at together, and that a worker gathers before it deals them out.
+BUCKET_KEYS = 500_000
+FOLDED_KEYS = 1_500_000
 HELD_KEYS = 1_000_000
 #: Nodes in blocks, up to this number, are broadcast to pick their texts (24 bytes each); beyond it the join is dealt out.
 BROADCAST_NODES = 1_000_000
@@ -140,75 +141,82 @@ def sets_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 
 def nodes_that_meet(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
-    """node, low and class, distinct: nodes that share a key of the class with a lesser node low."""
+    """node, low and class, distinct: nodes that share a key of the class with the centre of that key. Pairs of two nodes of lesser classes don't count
+    and are left out where a bucket can be looked at as a whole."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, held, n = Classes(num, den), {}, 0
+        classes, held, homes, n = Classes(num, den), {}, {}, 0
 
         def packed() -> pa.RecordBatch:
             keys = np.concatenate([*held.values(), np.empty(0, "uint64")])
             nodes = np.repeat(np.fromiter(held, "int64", len(held)), [len(x) for x in held.values()])
+            own = np.repeat(np.array([homes[x] for x in held], "int64"), [len(x) for x in held.values()]) == (keys & np.uint64(255)).astype("int64")
             bucket = ((keys >> np.uint64(8)) % np.uint64(buckets)).astype("int32")
             order = np.argsort(bucket, kind="stable")
             some, at = np.unique(bucket[order], return_index=True)
             at = np.append(at, len(order))
             cut = [order[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
             # Keys of one node are neighbours, so that nodes take little room.
-            columns = [pa.array(some), pa.array([keys[x].tobytes() for x in cut], pa.binary()), pa.array([pa.compress(nodes[x].tobytes(), codec="zstd", asbytes=True) for x in cut], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "nodes"])
+            zipped = lambda values: pa.array([pa.compress(values[x].tobytes(), codec="zstd", asbytes=True) for x in cut], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(some), pa.array([keys[x].tobytes() for x in cut], pa.binary()), zipped(nodes), zipped(own)], ["bucket", "keys", "nodes", "own"])
 
         for batch in slices(batches, "text", SLICE_BYTES, 1000):
             found = shingle_sets(batch.column("text"), width)
             for node, h in zip(nodes_of(found).tolist(), found, strict=True):
                 if len(h) and node not in held:
-                    held[node] = classes.keys(h)
+                    held[node], homes[node] = classes.keys(h), classes.home(len(h))
                     n += len(held[node])
             if n >= HELD_KEYS:
                 yield packed()
-                held, n = {}, 0
+                held, homes, n = {}, {}, 0
         yield packed()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, centre = np.empty(0, "uint64"), np.empty(0, "int64")
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def folded() -> pa.RecordBatch:
-            """Adds what is held to the known keys; a key keeps the centre it has, and what comes later meets that."""
+        def folded(whole: bool) -> pa.RecordBatch:
+            """Adds what is held to the known keys; a key keeps the centre it has, and what comes later meets that. whole: nothing comes before
+            or later, so keys without a node of their class can go."""
             nonlocal known, centre
-            keys, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, nodes, own = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort([nodes, keys])
-            keys, nodes = keys[order], nodes[order]
+            order = np.lexsort([nodes, ~own, keys])
+            keys, nodes, own = keys[order], nodes[order], own[order]
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-            own = nodes[first].copy()
-            if len(known):
-                at = np.minimum(np.searchsorted(known, keys[first]), len(known) - 1)
-                old = known[at] == keys[first]
-                own[old] = centre[at[old]]
-                new = first[~old]
-                place = np.searchsorted(known, keys[new])
-                known, centre = np.insert(known, place, keys[new]), np.insert(centre, place, nodes[new])
-            else:
-                known, centre = keys[first], nodes[first]
-            low = np.repeat(own, np.diff(np.append(first, len(keys))))
+            n = np.diff(np.append(first, len(keys)))
+            low = nodes[first].copy()
+            if not whole:
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, keys[first]), len(known) - 1)
+                    old = known[at] == keys[first]
+                    low[old] = centre[at[old]]
+                    new = first[~old]
+                    place = np.searchsorted(known, keys[new])
+                    known, centre = np.insert(known, place, keys[new]), np.insert(centre, place, nodes[new])
+                else:
+                    known, centre = keys[first], nodes[first]
+            low = np.repeat(low, n)
             apart = low != nodes
+            if whole:
+                apart &= np.repeat(own[first], n)
             found = np.unique(np.stack([np.maximum(nodes, low)[apart], np.minimum(nodes, low)[apart], (keys[apart] & np.uint64(255)).astype("int64")], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], ["node", "low", "class"])
 
-        n = 0
+        n, folds = 0, 0
         for batch in batches:
-            for keys, nodes in zip(batch.column("keys"), batch.column("nodes"), strict=True):
+            for keys, nodes, own in zip(batch.column("keys"), batch.column("nodes"), batch.column("own"), strict=True):
+                if n >= FOLDED_KEYS:
+                    yield folded(False)
+                    n, folds = 0, folds + 1
                 x = np.frombuffer(keys.as_py(), "uint64")
-                held.append((x, np.frombuffer(pa.decompress(nodes.as_py(), x.nbytes, codec="zstd", asbytes=True), "int64")))
+                held.append((x, np.frombuffer(pa.decompress(nodes.as_py(), x.nbytes, codec="zstd", asbytes=True), "int64"), np.frombuffer(pa.decompress(own.as_py(), len(x), codec="zstd", asbytes=True), "bool")))
                 n += len(x)
-                if n >= BUCKET_KEYS:
-                    yield folded()
-                    n = 0
         if held:
-            yield folded()
+            yield folded(not folds)
         release()
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, nodes binary")
+    sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, nodes binary, own binary")
     return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "node bigint, low bigint, class bigint").distinct()
 
 
