@@ -293,7 +293,7 @@ def test_leaks_and_json(spark):
     assert {(r.key, r.finding) for r in audit_json(j, "doc", "key").collect()} == {("a", "duplicate key k"), ("b", "constant NaN"), ("c", "root is not an object"), ("d", "not JSON")}
 
 
-def test_leak_scan_all_reports_each_pattern(spark, tmp_path):
+def test_leak_scan_reports_each_pattern(spark, tmp_path):
     # Put together here, so that no scan of this file finds them.
     planted = {
         "private key": "-----BEGIN RSA PRIVATE" + " KEY-----", "GitHub token": "ghp" + "_" + "a1" * 12, "AWS access key": "AKIA" + "Q7" * 8, "Google API key": "AIza" + "b2" * 18,
@@ -303,7 +303,7 @@ def test_leak_scan_all_reports_each_pattern(spark, tmp_path):
     assert set(planted) == set(audit.LEAK_PATTERNS)
     rows = [(k, f"one\ntwo {x} end") for k, x in enumerate(planted.values())] + [(50, "nothing here"), (51, None), (52, "\n".join(planted.values()))]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = QUERIES["leak_scan_all"](spark, str(tmp_path)).collect()
+    got = QUERIES["leak_scan"](spark, str(tmp_path)).collect()
     want = {(k, n, 2, x) for k, (n, x) in enumerate(planted.items())} | {(52, n, k + 1, x) for k, (n, x) in enumerate(planted.items())}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 

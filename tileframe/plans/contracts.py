@@ -61,8 +61,8 @@ def ring_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ring_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From colours to classes: ring pixels by any way, closed gaps, small rings dropped, insides, classes, and annotations of the regions."""
-    px = ring_predicates(coloured(spark, sf_dir)).select("tile_id", "y", "x", "v", F.col("ring_rgb").alias("ring"))
-    closed = filters.close(px, 3, "ring")
+    px = ring_predicates(coloured(spark, sf_dir)).select("tile_id", "y", "x", "v", "ring")
+    closed = filters.close(px, 2, "ring")
     kept = components.drop_small(components.components(closed.select("tile_id", "y", "x", "ring"), "ring"), 5).select("tile_id", "y", "x", F.lit(True).alias("_kept"))
     rings = closed.drop("ring").join(kept, ["tile_id", "y", "x"], "left").withColumn("ring", F.coalesce("_kept", F.lit(False))).drop("_kept")
     classed = components.classify_by_ring(components.inside_rings(rings))

@@ -136,3 +136,22 @@ f AS (SELECT * FROM r WHERE method_id = 'A'), m AS (SELECT rep, class_id, metric
 b AS (SELECT r.method_id, r.rep, r.class_id, r.metric, f.value - r.value AS d FROM r JOIN f ON r.method_id <> 'A' AND r.seed = f.seed AND r.rep = f.rep AND r.class_id = f.class_id AND r.metric = f.metric UNION ALL SELECT r.method_id, r.rep, r.class_id, r.metric, m.ref - r.value FROM r JOIN m ON r.seed IS NULL AND r.method_id <> 'A' AND r.rep = m.rep AND r.class_id = m.class_id AND r.metric = m.metric),
 p AS (SELECT method_id, rep, class_id, metric, CASE WHEN count(*) = count(d) THEN avg(d) END AS d FROM b GROUP BY ALL)
 SELECT method_id, class_id, metric, CASE WHEN count(d) = count(*) THEN round(quantile_cont(d, 0.025), 9) END AS low, CASE WHEN count(d) = count(*) THEN round(quantile_cont(d, 0.975), 9) END AS high, count(d) AS n_finite, count(*) AS n_reps FROM p GROUP BY ALL"""
+ORACLES["topology_diff"] = f"""WITH RECURSIVE {PX}, {flood('tf', 'target = 1')}, {flood('tb', 'target <> 1')}, {flood('pf', 'pred = 1')}, {flood('pb', 'pred <> 1')},
+s AS (SELECT 't' AS side, 'fg' AS kind, * FROM {SIZES.format('tf')} UNION ALL SELECT 't', 'bg', * FROM {SIZES.format('tb')} UNION ALL SELECT 'p', 'fg', * FROM {SIZES.format('pf')} UNION ALL SELECT 'p', 'bg', * FROM {SIZES.format('pb')}),
+c AS (SELECT p.tile_id, count(*) FILTER (side = 't' AND kind = 'fg') AS nt, count(*) FILTER (side = 'p' AND kind = 'fg') AS np, count(*) FILTER (side = 't' AND kind = 'bg') AS bt, count(*) FILTER (side = 'p' AND kind = 'bg') AS bp FROM (SELECT DISTINCT tile_id FROM px) p LEFT JOIN s USING (tile_id) GROUP BY 1),
+b AS (SELECT *, max(a) OVER (PARTITION BY tile_id) AS top, count(*) OVER (PARTITION BY tile_id, side) AS m FROM s WHERE kind = 'fg' AND a >= 2),
+h AS (SELECT tile_id, least(floor(a * 19 / top), 18) AS bin, coalesce(sum(1 / (m * top / 19.0::DOUBLE)) FILTER (side = 't'), 0) AS t, coalesce(sum(1 / (m * top / 19.0::DOUBLE)) FILTER (side = 'p'), 0) AS p FROM b GROUP BY 1, 2),
+e AS (SELECT tile_id, sum(abs(t - p)) AS l1, sum(t) AS st, sum(p) AS sp FROM h GROUP BY 1),
+d AS (SELECT c.*, abs(np - nt) / greatest(nt, 1)::DOUBLE AS cd, CASE WHEN coalesce(st, 0) = 0 THEN 0 WHEN sp = 0 THEN 1 ELSE l1 END AS se FROM c LEFT JOIN e USING (tile_id))
+SELECT tile_id, nt AS regions_true, np AS regions_pred, round(cd, 9) AS component_diff, round(se, 9) AS size_error, abs((np - bp) - (nt - bt)) AS euler_diff, round(cd + se, 9) AS connectivity_score FROM d"""
+ORACLES["mosaics"] = f"""WITH {PX}, e AS (SELECT tile_id, max(y) + 1 AS h, max(x) + 1 AS w, count(*) FILTER (target = 0) AS m FROM px GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY substr(md5('5' || chr(58) || tile_id), 1, 12), tile_id) AS k, count(*) OVER () AS t FROM e),
+g AS (SELECT *, (k - 1) // 4 AS mosaic_id FROM r UNION ALL SELECT *, (t - 1) // 4 FROM r WHERE t % 4 > 0 AND k <= 4 - t % 4 AND (t - 1) // 4 <> (k - 1) // 4),
+q AS (SELECT *, row_number() OVER (PARTITION BY mosaic_id ORDER BY m DESC, tile_id) - 1 AS q FROM g),
+o AS (SELECT q.*, oy, ox FROM q, range(8) a(oy), range(8) b(ox))
+SELECT o.mosaic_id, CAST(oy + q // 2 * 8 AS INTEGER) AS y, CAST(ox + q % 2 * 8 AS INTEGER) AS x, o.tile_id, v, target FROM o JOIN px ON px.tile_id = o.tile_id AND px.y = oy * h // 8 AND px.x = ox * w // 8"""
+ORACLES["copy_pasted"] = f"""WITH RECURSIVE {PX}, {EXTENT}, {flood('r0', 'target = 0')},
+m AS (SELECT r.tile_id, r.region_id, p.v, r.y + CAST(floor(({draw_sql("'5'", "'y'", 'r.tile_id', 'r.region_id')} - 0.5::DOUBLE) * h) AS INTEGER) AS y, r.x + CAST(floor(({draw_sql("'5'", "'x'", 'r.tile_id', 'r.region_id')} - 0.5::DOUBLE) * w) AS INTEGER) AS x FROM r0 r JOIN e USING (tile_id) JOIN px p ON p.tile_id = r.tile_id AND p.y = r.y AND p.x = r.x),
+b AS (SELECT DISTINCT m.tile_id, m.region_id FROM m LEFT JOIN px p ON p.tile_id = m.tile_id AND p.y = m.y AND p.x = m.x WHERE p.v IS NULL OR p.target = 0),
+n AS (SELECT tile_id, y, x, arg_min(v, region_id) AS v FROM m ANTI JOIN b USING (tile_id, region_id) GROUP BY 1, 2, 3)
+SELECT p.tile_id, p.y, p.x, coalesce(n.v, p.v) AS v, CASE WHEN n.v IS NULL THEN p.target ELSE 0 END AS target, n.v IS NOT NULL AS pasted FROM px p LEFT JOIN n ON n.tile_id = p.tile_id AND n.y = p.y AND n.x = p.x"""

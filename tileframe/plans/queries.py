@@ -87,11 +87,14 @@ def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.class_metrics(metrics.confusion(pixels(spark, sf_dir))))
 
 
-@query(f'''WITH {METRICS_SQL}, s AS (SELECT tile_id, avg(iou) AS macro_iou, sum(iou * support) / nullif(sum(support) FILTER (iou IS NOT NULL), 0) AS weighted_iou, sum(tp) / nullif(sum(tp) + sum(fp) + sum(fn), 0) AS micro_iou, sum(tp) / sum(support) AS accuracy,
-  max(iou) FILTER (class_id = 0) AS c0, max(iou) FILTER (class_id = 1) AS c1 FROM k GROUP BY 1) SELECT tile_id, round(macro_iou, 9) AS macro_iou, round(weighted_iou, 9) AS weighted_iou, round(micro_iou, 9) AS micro_iou, round(accuracy, 9) AS accuracy, round(2 * c0 * c1 / (c0 + c1 + 1e-8), 9) AS harmonic_iou FROM s''')
+MEANS = ", ".join(f"round(avg({x}), 9) AS macro_{x}, round(sum({x} * support) / nullif(sum(support) FILTER ({x} IS NOT NULL), 0), 9) AS weighted_{x}" for x in ("iou", "dice", "precision", "recall"))
+
+
+@query(f"""WITH {METRICS_SQL}, s AS (SELECT tile_id, {MEANS}, round(sum(tp) / nullif(sum(tp) + sum(fp) + sum(fn), 0), 9) AS micro_iou, round(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 9) AS micro_dice, round(sum(tp) / nullif(sum(tp) + sum(fp), 0), 9) AS micro_precision,
+  round(sum(tp) / nullif(sum(tp) + sum(fn), 0), 9) AS micro_recall, round(sum(tp) / sum(support), 9) AS accuracy, max(iou) FILTER (class_id = 0) AS c0, max(iou) FILTER (class_id = 1) AS c1 FROM k GROUP BY 1)
+SELECT * EXCLUDE (c0, c1), round(c0, 9) AS c0_iou, round(c1, 9) AS c1_iou, round(2 * c0 * c1 / (c0 + c1 + 1e-8), 9) AS harmonic_iou FROM s""")
 def macro_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = metrics.summary_metrics(metrics.class_metrics(metrics.confusion(pixels(spark, sf_dir))))
-    return rounded(m.select("tile_id", "macro_iou", "weighted_iou", "micro_iou", "accuracy", "harmonic_iou"))
+    return rounded(metrics.summary_metrics(metrics.class_metrics(metrics.confusion(pixels(spark, sf_dir)))))
 
 
 @query(f"""WITH {PX}, u AS (SELECT tile_id, count(*) FILTER (target < 2 AND pred < 2) AS a, count(*) FILTER (target < 2 OR pred < 2) AS b, count(*) FILTER ((target < 2) = (pred < 2)) AS c, count(*) AS n FROM px GROUP BY 1)
@@ -295,9 +298,10 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LOG}, k AS (SELECT *, max((score, tie_breaker, -val_loss)) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM lg), i AS (SELECT *, b IS NULL OR (score, tie_breaker, -val_loss) > b AS improved FROM k)
-SELECT run_id, CAST(epoch AS INTEGER) AS epoch, improved, CAST(max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch) AS INTEGER) AS best_epoch FROM i""")
+SELECT run_id, CAST(epoch AS INTEGER) AS epoch, improved, CASE WHEN b IS NULL THEN 'first' WHEN NOT improved THEN 'none' WHEN score > struct_extract_at(b, 1) THEN 'score' WHEN tie_breaker > struct_extract_at(b, 2) THEN 'tie_breaker' ELSE 'val_loss' END AS reason,
+  CAST(max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch) AS INTEGER) AS best_epoch FROM i""")
 def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.running_best(epoch_log(spark, sf_dir)).select("run_id", "epoch", "improved", "best_epoch")
+    return selection.running_best(epoch_log(spark, sf_dir)).drop("score", "tie_breaker", "val_loss")  # the table's own, rounded
 
 
 @query(f"""WITH {LOG}, k AS (SELECT *, max((score, tie_breaker, -val_loss)) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM lg), i AS (SELECT *, b IS NULL OR (score, tie_breaker, -val_loss) > b AS improved FROM k),
@@ -332,9 +336,12 @@ def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.check_leakage(table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("split")), "o_custkey")
 
 
-@query("""SELECT c_custkey AS ident, 'not assigned' AS finding FROM customer ANTI JOIN orders ON c_custkey = o_custkey UNION ALL SELECT DISTINCT o_custkey, 'unknown' FROM orders ANTI JOIN customer ON c_custkey = o_custkey""")
+@query("""WITH a AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 7 <> 0), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 5 <> 0)
+SELECT k AS ident, 'not assigned' AS finding FROM a ANTI JOIN b USING (k) UNION ALL SELECT k, 'unknown' FROM b ANTI JOIN a USING (k)""")
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.check_complete(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ident")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "ident")
+    """Customers with a finished order against customers, with some of either left out."""
+    o, c = table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_custkey % 5 <> 0"), table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0")
+    return audit.check_complete(o.select(F.col("o_custkey").alias("ident")), c.select(F.col("c_custkey").alias("id")), "ident")
 
 
 @query("""WITH a AS (SELECT p_name AS name FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_name AS name FROM part WHERE p_partkey % 3 = 0) SELECT name, 'missing' AS finding FROM (SELECT name FROM a EXCEPT ALL SELECT name FROM b) UNION ALL SELECT name, 'unexpected' FROM (SELECT name FROM b EXCEPT ALL SELECT name FROM a)""")
@@ -355,15 +362,19 @@ def constancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.check_constant(table(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_orderpriority"])
 
 
-@query("""SELECT doc_id AS path, 'email address' AS pattern, CAST(length(text) - length(text) + 1 + length(left(text, strpos(text, m) - 1)) - length(replace(left(text, strpos(text, m) - 1), chr(10), '')) AS INTEGER) AS line, m AS "match" FROM (SELECT doc_id, text, regexp_extract(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b') AS m FROM documents) WHERE m <> ''""")
-def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    return audit.scan_patterns(d, {"email address": audit.LEAK_PATTERNS["email address"]})
+def leaks_sql() -> str:
+    """The first match of each pattern; RE2 has no look-ahead, so the one that needs it says what may come first."""
+    parts = []
+    for name, pattern in audit.LEAK_PATTERNS.items():
+        plain = pattern.replace("(?![<$\\{])[^'\\\"]{8,}", "[^'\\\"<$\\{][^'\\\"]{7,}").replace("'", "''")
+        parts.append(f"SELECT doc_id AS path, '{name}' AS pattern, text, regexp_extract(text, '{plain}') AS m FROM documents")
+    before = "left(text, strpos(text, m) - 1)"
+    return f"""SELECT path, pattern, CAST(1 + length({before}) - length(replace({before}, chr(10), '')) AS INTEGER) AS line, m AS "match" FROM ({' UNION ALL '.join(parts)}) WHERE m <> ''"""
 
 
-@query()
-def leak_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All leak patterns; leak_scan looks for e-mail addresses, as its SQL does."""
+@query(leaks_sql())
+def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leak patterns over all texts."""
     return audit.scan_patterns(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
 
 
@@ -447,10 +458,10 @@ def gate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.components(px).select("tile_id", "y", "x", "region_id")
 
 
-@query(f"WITH RECURSIVE {PX}, {FLOOD}, s AS (SELECT tile_id, region_id, count(*) AS area, min(k // 16777216) AS y0, min(k % 16777216) AS x0, max(k // 16777216) AS y1, max(k % 16777216) AS x1 FROM reg GROUP BY 1, 2) SELECT tile_id, CAST(region_id AS BIGINT) AS region_id, area, CAST(y0 AS INTEGER) AS y0, CAST(x0 AS INTEGER) AS x0, CAST(y1 AS INTEGER) AS y1, CAST(x1 AS INTEGER) AS x1, count(*) OVER (PARTITION BY tile_id) AS regions, max(area) OVER (PARTITION BY tile_id) AS largest FROM s")
+@query(f"WITH RECURSIVE {PX}, {FLOOD}, s AS (SELECT tile_id, region_id, count(*) AS area, min(k // 16777216) AS y0, min(k % 16777216) AS x0, max(k // 16777216) AS y1, max(k % 16777216) AS x1, round(avg(k // 16777216), 9) AS cy, round(avg(k % 16777216), 9) AS cx FROM reg GROUP BY 1, 2) SELECT cy, cx, tile_id, CAST(region_id AS BIGINT) AS region_id, area, CAST(y0 AS INTEGER) AS y0, CAST(x0 AS INTEGER) AS x0, CAST(y1 AS INTEGER) AS y1, CAST(x1 AS INTEGER) AS x1, count(*) OVER (PARTITION BY tile_id) AS regions, max(area) OVER (PARTITION BY tile_id) AS largest FROM s")
 def component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir).select("tile_id", "y", "x", (F.col("v") < 100).alias("mask"))
-    return components.component_stats(components.components(px)).drop("cy", "cx")
+    return rounded(components.component_stats(components.components(px)))
 
 
 AREA_RULE = f"""{PX}, {FLOOD}, ar AS (SELECT tile_id, k, count(*) OVER (PARTITION BY tile_id, region_id) AS a FROM reg), cls AS (SELECT px.tile_id, y, x, target, CASE WHEN v >= 100 THEN 2 WHEN a < 25 THEN 0 ELSE 1 END AS pred FROM px LEFT JOIN ar ON ar.tile_id = px.tile_id AND ar.k = px.y * 16777216 + px.x),
@@ -717,10 +728,12 @@ def spread_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.spread_sample(table(spark, sf_dir, "supplier").select("s_name"), 5, "s_name")
 
 
-@query("""SELECT CASE WHEN b.k IS NULL THEN a.k ELSE b.k END AS name, CASE WHEN a.k IS NULL THEN 'mask only' ELSE 'file only' END AS finding FROM (SELECT DISTINCT p_name AS k FROM part WHERE p_partkey % 2 = 0 AND (p_name LIKE 's%' OR p_name LIKE 'l%')) a FULL JOIN (SELECT DISTINCT p_name AS k FROM part WHERE p_partkey % 3 = 0 AND (p_name LIKE 's%' OR p_name LIKE 'l%')) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
+@query("""WITH n AS (SELECT p_name || ' ' || p_partkey AS k, p_partkey FROM part WHERE p_name LIKE 's%' OR p_name LIKE 'l%'), a AS (SELECT k FROM n WHERE p_partkey % 2 = 0), b AS (SELECT k FROM n WHERE p_partkey % 3 = 0)
+SELECT coalesce(a.k, b.k) AS name, CASE WHEN a.k IS NULL THEN 'mask only' ELSE 'file only' END AS finding FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL
+UNION ALL SELECT '*', 'count ' || n FROM (SELECT count(*) AS n FROM (SELECT k FROM a UNION SELECT k FROM b)) WHERE n <> 7""")
 def held_out_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_partkey")
-    return pairing.discover(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0"), ["s", "l"])
+    p = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"), "p_partkey")
+    return pairing.discover(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0"), ["s", "l"], 7)
 
 
 @query("SELECT page_id AS path, sha256(html) AS a_sha256, sha256(html || 'x') AS b_sha256 FROM pages WHERE page_id % 9 = 0 AND html IS NOT NULL")
@@ -736,21 +749,28 @@ def record_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.check_records(p, {"p_size": "positive", "p_discount": "unit", "p_name": "text"}, "k")
 
 
-@query("SELECT p_brand, p_type, count(*) AS copies FROM part GROUP BY 1, 2")
+@query("""SELECT p_brand, p_type, count(*) AS copies, sha256('{"p_brand":' || to_json(p_brand) || ',"p_type":' || to_json(p_type) || '}') AS identity FROM part GROUP BY 1, 2""")
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    return audit.dedupe_by_identity(p, ["p_partkey"]).select("p_brand", "p_type", "copies")
+    return audit.dedupe_by_identity(p, ["p_partkey"])
 
 
-@query("SELECT url AS path, 'forbidden path' AS finding FROM pages WHERE url LIKE '%/fr/%' UNION ALL SELECT url, 'unsafe path' FROM pages")
+@query("""WITH p AS (SELECT CASE page_id % 11 WHEN 3 THEN '../' WHEN 5 THEN '/' ELSE '' END || regexp_replace(url, '^[a-z]+://', '') || CASE WHEN page_id % 4 = 1 THEN '.PDF' ELSE '' END AS path FROM pages)
+SELECT path, 'forbidden path' AS finding FROM p WHERE path LIKE '%/fr/%' UNION ALL SELECT path, 'diagnostic asset' FROM p WHERE path LIKE 'm.%' OR path LIKE '%page=%'
+UNION ALL SELECT path, 'misplaced PDF' FROM p WHERE lower(path) LIKE '%.pdf' AND NOT starts_with(path, 'docs/')
+UNION ALL SELECT path, 'unsafe path' FROM p WHERE path LIKE '../%' OR path LIKE '/%' OR path LIKE '%//%' OR path LIKE '%/'""")
 def path_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_paths(table(spark, sf_dir, "pages"), ["*/fr/*"], path="url")
+    """Addresses as relative paths, some of them made unsafe or into PDFs; most are clean."""
+    start = F.when(F.col("page_id") % 11 == 3, "../").when(F.col("page_id") % 11 == 5, "/").otherwise("")
+    end = F.when(F.col("page_id") % 4 == 1, ".PDF").otherwise("")
+    p = table(spark, sf_dir, "pages").select(F.concat(start, F.regexp_replace("url", "^[a-z]+://", ""), end).alias("path"))
+    return audit.audit_paths(p, ["*/fr/*"], ["m.*", "*page=*"], "docs")
 
 
-@query("SELECT o_orderpriority AS candidate, count(*) FILTER (o_orderstatus = 'F') AS successes, count(*) FILTER (o_orderstatus <> 'F') AS failures FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority AS candidate, count(*) FILTER (o_orderstatus = 'F') AS successes, count(*) FILTER (o_orderstatus <> 'F') AS failures, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (o_orderstatus <> 'F') AS failed_seeds FROM orders GROUP BY 1")
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("candidate"), F.col("o_orderkey").alias("seed"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("failure").alias("outcome"))
-    return selection.outcome_summary(o).drop("failed_seeds")
+    return selection.outcome_summary(o).withColumn("failed_seeds", F.array_join(F.transform("failed_seeds", lambda k: k.cast("string")), ","))
 
 
 @query()
