@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tileframe.functions import check_grayscale
-from tileframe.operators import curves, losses, metrics, ranks, selection
+from tileframe.operators import audit, curves, losses, metrics, ranks, selection
 from tileframe.operators.raster import augment, compare, components, distance
 from tileframe.sources import read_run_summaries
 
@@ -157,3 +157,36 @@ def test_roc_points_and_best_runs(spark):
     runs = spark.createDataFrame([(f"r{k}", None if k % 5 == 0 else k / 10) for k in range(30)], "run_name string, iou double")
     best = selection.best_runs(runs, "iou").collect()
     assert len(best) == 15 and best[0].run_name == "r29" and all(r.iou is not None for r in best)
+
+
+def test_reports_and_record_kinds(spark):
+    tiles = spark.createDataFrame([("a", 2, 2, 1), ("b", 2, 2, 2)], "tile string, height int, width int, ordinal int")
+    cm = spark.createDataFrame([("a", 0, 0, 3), ("a", 0, 1, 1), ("b", 1, 1, 4)], "tile string, true_id int, pred_id int, n bigint")
+    right = metrics.class_metrics(cm, ["tile"]).select("tile", "class_id", "iou")
+    whole = cm.groupBy("true_id", "pred_id").agg(F.sum("n").alias("n"))
+    assert audit.check_report(tiles, cm, right, whole, (2, 2)).collect() == []
+    bad = audit.check_report(tiles.withColumn("ordinal", F.col("ordinal") + 1), cm, right, whole.where("pred_id = 1"), (2, 3)).collect()
+    assert sorted((r.tile or "", r.finding) for r in bad) == [("", "aggregate differs in 1 cells"), ("", "tile numbers don't run from 1"), ("a", "another shape"), ("b", "another shape")]
+    texts = ["1", "-0.5e3", '"1"', "true", "null", "", None, "01", "1.0"]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string")
+    for kind, fine in (("is_number", {0, 1, 8}), ("is_integer", {0}), ("is_string", {2}), ("is_boolean", {3})):
+        assert {r.k for r in audit.check_records(rows, {"x": kind}, "k").collect()} == set(range(9)) - fine
+
+
+def test_asymmetric_focal_with_class_weights(spark):
+    rows = [(1, 0, [0.7, 0.2, 0.1]), (1, 2, [0.0, 1.0, 0.0])]
+    pos, neg, clip = (0.5, 1.0, 2.0), (1.0, 3.0, 0.25), 1e-7
+    total = 0.0
+    for _, t, p in rows:
+        for c in range(3):
+            total += -pos[c] * (1 - p[c]) ** 2 * math.log(max(p[c], clip)) if c == t else -neg[c] * p[c] ** 4 * math.log(max(1 - p[c], clip))
+    got = one(losses.asymmetric_focal(spark.createDataFrame(rows, "tile_id int, target int, probs array<double>"), alpha_pos=pos, alpha_neg=neg))
+    assert math.isclose(got.asymmetric_focal, total / 2)
+
+
+def test_counts_inside_rings(spark):
+    px = spark.createDataFrame([(1, 0, 0, 0, True), (1, 0, 1, 2, True), (1, 0, 2, 0, False), (1, 0, 3, 1, None), (2, 0, 0, 2, False)], "tile_id int, y int, x int, target int, inside boolean")
+    got = {r.tile_id: r for r in metrics.inside_histogram(px).collect()}
+    assert (got[1].pixels, got[1].n_inside, got[1].n0_inside, got[1].n0_outside, got[1].n1_outside, got[1].n2_inside, got[2].n_inside) == (4, 2, 1, 1, 1, 1, 0)
+    s = {r.name: r for r in metrics.describe_counts(metrics.inside_histogram(px), ["pixels", "n_inside"]).collect()}
+    assert (s["pixels"].total, s["pixels"].mean, s["pixels"].median, s["n_inside"].least, s["n_inside"].most, s["n_inside"].tiles) == (5, 2.5, 2.5, 0, 2, 2)

@@ -112,10 +112,17 @@ def attest(files: DataFrame, scopes: DataFrame, expected: DataFrame) -> DataFram
     return both.select("scope", "files", "expected_files", "digest", "expected_digest", (F.col("files").eqNullSafe(F.col("expected_files")) & F.col("digest").eqNullSafe(F.col("expected_digest"))).alias("attested"))
 
 
+def json_kinds(c: Column) -> dict[str, Column]:
+    """Whether a JSON text is a value of a kind; a number that is not a whole one, a quoted number or a truth value is no integer."""
+    text = F.trim(c.cast("string"))
+    number = text.rlike(r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$")
+    return {"is_number": number, "is_integer": text.rlike(r"^-?(?:0|[1-9][0-9]*)$"), "is_string": text.rlike(r'(?s)^".*"$'), "is_boolean": text.isin("true", "false")}
+
+
 def rule(kind: str, col: str) -> Column:
-    """Whether a column keeps a rule: positive, count, unit, text, sha256, present."""
+    """Whether a column keeps a rule: positive, count, unit, text, sha256, present; or, for JSON texts, is_number, is_integer, is_string, is_boolean."""
     c = F.col(col)
-    return F.coalesce({"positive": c > 0, "count": (c >= 0) & (c == F.floor(c)), "unit": (c >= 0) & (c <= 1), "text": F.trim(c) != "", "sha256": is_sha256(c), "present": c.isNotNull()}[kind], F.lit(False))
+    return F.coalesce({"positive": c > 0, "count": (c >= 0) & (c == F.floor(c)), "unit": (c >= 0) & (c <= 1), "text": F.trim(c) != "", "sha256": is_sha256(c), "present": c.isNotNull(), **json_kinds(c)}[kind], F.lit(False))
 
 
 def check_records(df: DataFrame, rules: Mapping[str, str], key: str) -> DataFrame:
@@ -127,17 +134,30 @@ def check_records(df: DataFrame, rules: Mapping[str, str], key: str) -> DataFram
     return df.select(F.col(key), F.explode_outer(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("f")).where("f is not null").select(key, "f.*")
 
 
-def check_report(tiles: DataFrame, cm: DataFrame, reported: DataFrame) -> DataFrame:
-    """tile and finding: a matrix that doesn't sum to height * width, a repeated tile name, or a reported IoU that isn't the matrix's.
+def check_report(tiles: DataFrame, cm: DataFrame, reported: DataFrame, aggregate: DataFrame | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
+    """tile and finding: a matrix that doesn't sum to height * width, a repeated tile name, another shape than the given one, tile numbers that don't run
+    from 1, a reported IoU that isn't the matrix's, or (tile NULL) an aggregate matrix that isn't the sum of the tiles'.
 
-    tiles has tile, height and width; cm tile, true_id, pred_id and n; reported tile, class_id and iou.
+    tiles has tile, height and width, and ordinal if numbers are to be looked at; cm tile, true_id, pred_id and n; reported tile, class_id and
+    iou; aggregate true_id, pred_id and n.
     """
     sums = cm.groupBy("tile").agg(F.sum("n").alias("n"))
     area = tiles.groupBy("tile").agg(F.count("*").alias("times"), F.max(F.col("height").cast("bigint") * F.col("width")).alias("area")).join(sums, "tile", "full_outer")
     a = area.select("tile", F.explode_outer(F.filter(F.array(F.when(F.col("times") > 1, "repeated tile"), F.when(~F.col("n").eqNullSafe(F.col("area")), "matrix does not cover the tile")), lambda x: x.isNotNull())).alias("finding")).where("finding is not null")
     m = class_metrics(cm, ["tile"]).select("tile", "class_id", F.col("iou").alias("own"))
     b = m.join(reported, ["tile", "class_id"], "full_outer").where(~is_close(F.col("own"), F.col("iou"))).select("tile", F.concat(F.lit("iou of class "), F.col("class_id").cast("string")).alias("finding"))
-    return a.unionByName(b)
+    out = a.unionByName(b)
+    if shape is not None:
+        out = out.unionByName(tiles.where(~(F.col("height").eqNullSafe(F.lit(shape[0])) & F.col("width").eqNullSafe(F.lit(shape[1])))).select("tile", F.lit("another shape").alias("finding")).distinct())
+    none = F.lit(None).cast(cm.schema["tile"].dataType).alias("tile")
+    if "ordinal" in tiles.columns:
+        n = tiles.agg(F.count("*").alias("n"), F.count_distinct("ordinal").alias("d"), F.min("ordinal").alias("a"), F.max("ordinal").alias("b"))
+        out = out.unionByName(n.where("n > 0 and not (d = n and a <=> 1 and b <=> n)").select(none, F.lit("tile numbers don't run from 1").alias("finding")))
+    if aggregate is not None:
+        sums = cm.groupBy("true_id", "pred_id").agg(F.sum("n").alias("own"))
+        apart = sums.join(aggregate.groupBy("true_id", "pred_id").agg(F.sum("n").alias("told")), ["true_id", "pred_id"], "full_outer").where("coalesce(own, 0) <> coalesce(told, 0)")
+        out = out.unionByName(apart.agg(F.count("*").alias("k")).where("k > 0").select(none, F.concat(F.lit("aggregate differs in "), F.col("k").cast("string"), F.lit(" cells")).alias("finding")))
+    return out
 
 
 def check_collection(df: DataFrame, required: Mapping[str, int]) -> DataFrame:

@@ -261,6 +261,19 @@ def streamed_digests(files: DataFrame, keys: Sequence[str], columns: Sequence[st
     return out.toDF(*keys, *[part.split()[0] for part in schema.split(", ")])
 
 
+def describe_counts(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """name, tiles, total, mean, median, least and most of counts by tile, one row for each column (ring pixels of each kind, pixels inside rings)."""
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("bigint").alias("n")) for c in columns])).alias("x")).select(*keys, "x.*")
+    return long.groupBy(*keys, "name").agg(F.count("n").alias("tiles"), F.sum("n").alias("total"), F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+def inside_histogram(px: DataFrame, label: str = "target", k: int = 3, inside: str = "inside") -> DataFrame:
+    """Per tile: pixels, pixels inside rings, and those of each class inside and outside."""
+    on = F.coalesce(F.col(inside), F.lit(False))
+    counts = [F.count_if((on if side else ~on) & (F.col(label) == c)).alias(f"n{c}_{'inside' if side else 'outside'}") for c in range(k) for side in (True, False)]
+    return px.groupBy("tile_id").agg(F.count("*").alias("pixels"), F.count_if(on).alias("n_inside"), *counts)
+
+
 def byte_digest(files: DataFrame, keys: Sequence[str]) -> DataFrame:
     """files, image_digest and names_digest of the files (name, content) of each scope, in one pass over the bytes.
 

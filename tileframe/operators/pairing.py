@@ -40,7 +40,7 @@ def resolve_manifest(manifest: DataFrame, images: DataFrame) -> DataFrame:
 def map_annotations(annotations: DataFrame, images: DataFrame, categories: DataFrame, num_classes: int = 3) -> tuple[DataFrame, DataFrame]:
     """Annotations of known images with their class, and those whose image or category is unknown or out of range."""
     classes = categories.select(F.col("id").alias("category_id"), category_id(F.col("name")).alias("class_id"))
-    joined = annotations.join(F.broadcast(classes), "category_id", "left").join(images.select(F.col("id").alias("image_id"), "file_name"), "image_id", "left")
+    joined = annotations.join(classes, "category_id", "left").join(images.select(F.col("id").alias("image_id"), "file_name"), "image_id", "left")
     fine = F.col("class_id").isNotNull() & (F.col("class_id") < num_classes) & F.col("file_name").isNotNull()
     return joined.where(fine), joined.where(~F.coalesce(fine, F.lit(False)))
 
@@ -72,7 +72,7 @@ def contrast_by_seed(df: DataFrame, reference: str, by: Sequence[str] = ("metric
 def contrast_by_mean(df: DataFrame, reference: str, by: Sequence[str] = ("metric",)) -> DataFrame:
     """The same for methods without a seed, against the reference's mean over its seeds (NULL if any of them is)."""
     ref = df.where(F.col("method_id") == reference).groupBy(*by).agg(F.when(F.count("*") == F.count("value"), F.avg("value")).alias("reference_value"))
-    return df.where((F.col("method_id") != reference) & F.col("seed").isNull()).join(F.broadcast(ref), list(by)).withColumn("difference", F.col("reference_value") - F.col("value"))
+    return df.where((F.col("method_id") != reference) & F.col("seed").isNull()).join(ref, list(by)).withColumn("difference", F.col("reference_value") - F.col("value"))
 
 
 def check_grid(df: DataFrame, candidates: Sequence[str], seeds: Sequence[int]) -> DataFrame:
