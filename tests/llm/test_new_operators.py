@@ -13,8 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.test_text_operators import SF
-from tileframe.llm import decontaminate, htmltext, neardup, queries, toxicity, variants, vectorcodes
+from tests.llm.test_text_operators import ODD, SF
+from tileframe.llm import decontaminate, htmltext, lm, neardup, queries, toxicity, variants, vectorcodes
 
 # Vector codes
 
@@ -293,3 +293,17 @@ def test_which_of_rows_with_one_id_and_text_stays(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     kept = {tuple(r) for r in neardup.keep_one(df).collect()}
     assert len(kept) == 2 and kept == {tuple(r) for r in neardup.keep_one(df.repartition(3, "lang")).collect()} and kept <= set(rows)
+
+
+@pytest.mark.parametrize("leave_out", [True, False])
+def test_scores_by_joins(spark, leave_out):
+    """Count tables as rows give what packed counts give."""
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(i if i is None else 10**6 + i, t) for i, t in ODD], "doc_id bigint, text string")
+    docs, word = given.unionByName(odd).repartition(3), queries.tokenizer("word_bpe_49k.json")
+
+    def rows(df):
+        return sorted((r.doc_id is None, r.doc_id or 0, r.n_scored, 0.0 if r.log_score is None else r.log_score, r.lm_score is None) for r in df.collect())
+
+    a, b = rows(lm.lm_scores(docs, word, leave_out=leave_out)), rows(lm.lm_scores_by_joins(docs, word, leave_out=leave_out))
+    assert len(a) == len(b) and all(x[:3] == y[:3] and x[4] == y[4] and math.isclose(x[3], y[3], rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a, b, strict=True))

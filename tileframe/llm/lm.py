@@ -262,3 +262,70 @@ def lm_scores(docs: DataFrame, tokenizer_path: str, alpha: float = 0.4, leave_ou
 
     kind = docs.schema[id_col].dataType.simpleString()
     return kept.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(score, f"doc_id {kind}, n_scored bigint, log_score double, lm_score double")
+
+
+def positions(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
+    """One row for each distinct position of a row of docs: its last three tokens as keys, how often the row has it (n), and how often the row has each part.
+
+    row and doc_id tell the row; n_tokens is its length (a row without tokens has one position with n 0).
+    """
+    size = load_tokenizer(tokenizer_path).get_vocab_size()
+    kind = docs.schema[id_col].dataType.simpleString()
+    fields = ["n", "k3", "ka", "kb", "b", "c", "own3", "own_a", "own_b2", "own_b", "own_c"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pieces, row = worker_pieces(tokenizer_path, False), TaskContext.get().partitionId() << 40
+        for part in slices(batches, "text", GROUP_BYTES // 4):
+            found = pieces.texts(part.column("text"))
+            lengths, tokens = found.lengths.astype("int64"), found.flat.astype("int64")
+            batch = Batch(tokens, lengths, size)
+            grams1 = Grams(tokens, size)
+            own1, doc = grams1.own(batch.doc), batch.doc.astype("int64")
+            own2, own3 = np.zeros(len(tokens), "int64"), np.zeros(len(tokens), "int64")
+            own2[batch.at2], own3[batch.at3] = batch.two.own(batch.doc[batch.at2]), batch.three.own(batch.doc[batch.at3])
+            pair, triple = np.full(len(tokens), -1), np.full(len(tokens), -1)
+            pair[batch.at2] = batch.pairs(batch.at2)
+            triple[batch.at3] = pair[batch.at3 - 1] * size + tokens[batch.at3]
+            before = np.arange(len(tokens)) - 1
+            first = np.ones(len(tokens), bool)
+            first[batch.at2] = False
+            shift = lambda values, none: np.where(first, none, values[np.maximum(before, 0)]) if len(values) else values
+            table = np.stack([doc, triple, shift(pair, -1), pair, shift(tokens, -1), tokens, own3, shift(own2, 0), own2, shift(own1, 0), own1], 1)
+            rows, n = np.unique(table, axis=0, return_counts=True) if len(table) else (table, np.empty(0, "int64"))
+            none = np.flatnonzero(lengths == 0)
+            at = np.concatenate([rows[:, 0], none])
+            columns = [np.concatenate([x, np.zeros(len(none), "int64")]) for x in (n, *rows[:, 1:].T)]
+            yield pa.RecordBatch.from_arrays([pa.array(row + at), part.column("doc_id").take(pa.array(at)), pa.array(lengths[at]), *map(pa.array, columns)], ["row", "doc_id", "n_tokens", *fields])
+            row += len(lengths)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"row bigint, doc_id {kind}, n_tokens bigint, " + ", ".join(f"{f} bigint" for f in fields))
+
+
+def lm_scores_by_joins(docs: DataFrame, tokenizer_path: str, alpha: float = 0.4, leave_out: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``lm_scores`` gives, by relations: count tables of n-grams dealt by hash, joined to the exploded n-grams, summed for each document.
+
+    Counts are summed before they are shuffled; but each document's distinct n-grams are rows that three joins deal out. Count tables of any
+    corpus can be joined this way.
+    """
+    grams = positions(docs, tokenizer_path, id_col, text_col)
+    real = grams.where("n > 0")
+    total = lambda key: real.where(F.col(key) >= 0).groupBy(F.col(key).alias("_key")).agg(F.sum("n").alias("_n"))
+    three, two, one = total("k3"), total("kb"), materialise(total("c"), "unigrams")  # the last has at most a row a word of the vocabulary
+    every = one.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+
+    def met(df: DataFrame, counts: DataFrame, key: str, own: str, name: str) -> DataFrame:
+        side = counts.select(F.col("_key").alias(f"_{name}"), F.col("_n").alias(name))
+        left = F.coalesce(F.col(name), F.lit(0)) - (F.col(own) if leave_out else F.lit(0))
+        return df.join(side, F.col(key) == F.col(f"_{name}"), "left").withColumn(name, left).drop(f"_{name}")
+
+    g = grams
+    for counts, key, own, name in ((three, "k3", "own3", "abc"), (two, "ka", "own_a", "ab"), (two, "kb", "own_b2", "bc"), (F.broadcast(one), "b", "own_b", "cb"), (F.broadcast(one), "c", "own_c", "cc")):
+        g = met(g, counts, key, own, name)
+    a, rest = F.lit(float(alpha)), F.lit(every) - (F.col("n_tokens") if leave_out else F.lit(0))
+    unigram = F.log(F.greatest("cc", F.lit(1)) / F.greatest(rest, F.lit(1)))
+    log = F.when(F.col("kb") < 0, unigram).when(F.col("k3") < 0, F.when(F.col("bc") > 0, F.log(F.col("bc") / F.col("cb"))).otherwise(F.log(a) + unigram))
+    log = log.when(F.col("abc") > 0, F.log(F.col("abc") / F.col("ab"))).when(F.col("bc") > 0, F.log(a) + F.log(F.col("bc") / F.col("cb"))).otherwise(2 * F.log(a) + unigram)
+    sums = g.groupBy("row", "doc_id", "n_tokens").agg(F.sum(F.when(F.col("n") > 0, F.col("n") * log)).alias("log_score"))
+    return sums.select("doc_id", F.col("n_tokens").alias("n_scored"), "log_score", (F.col("log_score") / F.col("n_tokens")).alias("lm_score"))
