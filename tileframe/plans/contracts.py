@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -323,3 +325,36 @@ def collection_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("method_id"), (F.col("c_nationkey") % 3).cast("int").alias("seed")).distinct()
     c = c.withColumns({"kind": F.lit("trained"), "display_name": F.when((F.col("method_id") == "FURNITURE") & (F.col("seed") == 0), "Other").otherwise(F.col("method_id")), "selected": F.col("method_id").isin("BUILDING", "AUTOMOBILE")})
     return audit.check_collection(c.unionByName(c.where("method_id = 'MACHINERY' and seed = 1")), {"trained": 3})
+
+
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY")
+
+
+@query(f"""WITH h AS (SELECT c_mktsegment AS candidate, CAST(c_nationkey % 7 AS INTEGER) AS seed, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1, 2),
+g AS (SELECT unnest({list(SEGMENTS)}) AS candidate, s AS seed FROM range(5) t(s))
+SELECT coalesce(h.candidate, g.candidate) AS candidate, CAST(coalesce(h.seed, g.seed) AS INTEGER) AS seed, CASE WHEN n IS NULL THEN 'missing' WHEN g.candidate IS NULL THEN 'extra' ELSE 'repeated' END AS finding FROM h FULL JOIN g ON h.candidate = g.candidate AND h.seed = g.seed WHERE n IS NULL OR g.candidate IS NULL OR n > 1""")
+def grid_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments and nations as the cells of a plan of four by five."""
+    cells = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_mktsegment").alias("candidate"), (F.col("c_nationkey") % 7).cast("int").alias("seed"))
+    return pairing.check_grid(cells, SEGMENTS, range(5))
+
+
+@query("SELECT p_brand, name, tile_id FROM (SELECT p_brand, p_name AS name, p_partkey AS tile_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS r FROM part) WHERE r = 1")
+def first_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.first_tile(table(spark, sf_dir, "part").select("p_brand", F.col("p_name").alias("name"), F.col("p_partkey").alias("tile_id")), ["p_brand"])
+
+
+def dark_share(patches: pd.DataFrame) -> pd.DataFrame:
+    """A stand-in for a caller's model: the share of dark pixels of each patch, and a class by it."""
+    share = patches["v"].map(lambda v: float((np.asarray(v) < 100).mean()))
+    return pd.DataFrame({"tile_id": patches["tile_id"], "patch_id": patches["patch_id"], "score": share, "pred": (share >= 0.4).astype("int32")})
+
+
+@query(f"""WITH {PX}, p AS (SELECT tile_id, tile_id || '_' || y // 8 || '_' || x // 8 AS patch_id, avg(CAST(v < 100 AS INTEGER)) AS score, count(*) AS n FROM px GROUP BY tile_id, y // 8, x // 8)
+SELECT tile_id, patch_id, round(score, 9) AS score, CAST(score >= 0.4 AS INTEGER) AS pred FROM p WHERE n = 64""")
+def scored_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's function on patches of 8 x 8 pixels, as arrays."""
+    px = pixels(spark, sf_dir)
+    name = F.concat_ws("_", F.col("tile_id").cast("string"), F.floor(F.col("y") / 8).cast("string"), F.floor(F.col("x") / 8).cast("string"))
+    patches = px.groupBy("tile_id", name.alias("patch_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda q: q["v"]).alias("v")).where(F.size("v") == 64)
+    return rounded(sampling.score_patches(patches, dark_share, "tile_id bigint, patch_id string, score double, pred int"))
