@@ -7,7 +7,7 @@ are one node. Two nodes link when den * intersection >= num * union.
 Which nodes can link at all comes from an exact filter, size class by size class: a pair belongs to the class of its larger set, where
 sets that link differ in at most H shingles. If hashes are dealt into H + 1 + S parts, S + 1 at least agree, so two sets share a part that
 has shingles unless both have more than S empty parts; those share a pair of empty parts. S is chosen so that few sets have as many. Nodes
-that share a key of a class form a block. Blocks beyond GROUP members are cut into chunks, and each pair of chunks is a group of its own. In a
+that share a key of a class form a block. Larger blocks are cut into chunks, and each pair of chunks is a group of its own. In a
 group a signature tree, gone down against itself, tells which pairs can overlap enough; their overlaps are counted
 exactly, so every link between different sets is found once.
 
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from tileframe.llm.common import materialise, mix, release, slices
 from tileframe.llm.components import components
 
-#: Members of a chunk of a block; a group has at most two chunks.
-GROUP = 128
+#: Members of a chunk of a block at most, and shingles of all its members, about; a group has at most two chunks.
+GROUP = 512
+GROUP_SHINGLES = 1 << 20
 #: Keys that a bucket gets, about, that are looked at together, and that a worker gathers before it deals them out.
 BUCKET_KEYS = 500_000
 FOLDED_KEYS = 1_500_000
@@ -96,6 +97,10 @@ class Classes:
     def home(self, size: int) -> int:
         return int(np.searchsorted(self.starts, size, "right")) - 1
 
+    def members(self) -> list[int]:
+        """How many members of a block of each class make a chunk."""
+        return [max(16, min(GROUP, GROUP_SHINGLES // x)) for x in self.starts]
+
     def of(self, size: int) -> list[int]:
         """The class of a set as the larger one of a pair, then those where it can be the smaller one."""
         return [c for c in range(self.home(size), self.home(size * self.den // self.num) + 1) if self.parts[c]]
@@ -344,11 +349,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
     met = materialise(nodes_that_meet(plain, width, num, den, buckets), "met")
     edges = met.select(F.xxhash64("node", "class").alias("a"), F.xxhash64("low", "class").alias("b"))
     blocks = materialise(components(edges).withColumnRenamed("component", "block"), "blocks")
-    large = materialise(blocks.groupBy("block").agg(F.count("*").alias("members")).where(F.col("members") > GROUP), "large")
+    large = materialise(blocks.groupBy("block").agg(F.count("*").alias("members")).where(F.col("members") > 16), "large")
     large = F.broadcast(large) if large.count() <= BROADCAST_NODES else large
     both = met.select("node", "class").unionByName(met.select(F.col("low").alias("node"), "class")).distinct()
     placed = both.withColumn("at", F.xxhash64("node", "class")).join(blocks.withColumnRenamed("node", "at"), "at").join(large, "block", "left")
-    chunks = F.coalesce(F.ceil(F.col("members") / GROUP), F.lit(1))
+    limits = F.array(*[F.lit(n) for n in Classes(num, den).members()])
+    chunks = F.coalesce(F.ceil(F.col("members") / F.get(limits, F.col("class").cast("int"))), F.lit(1))
     places = placed.groupBy("node").agg(F.collect_list(F.struct("block", "class", chunks.alias("chunks"))).alias("places"))
     chosen = materialise(nodes.select("node", "n_copies", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).join(places, "node"), "chosen")
     small_side = F.broadcast(chosen) if chosen.count() <= BROADCAST_NODES else chosen
