@@ -27,6 +27,8 @@ from tileframe.operators.storage import materialise
 #: Nodes that are split in one pass over the rows, and rows that are looked at together.
 SLOTS = 16_384
 ROWS = 512
+#: Rows of a task, about: what tasks give are cells, so few rows in many tasks give the same cells many times.
+TASK_ROWS = 20_000
 UNIT = 1 << 20
 
 
@@ -141,6 +143,7 @@ def fit_extra_trees(
     # One row for each group and class.
     known = rows.groupBy("g", "y").agg(F.count("*").alias("n"), F.sum("w").alias("w"), *ends).orderBy("g", "y").collect()
     groups, classes = sorted({r.g for r in known}), sorted({r.y for r in known})
+    rows = rows.coalesce(max(1, sum(r.n for r in known) // TASK_ROWS))
     folds = groups if leave_out else [None]
     if not known or leave_out and len(groups) < 2:
         return ExtraTrees(names, tuple(classes), 0, np.full(0, -1), np.zeros(0), np.zeros(0, "int64"), np.zeros((0, len(classes))), tuple(folds))
