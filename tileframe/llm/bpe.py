@@ -3,7 +3,7 @@
 The vocabulary and merges come from a tokenizers ``.json`` file with a byte-level pre-tokenizer; its path is a parameter.
 Within a task, the distinct pretokens of a group of texts are laid end to end as one list of symbols. The index maps each
 adjacent pair to all its positions; ranks that occur are applied in ascending order, each to all its positions from left
-to right, and the lists of the pairs that this makes or breaks are updated. Results per piece are remembered by the worker.
+to right, and the lists of the pairs that this makes or breaks are updated. Results per piece are remembered within a task.
 
 NULL and empty texts have no ids and decode to an empty text. Strings of added tokens inside a text become their ids, as the
 library does. Bytes that aren't UTF-8 decode to U+FFFD. Rows are independent: repeated rows give repeated results. An empty table gives
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tileframe.llm.common import by_bytes, slices
+from tileframe.llm.common import by_bytes, release, slices
 
 #: The published pre-tokenizer pattern of byte-level BPE (a fixed value).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -34,9 +34,9 @@ def byte_letters() -> list[str]:
 
 
 #: Characters of text handled at a time.
-GROUP_CHARS = 2_000_000
-#: Distinct pieces, and distinct pretokens, remembered by a worker; when full, a memory starts anew. Longer ones aren't remembered.
-MEMORY_PIECES = 400_000
+GROUP_CHARS = 500_000
+#: Distinct pieces and pretokens remembered by a task; when there are more, those stay that came up again. Longer ones aren't remembered.
+MEMORY_PIECES = 200_000
 MEMORY_CHARS = 64
 
 
@@ -46,6 +46,34 @@ def arrow_texts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tu
         yield part, [x or "" for x in part.column(text_col).to_pylist()]
 
 
+class Memory(dict[str, bytes]):
+    """The ids of pieces and pretokens; a pretoken has the same as a piece."""
+
+    def __init__(self):
+        super().__init__()
+        self.again: set[str] = set()
+        self.long: list[str] = []
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of the keys that are to be added; the others have come up again."""
+        new = keys.difference(self)
+        self.again |= keys - new
+        self.long += [x for x in new if len(x) > MEMORY_CHARS]
+        return list(new)
+
+    def forget(self) -> None:
+        """Long keys go; if there are too many, those that came up once, and all if the others are more than half."""
+        for key in self.long:
+            self.pop(key, None)
+        self.long = []
+        if len(self) > MEMORY_PIECES:
+            stay = {x: self[x] for x in self.again if x in self}
+            self.clear()
+            self.again = set()
+            if 2 * len(stay) <= MEMORY_PIECES:
+                self.update(stay)
+
+
 class PairIndexBpe:
     def __init__(self, path: str):
         import regex
@@ -74,8 +102,7 @@ class PairIndexBpe:
             self.bytes_of[i] = token.encode()
         self.split_added = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.pretokens = regex.compile(PRETOKEN).findall
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known = Memory()
 
     def merge_all(self, words: list[str]) -> list[bytes]:
         """Ids of each pretoken as little-endian 32-bit bytes; the pair occurrence index covers them all."""
@@ -136,17 +163,11 @@ class PairIndexBpe:
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         cut = [self.pretokens(piece) for piece in pieces]
-        if len(self.words) > MEMORY_PIECES:
-            self.words = {}
-        known = self.words
-        new = [x for x in set().union(*cut) - known.keys() if x]
-        fresh = dict(zip(new, self.merge_all(new), strict=True)) if new else {}
-        known.update(fresh)
-        out = [b"".join([known[x] for x in parts]) for parts in cut]
-        for word in new:
-            if len(word) > MEMORY_CHARS:
-                del known[word]
-        return out
+        known = self.known
+        new = known.missing(set().union(*cut))
+        if new:
+            known.update(zip(new, self.merge_all(new), strict=True))
+        return [b"".join([known[x] for x in parts]) for parts in cut]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -176,23 +197,15 @@ class PairIndexBpe:
                 else:
                     cut.append(self.pieces(text))
             known = self.known
-            new = list(set().union(*cut) - known.keys())
-            fresh = dict(zip(new, self.encode_pieces(new), strict=True))
-            if len(known) + len(fresh) > MEMORY_PIECES:
-                old, known = known, {}
-                self.known = known
-                get = {**old, **fresh}.__getitem__
-            else:
-                known.update(fresh)
-                get = known.__getitem__
+            new = known.missing(set().union(*cut))
+            known.update(zip(new, self.encode_pieces(new), strict=True))
+            get = known.__getitem__
             for n, parts in enumerate(cut):
                 if n in special:
                     yield b"".join(b"".join(map(get, x)) if isinstance(x, list) else np.array([x], "<i4").tobytes() for x in special[n])
                 else:
                     yield b"".join(map(get, parts))
-            for piece in new:
-                if len(piece) > MEMORY_CHARS:
-                    known.pop(piece, None)
+            known.forget()
 
     def decode(self, ids: np.ndarray) -> str:
         table = self.bytes_of
@@ -227,6 +240,10 @@ def encode(df: DataFrame, path: str, id_cols: list[str], text_col: str = "text",
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
             more = [pa.array([bpe.decode(np.frombuffer(x, "<i4")) for x in rows], pa.string())] if decoded else []
             yield pa.RecordBatch.from_arrays([x for _, x in keep] + [ids] + more, [n for n, _ in keep] + ["ids"] + ([decoded] if decoded else []))
+            del part, texts, rows, ids, more, keep
+        # The worker goes on to other stages, where what it remembers would count beside their own.
+        bpe.known = Memory()
+        release()
 
     return picked.mapInArrow(run, _schema(picked, text_col) + "ids array<int>" + (f", `{decoded}` string" if decoded else ""))
 

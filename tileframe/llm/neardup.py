@@ -47,6 +47,8 @@ WORDS = 64
 FANOUT = 4
 #: Bytes of text handled at a time.
 SLICE_BYTES = 1 << 20
+#: Bytes of shingles in a group after which freed memory is given back.
+RELEASE_BYTES = 1 << 22
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -234,9 +236,9 @@ class SignatureTree:
         # Near copies share their least hashes: sets in this order lie beside their like, and bitmaps of nodes stay thin.
         self.order = np.lexsort([np.array([x[min(k, len(x) - 1)] for x in sets]) for k in (2, 1, 0)])
         bits = np.zeros((len(sets), WORDS), "uint64")
-        owner, token = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
-        place = (token >> np.uint64(40)) % np.uint64(64 * WORDS)
-        np.bitwise_or.at(bits, (owner, (place >> np.uint64(6)).astype("int64")), np.uint64(1) << (place & np.uint64(63)))
+        for row, x in zip(bits, sets, strict=True):
+            place = (x >> np.uint64(40)) % np.uint64(64 * WORDS)
+            np.bitwise_or.at(row, (place >> np.uint64(6)).astype("int64"), np.uint64(1) << (place & np.uint64(63)))
         spare = sizes - np.bitwise_count(bits).sum(1, dtype="int64")
         self.levels = [tuple(x[self.order] for x in (bits, sizes, sizes, spare))]
         while len(self.levels[-1][1]) > 1:
@@ -287,14 +289,18 @@ def all_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles each two sets share. Shingles of one set only can't overlap."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
+    token = np.concatenate(sets)
+    order = np.argsort(token, kind="stable")
+    token = token[order]
+    new = np.append(True, token[1:] != token[:-1])[: len(token)]
+    del token
+    # A token is shared unless both it and the next one are new.
+    shared = ~(new & np.append(new[1:], True))
+    owner = np.repeat(np.arange(len(sets), dtype="int32"), [len(x) for x in sets])[order[shared]]
+    del order
+    column = np.cumsum(new[shared], dtype="int32") - 1
     both = np.zeros((len(sets), len(sets)), "int64")
-    for at in range(0, int((times > 1).sum()), SLAB):
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, SLAB):
         low, high = np.searchsorted(column, [at, at + SLAB])
         has = np.zeros((len(sets), SLAB), "float32")
         has[owner[low:high], column[low:high] - at] = 1
@@ -332,6 +338,8 @@ def link(rows: DataFrame, num: int, den: int) -> DataFrame:
         some = np.flatnonzero(n)
         a = np.concatenate([nodes[[x for x, _ in edges]], nodes[some]]) if len(some) else nodes[:0]
         b = [int(nodes[y]) for _, y in edges] + [None] * len(some)
+        if sum(map(len, group["shingles"])) > RELEASE_BYTES:
+            release()
         return pd.DataFrame({"a": a, "b": pd.array(b, "Int64"), "n": [0] * len(edges) + n[some].tolist()})
 
     return rows.select("block", "i", "j", "class", "chunk", "node", "n_copies", "home", "shingles").groupBy("block", "i", "j").applyInPandas(run, "a bigint, b bigint, n bigint")
