@@ -36,7 +36,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as training logs: one run per user, epochs in time order."""
+    """events as training logs: one run per user, epochs in time order. Tenths are rounded as SQL does, on the product with ten: Spark's own rounding goes by
+    the digits of the number, which may lie just below a half where its product doesn't."""
     e = table(spark, sf_dir, "events").where("value is not null and user_id is not null")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("run_id"), F.row_number().over(w).alias("epoch"), F.round("value", 0).alias("score"), F.round(F.col("value") % 7, 1).alias("tie_breaker"), (F.col("event_id") % 11).cast("double").alias("val_loss"))
+    return e.select(F.col("user_id").alias("run_id"), F.row_number().over(w).alias("epoch"), F.round("value", 0).alias("score"), (F.round(F.col("value") % 7 * 10, 0) / 10).alias("tie_breaker"), (F.col("event_id") % 11).cast("double").alias("val_loss"))
