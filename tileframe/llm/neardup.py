@@ -6,8 +6,11 @@ are one node. Two nodes link when den * intersection >= num * union.
 
 Which nodes can link at all comes from an exact filter, size class by size class: a pair belongs to the class of its larger set, where
 sets that link differ in at most H shingles. If hashes are dealt into H + 1 + S parts, S + 1 at least agree, so two sets share a part that
-has shingles unless both have more than S empty parts; those share a pair of empty parts. S is chosen so that few sets have as many. Nodes
-that share a key of a class form a block. Larger blocks are cut into chunks, and each pair of chunks is a group of its own. In a
+has shingles unless both have more than S empty parts; those share a pair of empty parts. S is chosen so that few sets have as many. A set
+with e empty parts shares S + 1 - e parts that have shingles with each set that it links with, so it can do without S - e of its keys: in one order for
+all sets, those that come first. This order begins with keys that are common in a sample, so that sets with no more than a passage in common don't meet.
+Nodes that share a key of a class form a block. While that leaves large blocks, hashes are dealt into other parts and blocks are formed within blocks:
+sets that link meet each time, others by chance. Larger blocks are cut into chunks, and each pair of chunks is a group of its own. In a
 group a signature tree, gone down against itself, tells which pairs can overlap enough; their overlaps are counted
 exactly, so every link between different sets is found once.
 
@@ -38,6 +41,12 @@ GROUP_SHINGLES = 1 << 20
 BUCKET_KEYS = 500_000
 FOLDED_KEYS = 1_500_000
 HELD_KEYS = 1_000_000
+#: Keys that are known to be common, at most, and texts, about, of which they are told.
+COMMON_KEYS = 200_000
+COMMON_TEXTS = 100_000
+#: Hashes are dealt anew, at most so often, while large blocks get smaller by this share at least.
+DEALS = 5
+LESS = 0.25
 #: Nodes in blocks, up to this number, are broadcast to pick their texts (24 bytes each); beyond it the join is dealt out.
 BROADCAST_NODES = 1_000_000
 #: Shingles, and pairs of nodes, handled at a time.
@@ -78,6 +87,21 @@ def rolled(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+class Ranks:
+    """Common keys, the most frequent one first."""
+
+    def __init__(self, keys: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.places = keys[order], order
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key; keys that aren't common come after all."""
+        if not len(self.keys):
+            return np.zeros(len(keys), "int64")
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.places[at], len(self.keys))
+
+
 class Classes:
     """Size classes with the number of parts of each, for a similarity of num / den."""
 
@@ -86,7 +110,7 @@ class Classes:
         self.starts = [1]
         while self.starts[-1] < 1 << 40:
             self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * ratio)))
-        self.parts, self.spare = [], []
+        self.parts, self.spare, self.kept = [], [], []
         for low, up in zip(self.starts, self.starts[1:], strict=False):
             h = 2 * (up - 1) * (den - num) // (den + num)
             least, spare = -(-low * num // den), 1
@@ -95,6 +119,7 @@ class Classes:
                 spare = min(h + 1, max(spare, math.ceil(empty + 3 * math.sqrt(empty))))
             self.parts.append(h + 1 + spare if h else 0)  # 0: only equal sets link
             self.spare.append(spare)
+            self.kept.append(h + 1 if h else 0)
 
     def home(self, size: int) -> int:
         return int(np.searchsorted(self.starts, size, "right")) - 1
@@ -107,12 +132,14 @@ class Classes:
         """The class of a set as the larger one of a pair, then those where it can be the smaller one."""
         return [c for c in range(self.home(size), self.home(size * self.den // self.num) + 1) if self.parts[c]]
 
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        """The last eight bits of a key are its class."""
+    def keys(self, h: np.ndarray, deal: int = 0, places: list[dict] | None = None, common: Ranks | None = None) -> np.ndarray:
+        """The last eight bits of a key are its class. deal: which way hashes are dealt into parts. places: the classes that are left and the blocks
+        that keys are for; None: all classes. common: keys that a set can do without are left out, the most common ones first, then by their value;
+        None: all keys."""
         out = []
-        for c in self.of(len(h)):
+        for c, block in [(x["class"], x["block"]) for x in places] if places is not None else [(c, 0) for c in self.of(len(h))]:
             n = self.parts[c]
-            dealt = (mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5 ^ c)) % np.uint64(n)).astype("int64")
+            dealt = (mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5 ^ c ^ deal << 16)) % np.uint64(n)).astype("int64")
             order = np.argsort(dealt, kind="stable")
             full, at = np.unique(dealt[order], return_index=True)
             sums = np.add.reduceat(mix(h + np.uint64(c + 1))[order], at)
@@ -121,7 +148,12 @@ class Classes:
                 empty = np.setdiff1d(np.arange(n), full)
                 i, j = np.triu_indices(len(empty), 1)
                 found.append(mix(mix(np.uint64((c << 32) + 7) + empty[i].astype("uint64")) * np.uint64(3) + empty[j].astype("uint64")))
-            out.append(np.concatenate(found) & ~np.uint64(255) | np.uint64(c))
+            own = np.concatenate(found)
+            if block:
+                own = mix(own ^ np.uint64(block & (1 << 64) - 1))
+            own = own & ~np.uint64(255) | np.uint64(c)
+            over = self.spare[c] - (n - len(full))
+            out.append(own[np.lexsort([own, common.of(own)])[over:]] if over > 0 and common is not None else own)
         return np.concatenate(out) if out else np.empty(0, "uint64")
 
 
@@ -139,7 +171,7 @@ def sets_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         for batch in slices(batches, "text", SLICE_BYTES, 1000):
             found = shingle_sets(batch.column("text"), width)
             sizes = np.array([len(h) for h in found])
-            keys = pa.array([sum(classes.parts[c] for c in classes.of(n)) if n else 0 for n in sizes.tolist()], pa.int64())
+            keys = pa.array([sum(classes.kept[c] for c in classes.of(n)) if n else 0 for n in sizes.tolist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), pa.array(nodes_of(found), mask=sizes == 0), keys], ["doc_id", "text_hash", "n_shingles", "node", "n_keys"])
 
     with_hash = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -147,8 +179,34 @@ def sets_of(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return with_hash.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node bigint, n_keys bigint")
 
 
-def nodes_that_meet(docs: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
-    """node, low and class, distinct: nodes that share a key of the class with the centre of that key. Pairs of two nodes of lesser classes don't count
+def common_keys(texts: DataFrame, width: int, num: int, den: int, deal: int, rows: int) -> Ranks:
+    """Keys that many sets have, of about COMMON_TEXTS of the rows, picked by a hash. They only set the order in which keys are done without, so any will do."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, held, n = Classes(num, den), {}, 0
+
+        def often() -> pa.RecordBatch:
+            keys, times = np.unique(np.concatenate([*held.values(), np.empty(0, "uint64")]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys[times > 1].view("int64")), pa.array(times[times > 1])], ["key", "n"])
+
+        for batch in slices(batches, "text", SLICE_BYTES, 1000):
+            found = shingle_sets(batch.column("text"), width)
+            for node, h, places in zip(nodes_of(found).tolist(), found, batch.column("places").to_pylist(), strict=True):
+                if len(h) and node not in held:
+                    held[node] = classes.keys(h, deal, places)
+                    n += len(held[node])
+            if n >= HELD_KEYS:
+                yield often()
+                held, n = {}, 0
+        yield often()
+
+    some = texts.select("text", "places").where(F.pmod(F.xxhash64("text"), F.lit(max(1, rows // COMMON_TEXTS))) == 0)
+    found = some.mapInArrow(counted, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(COMMON_KEYS).toArrow()
+    return Ranks(found.column("key").to_numpy().view("uint64"))
+
+
+def nodes_that_meet(texts: DataFrame, width: int, num: int, den: int, deal: int, buckets: int, common: Ranks) -> DataFrame:
+    """node, low and class, distinct: nodes that share a key of the class (and block, if they have places) with the centre of that key. Pairs of two nodes of lesser classes don't count
     and are left out where a bucket can be looked at as a whole."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +227,9 @@ def nodes_that_meet(docs: DataFrame, width: int, num: int, den: int, buckets: in
 
         for batch in slices(batches, "text", SLICE_BYTES, 1000):
             found = shingle_sets(batch.column("text"), width)
-            for node, h in zip(nodes_of(found).tolist(), found, strict=True):
+            for node, h, places in zip(nodes_of(found).tolist(), found, batch.column("places").to_pylist(), strict=True):
                 if len(h) and node not in held:
-                    held[node], homes[node] = classes.keys(h), classes.home(len(h))
+                    held[node], homes[node] = classes.keys(h, deal, places, shared.value), classes.home(len(h))
                     n += len(held[node])
             if n >= HELD_KEYS:
                 yield packed()
@@ -223,7 +281,8 @@ def nodes_that_meet(docs: DataFrame, width: int, num: int, den: int, buckets: in
             yield folded(not folds)
         release()
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, keys binary, nodes binary, own binary")
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+    sent = texts.select("text", "places").mapInArrow(send, "bucket int, keys binary, nodes binary, own binary")
     return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "node bigint, low bigint, class bigint").distinct()
 
 
@@ -351,25 +410,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10
     sets = materialise(sets_of(plain, width, num, den), "sets")
     nodes = materialise(sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "text_hash")).alias("first")), "nodes")
 
-    # Blocks: nodes that share a key of a class.
+    # Blocks: nodes that share a key of a class. Sets that link do so however hashes are dealt, so blocks are taken apart by dealing anew.
     n_keys = sets.groupBy("node").agg(F.max("n_keys").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_keys // BUCKET_KEYS)
-    met = materialise(nodes_that_meet(plain, width, num, den, buckets), "met")
-    edges = met.select(F.xxhash64("node", "class").alias("a"), F.xxhash64("low", "class").alias("b"))
-    blocks = materialise(components(edges).withColumnRenamed("component", "block"), "blocks")
-    large = materialise(blocks.groupBy("block").agg(F.count("*").alias("members")).where(F.col("members") > 16), "large")
-    large = F.broadcast(large) if large.count() <= BROADCAST_NODES else large
-    both = met.select("node", "class").unionByName(met.select(F.col("low").alias("node"), "class")).distinct()
-    placed = both.withColumn("at", F.xxhash64("node", "class")).join(blocks.withColumnRenamed("node", "at"), "at").join(large, "block", "left")
-    limits = F.array(*[F.lit(n) for n in Classes(num, den).members()])
-    chunks = F.coalesce(F.ceil(F.col("members") / F.get(limits, F.col("class").cast("int"))), F.lit(1))
-    places = placed.groupBy("node").agg(F.collect_list(F.struct("block", "class", chunks.alias("chunks"))).alias("places"))
-    chosen = materialise(nodes.select("node", "n_copies", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).join(places, "node"), "chosen")
-    small_side = F.broadcast(chosen) if chosen.count() <= BROADCAST_NODES else chosen
-    # Rows that share id and text are read once.
-    texts = plain.withColumn("text_hash", F.xxhash64("text")).join(small_side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "n_copies", "places", "text")
-    if not sets.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        texts = texts.dropDuplicates(["node"])
+    classes = Classes(num, den)
+    limits, kept = (F.array(*[F.lit(n) for n in x]) for x in (classes.members(), classes.kept))
+    firsts = nodes.select("node", "n_copies", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    repeated = not sets.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    texts = plain.select("text", F.lit(None).cast("array<struct<block: bigint, class: bigint, chunks: bigint>>").alias("places"))
+    rows, load = sets.count(), None
+    for deal in range(DEALS):
+        buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_keys // BUCKET_KEYS)
+        common = common_keys(texts, width, num, den, deal, rows)
+        met = materialise(nodes_that_meet(texts, width, num, den, deal, buckets, common), "met")
+        edges = met.select(F.xxhash64("node", "class").alias("a"), F.xxhash64("low", "class").alias("b"))
+        blocks = materialise(components(edges).withColumnRenamed("component", "block"), "blocks")
+        large = materialise(blocks.groupBy("block").agg(F.count("*").alias("members")).where(F.col("members") > 16), "large")
+        large = F.broadcast(large) if large.count() <= BROADCAST_NODES else large
+        both = met.select("node", "class").unionByName(met.select(F.col("low").alias("node"), "class")).distinct()
+        placed = both.withColumn("at", F.xxhash64("node", "class")).join(blocks.withColumnRenamed("node", "at"), "at").join(large, "block", "left")
+        chunks = F.coalesce(F.ceil(F.col("members") / F.get(limits, F.col("class").cast("int"))), F.lit(1))
+        places = placed.groupBy("node").agg(F.collect_list(F.struct("block", "class", chunks.alias("chunks"))).alias("places"))
+        chosen = materialise(firsts.join(places, "node"), "chosen")
+        rows = chosen.count()
+        small_side = F.broadcast(chosen) if rows <= BROADCAST_NODES else chosen
+        # Rows that share id and text are read once.
+        texts = plain.withColumn("text_hash", F.xxhash64("text")).join(small_side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "n_copies", "places", "text")
+        if repeated:
+            texts = texts.dropDuplicates(["node"])
+        # What nodes in blocks of several chunks are copied.
+        spent = load
+        n_keys, load = chosen.select(F.inline("places")).agg(F.coalesce(F.sum(F.get(kept, F.col("class").cast("int"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("chunks") > 1, F.col("chunks"))), F.lit(0))).first()
+        if 4 * load <= rows or spent is not None and load > (1 - LESS) * spent:
+            break
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         homes = Classes(num, den)
