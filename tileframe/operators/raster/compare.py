@@ -164,8 +164,8 @@ def curriculum(samples: DataFrame, difficulties: DataFrame, epoch: int, epochs:
     return j.where(F.col("difficulty").isNull() | (F.col("difficulty") <= F.col("_limit"))).withColumn("weight", F.coalesce(weight, F.lit(1.0))).drop("_limit")
 
 
-def features(px: DataFrame, t: int = 100) -> DataFrame:
-    """tile_id, y, x, v and FEATURES of each pixel, all in one group of the tile; distance is scaled by the tile's diagonal (and is that in a tile that
+def features(px: DataFrame, t: int = 100, keep: Sequence[str] = ()) -> DataFrame:
+    """tile_id, y, x, v, the columns ``keep`` and FEATURES of each pixel, all in one group of the tile; distance is scaled by the tile's diagonal (and is that in a tile that
     is all gate) and area by its size, both log1p, 0 outside the gate. Pixels without a value or coordinates have NULL features and don't count."""
 
     def made(y: np.ndarray, x: np.ndarray, table: pa.Table) -> dict[str, np.ndarray]:
@@ -184,7 +184,7 @@ def features(px: DataFrame, t: int = 100) -> DataFrame:
             np.log1p(away) / math.log1p(diagonal), filtered(gate.astype("float64"), y, x, [1 / 15] * 15, [1 / 15] * 15), area,
         ), strict=True))
 
-    return append_by_tile(px.select(*KEY, "v"), dict.fromkeys(FEATURES, "double"), made, needs=["v"])
+    return append_by_tile(px.select(*KEY, "v", *keep), dict.fromkeys(FEATURES, "double"), made, needs=["v"])
 
 
 def features_are_finite(f: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:

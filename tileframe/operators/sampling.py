@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tileframe.operators.extratrees import ExtraTrees, fit_extra_trees, predict
+from tileframe.operators.extratrees import ExtraTrees, fit_extra_trees, predict, predict_left_out
 from tileframe.operators.metrics import confusion, group_metrics
 from tileframe.operators.ranks import ranked_by_hash
 
@@ -55,8 +55,7 @@ def predict_gated(model: ExtraTrees, px: DataFrame, t: int = 100) -> DataFrame:
 
 def group_cv(df: DataFrame, group: str, features: Sequence[str], label: str = "target", weight: str = "weight", **forest) -> tuple[DataFrame, DataFrame]:
     """Leave-one-group-out: weighted confusion of each fold, and the mean metrics. The forests of all folds grow in the same passes."""
-    model = fit_forest(df, features, label, weight, leave_out=group, **forest)
-    scored = predict(model, df.select(group, label, weight, *features), "pred", fold_of=group).where("pred is not null")
+    scored = predict_left_out(df, group, features, label, weight, **forest).where("pred is not null")
     cm = confusion(scored, [group], 3, label, "pred", weight=weight)
     return cm, group_metrics(cm, group)
 

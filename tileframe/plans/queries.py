@@ -614,9 +614,8 @@ def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def forest_group_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve features of sampled gate pixels, and forests of default size, each without one series."""
-    px = pixels(spark, sf_dir)
-    f = compare.features(px).join(px.select("tile_id", "y", "x", "target"), ["tile_id", "y", "x"]).join(splits(spark, sf_dir).select("tile_id", "series"), "tile_id")
-    rows = sampling.assemble_samples(f, 5, 20260821)
+    px = pixels(spark, sf_dir).join(splits(spark, sf_dir).select("tile_id", "series"), "tile_id")
+    rows = sampling.assemble_samples(px, 5, 20260821).drop("v").join(compare.features(px).where("v < 100"), ["tile_id", "y", "x"])
     _, means = sampling.group_cv(rows, "series", compare.FEATURES)
     return rounded(means)
 
