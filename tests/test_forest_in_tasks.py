@@ -58,3 +58,18 @@ def test_no_jobs_for_each_level_or_fold(spark, monkeypatch):
     cm, means = sampling.group_cv(df, "series", NAMES, trees=40, leaf=2)
     assert means.first().groups == 12 and cm.agg(F.sum("n")).first()[0] == pytest.approx(sum(x[5] for x in rows))
     assert time.time() - began < 120
+
+
+def test_pixels_are_read_once(spark):
+    """What is inside the gate and what is outside come from one pass over the features."""
+    df = spark.createDataFrame([(*x, 50 + 100 * (k % 2)) for k, x in enumerate(made(120))] + [(0.5, 0.5, 1.0, 0.0, 1, 1.0, "p", None)], f"{SCHEMA}, v int")
+    model = extratrees.fit_extra_trees(df, NAMES, trees=3)
+    same = df.mapInArrow(lambda batches: batches, df.schema)
+    rated = sampling.predict_gated(model, same)
+    assert rated._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    got = rated.collect()
+    assert len(got) == 121 and all((r.pred == 2) == (r.v != 50) for r in got)
+    want = {str(r) for r in extratrees.predict(model, df.where("v < 100"), "pred").collect()}
+    assert {str(r) for r in got if r.v == 50} == want
+    with pytest.raises(Exception, match="pore classes"):
+        sampling.predict_gated(model, spark.createDataFrame([(None, 0.5, 1.0, 0.0, 1, 1.0, "p", 50)], f"{SCHEMA}, v int")).collect()

@@ -48,9 +48,9 @@ def fit_forest(df: DataFrame, features: Sequence[str], label: str = "target", we
 
 def predict_gated(model: ExtraTrees, px: DataFrame, t: int = 100) -> DataFrame:
     """pred: the model's class inside the gate, mineral outside (and where v is NULL). px has v and the model's features."""
-    inside = predict(model, px.where(F.col("v") < t), "pred")
+    inside = F.coalesce(F.col("v") < t, F.lit(False))
     sure = F.when(F.col("pred").isin(0, 1), F.col("pred")).otherwise(F.raise_error(F.lit("only pore classes may be predicted inside the gate")).cast("int"))
-    return inside.withColumn("pred", sure).unionByName(px.where((F.col("v") >= t) | F.col("v").isNull()).withColumn("pred", F.lit(2)))
+    return predict(model, px, "pred", only=inside).withColumn("pred", F.when(inside, sure).otherwise(F.lit(2)))
 
 
 def group_cv(df: DataFrame, group: str, features: Sequence[str], label: str = "target", weight: str = "weight", **forest) -> tuple[DataFrame, DataFrame]:

@@ -623,10 +623,11 @@ def forest_group_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def forest_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest of the training tiles' samples, its classes inside the gate of the test tiles, and their confusion."""
-    px = pixels(spark, sf_dir)
-    f = compare.features(px).join(px.select("tile_id", "y", "x", "target"), ["tile_id", "y", "x"]).join(splits(spark, sf_dir).select("tile_id", "split"), "tile_id")
-    model = sampling.fit_forest(sampling.assemble_samples(f.where("split = 'train'"), 10, 20260821), compare.FEATURES)
-    rated = sampling.predict_gated(model, f.where("split = 'test'"))
+    px = pixels(spark, sf_dir).join(splits(spark, sf_dir).select("tile_id", "split"), "tile_id")
+    train = px.where("split = 'train'")
+    rows = sampling.assemble_samples(train, 10, 20260821).drop("v").join(compare.features(train).where("v < 100"), ["tile_id", "y", "x"])
+    model = sampling.fit_forest(rows, compare.FEATURES)
+    rated = sampling.predict_gated(model, compare.features(px.where("split = 'test'"), keep=["target"]))
     return metrics.confusion(rated)
 
 
