@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tileframe.llm.common import materialise, mix, slices
+from tileframe.llm.common import materialise, mix, release, slices
 from tileframe.llm.ragged import Lists, Memory
 
 BUCKETS = 1 << 17
@@ -78,15 +78,25 @@ class Rows:
     """
 
     def __init__(self, lengths: np.ndarray, columns: np.ndarray, weights: np.ndarray | None, n_columns: int):
-        self.n, self.n_columns, self.columns = len(lengths), n_columns, columns.astype("int32")
+        self.n, self.n_columns, self.columns = len(lengths), n_columns, columns.astype("int32", copy=False)
         self.share = np.ones(self.n, "float32") if weights is not None else (1 / lengths).astype("float32")
-        self.weights = None if weights is None else weights.astype("float32")
+        self.weights = None if weights is None else weights.astype("float32", copy=False)
         self.starts = np.append(0, np.cumsum(lengths))
-        order = np.argsort(self.columns, kind="stable")
-        self.back_rows = np.repeat(np.arange(self.n, dtype="int32"), lengths)[order]
+        # Columns and places in one number each, sorted where they are: a stable order without its working space.
+        order = self.columns.astype("int64")
+        order <<= 32
+        for at in range(0, len(order), PIECE):
+            order[at : at + PIECE] |= np.arange(at, min(at + PIECE, len(order)))
+        order.sort()
+        new = np.ones(len(order), bool)
+        for at in range(1, len(order), PIECE):
+            new[at : at + PIECE] = (order[at : at + PIECE] ^ order[at - 1 : at - 1 + PIECE][: len(order) - at]) >> 32 != 0
+        self.used = (order[new] >> 32).astype("int32")
+        self.back_starts = np.append(np.flatnonzero(new), len(columns))
+        del new
+        order &= 0xFFFFFFFF
         self.back_weights = None if weights is None else self.weights[order]
-        self.used, at = np.unique(self.columns[order], return_index=True)
-        self.back_starts = np.append(at, len(columns))
+        self.back_rows = np.repeat(np.arange(self.n, dtype="int32"), lengths)[order]
 
     @staticmethod
     def sums(x: np.ndarray, at: np.ndarray, weights: np.ndarray | None, starts: np.ndarray) -> np.ndarray:
@@ -137,8 +147,10 @@ def fit(labels: np.ndarray, lengths: np.ndarray, text: np.ndarray, word: np.ndar
     for at in range(0, len(words), PIECE // 16):
         owner, bucket = subwords(words[at : at + PIECE // 16])
         some.append((np.bincount(owner), bucket[np.argsort(owner, kind="stable")].astype("int32")))
-    bag_of = Rows(np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some]), None, BUCKETS)
+    sizes, buckets = np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some])
     del some
+    bag_of = Rows(sizes, buckets, None, BUCKETS)
+    del sizes, buckets
     random = np.random.default_rng(seed)
     table = (random.normal(0, 0.1, (BUCKETS, dim))).astype("float32")
     top, bias = random.normal(0, 0.5, (dim, 1)).astype("float32"), np.array([prior], "float32")
@@ -214,7 +226,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     text, n = np.searchsorted(row, held.column("row").to_numpy()).astype("int32"), held.column("n").to_numpy()
     del held
     order = np.lexsort([word, text])
-    return fit(y, n_words, text[order], word[order], n[order], words)
+    text, word, n = text[order], word[order], n[order]
+    del order, keys
+    release()
+    return fit(y, n_words, text, word, n, words)
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
